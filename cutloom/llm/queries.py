@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, token_files
+from . import common, language_id, packing, quality_rules, token_files, toxicity
+from .common import documents
 
 
 def tokenizer_path() -> str:
@@ -13,13 +14,37 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.work_dir(spark)
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+    return scored.select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(common.documents(spark, sf_dir), tokenizer_path())
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(spark, common.documents(spark, sf_dir), tokenizer_path())
+    return token_files.round_trip(spark, documents(spark, sf_dir), tokenizer_path())
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.work_dir(spark)
+    docs = documents(spark, sf_dir)
+    return quality_rules.judge(docs, quality_rules.fit(docs, labels(spark, sf_dir)))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.work_dir(spark)
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.where(common.crc_mod("doc_id", 5) != 0))
+    return language_id.predict(docs, model).select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_packing, op6_token_files, op9_quality_rules, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
