@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = b" \t\n\x0b\x0c\r"
+MAX_BROADCAST_ROWS = 1_000_000  # of a few numbers each
 _ROOTS: dict[str, str] = {}
 
 
@@ -49,6 +50,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (stored, a few columns of numbers), to be broadcast if its counted rows are few enough; else joined by shuffle."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language_id, packing, quality_rules, token_files, toxicity
+from . import common, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, packing, quality_rules, token_files, toxicity
 from .common import documents
 
 
@@ -25,6 +25,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup(documents(spark, sf_dir))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_removed", "text")
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.work_dir(spark)
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -33,6 +46,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.work_dir(spark)
     docs = documents(spark, sf_dir)
@@ -46,5 +63,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_packing, op6_token_files, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_line_dedup, op4_html_extract, op5_packing, op6_token_files, op8_embedding_dedup, op9_quality_rules, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}

@@ -75,8 +75,11 @@ def _adam(params: list[np.ndarray], rate: float):
     return step
 
 
-def train(lists: list[np.ndarray], y: np.ndarray, steps: int = 4000, l2: float = 1e-4, seed: int = 11) -> Machine:
-    """Fits a machine to documents' term lists and their classes, in numpy on this bounded sample."""
+def train(lists: list[np.ndarray], y: np.ndarray, steps: int = 4000, l2: float = 5e-5, seed: int = 11, balance: float = 0.5) -> Machine:
+    """Fits a machine to documents' term lists and their classes, in numpy on this bounded sample.
+
+    The rarer, toxic class weighs ``(clean / toxic) ** balance`` a row.
+    """
     n, pos = len(y), float(y.sum())
     if not 0 < pos < n:
         p = min(max(pos / max(n, 1), 1e-12), 1 - 1e-12)
@@ -97,13 +100,13 @@ def train(lists: list[np.ndarray], y: np.ndarray, steps: int = 4000, l2: float =
     rng = np.random.default_rng(seed)
     bias, w, v = np.array([np.log(pos / (n - pos))]), np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), RANK))
     step, t = _adam([bias, w, v], 0.02), 0
-    parts = max(1, n // 256)
+    parts, weight = max(1, n // 256), max(1.0, (n - pos) / pos) ** balance
     for _ in range(max(10, steps // parts)):
         for rows in np.array_split(rng.permutation(n), parts):
             a = x[rows].astype(np.float64)
             s = a @ v
             z = bias[0] + a @ w + 0.5 * ((s**2).sum(axis=1) - a @ (v**2).sum(axis=1))
-            g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[rows]) / len(rows)
+            g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[rows]) * np.where(y[rows] > 0, weight, 1) / len(rows)
             t += 1
             ag = a.T @ g
             step([np.array([g.sum()]), ag + l2 * w, a.T @ (g[:, None] * s) - ag[:, None] * v + l2 * v], t)
@@ -115,9 +118,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) ->
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(common.crc_mod("doc_id", 3) != 1)
     sample = common.bounded_sample(marked, "doc_id", max_training)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most max_training rows of two numbers
-    got = rows.select("toxic", "text").mapInArrow(_terms, "toxic int, terms array<int>").limit(4 * max_training).toPandas()
-    order = sorted(range(len(got)), key=lambda i: (got.toxic[i], len(got.terms[i]), list(got.terms[i][:8])))
-    return train([np.asarray(got.terms[i], np.int64) for i in order], (got.toxic.to_numpy()[order] == 1).astype(np.float64)) if len(got) else train([], np.zeros(0))
+    got = rows.select("toxic", "text").mapInArrow(_terms, "toxic int, terms array<int>").limit(4 * max_training).toArrow().combine_chunks()
+    toxic, terms = got.column("toxic").to_numpy(), got.column("terms").combine_chunks()
+    at, flat = terms.offsets.to_numpy(), terms.values.to_numpy()
+    lists = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+    order = sorted(range(len(lists)), key=lambda i: (toxic[i], lists[i].tobytes()))  # the same rows in whatever order they came
+    return train([lists[i] for i in order], (toxic[order] == 1).astype(np.float64))
 
 
 def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
