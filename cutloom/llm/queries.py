@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, packing, quality_rules, token_files, toxicity
+from . import common, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, packing, quality_rules, sentencepiece_fst, token_files, toxicity
 from .common import documents
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.work_dir(spark)
+    return sentencepiece_fst.digests(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -63,5 +68,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_line_dedup, op4_html_extract, op5_packing, op6_token_files, op8_embedding_dedup, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_line_dedup, op4_html_extract, op5_packing, op6_token_files, op7_sentencepiece, op8_embedding_dedup, op9_quality_rules, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
