@@ -19,13 +19,11 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], point: s
     Both sides are dealt by key and bucket of ``width``, so a key with very many rows is spread over its buckets and each
     point meets the spans of its bucket only.
     """
-    wide = spans.where(F.col(high) > F.col(low)).withColumn("_bucket", F.explode(F.sequence(N.floor_long(F.col(low) / width), N.floor_long((F.col(high) - 1) / width))))
+    wide = spans.where(F.col(high) > F.col(low)).withColumn("_to", F.explode(F.sequence(N.floor_long(F.col(low) / width), N.floor_long((F.col(high) - 1) / width))))
+    wide = wide.withColumnsRenamed({k: f"_to_{k}" for k in keys})
     near = points.withColumn("_bucket", N.floor_long(F.col(point) / width))
-    on = [near[k] == wide[k] for k in keys] + [near["_bucket"] == wide["_bucket"], F.col(low) <= F.col(point), F.col(point) < F.col(high)]
-    joined = near.join(wide, on, how)
-    for k in [*keys, "_bucket"]:
-        joined = joined.drop(wide[k])
-    return joined.drop("_bucket")
+    on = [F.col(k) == F.col(f"_to_{k}") for k in keys] + [F.col("_bucket") == F.col("_to"), F.col(low) <= F.col(point), F.col(point) < F.col(high)]
+    return near.join(wide, on, how).drop("_bucket", "_to", *(f"_to_{k}" for k in keys))
 
 
 def lengths(clips: DataFrame) -> DataFrame:
