@@ -44,22 +44,22 @@ def conform(spark, d):
     return S.table(spark, d, "customer").select("c_custkey", N.conform_rate(F.col("c_acctbal") / 100, 30.0).cast("double").alias("rate"))
 
 
-@query(f"WITH {edl('tracks')}, {FRAMES} SELECT f.seq_id, f.n, c.ord, c.track FROM frames f JOIN clips c ON f.seq_id = c.seq_id AND c.start <= f.n AND f.n < c.stop WHERE f.n % 5 = 0")
+@query(f"WITH {edl('tracks')}, {FRAMES} SELECT f.seq_id, f.n, c.ord, c.track FROM frames f JOIN clips c ON f.seq_id = c.seq_id AND c.start <= f.n AND f.n < c.stop")
 def clips_at(spark, d):
     clips = S.clips(spark, d, "tracks")
-    return T.clips_at(T.frames(clips, 5), clips).select("seq_id", "n", "ord", "track")
+    return T.clips_at(T.frames(clips), clips).select("seq_id", "n", "ord", "track")
 
 
-@query(f"WITH {edl('tracks')}, {FRAMES}, {TOP} SELECT seq_id, n, ord FROM top WHERE n % 5 = 0")
+@query(f"WITH {edl('tracks')}, {FRAMES}, {TOP} SELECT seq_id, n, ord FROM top")
 def clip_at(spark, d):
     clips = S.clips(spark, d, "tracks")
-    return T.topmost(T.clips_at(T.frames(clips, 5), clips), ["seq_id", "n"], "ord")
+    return T.topmost(T.clips_at(T.frames(clips), clips), ["seq_id", "n"], "ord")
 
 
-@query(f"WITH {edl('tracks')}, {FRAMES} SELECT f.seq_id, f.n, c.track, min(c.ord) AS ord FROM frames f JOIN clips c ON f.seq_id = c.seq_id AND c.start <= f.n AND f.n < c.stop WHERE f.n % 5 = 0 GROUP BY ALL")
+@query(f"WITH {edl('tracks')}, {FRAMES} SELECT f.seq_id, f.n, c.track, min(c.ord) AS ord FROM frames f JOIN clips c ON f.seq_id = c.seq_id AND c.start <= f.n AND f.n < c.stop GROUP BY ALL")
 def clip_at_track(spark, d):
     clips = S.clips(spark, d, "tracks")
-    return T.clips_at(T.frames(clips, 5), clips).groupBy("seq_id", "n", "track").agg(F.min("ord").alias("ord"))
+    return T.clips_at(T.frames(clips), clips).groupBy("seq_id", "n", "track").agg(F.min("ord").alias("ord"))
 
 
 @query(f"WITH {edl()}, {FRAMES}, {TOP} SELECT f.seq_id, f.n, t.ord, t.source_id, t.source_frame FROM frames f LEFT JOIN top t ON f.seq_id = t.seq_id AND f.n = t.n")
