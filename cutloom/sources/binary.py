@@ -64,7 +64,7 @@ def gop_index(raw: bytes) -> list[tuple[int, int, int, int, int]]:
                 j -= 1
             starts.append(j)
     out, frame = [], 0
-    for g, (a, b) in enumerate(zip(starts, [*starts[1:], len(units)], strict=True)):
+    for g, (a, b) in enumerate(zip(starts, [*starts[1:], len(units)])):  # noqa: B905
         n = sum(kind in (SLICE, KEY_SLICE) for _, kind in units[a:b])
         out.append((g, units[a][0], (units[b][0] if b < len(units) else len(raw)) - 1, frame, n))
         frame += n
