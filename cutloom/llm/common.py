@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import re
+import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def work_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(f"{_ROOTS[app]}/checkpoints")
         if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")  # whole texts, not narrow rows
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # whole texts, not narrow rows
     return _ROOTS[app]
 
 
@@ -70,63 +72,207 @@ def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
-_INNER = re.compile(r"\s (?=\s|\Z)")
-_CUT = re.compile(r"(?= \S)")
-
+_RARE = [chr(c).encode() for c in range(0x80, 0x3001) if chr(c).isspace()]
+_ODD_BYTES = np.zeros(256, bool)
+_ODD_BYTES[[0, 9, 11, 12, 13, 28, 29, 30, 31]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_POINT = np.zeros(256, bool)
+_POINT[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_TABLE = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE, _GOLD = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
+_BLOCK_BYTES, _LONG = 1 << 20, 1 << 22
+
+
+class TokenMemo:
+    """Ids of whole Arrow columns by a ``tokenizers`` file with byte-level BPE and its usual split pattern.
+
+    That pattern always cuts before a space that starts a word, around a lone newline and between a letter and punctuation, so a
+    text's ids are those of such chunks.  Chunks are found and hashed (64 bits) with numpy for many texts at once; only those not
+    met before are encoded, many in one call, with a newline (a token of its own there) between them.  At most ``limit`` chunks
+    are remembered.  Texts with other white space than single spaces and newlines between words, or very long ones, are
+    encoded as they are.
+    """
 
-def chunks(text: str) -> list[str]:
-    """Cuts a text before spaces that start a word.
+    def __init__(self, path: str, limit: int = 1_500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the library only spin
+        from tokenizers import Tokenizer
 
-    A byte-level BPE pre-tokenizer never joins what stands before such a space with what follows, so the ids of a text
-    are those of its chunks.  Without a space inside a run of white space, every space is such a place.
-    """
-    if "\0" in text or _INNER.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").split("\0")
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True  # in a text, a special token's string is ordinary text
+        self.kind = "<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
+        self.width, self.limit = np.dtype(self.kind).itemsize, limit
+        newline = self.tok.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if len(newline) == 1 else None
+        self.powers = self.inverses = np.ones(1, np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+
+    def _store(self, ids: np.ndarray) -> int:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), self.kind)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        if len(self.keys) + len(keys) > self.limit:
+            self._forget()
+        at, n = [], []
+        for low in range(0, len(words), 4096):
+            group = words[low : low + 4096]
+            ids = self._ids("\n".join(group)) if "\n" not in group else None
+            cuts = np.flatnonzero(ids == self.newline) if ids is not None else np.zeros(0, np.int64)
+            if ids is None or len(cuts) != len(group) - 1:
+                parts = [self._ids(w) for w in group]
+                size = np.array([len(x) for x in parts])
+                at.append(self._store(np.concatenate(parts)) + np.cumsum(size) - size)
+                n.append(size)
+            else:
+                ends = np.append(cuts, len(ids))
+                starts = np.concatenate(([0], ends[:-1] + 1))
+                at.append(self._store(ids) + starts)
+                n.append(ends - starts)
+        self.keys = np.concatenate((self.keys, keys))
+        order = np.argsort(self.keys)
+        self.keys = self.keys[order]
+        self.at = np.concatenate((self.at, *at))[order]
+        self.n = np.concatenate((self.n, *n)).astype(np.int32)[order]
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(self.powers) < len(data) + 1:
+            self.powers, self.inverses = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(data), x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 2**64)))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_TABLE[data] * self.powers[: len(data)], out=total[1:])
+        h = (total[ends] - total[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64) * _GOLD
+        h = (h ^ (h >> np.uint64(29))) * _GOLD
+        return h ^ (h >> np.uint64(32))
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of simple texts one after another, ids of each); ``offsets`` of the texts in ``data``."""
+        space, line = data == 32, data == 10
+        mark = np.zeros(len(data) + 1, bool)
+        mark[:-1] = space | line
+        mark[1:] |= line
+        mark[1:-1] |= _POINT[data[1:]] & _LETTER[data[:-1]]
+        mark[offsets] = True
+        starts = np.flatnonzero(mark[:-1])
+        ends = np.append(starts[1:], len(data))
+        keys, first, which = np.unique(self._hashes(data, starts, ends), return_index=True, return_inverse=True)
+        for _ in range(2):
+            where = np.searchsorted(self.keys, keys)
+            hit = where < len(self.keys)
+            hit[hit] = self.keys[where[hit]] == keys[hit]
+            if hit.all():
+                break
+            new = np.flatnonzero(~hit)
+            raw = data.tobytes()
+            if len(self.keys) + len(new) > self.limit:
+                self._forget()
+                new = np.arange(len(keys))
+            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        at, n = self.at[where][which], self.n[where][which].astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = self.pool[np.repeat(at - total[:-1], n) + np.arange(total[-1])]
+        return ids, np.diff(total[np.searchsorted(starts, offsets)])
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each text) of a string array; nulls have none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        if not len(texts):
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        buffers = texts.buffers()
+        offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(buffers[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        odd = self._odd(data, offsets)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        low, size = 0, np.diff(offsets)
+        while low < len(size):
+            if odd[low]:
+                ids = self._ids(data[offsets[low] : offsets[low + 1]].tobytes().decode())
+                parts.append((ids, np.array([len(ids)])))
+                low += 1
+                continue
+            high = low + 1
+            while high < len(size) and not odd[high] and offsets[high + 1] - offsets[low] <= _BLOCK_BYTES:
+                high += 1
+            parts.append(self._block(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) if offsets[high] > offsets[low] else (np.zeros(0, self.kind), np.zeros(high - low, np.int64)))
+            low = high
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``column``, with ``end_id`` after each text's ids."""
+        ids, n = self.column(texts)
+        n = n + 1
+        last = np.cumsum(n) - 1
+        out = np.full(len(ids) + len(n), end_id, self.kind)
+        inner = np.ones(len(out), bool)
+        inner[last] = False
+        out[inner] = ids
+        return out, n
+
+    def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts are not simple."""
+        size = np.diff(offsets)
+        odd = size > _LONG
+        if self.newline is None:
+            return odd | True
+        white = (data == 32) | (data == 10)
+        bad = _ODD_BYTES[data]
+        bad[:-1] |= white[:-1] & white[1:]
+        some = size > 0
+        odd[some] |= white[offsets[1:][some] - 1]
+        places = [np.flatnonzero(bad)]
+        if len(data) and data.max() > 127:
+            raw = data.tobytes()
+            for mark in _RARE:
+                at = raw.find(mark)
+                while at >= 0:
+                    places.append(np.array([at]))
+                    at = raw.find(mark, at + 1)
+        places = np.concatenate(places)
+        odd[np.searchsorted(offsets, places, "right") - 1] = True
+        return odd
+
+
+_ENCODERS: dict[str, TokenMemo] = {}
+
+
+def bpe_encoder(path: str) -> TokenMemo:
+    """The Python worker's memo over the ``tokenizers`` file at ``path``."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TokenMemo(path)
+    return _ENCODERS[path]
 
 
 class WordMemo(dict):
-    """chunk -> ids as little-endian bytes.  Two generations of at most ``limit`` chunks bound its memory."""
+    """word -> what ``encode`` makes of it, in two generations of at most ``limit`` words."""
 
-    def __init__(self, encode, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 400_000):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
-    def __missing__(self, chunk):
-        value = self.old.get(chunk)
+    def __missing__(self, word):
+        value = self.old.get(word)
         if value is None:
-            value = self.encode(chunk)
-        if len(chunk) <= 64:
+            value = self.encode(word)
+        if len(word) <= 64:
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
-            self[chunk] = value
+            self[word] = value
         return value
 
 
-_ENCODERS: dict[str, tuple[WordMemo, str]] = {}
-
-
-def bpe_encoder(path: str) -> tuple[WordMemo, str]:
-    """Per Python worker: the memo over the ``tokenizers`` file at ``path`` and the numpy type of an id."""
-    if path not in _ENCODERS:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # in a text, a special token's string is ordinary text
-        kind = "<u2" if tok.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
-
-        def encode(chunk: str) -> bytes:
-            return np.array(tok.encode(chunk, add_special_tokens=False).ids, dtype=kind).tobytes()
-
-        _ENCODERS[path] = WordMemo(encode), kind
-    return _ENCODERS[path]
-
-
-def encoded(text: str | None, memo: WordMemo) -> bytes:
-    return b"".join(map(memo.__getitem__, chunks(text))) if text else b""
-
-
 def crc_u4(ids: np.ndarray) -> int:
     import zlib
 

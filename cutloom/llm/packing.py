@@ -28,18 +28,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _tokenize(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, kind = common.bpe_encoder(tokenizer)
-        end, width = np.array([end_id], dtype=kind).tobytes(), np.dtype(kind).itemsize
-        part, at = TaskContext.get().partitionId(), 0
+        memo, part, at = common.bpe_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [common.encoded(x, memo) + end for x in batch.column("text").to_pylist()]
-            n = np.array([len(x) // width for x in ids], dtype=np.int64)
-            starts = at + np.cumsum(n) - n
+            ids, n = memo.ended(batch.column("text"), end_id)
+            ends = np.cumsum(n)
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.concatenate(([0], ends)) * memo.width).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(at + ends - n), pa.array(n), raw], ["doc_id", "part", "at", "n", "ids"])
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
-                ["doc_id", "part", "at", "n", "ids"],
-            )
 
     return run
 

@@ -75,16 +75,16 @@ def _write(tokenizer: str, end_id: int, length: int, folder: str):
         name, mine = f"{root}/part-{part:06d}", f"{root}/.{part:06d}-{uuid.uuid4().hex}"
         for batch in batches:
             if writer is None and batch.num_rows:
-                memo, kind = common.bpe_encoder(tokenizer)
-                end, width = np.array([end_id], dtype=kind).tobytes(), np.dtype(kind).itemsize
+                memo = common.bpe_encoder(tokenizer)
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(f"{mine}.ids")
-                writer = SequenceWriter(sink, kind, length)
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = common.encoded(text, memo) + end
-                writer.add(raw)
-                docs.append((doc, total, len(raw) // width))
-                total += docs[-1][2]
+                writer = SequenceWriter(sink, memo.kind, length)
+            if writer is not None:
+                ids, n = memo.ended(batch.column("text"), end_id)
+                writer.add(ids.tobytes())
+                starts = total + np.cumsum(n) - n
+                docs += zip(batch.column("doc_id").to_pylist(), starts.tolist(), n.tolist(), strict=True)
+                total += int(n.sum())
         rows: list[tuple] = []
         if writer:
             writer.close()
@@ -154,8 +154,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: its place in the whole stream, its ids and their unsigned crc32."""
-    files = manifest.select("path", "base", "part")
-    return files.repartition("part").drop("part").mapInArrow(_read, ROWS)
+    files = min(manifest.count(), 20_000)  # a task each; a stated count keeps adaptive execution from merging them
+    return manifest.select("path", "base", "part").repartition(max(1, files), "part").drop("part").mapInArrow(_read, ROWS)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048) -> DataFrame:
