@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, packing, quality_rules, sentencepiece_fst, token_files, toxicity
 from .common import documents
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -22,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.work_dir(spark)
     docs = documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
-    return scored.select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(common.crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.work_dir(spark)
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs.where(common.crc_mod("doc_id", 5) != 0))
-    return language_id.predict(docs, model).select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return language_id.predict(docs, model).select("doc_id", F.coalesce(common.crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_line_dedup, op4_html_extract, op5_packing, op6_token_files, op7_sentencepiece, op8_embedding_dedup, op9_quality_rules, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
