@@ -152,14 +152,19 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     removed = common.stored(going(docs, min_chars), "removed-lines")
     if (removed.agg(F.sum(F.size("_lines"))).first()[0] or 0) <= common.MAX_BROADCAST_ROWS:
         removed = F.broadcast(removed)
-    joined = docs.join(removed, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)) == F.col("_doc"), "left")
-    kept = F.expr("array_join(filter(split(text, '\n'), (x, i) -> not array_contains(_lines, cast(i as bigint))), '\n')")
-    return joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept)).withColumn("n_removed", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")).drop("_doc", "_lines")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # no name of docs can clash
+    joined = rows.join(removed, F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(2**63 - 1)) == F.col("_doc"), "left")
+    kept = F.expr("array_join(filter(split(_row.text, '\n'), (x, i) -> not array_contains(_lines, cast(i as bigint))), '\n')")
+    text = F.when(F.col("_lines").isNull(), F.col("_row.text")).otherwise(kept)
+    columns = [text.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c != "n_removed"]
+    return joined.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated lines; n_chars, where there is one, follows the text."""
-    out = dedup(docs)
-    if "n_chars" in docs.columns:
+    names = docs.columns
+    work = docs.withColumnRenamed("n_removed", "_n_removed") if "n_removed" in names else docs
+    out = dedup(work)
+    if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(f"`{c}`" for c in docs.columns))
+    return out.select(*(F.col("_n_removed").alias(c) if c == "n_removed" else F.col(f"`{c}`") for c in names))
