@@ -36,7 +36,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    low = F.lower(line)
+    uneven = line.contains("  ")
+    for white in "\t\r\x0b\f":
+        uneven = uneven | line.contains(white)
+    return F.trim(F.when(uneven, F.regexp_replace(low, r"\s+", " ")).otherwise(low))  # the pattern is slow, and rarely needed
 
 
 def variants(form: str) -> np.ndarray:
