@@ -13,7 +13,7 @@ Whether that earlier line goes itself is of no account, so the result does not d
    A class that fails against the earliest is compared with the others of that variant, block by block.
 4. A line stays if it is its class's first and no earlier class is near.
 
-Rows that share a doc_id are taken as one document each; null doc_ids come last.  Empty and null texts have no
+Rows that share a doc_id share places, so equal rows keep equal lines; null doc_ids count as one that comes last.  Empty and null texts have no
 lines and stay as they are.  A document without a line that goes keeps its text byte for byte; of the others the kept lines are
 joined by newlines (possibly none: an empty text).
 """
