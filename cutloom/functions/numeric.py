@@ -25,7 +25,7 @@ def clamp(x, low, high) -> Column:
 
 def div(a, b) -> Column:
     """Whole-number division that truncates toward zero."""
-    return ((col(a) - col(a) % col(b)) / col(b)).cast("long")
+    return F.call_function("div", col(a), col(b))
 
 
 def source_length() -> Column:

@@ -15,21 +15,31 @@ def key_ease(ease, interp=None) -> Column:
     return F.when((N.col(ease) == "linear") & (N.col(interp) == "smooth"), "smooth").otherwise(N.col(ease))
 
 
-def asof(points: DataFrame, marks: DataFrame, keys: list[str], at: str, columns: list[str], forward: bool = False, prefix: str = "") -> DataFrame:
-    """Each point with the columns of the last mark at or before it (or the first after it), null where there is none.
+def asof(points: DataFrame, marks: DataFrame, keys: list[str], at: str, columns: list[str], forward: bool = False, prefix: str = "", width: float = 10_000) -> DataFrame:
+    """Each point with the columns of the last mark at or before it (or the first at or after it), null where there is none.
 
-    One sort of both tables together by ``at``, within the keys; no pairs are made.
+    Points and marks are sorted together by key and stretch of ``width``, so no pairs are made and a key with very many rows
+    is spread over its stretches.  What a stretch itself lacks comes from the nearest one before (or after) that has a mark:
+    one row a stretch.
     """
-    left = points.withColumn("_mark", F.lit(None).cast(marks.select(F.struct(*columns)).schema[0].dataType)).withColumn("_is", F.lit(1))
-    right = marks.select(*keys, at, F.struct(*columns).alias("_mark"), F.lit(0).alias("_is"))
-    rows = left.unionByName(right, allowMissingColumns=True)
+    stretch = N.floor_long(F.col(at) / width).alias("_s")
+    kind = marks.select(F.struct(*columns)).schema[0].dataType
+    left = points.select("*", stretch, F.lit(None).cast(kind).alias("_mark"), F.lit(1).alias("_is"))
+    right = marks.select(*keys, at, stretch, F.struct(*columns).alias("_mark"), F.lit(0).alias("_is"))
+    own = Window.partitionBy(*keys, "_s")
     if forward:
-        by = Window.partitionBy(*keys).orderBy(F.col(at), F.col("_is").desc()).rowsBetween(1, Window.unboundedFollowing)
-        found = F.first("_mark", ignorenulls=True).over(by)
+        found = F.first("_mark", ignorenulls=True).over(own.orderBy(F.col(at), F.col("_is").desc()).rowsBetween(1, Window.unboundedFollowing))
+        edge, beyond = F.min_by("_mark", at), Window.partitionBy(*keys).orderBy("_s").rowsBetween(1, Window.unboundedFollowing)
     else:
-        by = Window.partitionBy(*keys).orderBy(F.col(at), F.col("_is")).rowsBetween(Window.unboundedPreceding, 0)
-        found = F.last("_mark", ignorenulls=True).over(by)
-    out = rows.withColumn("_found", found).where("_is = 1")
+        found = F.last("_mark", ignorenulls=True).over(own.orderBy(F.col(at), F.col("_is")).rowsBetween(Window.unboundedPreceding, 0))
+        edge, beyond = F.max_by("_mark", at), Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    near = left.unionByName(right, allowMissingColumns=True).withColumn("_found", found).where("_is = 1")
+    stretches = points.select(*keys, stretch, F.lit(None).cast(kind).alias("_edge")).distinct().unionByName(right.groupBy(*keys, "_s").agg(edge.alias("_edge")))
+    stretches = stretches.groupBy(*keys, "_s").agg(F.first("_edge", ignorenulls=True).alias("_edge"))
+    pick = F.first if forward else F.last
+    carried = stretches.withColumn("_carry", pick("_edge", ignorenulls=True).over(beyond)).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_s").alias("_k_s"), "_carry")
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_s") == F.col("_k_s")]
+    out = near.join(carried, on, "left").withColumn("_found", F.coalesce("_found", "_carry"))
     return out.select(*points.columns, *(F.col(f"_found.{c}").alias(prefix + c) for c in columns))
 
 

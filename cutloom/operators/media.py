@@ -32,12 +32,24 @@ def gops(index: DataFrame) -> DataFrame:
     return rows.groupBy("source_id", "gop").agg(F.min("frame").alias("firstframe"), F.count("*").alias("nframes"))
 
 
-def keep_until(files: DataFrame, order: list, size: str, most: int, groups: list[str] | None = None) -> DataFrame:
+def running_total(rows: DataFrame, keys: list[str], order: list[str], value: str, width: int) -> DataFrame:
+    """``before`` and ``total``: the sum of what comes earlier in ``order`` and of all, per key.
+
+    Two passes: sums of stretches of ``width`` of the first order column, then sums within a stretch; a key with very many rows is
+    spread over its stretches.  The first order column is a whole number and not null.
+    """
+    rows = rows.withColumn("_s", N.floor_long(F.col(order[0]) / width))
+    sums = rows.groupBy(*keys, "_s").agg(F.sum(value).alias("_sum"))
+    by = Window.partitionBy(*keys)
+    sums = sums.withColumn("_earlier", F.coalesce(F.sum("_sum").over(by.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("_sum").over(by))
+    inner = Window.partitionBy(*keys, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums.drop("_sum"), [*keys, "_s"])
+    return out.withColumn("before", F.col("_inner") + F.col("_earlier")).drop("_s", "_inner", "_earlier")
+
+
+def keep_until(files: DataFrame, order: list[str], size: str, most: int, keys: list[str], width: int = 1000) -> DataFrame:
     """Files with ``gone``: the first ones in ``order``, deleted one by one until what is left fits ``most``."""
-    by = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*order)
-    before = F.coalesce(F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(size).over(Window.partitionBy(*(groups or [F.lit(0)])))
-    return files.withColumn("gone", total - before > most)
+    return running_total(files, keys, order, size, width).withColumn("gone", F.col("total") - F.col("before") > most).drop("before", "total")
 
 
 def lru_keep(touches: DataFrame, group: str, item: str, at: str, capacity: int) -> DataFrame:

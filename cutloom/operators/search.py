@@ -22,9 +22,9 @@ def znorm(sig: str) -> Column:
 
 
 def distances(signatures: DataFrame, refs: DataFrame) -> DataFrame:
-    """(ref, frame, score) of every frame to each reference; the references are a stated, small query set and are broadcast."""
-    queries = refs.select(F.col("frame").alias("ref"), F.col("sig").alias("ref_sig")).limit(1000)
-    return signatures.join(F.broadcast(queries)).select("ref", "frame", mean_square("sig", "ref_sig").alias("score"))
+    """(ref, frame, score) of every frame to each reference: a stated query set against all rows, block by block."""
+    queries = refs.select(F.col("frame").alias("ref"), F.col("sig").alias("ref_sig"))
+    return signatures.crossJoin(queries).select("ref", "frame", mean_square("sig", "ref_sig").alias("score"))
 
 
 def nearest(scored: DataFrame, k: int, exclude: int) -> DataFrame:
@@ -35,7 +35,13 @@ def nearest(scored: DataFrame, k: int, exclude: int) -> DataFrame:
 
 
 def suppressed(scored: DataFrame, k: int, exclude: int) -> DataFrame:
-    """Greedy picks: best first, each at least ``exclude`` frames from the reference and from every earlier pick."""
+    """Greedy picks: best first, each at least ``exclude`` frames from the reference and from every earlier pick.
+
+    A pick, like the reference, rules out 2 * exclude - 1 frames at most, so the k picks lie among the (k + 1) times as many best
+    frames; only those go to one place.
+    """
+    most = (k + 1) * (2 * exclude - 1) + k
+    scored = scored.withColumn("_r", F.row_number().over(Window.partitionBy("ref").orderBy("score", "frame"))).where(F.col("_r") <= most).drop("_r")
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         ref, taken, out = int(rows.ref.iloc[0]), [], []

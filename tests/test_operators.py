@@ -143,3 +143,21 @@ def test_nms_keeps_apart(spark):
 def test_interval_join_over_many_buckets(spark):
     spans = clips(spark, [(0, 0, 5000, 1, 0, 1)])
     assert T.clips_at(points(spark, 0, 255, 256, 4999, 5000), spans).count() == 4
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_across_stretches(spark, forward):
+    marks = spark.createDataFrame([(1, t, t * 10) for t in (5, 17, 90)] + [(None, 4, 40)], "k long, t long, v long")
+    points = spark.createDataFrame([(1, t) for t in (0, 5, 6, 16, 17, 45, 89, 90, 200)] + [(2, 5), (None, 5)], "k long, t long")
+    got = {(r.k, r.t): r.v for r in K.asof(points, marks, ["k"], "t", ["v"], forward, width=10).collect()}
+    after = {0: 50, 5: 50, 6: 170, 16: 170, 17: 170, 45: 900, 89: 900, 90: 900, 200: None}
+    before = {0: None, 5: 50, 6: 50, 16: 50, 17: 170, 45: 170, 89: 170, 90: 900, 200: 900}
+    assert {t: v for (k, t), v in got.items() if k == 1} == (after if forward else before)
+    assert got[2, 5] is None and got[None, 5] == (None if forward else 40)
+
+
+def test_running_totals(spark):
+    rows = spark.createDataFrame([(1, i, i % 7) for i in range(50)], "k long, i long, v long")
+    got = M.running_total(rows, ["k"], ["i"], "v", 8).orderBy("i").collect()
+    assert [r.before for r in got] == [sum(j % 7 for j in range(i)) for i in range(50)]
+    assert {r.total for r in got} == {sum(j % 7 for j in range(50))}
