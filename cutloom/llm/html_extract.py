@@ -75,7 +75,7 @@ def _left_out(tag: str, attributes: str, parent: Element) -> bool:
 def tree(html: str) -> Element:
     """The page's elements; texts are strings among an element's items."""
     root = at = Element("html", None, False)
-    where, end = 0, len(html)
+    where, end, last = 0, len(html), html.rfind(">")
     while where < end:
         start = html.find("<", where)
         if start < 0:
@@ -84,7 +84,7 @@ def tree(html: str) -> Element:
             at.items.append(html[where:start])
         if start == end:
             break
-        found = _TOKEN.match(html, start)
+        found = _TOKEN.match(html, start) if start < last or html.startswith("<!--", start) else None
         if not found:
             at.items.append("<")
             where = start + 1
