@@ -75,7 +75,7 @@ def _adam(params: list[np.ndarray], rate: float):
     return step
 
 
-def train(lists: list[np.ndarray], y: np.ndarray, steps: int = 4000, l2: float = 5e-5, seed: int = 11, balance: float = 0.5) -> Machine:
+def train(lists: list[np.ndarray], y: np.ndarray, steps: int = 4000, l2: float = 1e-4, seed: int = 11, balance: float = 0.5) -> Machine:
     """Fits a machine to documents' term lists and their classes, in numpy on this bounded sample.
 
     The rarer, toxic class weighs ``(clean / toxic) ** balance`` a row.
@@ -84,21 +84,21 @@ def train(lists: list[np.ndarray], y: np.ndarray, steps: int = 4000, l2: float =
     if not 0 < pos < n:
         p = min(max(pos / max(n, 1), 1e-12), 1 - 1e-12)
         return Machine(np.array([], int), float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, RANK)))
-    sizes = np.array([len(x) for x in lists])
-    flat, owner = np.concatenate(lists).astype(np.int64), np.repeat(np.arange(n), sizes)
-    terms, at = np.unique(flat, return_inverse=True)
-    df, dt = np.bincount(at, minlength=len(terms)), np.bincount(at, weights=y[owner], minlength=len(terms))
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in lists])
+    flat = np.concatenate(lists).astype(np.int32)
+    df, dt = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, weights=y.astype(np.float32)[owner], minlength=BUCKETS)
     expected = df * pos / n
     chi = (dt - expected) ** 2 / np.maximum(expected * (1 - pos / n) * (1 - df / n), 1e-9)
     able = np.flatnonzero((df >= max(3, n // 4000)) & (chi > 12))
-    chosen = np.sort(able[np.argsort(-chi[able], kind="stable")][:MAX_TERMS])
-    place = np.full(len(terms), -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen)), np.float32)
-    inside = place[at] >= 0
-    x[owner[inside], place[at[inside]]] = 1
+    terms = np.sort(able[np.argsort(-chi[able], kind="stable")][:MAX_TERMS])
+    place = np.full(BUCKETS, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    x = np.zeros((n, len(terms)), np.uint8)
+    inside = place[flat] >= 0
+    x[owner[inside], place[flat[inside]]] = 1
+    del flat, owner, inside
     rng = np.random.default_rng(seed)
-    bias, w, v = np.array([np.log(pos / (n - pos))]), np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), RANK))
+    bias, w, v = np.array([np.log(pos / (n - pos))]), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), RANK))
     step, t = _adam([bias, w, v], 0.02), 0
     parts, weight = max(1, n // 256), max(1.0, (n - pos) / pos) ** balance
     for _ in range(max(10, steps // parts)):
@@ -110,7 +110,7 @@ def train(lists: list[np.ndarray], y: np.ndarray, steps: int = 4000, l2: float =
             t += 1
             ag = a.T @ g
             step([np.array([g.sum()]), ag + l2 * w, a.T @ (g[:, None] * s) - ag[:, None] * v + l2 * v], t)
-    return Machine(terms[chosen], float(bias[0]), w, v)
+    return Machine(terms, float(bias[0]), w, v)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> Machine:
