@@ -292,9 +292,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        # checkpointed minima: both sides of the join then come straight from a shuffle, and a hub's edges can be split
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).checkpoint()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

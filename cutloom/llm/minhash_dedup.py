@@ -178,7 +178,8 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_ = common.stored(rows.mapInArrow(_sketched, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig array<long>"), "sketches")
     some = all_.where("f1 is not null")
-    reps = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    # stored first: then both sides of the join come straight from a shuffle, and a very large class can be split
+    reps = common.stored(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "smallest")
     own = F.col("doc_id") == F.col("rep")
     with_rep = some.join(reps, ["f1", "f2"]).select("doc_id", "n_shingles", "rep", F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("sig")).alias("sig"))
     none = all_.where("f1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.lit(None).cast("array<long>").alias("bands"), F.lit(None).cast("array<long>").alias("sig"))
@@ -192,7 +193,7 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     reps = common.stored(reps, "representatives")
     rows = reps.select("doc", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("n > 1")
-    members = common.stored(rows.join(buckets, "key"), "members")
+    members = common.stored(rows.join(common.small(common.stored(buckets, "buckets")), "key"), "members")
     star = members.where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b"))
     third = members.where("n = 3 and doc <> low and doc <> high").select(F.col("doc").alias("a"), F.col("high").alias("b"))
     sigs = reps.select("doc", "sig")
@@ -237,4 +238,5 @@ def dedup(docs: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller doc_id."""
     gone = common.small(common.stored(dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # no name of docs can clash
+    return rows.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti").select("_row.*")
