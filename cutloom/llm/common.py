@@ -81,7 +81,13 @@ _POINT = np.zeros(256, bool)
 _POINT[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _TABLE = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _GOLD = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
-_BLOCK_BYTES, _LONG = 1 << 20, 1 << 22
+_BLOCK_BYTES, _LONG = 1 << 19, 1 << 22
+
+
+def _merged(many: tuple[np.ndarray, ...], few: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Columns of ``few`` put among those of ``many``; the first of either is sorted and stays so."""
+    where = np.searchsorted(many[0], few[0])
+    return tuple(np.insert(a, where, b) for a, b in zip(many, few, strict=True))
 
 
 class TokenMemo:
@@ -94,7 +100,7 @@ class TokenMemo:
     encoded as they are.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the library only spin
         from tokenizers import Tokenizer
 
@@ -108,7 +114,8 @@ class TokenMemo:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.layers = [none, none]  # sorted hashes, places in the pool, sizes: many, and those of late
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
     def _ids(self, text: str) -> np.ndarray:
@@ -122,8 +129,6 @@ class TokenMemo:
         return self.used - len(ids)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > self.limit:
-            self._forget()
         at, n = [], []
         for low in range(0, len(words), 4096):
             group = words[low : low + 4096]
@@ -139,11 +144,19 @@ class TokenMemo:
                 starts = np.concatenate(([0], ends[:-1] + 1))
                 at.append(self._store(ids) + starts)
                 n.append(ends - starts)
-        self.keys = np.concatenate((self.keys, keys))
-        order = np.argsort(self.keys)
-        self.keys = self.keys[order]
-        self.at = np.concatenate((self.at, *at))[order]
-        self.n = np.concatenate((self.n, *n)).astype(np.int32)[order]
+        self.layers[1] = _merged(self.layers[1], (keys, np.concatenate(at), np.concatenate(n)))
+        if len(self.layers[1][0]) > 50_000 + len(self.layers[0][0]) // 8:
+            self.layers = [_merged(*self.layers), tuple(x[:0] for x in self.layers[1])]
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the pool (-1: not known) and sizes."""
+        at, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for known, place, size in self.layers:
+            if len(known):
+                where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[where] == keys
+                at[hit], n[hit] = place[where[hit]], size[where[hit]]
+        return at, n
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(self.powers) < len(data) + 1:
@@ -165,19 +178,16 @@ class TokenMemo:
         starts = np.flatnonzero(mark[:-1])
         ends = np.append(starts[1:], len(data))
         keys, first, which = np.unique(self._hashes(data, starts, ends), return_index=True, return_inverse=True)
-        for _ in range(2):
-            where = np.searchsorted(self.keys, keys)
-            hit = where < len(self.keys)
-            hit[hit] = self.keys[where[hit]] == keys[hit]
-            if hit.all():
-                break
-            new = np.flatnonzero(~hit)
-            raw = data.tobytes()
-            if len(self.keys) + len(new) > self.limit:
+        at, n = self._find(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if sum(len(x[0]) for x in self.layers) + len(new) > self.limit:
                 self._forget()
                 new = np.arange(len(keys))
+            raw = data.tobytes()
             self._learn(keys[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        at, n = self.at[where][which], self.n[where][which].astype(np.int64)
+            at, n = self._find(keys)
+        at, n = at[which], n[which]
         total = np.concatenate(([0], np.cumsum(n)))
         ids = self.pool[np.repeat(at - total[:-1], n) + np.arange(total[-1])]
         return ids, np.diff(total[np.searchsorted(starts, offsets)])
