@@ -22,7 +22,11 @@ def work_dir(spark: SparkSession) -> str:
     """A folder of this session in the shared place that ``spark.checkpoint.dir`` names; it goes when Python ends."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cutloom-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='cutloom-')}"
         _ROOTS[app] = f"{base.rstrip('/')}/cutloom-{uuid.uuid4().hex[:12]}"
         atexit.register(_remove, spark, _ROOTS[app])
         if spark.sparkContext.getCheckpointDir() is None:
