@@ -121,3 +121,17 @@ def bundle_adjust(tracks: DataFrame, group: str, rounds: int = 10, huber: float
         return pd.DataFrame({group: rows[group].iloc[0], "frame": frames, "a": t[:, 0], "b": t[:, 1], "tx": t[:, 2], "ty": t[:, 3]})
 
     return tracks.groupBy(group).applyInPandas(run, f"{group} long, frame long, a double, b double, tx double, ty double")
+
+
+def clamp_similarity(a: Column, b: Column, tx: Column, ty: Column, degrees: float = 0.5, zoom: float = 0.005, shift: float = 25.0) -> list[Column]:
+    """A similarity step (a, b, tx, ty) held to what a hand can do between two frames: angle, zoom and length of the shift."""
+    scale = N.clamp(F.hypot(a, b), 1 - zoom, 1 + zoom)
+    angle = F.radians(N.clamp(F.degrees(F.atan2(b, a)), -degrees, degrees))
+    length = F.hypot(tx, ty)
+    keep = F.when(length > shift, shift / length).otherwise(1.0)
+    return [(scale * F.cos(angle)).alias("a"), (scale * F.sin(angle)).alias("b"), (tx * keep).alias("tx"), (ty * keep).alias("ty")]
+
+
+def to_source(m: list[Column], s: float) -> list[Column]:
+    """A 3 x 3 transform (column-major) fitted at a reduced size, at the source's: shifts times s, perspective over s."""
+    return [m[0], m[1], m[2] / s, m[3], m[4], m[5] / s, m[6] * s, m[7] * s, m[8]]

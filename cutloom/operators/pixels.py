@@ -81,3 +81,45 @@ def minmax_byte(series: DataFrame, keys: list[str], value: str) -> DataFrame:
     rows = series.join(ends, keys)
     span = F.col("_hi") - F.col("_lo")
     return rows.withColumn("byte", F.when(span > 0, N.half_even(N.clamp(255 * (F.col(value) - F.col("_lo")) / span, 0.0, 255.0))).otherwise(F.lit(128)).cast("long")).drop("_lo", "_hi")
+
+
+def depth_blur(pixels: DataFrame, value: str, depth: str, focus: float, radius: int, width: int, height: int) -> DataFrame:
+    """The mean of the square around each pixel whose reach is its depth's distance from the focus, in steps of at most ``radius``; edges repeat."""
+    reach = N.clamp(N.half_even(F.abs(F.col(depth) - focus) * radius), 0, radius).cast("int")
+    side = F.sequence(-F.col("_r"), F.col("_r"))
+    want = pixels.select("frame", "x", "y", reach.alias("_r")).withColumn("_i", F.explode(side)).withColumn("_j", F.explode(side))
+    want = want.select("frame", "x", "y", N.clamp(F.col("x") + F.col("_i"), 0, width - 1).alias("_sx"), N.clamp(F.col("y") + F.col("_j"), 0, height - 1).alias("_sy"))
+    source = pixels.select("frame", F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col(value).alias("_v"))
+    return want.join(source, ["frame", "_sx", "_sy"]).groupBy("frame", "x", "y").agg(F.avg("_v").alias(value))
+
+
+def restore_blend(pixels: DataFrame, restored: DataFrame, value: str, strength: float, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
+    """Each pixel moved by ``strength`` towards the restored picture's pixel nearest to its centre; without one it stays."""
+    at = lambda c, n, m: N.clamp(N.half_even((F.col(c) + 0.5) / n * m + 0.5), 1, m) - 1
+    rows = pixels.withColumn("_u", at("x", width, to_width)).withColumn("_w", at("y", height, to_height))
+    hi = restored.select("frame", F.col("x").alias("_u"), F.col("y").alias("_w"), F.col(value).alias("_hi"))
+    out = rows.join(hi, ["frame", "_u", "_w"], "left")
+    return out.withColumn(value, F.coalesce(F.col(value) + strength * (F.col("_hi") - F.col(value)), F.col(value))).select(*pixels.columns)
+
+
+def lut_grade(pixels: DataFrame, lut: DataFrame, size: int, strength: float) -> DataFrame:
+    """r, g, b through the nearest entry of a cube of ``size`` (i, j, k, lr, lg, lb), mixed with the picture by ``strength``."""
+    near = lambda c: N.clamp(N.half_even(F.col(c) * (size - 1)), 0, size - 1)
+    rows = pixels.withColumn("i", near("r")).withColumn("j", near("g")).withColumn("k", near("b"))
+    graded = rows.join(lut, ["i", "j", "k"])
+    blend = lambda c: ((1 - strength) * F.col(c) + strength * F.col(f"l{c}")).alias(c)
+    return graded.select("frame", "x", "y", *map(blend, "rgb"))
+
+
+def bilinear_resize(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int, value: str) -> DataFrame:
+    """Samples at pixel centres between the four neighbours; beyond the edge the edge repeats."""
+    grid = pixels.select("frame").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1))))
+    at = lambda c, n, m: N.clamp((F.col(c) + 0.5) * n / m - 0.5, 0.0, float(n - 1))
+    grid = grid.withColumn("_x", at("x", width, to_width)).withColumn("_y", at("y", height, to_height))
+    corner = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))
+    grid = grid.withColumn("_c", F.explode(corner))
+    fx, fy = F.col("_x") - F.floor("_x"), F.col("_y") - F.floor("_y")
+    weight = F.when(F.col("_c.i") == 1, fx).otherwise(1 - fx) * F.when(F.col("_c.j") == 1, fy).otherwise(1 - fy)
+    grid = grid.select("frame", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), weight.alias("_w"), F.least(N.floor_long(F.col("_x")) + F.col("_c.i"), F.lit(width - 1)).alias("_sx"), F.least(N.floor_long(F.col("_y")) + F.col("_c.j"), F.lit(height - 1)).alias("_sy"))
+    source = pixels.select("frame", F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col(value).alias("_v"))
+    return grid.join(source, ["frame", "_sx", "_sy"]).groupBy("frame", "x", "y").agg(F.sum(F.col("_w") * F.col("_v")).alias(value))

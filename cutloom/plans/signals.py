@@ -410,3 +410,40 @@ def canvas_size(spark, d):
 @query("SELECT p_partkey, CAST(least(greatest(floor(p_retailprice / 500), 0), 4) AS BIGINT) AS lane FROM part")
 def lane_bucket(spark, d):
     return S.table(spark, d, "part").select("p_partkey", N.clamp(N.floor_long(F.col("p_retailprice") / 500), 0, 4).cast("long").alias("lane"))
+
+
+@query(f"WITH {PX}, r AS (SELECT *, CAST(least(greatest(round_even(abs(1 - v - 0.5) * 2, 0), 0), 2) AS INT) AS r FROM px), o AS (SELECT p.frame, p.x, p.y, q.v FROM r p JOIN range(-2, 3) a(i) ON abs(i) <= p.r JOIN range(-2, 3) b(j) ON abs(j) <= p.r JOIN px q ON q.frame = p.frame AND q.x = least(greatest(p.x + i, 0), 7) AND q.y = least(greatest(p.y + j, 0), 7)) SELECT frame, x, y, CAST(round(avg(v), 6) AS DOUBLE) AS v FROM o GROUP BY ALL")
+def px_depth_blur(spark, d):
+    rows = _pixels(spark, d).withColumn("z", 1 - F.col("v"))
+    return P.depth_blur(rows, "v", "z", 0.5, 2, 8, 8).withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {PX}, hi AS (SELECT frame, x, y, 1 - v AS h FROM px WHERE x < 4 AND y < 4 AND frame % 3 <> 0) SELECT p.frame, p.x, p.y, CAST(round(coalesce(v + 0.25 * (h - v), v), 9) AS DOUBLE) AS v FROM px p LEFT JOIN hi ON hi.frame = p.frame AND hi.x = least(greatest(CAST(round_even((p.x + 0.5) / 8 * 4 + 0.5, 0) AS BIGINT), 1), 4) - 1 AND hi.y = least(greatest(CAST(round_even((p.y + 0.5) / 8 * 4 + 0.5, 0) AS BIGINT), 1), 4) - 1")
+def px_restore(spark, d):
+    rows = _pixels(spark, d)
+    small = rows.where("x < 4 and y < 4 and frame % 3 <> 0").withColumn("v", 1 - F.col("v"))
+    return P.restore_blend(rows, small, "v", 0.25, 8, 8, 4, 4).select("frame", "x", "y", F.round("v", 9).alias("v"))
+
+
+@query(f"WITH {PX} SELECT frame, x, y, CAST(round(0.4 * v + 0.6 * (1 - least(greatest(round_even(v * 4, 0), 0), 4) / 4), 9) AS DOUBLE) AS r, CAST(round(0.4 * (1 - v) + 0.6 * (least(greatest(round_even(v * 4, 0), 0), 4) / 4), 9) AS DOUBLE) AS g FROM px")
+def px_look(spark, d):
+    """A look of 5 x 5 x 5 that swaps red and green, at 60 %."""
+    grid = spark.range(125).select((F.col("id") % 5).alias("i"), (N.div("id", 5) % 5).alias("j"), N.div("id", 25).alias("k"))
+    lut = grid.select("i", "j", "k", (F.col("j") / 4).alias("lr"), (F.col("i") / 4).alias("lg"), (F.col("k") / 4).alias("lb"))
+    rows = _pixels(spark, d).select("frame", "x", "y", F.col("v").alias("r"), (1 - F.col("v")).alias("g"), F.col("v").alias("b"))
+    return P.lut_grade(rows, lut, 5, 0.6).select("frame", "x", "y", F.round("r", 9).alias("r"), F.round("g", 9).alias("g"))
+
+
+@query(f"WITH {PX}, g AS (SELECT DISTINCT frame, i AS x, j AS y FROM px, range(5) a(i), range(5) b(j)), c AS (SELECT *, least(greatest((x + 0.5::DOUBLE) * 8 / 5 - 0.5, 0), 7) AS sx, least(greatest((y + 0.5::DOUBLE) * 8 / 5 - 0.5, 0), 7) AS sy FROM g) SELECT c.frame, c.x, c.y, CAST(round(sum(p.v * CASE WHEN p.x = floor(sx) THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END * CASE WHEN p.y = floor(sy) THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END), 6) AS DOUBLE) AS v FROM c JOIN px p ON p.frame = c.frame AND p.x BETWEEN floor(sx) AND floor(sx) + 1 AND p.y BETWEEN floor(sy) AND floor(sy) + 1 GROUP BY ALL")
+def px_bilinear(spark, d):
+    return P.bilinear_resize(_pixels(spark, d), 8, 8, 5, 5, "v").withColumn("v", F.round("v", 6))
+
+
+SIM = "e AS (SELECT vec_id, 1 + embedding[1]::DOUBLE / 20 AS a, embedding[2]::DOUBLE / 20 AS b, embedding[3]::DOUBLE * 200 AS tx, embedding[4]::DOUBLE * 200 AS ty FROM embeddings), s AS (SELECT *, least(greatest(sqrt(a*a + b*b), 0.995), 1.005) AS sc, radians(least(greatest(degrees(atan2(b, a)), -0.5), 0.5)) AS th, sqrt(tx*tx + ty*ty) AS tn FROM e)"
+
+
+@query(f"WITH {SIM} SELECT vec_id AS frame, CAST(round(sc * cos(th), 6) AS DOUBLE) AS a, CAST(round(sc * sin(th), 6) AS DOUBLE) AS b, CAST(round(tx * CASE WHEN tn > 25 THEN 25 / tn ELSE 1 END, 5) AS DOUBLE) AS tx, CAST(round(ty * CASE WHEN tn > 25 THEN 25 / tn ELSE 1 END, 5) AS DOUBLE) AS ty FROM s")
+def motion_clamp(spark, d):
+    e = lambda i: F.element_at("sig", i)
+    a, b, tx, ty = A.clamp_similarity(1 + e(1) / 20, e(2) / 20, e(3) * 200, e(4) * 200)
+    return S.signatures(spark, d).select("frame", a, b, tx, ty).select("frame", *(F.round(c, n).alias(c) for c, n in (("a", 6), ("b", 6), ("tx", 5), ("ty", 5))))
