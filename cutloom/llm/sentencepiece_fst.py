@@ -93,7 +93,7 @@ class Transducer:
         self.marks = "".join(c for c in FOLLOWERS if c not in after)  # no piece has one of these after a letter
         self.cut_lines = not any("\n" in p for p in self.pieces)
         self.pairs: dict[tuple[int, int], float] = {}
-        self.memo = common.WordMemo(self._unit, 300_000)
+        self.memo = common.WordMemo(self._unit, 600_000)
 
     # --- normaliser
     def normalised(self, text: str) -> str:
