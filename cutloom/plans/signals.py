@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import analysis as A
 from ..operators import audio as Au
-from ..operators import curves as K
 from ..operators import documents as D
 from ..operators import edits as E
 from ..operators import pixels as P
-from ..operators import timeline as T
 from ..sources import tables as S
 from .registry import CAPTIONS, edl, query
 
