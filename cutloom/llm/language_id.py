@@ -11,7 +11,6 @@ Repeated rows get equal results.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
 
 BITS = 15
 PER_LANGUAGE = 2_000
