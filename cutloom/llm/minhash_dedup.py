@@ -215,7 +215,7 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     sizes = placed.groupBy("key", "comp").count()
     open_ = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.max("count").alias("n_major"), F.sum("count").alias("n"), F.count("*").alias("comps")).where("comps > 1")
     open_ = open_.select("key", "major", F.expr(f"int(ceil(n_major / {BLOCK}))").alias("wide"), F.expr(f"int(ceil((n - n_major) / {BLOCK}))").alias("tall"))
-    at = placed.join(open_, "key").withColumn("block", F.expr("int(pmod(xxhash64(doc), if(comp = major, wide, tall)))"))
+    at = placed.join(common.small(common.stored(open_, "open-buckets")), "key").withColumn("block", F.expr("int(pmod(xxhash64(doc), if(comp = major, wide, tall)))"))
     to = F.expr(
         "if(comp = major, transform(sequence(0, tall - 1), t -> struct(t as i, tall + block as j)),"
         " concat(transform(sequence(0, tall - 1), t -> struct(least(t, block) as i, greatest(t, block) as j)), transform(sequence(0, wide - 1), w -> struct(block as i, tall + w as j))))"
