@@ -49,24 +49,27 @@ def lines(size: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng(size * 1_000_003 + 17).standard_normal((size, tables * (bits + 1)))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, vectors = [], []
-        for x in batch.column("embedding").to_pylist():
-            v = np.array(x, dtype=np.float64) if x is not None and None not in x else np.zeros(0)
-            good = v.size and np.isfinite(v).all() and v.any()
-            keys.append(hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() if good else None)
-            vectors.append(v.tobytes() if good else None)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], ["vec_id", "key", "vec"])
-
-
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _read(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, vectors = [], []
+            for x in batch.column("embedding").to_pylist():
+                v = np.array(x, dtype=np.float64) + 0.0 if x is not None and None not in x else np.zeros(0)
+                good = v.size and np.isfinite(v).all() and v.any()
+                keys.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest() if good else None)
+                vectors.append(v.astype(kind).tobytes() if good else None)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], ["vec_id", "key", "vec"])
+
+    return run
+
+
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _project(bits: int, tables: int, cells_only: bool):
+def _project(bits: int, tables: int, kind: str, cells_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -74,8 +77,8 @@ def _project(bits: int, tables: int, cells_only: bool):
             reps, mult = batch.column("rep").to_numpy(), batch.column("mult").to_numpy()
             for size in {len(v) for v in vectors}:
                 at = [i for i, v in enumerate(vectors) if len(v) == size]
-                r = known.setdefault(size, lines(size // 8, bits, tables))
-                y = (_unit([vectors[i] for i in at]) @ r).reshape(len(at), tables, bits + 1)
+                r = known.setdefault(size, lines(size // np.dtype(kind).itemsize, bits, tables))
+                y = (_unit([vectors[i] for i in at], kind) @ r).reshape(len(at), tables, bits + 1)
                 code = ((y[:, :, :bits] > 0) @ (2 ** np.arange(bits, dtype=np.int64))).astype(np.int32) if bits else np.zeros(y.shape[:2], np.int32)
                 place = y[:, :, bits].astype(np.float32)
                 n = len(at) * tables
@@ -88,14 +91,14 @@ def _project(bits: int, tables: int, cells_only: bool):
     return run
 
 
-def _cell(tables: int, least: int):
+def _cell(tables: int, least: int, kind: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         tab, crossing = int(rows.tab.iloc[0]), rows.i.iloc[0] != rows.j.iloc[0]
         codes = np.frombuffer(b"".join(rows.codes), np.uint16).reshape(-1, tables)
         places = np.frombuffer(b"".join(rows.places), np.float32).reshape(-1, tables)
         order = np.lexsort((rows.rep, places[:, tab]))
         codes, places, rep, mult, side = codes[order], places[order], rows.rep.to_numpy()[order], rows["mult"].to_numpy()[order], rows.side.to_numpy()[order]
-        unit = _unit(list(rows.vec))[order]
+        unit = _unit(list(rows.vec), kind)[order]
         n, at = len(rep), places[:, tab]
         ends = np.searchsorted(at, at + np.float32(WINDOW * 1.0001), "right")
         width = ends - np.arange(n) - 1
@@ -135,8 +138,9 @@ def _cell(tables: int, least: int):
 
 def dedup(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each of ``vectors`` (vec_id, embedding)."""
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"  # as narrow as they came
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    read = common.stored(rows.mapInArrow(_read, "vec_id long, key binary, vec binary"), "vectors")
+    read = common.stored(rows.mapInArrow(_read(kind), "vec_id long, key binary, vec binary"), "vectors")
     good = read.where("key is not null and vec_id is not null")
     classes = common.stored(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "vector-classes")
     member = good.select("vec_id", "key").join(classes, "key").select("vec_id", "rep", "mult")
@@ -144,12 +148,12 @@ def dedup(vectors: DataFrame) -> DataFrame:
     reps = common.stored(reps, "vector-representatives")
     bits, tables, least = plan(reps.count())
 
-    cells = reps.mapInArrow(_project(bits, tables, True), "tab int, size int, code int").groupBy("tab", "size", "code").count()
+    cells = reps.mapInArrow(_project(bits, tables, kind, True), "tab int, size int, code int").groupBy("tab", "size", "code").count()
     wide = common.stored(cells.where(f"count > {BLOCK}").select("tab", "size", "code", F.expr(f"int(ceil(count / {BLOCK}))").alias("blocks")), "wide-cells")
-    sent = reps.mapInArrow(_project(bits, tables, False), "tab int, size int, code int, rep long, mult long, codes binary, places binary, vec binary")
+    sent = reps.mapInArrow(_project(bits, tables, kind, False), "tab int, size int, code int, rep long, mult long, codes binary, places binary, vec binary")
     dealt = sent.join(common.small(wide), ["tab", "size", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("side", F.expr("int(pmod(xxhash64(rep), blocks))")).withColumn("to", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, side) as i, greatest(x, side) as j))")))
-    found = dealt.select("tab", "size", "code", "to.i", "to.j", "side", "rep", "mult", "codes", "places", "vec").groupBy("tab", "size", "code", "i", "j").applyInPandas(_cell(tables, least), "a long, b long, n long")
+    found = dealt.select("tab", "size", "code", "to.i", "to.j", "side", "rep", "mult", "codes", "places", "vec").groupBy("tab", "size", "code", "i", "j").applyInPandas(_cell(tables, least, kind), "a long, b long, n long")
     found = common.stored(found, "vector-links")
 
     counts = found.where("n >= 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
