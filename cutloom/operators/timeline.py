@@ -46,11 +46,32 @@ def topmost(hits: DataFrame, keys: list[str], *columns: str) -> DataFrame:
     return hits.groupBy(*keys).agg(best).select(*keys, "_best.*")
 
 
+def segments(clips: DataFrame, width: int = BUCKET) -> DataFrame:
+    """(seq_id, a, b, and the topmost clip's ord, source_id, src_in, rate, start): sequences cut wherever a clip starts or ends.
+
+    Inside a segment nothing changes, so the stack is resolved once a segment and not once a frame; gaps have nulls.  Cuts at
+    every ``width`` frames let the work on a very long sequence be shared.
+    """
+    ends = clips.groupBy("seq_id").agg(F.max("stop").alias("total")).where("total > 0")
+    marks = ends.select("seq_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(width).cast("long"))).alias("a"))
+    cuts = clips.where("stop > start").select("seq_id", F.explode(F.array("start", "stop")).alias("a"))
+    rows = marks.unionByName(cuts).distinct().withColumn("_s", N.floor_long(F.col("a") / width))
+    after = F.coalesce(F.lead("a").over(Window.partitionBy("seq_id", "_s").orderBy("a")), (F.col("_s") + 1) * width)
+    spans = rows.withColumn("b", after).join(ends, "seq_id").where("a < total").select("seq_id", "a", F.least("b", "total").alias("b"))
+    top = topmost(interval_join(spans, clips, ["seq_id"], "a", "start", "stop"), ["seq_id", "a"], "ord", "source_id", "src_in", "rate", "start")
+    return spans.join(top, ["seq_id", "a"], "left")
+
+
 def locate(points: DataFrame, clips: DataFrame) -> DataFrame:
     """Each point's topmost clip and the source frame it shows; nulls in a gap."""
-    hits = clips_at(points, clips).withColumn("source_frame", N.source_frame("n"))
-    top = topmost(hits, ["seq_id", "n"], "ord", "source_id", "source_frame")
-    return points.join(top, ["seq_id", "n"], "left")
+    hits = interval_join(points, segments(clips), ["seq_id"], "n", "a", "b", "left")
+    return hits.select(*points.columns, "ord", "source_id", N.source_frame("n").alias("source_frame"))
+
+
+def locate_frames(clips: DataFrame) -> DataFrame:
+    """The same for every frame of every sequence; frames are made from segments at the end and never shuffled."""
+    rows = segments(clips).withColumn("n", F.explode(F.sequence(F.col("a"), F.col("b") - 1)))
+    return rows.select("seq_id", "n", "ord", "source_id", N.source_frame("n").alias("source_frame"))
 
 
 def neighbours(clips: DataFrame) -> DataFrame:

@@ -52,8 +52,7 @@ def clips_at(spark, d):
 
 @query(f"WITH {edl('tracks')}, {FRAMES}, {TOP} SELECT seq_id, n, ord FROM top")
 def clip_at(spark, d):
-    clips = S.clips(spark, d, "tracks")
-    return T.topmost(T.clips_at(T.frames(clips), clips), ["seq_id", "n"], "ord")
+    return T.locate_frames(S.clips(spark, d, "tracks")).where("ord is not null").select("seq_id", "n", "ord")
 
 
 @query(f"WITH {edl('tracks')}, {FRAMES} SELECT f.seq_id, f.n, c.track, min(c.ord) AS ord FROM frames f JOIN clips c ON f.seq_id = c.seq_id AND c.start <= f.n AND f.n < c.stop GROUP BY ALL")
@@ -64,8 +63,7 @@ def clip_at_track(spark, d):
 
 @query(f"WITH {edl()}, {FRAMES}, {TOP} SELECT f.seq_id, f.n, t.ord, t.source_id, t.source_frame FROM frames f LEFT JOIN top t ON f.seq_id = t.seq_id AND f.n = t.n")
 def locate(spark, d):
-    clips = S.clips(spark, d)
-    return T.locate(T.frames(clips), clips)
+    return T.locate_frames(S.clips(spark, d))
 
 
 @query(f"WITH {edl('tracks')}, {NEIGHBOURS} SELECT * FROM near")
