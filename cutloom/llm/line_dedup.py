@@ -1,8 +1,9 @@
 """Near-duplicate lines by deletion neighbourhoods.
 
 A line is what stands between newlines; it is compared as its normal form: lower case, white space runs as one space, trimmed.
-Lines whose normal form has fewer than ``min_chars`` characters are left alone.  A line goes if an earlier line (smaller
-doc_id, then smaller line number) of any document has a normal form within one edit (insert, delete or replace one character).
+A line goes if an earlier line (smaller doc_id, then smaller line number) of any document has an equal normal form, or one
+within one edit (insert, delete or replace one character).  Normal forms with fewer than ``min_chars`` characters have no near
+ones; those with fewer than ``exact_chars`` (without it ``min_chars``) are left alone.
 Whether that earlier line goes itself is of no account, so the result does not depend on an order of work.
 
 1. Equal normal forms are one class with the place of its first line.
@@ -139,9 +140,10 @@ def near_classes(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFra
     return good.unionByName(rest).distinct()
 
 
-def going(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def going(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(_doc, _lines): the numbers of the lines that go, of documents that have any."""
-    found = common.stored(lines(docs, min_chars).select("doc", "line", "cls", half_keys().alias("halves")), "lines")
+    halves = F.when(F.length("form") >= min_chars, half_keys()).alias("halves")
+    found = common.stored(lines(docs, min_chars if exact_chars is None else exact_chars).select("doc", "line", "cls", halves), "lines")
     first = found.groupBy("cls").agg(F.min(F.struct("doc", "line", "halves")).alias("first"), F.count("*").alias("n"))
     classes = common.stored(first.select("cls", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), F.col("first.halves").alias("halves"), "n"), "line-classes")
     later = near_classes(docs, classes.drop("n"), min_chars).select(F.col("b").alias("cls")).distinct().withColumn("near", F.lit(True))
@@ -151,9 +153,9 @@ def going(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return gone.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_set("line")).alias("_lines"))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with text as it is without the lines that go, and n_removed, the number of those."""
-    removed = common.stored(going(docs, min_chars), "removed-lines")
+    removed = common.stored(going(docs, min_chars, exact_chars), "removed-lines")
     if (removed.agg(F.sum(F.size("_lines"))).first()[0] or 0) <= common.MAX_BROADCAST_ROWS:
         removed = F.broadcast(removed)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # no name of docs can clash

@@ -35,6 +35,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_removed", "text")
 
 
+def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op3_line_dedup, and equal lines of any length but none at all."""
+    return line_dedup.dedup(documents(spark, sf_dir), exact_chars=1).select("doc_id", "n_removed", "text")
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.work_dir(spark)
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -70,4 +75,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", F.coalesce(common.crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_line_dedup, op4_html_extract, op5_packing, op6_token_files, op7_sentencepiece, op8_embedding_dedup, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_line_dedup, op3_line_dedup_whole, op4_html_extract, op5_packing, op6_token_files, op7_sentencepiece, op8_embedding_dedup, op9_quality_rules, op10_language_id)}
