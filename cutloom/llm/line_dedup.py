@@ -3,7 +3,8 @@
 A line is what stands between newlines; it is compared as its normal form: lower case, white space runs as one space, trimmed.
 A line goes if an earlier line (smaller doc_id, then smaller line number) of any document has an equal normal form, or one
 within one edit (insert, delete or replace one character).  Normal forms with fewer than ``min_chars`` characters have no near
-ones; those with fewer than ``exact_chars`` (without it ``min_chars``) are left alone.
+ones; those with fewer than ``exact_chars`` (without it ``min_chars``) are left alone.  With ``words``, an earlier line within as many edits
+of whole words is near too; a line has one such edit for every WORDS_AN_EDIT words of its own at most, and a pair those of its shorter line.
 Whether that earlier line goes itself is of no account, so the result does not depend on an order of work.
 
 1. Equal normal forms are one class with the place of its first line.
@@ -12,6 +13,7 @@ Whether that earlier line goes itself is of no account, so the result does not d
 3. The others emit their deletion neighbourhood: the form and every form with one character left out, as 64-bit hashes.  Two forms within one
    edit have an equal variant.  Each variant goes to its earliest class, and pairs with it are verified by edit distance.
    A class that fails against the earliest is compared with the others of that variant, block by block.
+   The same is done with words for letters; beyond one edit there are no halves, and all classes emit their neighbourhood.
 4. A line stays if it is its class's first and no earlier class is near.
 
 Rows that share a doc_id share places, so equal rows keep equal lines; null doc_ids count as one that comes last.  Empty and null texts have no
@@ -21,7 +23,9 @@ joined by newlines (possibly none: an empty text).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_CHARS = 20
+WORDS_AN_EDIT = 4
 BLOCK = 200
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,7 +52,10 @@ def normal(line: Column) -> Column:
 def variants(form: str) -> np.ndarray:
     """Hashes of a form and of all that one deletion makes of it, the distinct ones, from running polynomial sums."""
     points = np.frombuffer(form.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(0x100000001B3)
-    points = points * (points ^ (points >> np.uint64(7)) | np.uint64(1))
+    return _sums(points * (points ^ (points >> np.uint64(7)) | np.uint64(1)))
+
+
+def _sums(points: np.ndarray) -> np.ndarray:
     n = len(points)
     power = np.full(n + 1, _BASE, np.uint64)
     power[0] = 1
@@ -61,6 +69,38 @@ def variants(form: str) -> np.ndarray:
     return np.unique(total ^ (total >> np.uint64(29))).view(np.int64)
 
 
+_WORDS = common.WordMemo(lambda word: int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+
+
+def word_bound(n: int, words: int) -> int:
+    return min(words, n // WORDS_AN_EDIT)
+
+
+def word_variants(words: int, form: str) -> np.ndarray:
+    """The same with words left out, as many as the form's bound allows."""
+    points = np.array([_WORDS[w] for w in form.split(" ")], np.uint64)
+    bound = word_bound(len(points), words)
+    level, found = [points], [_sums(points)[: 0 if not bound else None]]
+    for _ in range(1, bound):
+        level = [np.delete(x, i) for x in level for i in range(len(x))]
+        found += [_sums(x) for x in level]
+    return np.unique(np.concatenate(found))
+
+
+def _within(a: list[str], b: list[str], k: int) -> bool:
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+    a, b = a[at:], b[at:]
+    if not a or not b or abs(len(a) - len(b)) > k or not k:
+        return max(len(a), len(b)) <= k
+    return any(_within(a[i:], b[j:], k - 1) for i, j in ((1, 1), (1, 0), (0, 1)))
+
+
+def near_words(words: int, a: str, b: str) -> bool:
+    """Whether edits of whole words within the bound of the shorter one make b of a."""
+    x, y = a.split(" "), b.split(" ")
+    return _within(x, y, word_bound(min(len(x), len(y)), words))
+
+
 def near(a: str, b: str) -> bool:
     """Whether one edit at most makes b of a."""
     if abs(len(a) - len(b)) > 1:
@@ -70,28 +110,28 @@ def near(a: str, b: str) -> bool:
     return short[at + (len(a) == len(b)) :] == long[at + 1 :]
 
 
-def _neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbourhood(made: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [variants(x) for x in batch.column("form").to_pylist()]
+        found = [made(x) for x in batch.column("form").to_pylist()]
         owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
         if len(owner):
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column("cls").take(at), batch.column("doc").take(at), batch.column("line").take(at)], ["variant", "cls", "doc", "line"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(same: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [near(x, y) for x, y in zip(batch.column("form_a").to_pylist(), batch.column("form_b").to_pylist(), strict=True)]
+        keep = [same(x, y) for x, y in zip(batch.column("form_a").to_pylist(), batch.column("form_b").to_pylist(), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
+def _blocks(same: Callable, rows: pd.DataFrame) -> pd.DataFrame:
     """Near pairs (earlier, later) between a block pair's members."""
     left, right = rows[rows.side == rows.i.iloc[0]], rows[rows.side == rows.j.iloc[0]]
     found = [
         (x.cls, y.cls) if (x.doc, x.line) < (y.doc, y.line) else (y.cls, x.cls)
         for x in left.itertuples() for y in right.itertuples()
-        if x.cls != y.cls and near(x.form, y.form)
+        if x.cls != y.cls and same(x.form, y.form)
     ]
     return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
@@ -112,21 +152,32 @@ def half_keys() -> Column:
     return F.array(*keys)
 
 
-def near_classes(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame:
-    """(a, b): classes within one edit, a the earlier; of classes (cls, doc, line, halves)."""
+def word_half_keys() -> Column:
+    """The same of a form's words."""
+    keys, words = [], F.split("form", " ")
+    for d in (0, 1):
+        cut = F.floor((F.size(words) - d) / 2).cast("int")
+        keys += [F.xxhash64(F.lit(2), cut, F.slice(words, F.lit(1), cut)), F.xxhash64(F.lit(3), cut, F.slice(words, -cut, cut))]
+    return F.when(F.size(words) >= WORDS_AN_EDIT, F.array(*keys))
+
+
+def near_classes(docs: DataFrame, classes: DataFrame, min_chars: int, words: int = 0) -> DataFrame:
+    """(a, b): classes within one edit (with ``words``: so many of whole words), a the earlier; of classes (cls, doc, line, halves)."""
+    made_of, same = (partial(word_variants, words), partial(near_words, words)) if words else (variants, near)
     keyed = classes.select("cls", F.explode(F.array_distinct("halves")).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key")
     able = common.stored(keyed.join(shared, "key", "left_semi").select("cls").distinct(), "able-lines")
-    forms = lines(docs, min_chars).select("cls", "form").join(common.small(able), "cls", "left_semi").dropDuplicates(["cls"])
+    forms = lines(docs, min_chars).select("cls", "form")
+    forms = (forms if words > 1 else forms.join(common.small(able), "cls", "left_semi")).dropDuplicates(["cls"])
     some = common.stored(forms.join(classes.drop("halves"), "cls"), "near-lines")
 
-    made = common.stored(some.select("cls", "doc", "line", "form").mapInArrow(_neighbourhood, "variant long, cls long, doc long, line long"), "variants")
+    made = common.stored(some.select("cls", "doc", "line", "form").mapInArrow(partial(_neighbourhood, made_of), "variant long, cls long, doc long, line long"), "variants")
     groups = made.groupBy("variant").agg(F.min(F.struct("doc", "line", "cls")).alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = groups.select("variant", F.col("first.cls").alias("a"), "n")
     together = common.stored(made.join(groups, "variant").select("variant", "cls", "doc", "line", "a", "n"), "together")
     pairs = together.where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
     form = some.select("cls", "form")
-    good = pairs.join(form.select(F.col("cls").alias("a"), F.col("form").alias("form_a")), "a").join(form.select(F.col("cls").alias("b"), F.col("form").alias("form_b")), "b").mapInArrow(_near, "a long, b long")
+    good = pairs.join(form.select(F.col("cls").alias("a"), F.col("form").alias("form_a")), "a").join(form.select(F.col("cls").alias("b"), F.col("form").alias("form_b")), "b").mapInArrow(partial(_near, same), "a long, b long")
     good = common.stored(good, "near-first")
 
     # equal variants guarantee two edits only, so a member can be near another one and not the earliest
@@ -136,26 +187,31 @@ def near_classes(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFra
     tall = left.join(sizes, "variant").withColumn("i", F.expr("int(pmod(xxhash64(cls), tall))")).withColumn("side", F.col("i")).withColumn("j", F.explode(F.expr("transform(sequence(0, wide - 1), w -> tall + w)")))
     wide = together.join(sizes, "variant").withColumn("side", F.expr("tall + int(pmod(xxhash64(cls), wide))")).withColumn("j", F.col("side")).withColumn("i", F.explode(F.expr("sequence(0, tall - 1)")))
     names = ["variant", "cls", "doc", "line", "side", "i", "j"]
-    rest = tall.select(names).unionByName(wide.select(names)).join(form, "cls").groupBy("variant", "i", "j").applyInPandas(_blocks, "a long, b long")
+    rest = tall.select(names).unionByName(wide.select(names)).join(form, "cls").groupBy("variant", "i", "j").applyInPandas(lambda rows: _blocks(same, rows), "a long, b long")
     return good.unionByName(rest).distinct()
 
 
-def going(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def going(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, words: int = 0) -> DataFrame:
     """(_doc, _lines): the numbers of the lines that go, of documents that have any."""
-    halves = F.when(F.length("form") >= min_chars, half_keys()).alias("halves")
-    found = common.stored(lines(docs, min_chars if exact_chars is None else exact_chars).select("doc", "line", "cls", halves), "lines")
-    first = found.groupBy("cls").agg(F.min(F.struct("doc", "line", "halves")).alias("first"), F.count("*").alias("n"))
-    classes = common.stored(first.select("cls", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), F.col("first.halves").alias("halves"), "n"), "line-classes")
-    later = near_classes(docs, classes.drop("n"), min_chars).select(F.col("b").alias("cls")).distinct().withColumn("near", F.lit(True))
+    long = F.length("form") >= min_chars
+    halves = [F.when(long, half_keys()).alias("halves")] + ([F.when(long, word_half_keys()).alias("word_halves")] if words else [])
+    found = common.stored(lines(docs, min_chars if exact_chars is None else exact_chars).select("doc", "line", "cls", *halves), "lines")
+    names = found.columns[3:]
+    first = found.groupBy("cls").agg(F.min(F.struct("doc", "line", *names)).alias("first"), F.count("*").alias("n"))
+    classes = common.stored(first.select("cls", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), *(F.col(f"first.{c}").alias(c) for c in names), "n"), "line-classes")
+    pairs = near_classes(docs, classes.select("cls", "doc", "line", "halves"), min_chars)
+    if words:
+        pairs = pairs.unionByName(near_classes(docs, classes.select("cls", "doc", "line", F.col("word_halves").alias("halves")), min_chars, words))
+    later = pairs.select(F.col("b").alias("cls")).distinct().withColumn("near", F.lit(True))
     decided = classes.join(later, "cls", "left").where("n > 1 or near").select("cls", F.col("doc").alias("d"), F.col("line").alias("l"), F.coalesce("near", F.lit(False)).alias("near"))
     decided = common.stored(decided, "line-decisions")
     gone = found.select("doc", "line", "cls").join(common.small(decided), "cls").where("near or not (doc = d and line = l)").select("doc", "line")
     return gone.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_set("line")).alias("_lines"))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, words: int = 0) -> DataFrame:
     """``docs`` with text as it is without the lines that go, and n_removed, the number of those."""
-    removed = common.stored(going(docs, min_chars, exact_chars), "removed-lines")
+    removed = common.stored(going(docs, min_chars, exact_chars, words), "removed-lines")
     if (removed.agg(F.sum(F.size("_lines"))).first()[0] or 0) <= common.MAX_BROADCAST_ROWS:
         removed = F.broadcast(removed)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # no name of docs can clash

@@ -27,7 +27,11 @@ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscr
 f AS (SELECT *, trim(regexp_replace(lower(raw), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS form FROM l),
 c AS (SELECT form, min((doc_id, line)) AS first, length(form) AS n FROM f WHERE form <> '' GROUP BY form),
 near AS (SELECT DISTINCT b.form FROM c a JOIN c b ON least(a.n, b.n) >= 20 AND a.n BETWEEN b.n - 1 AND b.n + 1 AND a.first < b.first AND (left(a.form, 9) = left(b.form, 9) OR right(a.form, 9) = right(b.form, 9)) AND levenshtein(a.form, b.form) <= 1),
-g AS (SELECT f.*, c.form IS NOT NULL AND ((f.doc_id, f.line) <> c.first OR c.form IN (SELECT form FROM near)) AS gone FROM f LEFT JOIN c ON f.form = c.form)
+w AS (SELECT form, first, string_split(form, ' ') AS ws FROM c WHERE n >= 20 AND len(string_split(form, ' ')) >= 4),
+x AS (SELECT form, first, len(ws) AS k, unnest(range(1, len(ws) + 1)) AS i, ws FROM w),
+y AS (SELECT form, first, k, i, list_concat(ws[1:i - 1], ws[i + 1:]) AS rest FROM x),
+word AS (SELECT b.form FROM y a JOIN y b ON a.k = b.k AND a.i = b.i AND a.rest = b.rest AND a.first < b.first UNION SELECT CASE WHEN w.first < y.first THEN y.form ELSE w.form END FROM y JOIN w ON w.ws = y.rest),
+g AS (SELECT f.*, c.form IS NOT NULL AND ((f.doc_id, f.line) <> c.first OR c.form IN (SELECT form FROM near UNION SELECT form FROM word)) AS gone FROM f LEFT JOIN c ON f.form = c.form)
 SELECT d.doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (NOT gone), '') AS text FROM documents d JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op8_embedding_dedup": f"""WITH RECURSIVE
 v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),

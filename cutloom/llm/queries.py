@@ -36,8 +36,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op3_line_dedup, and equal lines of any length but none at all."""
-    return line_dedup.dedup(documents(spark, sf_dir), exact_chars=1).select("doc_id", "n_removed", "text")
+    """As op3_line_dedup, and equal lines of any length but none at all, and lines within one word."""
+    return line_dedup.dedup(documents(spark, sf_dir), exact_chars=1, words=1).select("doc_id", "n_removed", "text")
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
