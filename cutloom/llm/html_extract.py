@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 A page becomes a small element tree (unclosed and misnested tags are closed as browsers do for paragraphs, list items and table
-parts).  What is never article text is left out first: by element, by role, and by words of class and id.  Each element left has
+parts).  What is never article text is left out first: by element, by role, and by names of class and id.  Each element left has
 a composite density: its characters per tag, scaled down where many of them are in links, relative to the page's share of
 link text.  The element whose children's densities have the largest sum is the core; the smallest density on the way
 from the body to it is the threshold, and what hangs off that way is kept where its density reaches it.  An article or
@@ -39,8 +39,9 @@ SCOPES = {"article", "aside", "blockquote", "body", "button", "div", "dl", "foot
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<[!?/][^>]*>?", re.S)
-_MARKING = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[a-z]+|(?<=[a-z])[A-Z][a-z]*")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
+_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+LOOSE = {"side", "search", "notice", "notices", "alert", "skip", "share", "social", "related", "reply", "respond", "overlay", "menu"}  # marks as a whole class only
 
 
 class Element:
@@ -53,6 +54,21 @@ class Element:
         self.density = 0.0
 
 
+def attribute_pairs(attributes: str) -> list[tuple[str, str]]:
+    """(name in lower case, value) of a start tag's attributes; the first of a name counts, as in browsers."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name:
+            found.setdefault(name.lower(), unescape("".join(values)))
+    return [*found.items()]
+
+
+def _marked(name: str) -> bool:
+    """Whether a class or id names what is never article text: as a whole, or by a first word that means little else."""
+    first = _WORDS.match(name)
+    return name.lower() in MARKS or first is not None and first[0].lower() in MARKS - LOOSE
+
+
 def _left_out(tag: str, attributes: str, parent: Element) -> bool:
     if tag in OUT:
         return True
@@ -63,11 +79,10 @@ def _left_out(tag: str, attributes: str, parent: Element) -> bool:
         return above is None
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for name, *values in _MARKING.findall(attributes):
-        name, value = name.lower(), "".join(values)
+    for name, value in attribute_pairs(attributes):
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in MARKS for w in _WORDS.findall(value)):
+        if name in ("class", "id") and any(_marked(x) for x in value.split()):
             return True
     return False
 
