@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +43,23 @@ def resolve_links(links: DataFrame, slots: DataFrame) -> DataFrame:
     return rows.join(there, ["to_clip", "dst_slot"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def link_chain(edges: DataFrame, starts: DataFrame, depth: int = 8) -> DataFrame:
-    """(start, node): everything each start reaches over edges (src, dst), itself not counted; cycles end.
+def link_chain(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, node): everything each start reaches over edges (src, dst), in ``depth`` steps at most if given, itself not counted; cycles end.
 
-    A step joins the frontier with the edges and drops what the start has reached already.
+    A step joins the frontier with the edges and drops what the start has reached already; frontiers are written to the checkpoint folder.
     """
-    seen = starts.select(F.col("node").alias("start"), "node")
-    front = seen
-    for _ in range(depth):
-        step = front.join(edges, front.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
-        front = step.join(seen, ["start", "node"], "left_anti")
+    spark = edges.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cutloom-"))
+    edges = edges.select("src", "dst").distinct().checkpoint()
+    seen = front = starts.select(F.col("node").alias("start"), "node").distinct().checkpoint()
+    step = 0
+    while (depth is None or step < depth) and not front.isEmpty():
+        reached = front.join(edges, front.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
+        front = reached.join(seen, ["start", "node"], "left_anti").checkpoint()
         seen = seen.unionByName(front)
-    return seen.where("start <> node").distinct()
+        step += 1
+    return seen.where("start <> node")
 
 
 def overlay_state(overlays: DataFrame, sampled: DataFrame) -> DataFrame:
