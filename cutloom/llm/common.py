@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = b" \t\n\x0b\x0c\r"
-MAX_BROADCAST_ROWS = 1_000_000  # of a few numbers each
+MAX_BROADCAST_BYTES = 16 << 20
 _ROOTS: dict[str, str] = {}
+_STORED: dict[int, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -53,12 +55,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    frame = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(frame)] = path
+    weakref.finalize(frame, _STORED.pop, id(frame), None)
+    return frame
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes what ``stored`` wrote for these frames; no frame that is still to be computed may read them."""
+    for frame in frames:
+        if path := _STORED.pop(id(frame), None):
+            _remove(frame.sparkSession, path)
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` (stored, a few columns of numbers), to be broadcast if its counted rows are few enough; else joined by shuffle."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+    """``df`` (stored, of numbers only), to be broadcast if rows times columns of eight bytes are few enough; else joined by shuffle."""
+    return F.broadcast(df) if df.count() * 8 * len(df.columns) <= MAX_BROADCAST_BYTES else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,24 +306,24 @@ def crc_u4(ids: np.ndarray) -> int:
 
 
 # --- components -------------------------------------------------------------------------------------------------------
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of undirected ``edges(a, b)``; component is the smallest node that is reachable.
 
-    Alternating large-star and small-star steps; each is one grouped minimum and one equi-join, so no neighbourhood is
-    gathered in one place.  Every round is checkpointed to the shared folder.
+    Alternating large-star and small-star steps until nothing changes; each is one grouped minimum and one equi-join, so no
+    neighbourhood is gathered in one place.  Every step is stored in the shared folder, and what it no longer needs goes.
     """
-    spark = edges.sparkSession
-    work_dir(spark)
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # checkpointed minima: both sides of the join then come straight from a shuffle, and a hub's edges can be split
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).checkpoint()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+        # stored minima: both sides of the join then come straight from a shuffle, and a hub's edges can be split
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        low2 = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small_ = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = stored(small_.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        discard(e, low, large, low2)
+        e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

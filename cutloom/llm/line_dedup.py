@@ -212,7 +212,7 @@ def going(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None =
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, words: int = 0) -> DataFrame:
     """``docs`` with text as it is without the lines that go, and n_removed, the number of those."""
     removed = common.stored(going(docs, min_chars, exact_chars, words), "removed-lines")
-    if (removed.agg(F.sum(F.size("_lines"))).first()[0] or 0) <= common.MAX_BROADCAST_ROWS:
+    if 8 * (removed.agg(F.sum(F.size("_lines"))).first()[0] or 0) <= common.MAX_BROADCAST_BYTES:
         removed = F.broadcast(removed)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # no name of docs can clash
     joined = rows.join(removed, F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(2**63 - 1)) == F.col("_doc"), "left")

@@ -4,19 +4,22 @@ A document is the set of its distinct 5-word shingles (words: lower-cased A-Z, s
 whole sequence is one shingle; without words the set is empty and links with nothing).  Two documents are linked if
 100 * |A and B| >= 75 * |A or B|; a component is what links reach.
 
-1. One pass over the texts gives each document's set size, a 128-bit fingerprint of its set, 128 minima, of which the low 4
+1. One pass over the texts gives each row's set size, a 128-bit fingerprint of its set, 128 minima, of which the low 4
    bits are packed into 8 longs, and 32 band keys of 4 minima.  A pair at 0.75 shares a band with probability 1 - 5e-6.
-2. Equal sets are one class; from here on only the smallest doc_id of a class takes part.
-3. In each band bucket every member is paired with the smallest one (all pairs only of buckets up to three).  Pairs whose
+2. Equal sets are one class with a number of its own; from here on classes are compared, not documents.
+3. In each band bucket every class is paired with the smallest one (all pairs only of buckets up to three).  Pairs whose
    collision-corrected estimate, from bit counts of the packed signatures, is too low to be a link (4.3 standard
    deviations below 0.75) go; the others are verified on full sets.  Components of those links follow.
-4. Buckets that still hold several components are cut into blocks, so that a task sees two blocks of at most ``BLOCK`` members;
-   a block pair compares members of different components only, each pair in its first common band, again by
-   estimate and then on full sets, and emits only links that join components.  Links inside a component change nothing.
+4. Buckets that still hold several components are cut into blocks, so that a task sees two blocks of at most ``BLOCK`` classes.
+   A block pair first gets packed signatures only and names the classes whose estimate against one of another component is
+   high enough; the full sets of just these follow it, and links that join components come out, each pair in its first common
+   band.  Links inside a component change nothing.
+5. Class components become documents' at the end, by the smallest doc_id in each.
 
 So work on a group of copies grows with its size times the number of members that stay apart, and no pair list of a group is emitted.
-Rows that share a doc_id count as one document where their sets are equal.  A null text has an empty set.  Null doc_ids
-take part in nothing and have a null component.  Other columns are ignored.  An empty table gives no rows.
+Rows that share a doc_id are one document: all their classes are in one component, n_shingles is each row's own; a row without
+words stays alone.  A null text has an empty set.  Null doc_ids take part in nothing and have a null component.  Other columns are ignored.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -89,8 +92,7 @@ def sketch(found: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     keys = _mixed((low.reshape(BANDS, PER_BAND) * _FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _GOLD)
     bits = (low * _GOLD) >> np.uint64(64 - BITS)
     packed = np.bitwise_or.reduce(bits.reshape(-1, 64 // BITS) << np.arange(0, 64, BITS, dtype=np.uint64), axis=1)
-    whole = xxhash.xxh3_128_digest(found.tobytes())
-    return np.frombuffer(whole, "<i8").tolist(), keys.view(np.int64).tolist(), packed.view(np.int64).tolist()
+    return list(fingerprint(found)), keys.view(np.int64).tolist(), packed.view(np.int64).tolist()
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +110,16 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bands, longs), pa.array(sigs, longs)], ["doc_id", "n_shingles", "f1", "f2", "bands", "sig"])
 
 
+def fingerprint(found: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<i8").tolist())
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the rows that are of the wanted class (a doc_id may have others too)."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(x).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], ["doc", "set"])
+        sets = [shingles(x) for x in batch.column("text").to_pylist()]
+        own = [fingerprint(x) == (f1, f2) for x, f1, f2 in zip(sets, batch.column("f1").to_pylist(), batch.column("f2").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "set"]).filter(pa.array(own, pa.bool_()))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -136,18 +145,35 @@ def mismatches(a: str, b: str):
     return F.expr(f"aggregate({nibbles}, 0, (s, x) -> s + x)")
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions that differ, of every packed signature of a and every one of b."""
+    x = a[:, None, :] ^ b[None, :, :]
+    for k in (1, 2):
+        x = x | ((x >> k) & (2 ** (64 - k) - 1))
+    return np.bitwise_count(x & 0x1111111111111111).sum(axis=2)
+
+
+def _likely(rows: pd.DataFrame) -> pd.DataFrame:
+    """The members of a block pair that may be linked with one of another component."""
+    sig, comp, side = np.array(rows.sig.tolist()), rows.comp.to_numpy(), rows.side.to_numpy()
+    left, right = np.flatnonzero(side == rows.i.iloc[0]), np.flatnonzero(side == rows.j.iloc[0])
+    some = np.zeros(len(rows), bool)
+    if len(left) and len(right):
+        hit = (_differing(sig[left], sig[right]) <= most_mismatches()) & (comp[left][:, None] != comp[right][None, :])
+        some[left] |= hit.any(axis=1)
+        some[right] |= hit.any(axis=0)
+    return rows.loc[some, ["key", "band", "cls", "comp", "side", "i", "j"]]
+
+
 def _joined(rows: pd.DataFrame) -> pd.DataFrame:
     """Links between components among one block pair's members: only those that join what is apart so far."""
-    rows = rows.drop_duplicates("doc").sort_values("doc", ignore_index=True)
+    rows = rows.sort_values("cls", ignore_index=True)
     sig, band, where = np.array(rows.sig.tolist()), np.array(rows.bands.tolist()), rows.band.iloc[0]
-    comp, side, docs = rows.comp.to_numpy(), rows.side.to_numpy(), rows.doc.to_numpy()
+    comp, side, cls = rows.comp.to_numpy(), rows.side.to_numpy(), rows.cls.to_numpy()
     left, right = (np.flatnonzero(side == rows.i.iloc[0]), np.flatnonzero(side == rows.j.iloc[0]))
     if not len(left) or not len(right):
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    x = sig[left][:, None, :] ^ sig[right][None, :, :]
-    for k in (1, 2):
-        x = x | ((x >> k) & (2 ** (64 - k) - 1))
-    differ = np.bitwise_count(x & 0x1111111111111111).sum(axis=2)
+    differ = _differing(sig[left], sig[right])
     p, q = np.nonzero((differ <= most_mismatches()) & (comp[left][:, None] != comp[right][None, :]))
     order = np.argsort(differ[p, q], kind="stable")
     p, q = left[p[order]], right[q[order]]
@@ -169,70 +195,90 @@ def _joined(rows: pd.DataFrame) -> pd.DataFrame:
                 sets[k] = np.frombuffer(rows.set.iloc[k], np.uint64)
         if linked(sets[i], sets[j]):
             root[max(a, b)] = min(a, b)
-            edges.append((docs[i], docs[j]))
+            edges.append((comp[i], comp[j]))
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, rep, bands, sig): rep is the smallest doc_id with an equal set; sketches stay with it only."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_ = common.stored(rows.mapInArrow(_sketched, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig array<long>"), "sketches")
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows (doc_id, n_shingles, cls, rep), cls null without words; classes (cls, rep, f1, f2, bands, sig).
+
+    cls numbers the distinct sets, rep is the smallest doc_id that has one.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    all_ = common.stored(texts.mapInArrow(_sketched, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig array<long>"), "sketches")
     some = all_.where("f1 is not null")
+    merged = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))  # equal sets, equal sketches
+    found = common.stored(merged.withColumn("cls", F.monotonically_increasing_id()), "classes")
     # stored first: then both sides of the join come straight from a shuffle, and a very large class can be split
-    reps = common.stored(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "smallest")
-    own = F.col("doc_id") == F.col("rep")
-    with_rep = some.join(reps, ["f1", "f2"]).select("doc_id", "n_shingles", "rep", F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("sig")).alias("sig"))
-    none = all_.where("f1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.lit(None).cast("array<long>").alias("bands"), F.lit(None).cast("array<long>").alias("sig"))
-    return common.stored(with_rep.unionByName(none), "classes")
-
-
-def links(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): links between representatives that connect just what all links connect."""
-    spark = docs.sparkSession
-    reps = found.where("sig is not null").select(F.col("rep").alias("doc"), "bands", "sig").dropDuplicates(["doc"])
-    reps = common.stored(reps, "representatives")
-    rows = reps.select("doc", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("n > 1")
-    members = common.stored(rows.join(common.small(common.stored(buckets, "buckets")), "key"), "members")
-    star = members.where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b"))
-    third = members.where("n = 3 and doc <> low and doc <> high").select(F.col("doc").alias("a"), F.col("high").alias("b"))
-    sigs = reps.select("doc", "sig")
+    with_class = some.select("doc_id", "n_shingles", "f1", "f2").join(found.select("f1", "f2", "cls", "rep"), ["f1", "f2"]).select("doc_id", "n_shingles", "cls", "rep")
+    none = all_.where("f1 is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("cls"), F.col("doc_id").alias("rep"))
+    rows = common.stored(with_class.unionByName(none), "class-rows")
+    common.discard(all_)
+    return rows, found
+
+
+def full_sets(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, set) of the classes in ``wanted(cls)``, from the texts of their smallest doc_id."""
+    wanted = common.stored(found.select("cls", "rep", "f1", "f2").join(common.small(wanted), "cls", "left_semi"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    return common.stored(texts.join(common.small(wanted), "rep").mapInArrow(_sets, "cls long, set binary").dropDuplicates(["cls"]), "sets")
+
+
+def class_components(docs: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(cls, component): of the classes that links connect with others, a number for each component."""
+    spread = found.select("cls", F.posexplode("bands").alias("band", "key"))
+    buckets = common.stored(spread.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = common.stored(spread.join(common.small(buckets), "key"), "members")
+    star = members.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b"))
+    third = members.where("n = 3 and cls <> low and cls <> high").select(F.col("cls").alias("a"), F.col("high").alias("b"))
+    sigs = found.select("cls", "sig")
     likely = (
         star.unionByName(third).distinct()
-        .join(sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b")), "b")
+        .join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a")
+        .join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
         .where(mismatches("sig_a", "sig_b") <= most_mismatches()).select("a", "b")
     )
     likely = common.stored(likely, "likely")
-    wanted = common.small(common.stored(members.select("doc").distinct(), "wanted"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = common.stored(texts.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(_sets, "doc long, set binary").dropDuplicates(["doc"]), "sets")
-    pairs = likely.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
-    first = common.stored(pairs.mapInArrow(_verified, "a long, b long"), "links")
-    comps = common.stored(common.components(first), "components")
-
-    placed = members.where("n > 3").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).select("key", "band", "doc", "comp")
+    sets = full_sets(docs, found, common.stored(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "wanted"))
+    pairs = likely.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
+    shared = rows.where("cls is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("high")).where("a < high").select("doc_id", "a")  # doc_ids with several texts
+    twins = rows.join(common.small(common.stored(shared, "shared-ids")), "doc_id").where("cls <> a").select("a", F.col("cls").alias("b"))
+    comps = common.stored(common.components(pairs.mapInArrow(_verified, "a long, b long").unionByName(twins)).withColumnRenamed("node", "cls"), "components")
+    common.discard(likely, sets)
+
+    placed = members.where("n > 3").join(comps, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("key", "band", "cls", "comp")
     sizes = placed.groupBy("key", "comp").count()
     open_ = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.max("count").alias("n_major"), F.sum("count").alias("n"), F.count("*").alias("comps")).where("comps > 1")
     open_ = open_.select("key", "major", F.expr(f"int(ceil(n_major / {BLOCK}))").alias("wide"), F.expr(f"int(ceil((n - n_major) / {BLOCK}))").alias("tall"))
-    at = placed.join(common.small(common.stored(open_, "open-buckets")), "key").withColumn("block", F.expr("int(pmod(xxhash64(doc), if(comp = major, wide, tall)))"))
+    at = placed.join(common.small(common.stored(open_, "open-buckets")), "key").withColumn("block", F.expr("int(pmod(xxhash64(cls), if(comp = major, wide, tall)))"))
     to = F.expr(
         "if(comp = major, transform(sequence(0, tall - 1), t -> struct(t as i, tall + block as j)),"
         " concat(transform(sequence(0, tall - 1), t -> struct(least(t, block) as i, greatest(t, block) as j)), transform(sequence(0, wide - 1), w -> struct(block as i, tall + w as j))))"
     )
-    dealt = at.withColumn("side", F.expr("if(comp = major, tall + block, block)")).withColumn("to", F.explode(to)).select("key", "band", "doc", "comp", "side", "to.i", "to.j")
-    full = dealt.join(reps, "doc").join(sets, "doc")
-    rest = full.groupBy("key", "i", "j").applyInPandas(_joined, "a long, b long")
-    rest = common.stored(rest, "late-links")
-    return first.unionByName(rest) if rest.head(1) else comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    dealt = at.withColumn("side", F.expr("if(comp = major, tall + block, block)")).join(sigs, "cls").withColumn("to", F.explode(F.array_distinct(to))).select("key", "band", "cls", "comp", "side", "to.i", "to.j", "sig")
+    named = common.stored(dealt.groupBy("key", "i", "j").applyInPandas(_likely, "key long, band int, cls long, comp long, side int, i int, j int"), "late-likely")
+    if named.isEmpty():
+        return comps
+    sets = full_sets(docs, found, common.stored(named.select("cls").distinct(), "wanted"))
+    full = named.join(found.select("cls", "bands", "sig"), "cls").join(sets, "cls")
+    late = common.stored(full.groupBy("key", "i", "j").applyInPandas(_joined, "a long, b long"), "late-links")  # of components
+    common.discard(named, sets, members)
+    if late.isEmpty():
+        return comps
+    merged = common.components(late).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    alone = late.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(comps, "cls", "left_anti").select("cls", F.col("cls").alias("component"))
+    return comps.unionByName(alone).join(merged, "component", "left").select("cls", F.coalesce("joined", "component").alias("component"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each of ``docs``."""
-    found = classes(docs)
-    comps = common.components(links(docs, found))
-    rows = found.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    rows, found = classes(docs)
+    comps = common.stored(class_components(docs, rows, found), "class-components")
+    least = comps.join(found.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = common.stored(comps.join(least, "component").select("cls", "component_id"), "component-names")
+    common.discard(comps, found)
+    out = rows.join(common.small(named), "cls", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def filtered(docs: DataFrame) -> DataFrame:

@@ -273,9 +273,9 @@ def test_embedding_cells_in_blocks(spark, monkeypatch):
 
 
 def test_plan_keeps_recall():
-    for n in (0, 1, 1000, 10**6, 10**9):
-        bits, tables, least = embedding_dedup.plan(n)
-        assert bits <= 16 and least >= 2 and tables < 512
+    for n in (0, 1, 1000, 10**6, 10**9, 10**12):
+        p = embedding_dedup.plan(n)
+        assert n / 2**p.bits <= embedding_dedup.CELL and p.least > embedding_dedup.LINES / 2 and 2 <= p.tables < 512
 
 
 def test_counts_of_quality_rules():
