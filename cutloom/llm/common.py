@@ -61,6 +61,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return frame
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder: as ``stored``, but it keeps its partitioning, so the next join on it need not shuffle."""
+    work_dir(df.sparkSession)
+    frame = df.checkpoint()
+    if file := frame._jdf.logicalPlan().rdd().getCheckpointFile():
+        _STORED[id(frame)] = file.get()
+        weakref.finalize(frame, _STORED.pop, id(frame), None)
+    return frame
+
+
 def discard(*frames: DataFrame) -> None:
     """Removes what ``stored`` wrote for these frames; no frame that is still to be computed may read them."""
     for frame in frames:
@@ -310,18 +320,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of undirected ``edges(a, b)``; component is the smallest node that is reachable.
 
     Alternating large-star and small-star steps until nothing changes; each is one grouped minimum and one equi-join, so no
-    neighbourhood is gathered in one place.  Every step is stored in the shared folder, and what it no longer needs goes.
+    neighbourhood is gathered in one place.  Every step is checkpointed to the shared folder, and what it no longer needs goes.
     """
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # stored minima: both sides of the join then come straight from a shuffle, and a hub's edges can be split
-        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
-        low2 = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        # checkpointed minima: both sides of the join then come straight from a shuffle, and a hub's edges can be split
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low2 = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small_ = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = stored(small_.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        new = cut(small_.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         discard(e, low, large, low2)
         e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
