@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 WHITE = b" \t\n\x0b\x0c\r"
 MAX_BROADCAST_BYTES = 16 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROOTS: dict[str, str] = {}
 _STORED: dict[int, str] = {}
 
@@ -33,8 +35,8 @@ def work_dir(spark: SparkSession) -> str:
         atexit.register(_remove, spark, _ROOTS[app])
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(f"{_ROOTS[app]}/checkpoints")
-        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # whole texts, not narrow rows
+        if spark.conf.get(BATCH_BYTES) == "67108864b":  # as it comes; batches of whole texts, as lists, take several times their bytes
+            spark.conf.set(BATCH_BYTES, str(8 << 20))
     return _ROOTS[app]
 
 
@@ -92,9 +94,22 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The n rows with the smallest hash of their key: a fixed, order-free sample (top-n, nothing is collected)."""
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+def bounded_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The n rows with the smallest hash of their keys: a fixed sample, whatever the order and partitioning (top-n, nothing is collected)."""
+    return df.orderBy(F.xxhash64(*keys), *keys).limit(n)
+
+
+def labelled(docs: DataFrame, marks: DataFrame, label: str, n: int) -> DataFrame:
+    """(doc_id, text, label) of n marked doc_ids at most; one row for each different text of an id, and n rows at most.
+
+    Ids are drawn first, so that only they are joined; ids that repeat with several texts are drawn from again, by a hash of
+    id and text.
+    """
+    ids = bounded_sample(marks.select("doc_id", label), ["doc_id"], n)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # n rows of two numbers
+    keyed = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
+    last = keyed.select("_h").distinct().orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
+    return keyed.where(F.col("_h") <= F.lit(last)).dropDuplicates(["doc_id", "_h"]).select("doc_id", "text", label)
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
@@ -116,13 +131,24 @@ def _merged(many: tuple[np.ndarray, ...], few: tuple[np.ndarray, ...]) -> tuple[
     return tuple(np.insert(a, where, b) for a, b in zip(many, few, strict=True))
 
 
+class Collision(Exception):
+    """Two chunks of one hash."""
+
+
+def cuts_like_gpt2(file: dict) -> bool:
+    """Whether a ``tokenizers`` file normalises nothing, splits by the usual byte-level pattern and has special tokens only beside its BPE."""
+    split, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = file.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    return plain and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and all(t["special"] for t in file["added_tokens"])
+
+
 class TokenMemo:
     """Ids of whole Arrow columns by a ``tokenizers`` file with byte-level BPE and its usual split pattern.
 
-    That pattern always cuts before a space that starts a word, around a lone newline and between a letter and punctuation, so a
+    The file is checked for it; texts are encoded whole by a file with anything else.  That pattern always cuts before a space that starts a word, around a lone newline and between a letter and punctuation, so a
     text's ids are those of such chunks.  Chunks are found and hashed (64 bits) with numpy for many texts at once; only those not
     met before are encoded, many in one call, with a newline (a token of its own there) between them.  At most ``limit`` chunks
-    are remembered.  Texts with other white space than single spaces and newlines between words, or very long ones, are
+    are remembered, each with its size in bytes, which must agree too.  Texts with other white space than single spaces and newlines between words, or very long ones, are
     encoded as they are.
     """
 
@@ -135,13 +161,13 @@ class TokenMemo:
         self.kind = "<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
         self.width, self.limit = np.dtype(self.kind).itemsize, limit
         newline = self.tok.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
+        self.newline = newline[0] if len(newline) == 1 and cuts_like_gpt2(json.loads(self.tok.to_str())) else None
         self.powers = self.inverses = np.ones(1, np.uint64)
         self._forget()
 
     def _forget(self) -> None:
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.layers = [none, none]  # sorted hashes, places in the pool, sizes: many, and those of late
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.layers = [none, none]  # sorted hashes, places in the pool, numbers of ids and of bytes: many, and those of late
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
     def _ids(self, text: str) -> np.ndarray:
@@ -154,7 +180,7 @@ class TokenMemo:
         self.used += len(ids)
         return self.used - len(ids)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, sizes: np.ndarray, words: list[str]) -> None:
         at, n = [], []
         for low in range(0, len(words), 4096):
             group = words[low : low + 4096]
@@ -170,17 +196,19 @@ class TokenMemo:
                 starts = np.concatenate(([0], ends[:-1] + 1))
                 at.append(self._store(ids) + starts)
                 n.append(ends - starts)
-        self.layers[1] = _merged(self.layers[1], (keys, np.concatenate(at), np.concatenate(n)))
+        self.layers[1] = _merged(self.layers[1], (keys, np.concatenate(at), np.concatenate(n), sizes))
         if len(self.layers[1][0]) > 50_000 + len(self.layers[0][0]) // 8:
             self.layers = [_merged(*self.layers), tuple(x[:0] for x in self.layers[1])]
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the pool (-1: not known) and sizes."""
+    def _find(self, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the pool (-1: not known) and numbers of ids.  Equal hashes of chunks of unlike sizes are an error."""
         at, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        for known, place, size in self.layers:
+        for known, place, size, length in self.layers:
             if len(known):
                 where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 hit = known[where] == keys
+                if (length[where[hit]] != sizes[hit]).any():
+                    raise Collision
                 at[hit], n[hit] = place[where[hit]], size[where[hit]]
         return at, n
 
@@ -204,20 +232,31 @@ class TokenMemo:
         starts = np.flatnonzero(mark[:-1])
         ends = np.append(starts[1:], len(data))
         keys, first, which = np.unique(self._hashes(data, starts, ends), return_index=True, return_inverse=True)
-        at, n = self._find(keys)
+        sizes = (ends - starts)[first]
+        if (sizes[which] != ends - starts).any():
+            raise Collision
+        at, n = self._find(keys, sizes)
         new = np.flatnonzero(at < 0)
         if len(new):
             if sum(len(x[0]) for x in self.layers) + len(new) > self.limit:
                 self._forget()
                 new = np.arange(len(keys))
             raw = data.tobytes()
-            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            at, n = self._find(keys)
+            self._learn(keys[new], sizes[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at, n = self._find(keys, sizes)
         at, n = at[which], n[which]
         total = np.concatenate(([0], np.cumsum(n)))
         ids = self.pool[np.repeat(at - total[:-1], n) + np.arange(total[-1])]
         return ids, np.diff(total[np.searchsorted(starts, offsets)])
 
+    def _whole_or_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        try:
+            return self._block(data, offsets)
+        except Collision:
+            self._forget()
+            parts = [self._ids(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.concatenate(parts), np.array([len(x) for x in parts])
+
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text) of a string array; nulls have none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -241,7 +280,7 @@ class TokenMemo:
             high = low + 1
             while high < len(size) and not odd[high] and offsets[high + 1] - offsets[low] <= _BLOCK_BYTES:
                 high += 1
-            parts.append(self._block(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) if offsets[high] > offsets[low] else (np.zeros(0, self.kind), np.zeros(high - low, np.int64)))
+            parts.append(self._whole_or_block(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) if offsets[high] > offsets[low] else (np.zeros(0, self.kind), np.zeros(high - low, np.int64)))
             low = high
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 

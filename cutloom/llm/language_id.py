@@ -2,7 +2,8 @@
 
 Counts come from a sample of about ``per_language`` whole documents a language (each language's rows are kept with the
 probability that gives that many, by a hash of their id), summed in Spark to one row per language and bucket.  The
-log-probability matrix (buckets x languages) goes to the tasks, which score whole texts batch by batch in numpy.
+log-probability matrix (buckets x languages) goes to the tasks in blocks of ``BLOCK`` languages, which score whole texts batch by batch in
+numpy.  Every language of the rows is learned, whatever their number; its prior is its share of the rows.
 
 Letters are what Unicode calls letters, lower-cased; everything else is a gap.  A null text, or one without a letter, is
 ``und`` with score 0.  Without any learned language every row is ``und``.  Ties go to the first language by name.
@@ -13,16 +14,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 
 BITS = 15
 PER_LANGUAGE = 2_000
-MAX_LANGUAGES = 500
+BLOCK = 256  # languages in a block of the matrix: 32 MB
 
 
 @cache
@@ -68,29 +72,48 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(counts[at])], ["lang", "bucket", "n"])
 
 
-def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities[bucket, language]) from the rows' text and lang."""
+class Model(NamedTuple):
+    names: list[str]
+    priors: np.ndarray
+    blocks: list[Broadcast]  # log-probabilities[bucket, language], BLOCK languages each
+
+
+def log_probabilities(n_languages: int, language: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each bucket in each language, from its counts; half a count is added everywhere."""
+    table = np.full((2**BITS, n_languages), 0.5)
+    table[bucket, language] += n
+    return (np.log(table) - np.log(table.sum(axis=0))).astype(np.float32)
+
+
+def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """From the rows' text and lang."""
+    spark = rows.sparkSession
     rows = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), "doc_id").where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()  # a row per language
-    if not sizes:
-        return [], np.zeros((2**BITS, 0), np.float32)
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000
-    counts = rows.where(drawn).select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.toPandas()  # languages x buckets at most
-    names = sorted(set(got.lang))
-    table = np.full((2**BITS, len(names)), 0.5)
-    table[got.bucket.to_numpy(), [names.index(x) for x in got.lang]] += got.n.to_numpy()
-    return names, (np.log(table) - np.log(table.sum(axis=0))).astype(np.float32)
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every row, lang_pred and score (the posterior under equal priors)."""
-    names, table = model
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # 2**BITS x languages floats, MAX_LANGUAGES at most
+    sizes = common.stored(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    # a row per language, no text
+    drawn = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("rows") < F.lit(per_language * 1_000_000))
+    counts = common.stored(drawn.select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "gram-counts")
+    known = sizes.join(counts.select("lang").distinct(), "lang", "left_semi").orderBy("lang").collect()  # a row per language
+    names, blocks = [r["lang"] for r in known], []
+    for low in range(0, len(names), BLOCK):
+        some = {x: i for i, x in enumerate(names[low : low + BLOCK])}
+        got = counts.where(F.col("lang").between(names[low], names[min(low + BLOCK, len(names)) - 1])).toPandas()  # BLOCK languages x buckets at most
+        blocks.append(spark.sparkContext.broadcast(log_probabilities(len(some), got.lang.map(some).to_numpy(), got.bucket.to_numpy(), got.n.to_numpy())))
+    rows_of = np.array([r["rows"] for r in known], np.float64)
+    return Model(names, np.log(rows_of / rows_of.sum()) if len(known) else rows_of, blocks)
+
+
+def log_posterior(at: np.ndarray, priors: np.ndarray, blocks: list[np.ndarray]) -> np.ndarray:
+    """Up to a constant: the prior's logarithm and those of a text's buckets, added up for each language."""
+    return priors + np.concatenate([np.take(b, at, axis=0).sum(axis=0, dtype=np.float64) for b in blocks])
+
+
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns of every row, lang_pred and score (the posterior)."""
+    names, priors, shared = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value
+        blocks = [b.value for b in shared]
         for batch in batches:
             found, score = [], []
             for text in batch.column("_text").to_pylist():
@@ -99,7 +122,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
                     found.append("und")
                     score.append(0.0)
                     continue
-                total = np.take(logs, at, axis=0).sum(axis=0, dtype=np.float64)
+                total = log_posterior(at, priors, blocks)
                 best = int(total.argmax())
                 found.append(names[best])
                 score.append(float(1 / np.exp(total - total[best]).sum()))

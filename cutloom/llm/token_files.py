@@ -3,9 +3,10 @@
 Documents are range-partitioned by doc_id; each task writes its partition's ids, in doc_id order, as one Arrow IPC file
 of equal-length sequences ``ids: fixed_size_list<uint16 or uint32>[sequence]`` with ``mask: fixed_size_list<bool>``
 (false: padding, at a file's end only), uncompressed, so that a mapped file gives any sequence without copying.  A second
-Arrow file beside it lists the documents (doc_id, start, n_tokens inside the file).  Files are written under a task's own
-name and then moved, so a task that runs twice leaves one file.  A manifest row per file orders the files; offsets are prefix
-sums over it.
+Arrow file beside it lists the documents (doc_id, start, n_tokens inside the file).  Each attempt of a task writes
+a pair of files under a name of its own, and the manifest, a row per file pair, names the pairs that count; nothing is
+renamed.  Pairs that the manifest does not name, of attempts that were lost or not needed, are removed once it is stored.  The manifest
+orders the files; offsets are prefix sums over it.
 
 A null text is empty: its end id alone.  Empty input makes no file and no rows.  Repeated doc_ids are neighbours, ordered by
 their text's hash.  Null doc_ids come first.
@@ -72,12 +73,13 @@ def _write(tokenizer: str, end_id: int, length: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, docs, total, writer, memo = TaskContext.get().partitionId(), [], 0, None, None
         fs, root = filesystem(folder)
-        name, mine = f"{root}/part-{part:06d}", f"{root}/.{part:06d}-{uuid.uuid4().hex}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex}"
+        mine = f"{root}/{name}"
         for batch in batches:
             if writer is None and batch.num_rows:
                 memo = common.bpe_encoder(tokenizer)
                 fs.create_dir(root, recursive=True)
-                sink = fs.open_output_stream(f"{mine}.ids")
+                sink = fs.open_output_stream(f"{mine}.ids.arrow")
                 writer = SequenceWriter(sink, memo.kind, length)
             if writer is not None:
                 ids, n = memo.ended(batch.column("text"), end_id)
@@ -90,11 +92,9 @@ def _write(tokenizer: str, end_id: int, length: int, folder: str):
             writer.close()
             sink.close()
             table = pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "start", "n_tokens"), zip(*docs, strict=True), strict=True)})
-            with fs.open_output_stream(f"{mine}.docs") as out, pa.ipc.new_file(out, table.schema) as file:
+            with fs.open_output_stream(f"{mine}.docs.arrow") as out, pa.ipc.new_file(out, table.schema) as file:
                 file.write_table(table, 65536)
-            for kind in ("ids", "docs"):
-                fs.move(f"{mine}.{kind}", f"{name}.{kind}.arrow")
-            rows = [(part, docs[0][0], len(docs), total, f"{folder}/part-{part:06d}")]
+            rows = [(part, docs[0][0], len(docs), total, f"{folder}/{name}")]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], [x.split()[0] for x in MANIFEST.split(", ")])
 
     return run
@@ -105,10 +105,19 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, length:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = keyed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     manifest = common.stored(ordered.mapInArrow(_write(tokenizer, end_id, length, folder), MANIFEST), "manifest")
+    _tidy(folder, {r.path.rsplit("/", 1)[1] for r in manifest.select("path").toLocalIterator()})  # a name for each task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+def _tidy(folder: str, named: set[str]) -> None:
+    """Removes the files of attempts that are not in the manifest."""
+    fs, root = filesystem(folder)
+    for found in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if found.base_name.endswith(".arrow") and found.base_name.split(".")[0] not in named:
+            fs.delete_file(found.path)
+
+
 class SequenceReader:
     """Random access to a file that ``SequenceWriter`` made.  Local files are mapped, not read."""
 
@@ -154,8 +163,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: its place in the whole stream, its ids and their unsigned crc32."""
-    files = min(manifest.count(), 20_000)  # a task each; a stated count keeps adaptive execution from merging them
-    return manifest.select("path", "base", "part").repartition(max(1, files), "part").drop("part").mapInArrow(_read, ROWS)
+    files = min(manifest.count(), 20_000)  # a task each, by ranges of part; a stated count keeps adaptive execution from merging them
+    return manifest.select("path", "base", "part").repartitionByRange(max(1, files), "part").drop("part").mapInArrow(_read, ROWS)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048) -> DataFrame:
