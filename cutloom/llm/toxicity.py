@@ -31,7 +31,8 @@ from . import common
 BUCKETS = 2**20
 MAX_TRAINING = 20_000
 LEAST_ROWS, PAIR_ROWS = 3, 10  # of the sample, that a term and a pair must be in
-TERM_CHI, PAIR_CHI = 12.0, 30.0
+PAIR_SHARE = 100  # an end of a pair must be in one of so many rows
+TERM_CHI, PAIR_CHI = 20.0, 50.0
 COLUMNS = 512  # in a block when pairs are counted
 RANK = 8
 THRESHOLD = 0.7
@@ -97,7 +98,7 @@ def train(lists: list[np.ndarray], y: np.ndarray, steps: int = 4000, l2: float =
     terms, place = np.unique(flat, return_inverse=True)
     ends = np.cumsum(size)
     rng = np.random.default_rng(seed)
-    bias, w, v = np.array([np.log(pos / (n - pos))]), np.zeros(len(terms)), rng.normal(0, 0.1, (len(terms), RANK))
+    bias, w, v = np.array([np.log(pos / (n - pos))]), np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), RANK))
     step, t = _adam([bias, w, v], 0.02), 0
     parts, weight = max(1, n // 256), max(1.0, (n - pos) / pos) ** balance
     for _ in range(max(10, steps // parts)):
@@ -158,7 +159,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chosen_terms(sample: DataFrame) -> np.ndarray:
-    """The features: buckets that alone or in a pair tell the classes of ``sample`` (doc_id, toxic, terms) apart."""
+    """The features: buckets that alone or in a pair tell the classes of ``sample`` (doc_id, toxic, terms) apart.
+
+    Copies count once here: many copies of one toxic document would make features of all its terms.
+    """
+    sample = common.stored(sample.dropDuplicates(["terms"]), "distinct-terms")
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < pos < n:
         return np.zeros(0, np.int64)
@@ -168,12 +173,11 @@ def chosen_terms(sample: DataFrame) -> np.ndarray:
     telling = (F.col("toxic") - F.col("rows") * share) ** 2 / (F.col("rows") * share * (1 - share) * F.greatest(1 - F.col("rows") / n, F.lit(1e-9))) > TERM_CHI
     alone = [r["term"] for r in counts.where(telling).select("term").collect()]  # buckets, of 2**20
 
-    often = [r["term"] for r in counts.where(F.col("rows") >= max(PAIR_ROWS, n // 400)).select("term").orderBy("term").collect()]  # the same
+    often = [r["term"] for r in counts.where(F.col("rows") >= max(PAIR_ROWS, n // PAIR_SHARE)).select("term").orderBy("term").collect()]  # the same
     if not often:
         return np.sort(np.array(alone, np.int64))
     spark, blocks = sample.sparkSession, -(-len(often) // COLUMNS)
     places = spark.createDataFrame([*zip(often, range(len(often)), strict=True)], "term int, place long")
-    # the row's number is its hash; rows and terms are those of the bounded sample
     columns = each_row(sample).join(F.broadcast(places), "term").groupBy("row", "toxic").agg(F.collect_set("place").alias("places"))
     packed = columns.mapInArrow(_packed, "row long, toxic int, block long, bits binary")
     to = F.expr(f"transform(sequence(0L, {blocks - 1}L), x -> struct(least(x, block) as i, greatest(x, block) as j))")
