@@ -7,7 +7,7 @@ ones; those with fewer than ``exact_chars`` (without it ``min_chars``) are left
 of whole words is near too; a line has one such edit for every WORDS_AN_EDIT words of its own at most, and a pair those of its shorter line.
 Whether that earlier line goes itself is of no account, so the result does not depend on an order of work.
 
-1. Equal normal forms are one class with the place of its first line.
+1. Equal normal forms, told apart by 128 bits of hashes, are one numbered class with the place of its first line.
 2. Two forms within one edit share their first or their last half, cut at one of two lengths.  Classes whose
    halves no other class has need no neighbourhood; this loses no pair.
 3. The others emit their deletion neighbourhood: the form and every form with one character left out, as 64-bit hashes.  Two forms within one
@@ -137,10 +137,10 @@ def _blocks(same: Callable, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, line, cls, form) of the lines that are compared; cls is a hash of the form."""
+    """(doc, line, h1, h2, form) of the lines that are compared; h1 and h2 are two hashes of the form."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line", "raw"))
     formed = rows.select(F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), F.col("line").cast("long").alias("line"), normal(F.col("raw")).alias("form"))
-    return formed.where(F.length("form") >= min_chars).withColumn("cls", F.xxhash64("form"))
+    return formed.where(F.length("form") >= min_chars).withColumn("h1", F.xxhash64("form")).withColumn("h2", F.xxhash64(F.lit(17), "form"))
 
 
 def half_keys() -> Column:
@@ -162,14 +162,13 @@ def word_half_keys() -> Column:
 
 
 def near_classes(docs: DataFrame, classes: DataFrame, min_chars: int, words: int = 0) -> DataFrame:
-    """(a, b): classes within one edit (with ``words``: so many of whole words), a the earlier; of classes (cls, doc, line, halves)."""
+    """(a, b): classes within one edit (with ``words``: so many of whole words), a the earlier; of classes (cls, h1, h2, doc, line, halves)."""
     made_of, same = (partial(word_variants, words), partial(near_words, words)) if words else (variants, near)
     keyed = classes.select("cls", F.explode(F.array_distinct("halves")).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key")
-    able = common.stored(keyed.join(shared, "key", "left_semi").select("cls").distinct(), "able-lines")
-    forms = lines(docs, min_chars).select("cls", "form")
-    forms = (forms if words > 1 else forms.join(common.small(able), "cls", "left_semi")).dropDuplicates(["cls"])
-    some = common.stored(forms.join(classes.drop("halves"), "cls"), "near-lines")
+    able = keyed.join(shared, "key", "left_semi").select("cls").distinct() if words < 2 else classes.select("cls")
+    able = common.stored(classes.drop("halves").join(able, "cls", "left_semi"), "able-lines")
+    some = common.stored(lines(docs, min_chars).select("h1", "h2", "form").join(common.small(able), ["h1", "h2"]).dropDuplicates(["cls"]).select("cls", "doc", "line", "form"), "near-lines")
 
     made = common.stored(some.select("cls", "doc", "line", "form").mapInArrow(partial(_neighbourhood, made_of), "variant long, cls long, doc long, line long"), "variants")
     groups = made.groupBy("variant").agg(F.min(F.struct("doc", "line", "cls")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -195,22 +194,24 @@ def going(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None =
     """(_doc, _lines): the numbers of the lines that go, of documents that have any."""
     long = F.length("form") >= min_chars
     halves = [F.when(long, half_keys()).alias("halves")] + ([F.when(long, word_half_keys()).alias("word_halves")] if words else [])
-    found = common.stored(lines(docs, min_chars if exact_chars is None else exact_chars).select("doc", "line", "cls", *halves), "lines")
-    names = found.columns[3:]
-    first = found.groupBy("cls").agg(F.min(F.struct("doc", "line", *names)).alias("first"), F.count("*").alias("n"))
-    classes = common.stored(first.select("cls", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), *(F.col(f"first.{c}").alias(c) for c in names), "n"), "line-classes")
-    pairs = near_classes(docs, classes.select("cls", "doc", "line", "halves"), min_chars)
+    found = common.stored(lines(docs, min_chars if exact_chars is None else exact_chars).select("doc", "line", "h1", "h2", *halves), "lines")
+    names = found.columns[4:]
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", *names)).alias("first"), F.count("*").alias("n"))
+    classes = first.select("h1", "h2", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), *(F.col(f"first.{c}").alias(c) for c in names), "n")
+    classes = common.stored(classes.withColumn("cls", F.monotonically_increasing_id()), "line-classes")
+    facts = ("cls", "h1", "h2", "doc", "line")
+    pairs = near_classes(docs, classes.select(*facts, "halves"), min_chars)
     if words:
-        pairs = pairs.unionByName(near_classes(docs, classes.select("cls", "doc", "line", F.col("word_halves").alias("halves")), min_chars, words))
+        pairs = pairs.unionByName(near_classes(docs, classes.select(*facts, F.col("word_halves").alias("halves")), min_chars, words))
     later = pairs.select(F.col("b").alias("cls")).distinct().withColumn("near", F.lit(True))
-    decided = classes.join(later, "cls", "left").where("n > 1 or near").select("cls", F.col("doc").alias("d"), F.col("line").alias("l"), F.coalesce("near", F.lit(False)).alias("near"))
+    decided = classes.join(later, "cls", "left").where("n > 1 or near").select("h1", "h2", F.col("doc").alias("d"), F.col("line").alias("l"), F.coalesce("near", F.lit(False)).alias("near"))
     decided = common.stored(decided, "line-decisions")
-    gone = found.select("doc", "line", "cls").join(common.small(decided), "cls").where("near or not (doc = d and line = l)").select("doc", "line")
+    gone = found.select("doc", "line", "h1", "h2").join(common.small(decided), ["h1", "h2"]).where("near or not (doc = d and line = l)").select("doc", "line")
     return gone.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_set("line")).alias("_lines"))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, words: int = 0) -> DataFrame:
-    """``docs`` with text as it is without the lines that go, and n_removed, the number of those."""
+def _edited(docs: DataFrame, min_chars: int, exact_chars: int | None, words: int) -> DataFrame:
+    """(_row, _text, _n): a row of ``docs`` as it is, its text without the lines that go, their number."""
     removed = common.stored(going(docs, min_chars, exact_chars, words), "removed-lines")
     if 8 * (removed.agg(F.sum(F.size("_lines"))).first()[0] or 0) <= common.MAX_BROADCAST_BYTES:
         removed = F.broadcast(removed)
@@ -218,15 +219,19 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None =
     joined = rows.join(removed, F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(2**63 - 1)) == F.col("_doc"), "left")
     kept = F.expr("array_join(filter(split(_row.text, '\n'), (x, i) -> not array_contains(_lines, cast(i as bigint))), '\n')")
     text = F.when(F.col("_lines").isNull(), F.col("_row.text")).otherwise(kept)
-    columns = [text.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c != "n_removed"]
-    return joined.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select("_row", text.alias("_text"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_n"))
+
+
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, words: int = 0) -> DataFrame:
+    """``docs`` with text as it is without the lines that go, and n_removed, the number of those (a column of that name gives way)."""
+    out = _edited(docs, min_chars, exact_chars, words)
+    columns = [F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c != "n_removed"]
+    return out.select(*columns, F.col("_n").alias("n_removed"))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated lines; n_chars, where there is one, follows the text."""
-    names = docs.columns
-    work = docs.withColumnRenamed("n_removed", "_n_removed") if "n_removed" in names else docs
-    out = dedup(work)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col("_n_removed").alias(c) if c == "n_removed" else F.col(f"`{c}`") for c in names))
+    """``docs``, all its columns, without repeated lines; n_chars, where there is one, follows the text."""
+    new = {"text": F.col("_text").alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_n") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")).alias("n_chars")
+    return _edited(docs, MIN_CHARS, None, 0).select(*(new.get(c, F.col(f"_row.`{c}`")) for c in docs.columns))

@@ -30,7 +30,7 @@ def documents(spark, texts, langs=None, extra=False):
     rows = [(i, t, (langs or ["en"] * len(texts))[i], f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, DOCS)
     if extra:  # names that the operators use inside
-        for c in ("_row", "_text", "_lines", "_doc", "_gone", "score", "kept", "n_removed", "part", "component", "rep", "quality", "toxic"):
+        for c in ("_row", "_text", "_lines", "_doc", "_gone", "score", "kept", "n_removed", "_n_removed", "_n", "cls", "h1", "part", "component", "rep", "quality", "toxic"):
             frame = frame.withColumn(c, common.F.lit("x"))
     return frame
 
