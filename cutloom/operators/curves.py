@@ -55,6 +55,35 @@ def value_at(points: DataFrame, curves: DataFrame) -> DataFrame:
     return around.select("owner_id", "frame", value.alias("value"))
 
 
+def remove_keys(curves: DataFrame, gone: DataFrame) -> DataFrame:
+    """Curves without the keys of ``gone`` (owner_id, frame)."""
+    return curves.join(gone.select("owner_id", "frame").distinct(), ["owner_id", "frame"], "left_anti")
+
+
+def move_keys(curves: DataFrame, moves: DataFrame) -> DataFrame:
+    """Keys of ``moves`` (owner_id, frame, to) at their new frames, value and ease kept; a key that was there gives way."""
+    keys = curves.join(moves.select("owner_id", "frame", F.col("to").alias("_to")), ["owner_id", "frame"], "left")
+    moved = keys.where("_to is not null").withColumn("frame", F.col("_to")).drop("_to")
+    rows = keys.where("_to is null").drop("_to").withColumn("_new", F.lit(0)).unionByName(moved.withColumn("_new", F.lit(1)))
+    rest = [c for c in curves.columns if c not in ("owner_id", "frame")]
+    return rows.groupBy("owner_id", "frame").agg(F.max_by(F.struct(*rest), F.struct("_new", *rest)).alias("_r")).select("owner_id", "frame", *(f"_r.{c}" for c in rest))
+
+
+def set_ease(curves: DataFrame, changes: DataFrame) -> DataFrame:
+    """Curves with other eases at the keys of ``changes`` (owner_id, frame, new_ease)."""
+    rows = curves.join(changes.select("owner_id", "frame", "new_ease"), ["owner_id", "frame"], "left").withColumn("ease", F.coalesce("new_ease", "ease"))
+    return rows.select(*curves.columns)
+
+
+def fade_keys(curves: DataFrame, clips: DataFrame, frames: int) -> DataFrame:
+    """Curves with a fade keyed at each clip's (owner_id, src_in, src_out, rate) first frames: 0 there, 1 after ``frames`` timeline frames."""
+    last = F.least(F.col("src_in") + N.floor_long(F.lit(frames) * F.col("rate")), F.col("src_out") - 1)
+    keys = F.array(F.struct(F.col("src_in").alias("frame"), F.lit(0.0).alias("value")), F.struct(last.alias("frame"), F.lit(1.0).alias("value")))
+    fresh = clips.where("src_out - src_in > 1").select("owner_id", F.explode(keys).alias("k")).select("owner_id", "k.frame", "k.value", F.lit("linear").alias("ease"))
+    rest = curves.select("owner_id", "frame", "value", "ease").join(fresh.select("owner_id", "frame"), ["owner_id", "frame"], "left_anti")
+    return rest.unionByName(fresh)
+
+
 def fade_in_length(curves: DataFrame, clips: DataFrame) -> DataFrame:
     """(owner_id, frames): length of the fade keyed at a clip's first source frame; 0 if there is none."""
     keys = curves.join(clips, "owner_id")

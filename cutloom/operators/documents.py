@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .timeline import interval_join
 
 # By effect kind, the parameter and the bound at which it changes nothing.
 NEUTRAL_BELOW = {"blur": ("sigma", 0.0), "sharpen": ("strength", 0.0), "matte": ("strength", 0.001), "flicker": ("strength", 0.001), "restore": ("strength", 0.001), "depthblur": ("strength", 0.001), "look": ("strength", 0.001)}
 NEUTRAL_ALWAYS = ("loop", "blend")
+SECONDS = 10.0  # of captions that are dealt together
 
 
 def caption_at(points: DataFrame, captions: DataFrame) -> DataFrame:
     """Each point's (seq_id, t) caption; spans are closed, and of several the last in the list shows."""
-    hits = points.join(captions, "seq_id").where("start <= t and t <= stop")
+    hits = interval_join(points, captions, ["seq_id"], "t", "start", "stop", width=SECONDS, closed=True)
     shown = hits.groupBy("seq_id", "t").agg(F.max_by(F.struct("ord", "text"), "ord").alias("c")).select("seq_id", "t", "c.*")
     return points.join(shown, ["seq_id", "t"], "left")
 

@@ -82,9 +82,10 @@ def snap_start(moves: DataFrame, targets: DataFrame, snap: int) -> DataFrame:
 
     Targets are (seq_id, pos, target), pos their order.
     """
-    tries = moves.join(targets, "seq_id").withColumn("e", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("target").alias("cand")), F.struct(F.lit(1).alias("side"), (F.col("target") - F.col("len")).alias("cand")))))
-    tries = tries.withColumn("dist", F.abs(F.col("e.cand") - F.col("new_start"))).where(F.col("dist") <= snap)
-    best = tries.groupBy("seq_id", "ord").agg(F.min_by(F.col("e.cand"), F.struct("dist", "pos", "e.side")).alias("cand"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("off")), F.struct(F.lit(1).alias("side"), F.col("len").alias("off")))
+    rows = moves.select("seq_id", "ord", "new_start", F.explode(sides).alias("e")).select("seq_id", "ord", "new_start", "e.*").withColumn("edge", F.col("new_start") + F.col("off"))
+    tries = T.within(rows, targets, ["seq_id"], "edge", "target", snap).withColumn("dist", F.abs(F.col("target") - F.col("edge")))
+    best = tries.groupBy("seq_id", "ord").agg(F.min_by(F.col("target") - F.col("off"), F.struct("dist", "pos", "side")).alias("cand"))
     return moves.join(best, ["seq_id", "ord"], "left").select("seq_id", "ord", F.greatest(F.coalesce("cand", "new_start"), F.lit(0)).alias("start"), F.col("cand").isNotNull().alias("snapped"))
 
 

@@ -9,23 +9,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .curves import asof
 
 BUCKET = 256
 
 
-def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], point: str, low: str, high: str, how: str = "inner", width: int = BUCKET) -> DataFrame:
-    """Points with the spans that cover them (low <= point < high), equal on ``keys``.
+def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], point: str, low: str, high: str, how: str = "inner", width: float = BUCKET, closed: bool = False) -> DataFrame:
+    """Points with the spans that cover them (low <= point < high, or <= high if ``closed``), equal on ``keys``.
 
     Both sides are dealt by key and bucket of ``width``, so a key with very many rows is spread over its buckets and each
     point meets the spans of its bucket only.
     """
-    wide = spans.where(F.col(high) > F.col(low)).withColumn("_to", F.explode(F.sequence(N.floor_long(F.col(low) / width), N.floor_long((F.col(high) - 1) / width))))
+    start, stop = F.col(low), F.col(high)
+    wide = spans.where(stop >= start if closed else stop > start).withColumn("_to", F.explode(F.sequence(N.floor_long(start / width), N.floor_long((stop if closed else stop - 1) / width))))
     wide = wide.withColumnsRenamed({k: f"_to_{k}" for k in keys})
     near = points.withColumn("_bucket", N.floor_long(F.col(point) / width))
-    on = [F.col(k) == F.col(f"_to_{k}") for k in keys] + [F.col("_bucket") == F.col("_to"), F.col(low) <= F.col(point), F.col(point) < F.col(high)]
+    on = [F.col(k) == F.col(f"_to_{k}") for k in keys] + [F.col("_bucket") == F.col("_to"), start <= F.col(point), F.col(point) <= stop if closed else F.col(point) < stop]
     return near.join(wide, on, how).drop("_bucket", "_to", *(f"_to_{k}" for k in keys))
 
 
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """Pairs of rows, equal on ``keys``, whose half-open spans ``a`` of the left and ``b`` of the right overlap; column names must differ.
+
+    Of two spans that overlap one starts inside the other, so these are two interval joins, of pairs that start together the first.
+    """
+    meet = overlap(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))
+    inside = interval_join(left, right, keys, a[0], *b).where(meet)
+    around = interval_join(right, left, keys, b[0], *a).where(meet & (F.col(b[0]) > F.col(a[0])))
+    return inside.unionByName(around)
+
+
+def within(points: DataFrame, marks: DataFrame, keys: list[str], point: str, mark: str, reach: int) -> DataFrame:
+    """Points with the marks that lie at most ``reach`` from them, equal on ``keys``; dealt by key and stretch of twice the reach."""
+    width = max(2 * reach, 1)
+    stretch = lambda c: N.floor_long(c / width)
+    near = points.withColumn("_bucket", F.explode(F.array_distinct(F.array(stretch(F.col(point) - reach), stretch(F.col(point) + reach)))))
+    there = marks.withColumn("_to", stretch(F.col(mark))).withColumnsRenamed({k: f"_to_{k}" for k in keys})
+    on = [F.col(k) == F.col(f"_to_{k}") for k in keys] + [F.col("_bucket") == F.col("_to"), F.abs(F.col(mark) - F.col(point)) <= reach]
+    return near.join(there, on).drop("_bucket", "_to", *(f"_to_{k}" for k in keys))
+
+
 def lengths(clips: DataFrame) -> DataFrame:
     return clips.select("seq_id", "ord", N.source_length().alias("srclength"), N.clip_length().alias("cliplength"), (F.col("start") + N.clip_length()).alias("clipend"))
 
@@ -77,12 +100,58 @@ def locate_frames(clips: DataFrame) -> DataFrame:
 def neighbours(clips: DataFrame) -> DataFrame:
     """For each clip the start of the next and the end of the previous clip on its own lane, null at the ends.
 
-    Clips of a lane may overlap, so this is a range join, not lead and lag.
+    Clips of a lane may overlap, so these are as-of lookups, not lead and lag.  A clip without length would find its own edges;
+    where no other clip has one there, the lookup is from a frame further.
     """
-    other = clips.select(F.col("seq_id"), F.col("track"), F.col("ord").alias("o_ord"), F.col("start").alias("o_start"), F.col("stop").alias("o_stop"))
-    pairs = clips.join(other, ["seq_id", "track"]).where("ord <> o_ord")
-    near = pairs.groupBy("seq_id", "ord").agg(F.min(F.when(F.col("o_start") >= F.col("stop"), F.col("o_start"))).alias("next_start"), F.max(F.when(F.col("o_stop") <= F.col("start"), F.col("o_stop"))).alias("prev_end"))
-    return clips.select("seq_id", "ord", "track").join(near, ["seq_id", "ord"], "left")
+    lane = ["seq_id", "track"]
+    alone = lambda edge: (F.col("stop") == F.col("start")) & (F.count("*").over(Window.partitionBy(*lane, edge)) == 1)
+    rows = clips.select(*lane, "ord", "start", "stop")
+    rows = rows.withColumn("_after", F.col("stop") + alone("start").cast("long")).withColumn("_before", F.col("start") - alone("stop").cast("long")).drop("start", "stop")
+    starts = clips.select(*lane, F.col("start").alias("_after"), F.col("start").alias("next_start"))
+    stops = clips.select(*lane, F.col("stop").alias("_before"), F.col("stop").alias("prev_end"))
+    found = asof(asof(rows, starts, lane, "_after", ["next_start"], forward=True), stops, lane, "_before", ["prev_end"])
+    return found.select("seq_id", "ord", "track", "next_start", "prev_end")
+
+
+def around(points: DataFrame, marks: DataFrame, keys: list[str], point: str, mark: str) -> DataFrame:
+    """Points with ``prev`` and ``nxt``: the last mark before and the first after each, not those at the point itself; whole numbers."""
+    back = marks.select(*keys, F.col(mark).alias("_back"), F.col(mark).alias("prev"))
+    ahead = marks.select(*keys, F.col(mark).alias("_ahead"), F.col(mark).alias("nxt"))
+    rows = points.withColumn("_back", F.col(point) - 1).withColumn("_ahead", F.col(point) + 1)
+    return asof(asof(rows, back, keys, "_back", ["prev"]), ahead, keys, "_ahead", ["nxt"], forward=True).drop("_back", "_ahead")
+
+
+def next_edit(points: DataFrame, clips: DataFrame) -> DataFrame:
+    """Points (seq_id, n) with the edit points (clip edges and frame 0) before and after them."""
+    marks = edges(clips).unionByName(clips.select("seq_id", F.lit(0).cast("long").alias("edge"))).distinct()
+    return around(points, marks, ["seq_id"], "n", "edge")
+
+
+def nearest_cut(points: DataFrame, clips: DataFrame) -> DataFrame:
+    """Points (seq_id, n) with the clip start that is nearest; of equals the earlier."""
+    marks = clips.select("seq_id", F.col("start").alias("at")).distinct()
+    back = marks.select("seq_id", F.col("at").alias("n"), F.col("at").alias("_b"))
+    ahead = marks.select("seq_id", F.col("at").alias("n"), F.col("at").alias("_a"))
+    rows = asof(asof(points, back, ["seq_id"], "n", ["_b"]), ahead, ["seq_id"], "n", ["_a"], forward=True)
+    nearest = F.when(F.col("_a").isNull() | (F.col("n") - F.col("_b") <= F.col("_a") - F.col("n")), F.col("_b")).otherwise(F.col("_a"))
+    return rows.select("seq_id", "n", F.coalesce(nearest, "_a").alias("at"))
+
+
+def edge_at(points: DataFrame, clips: DataFrame, zone: int) -> DataFrame:
+    """(seq_id, n, ord, side, edge): the clip edge nearest to each point, at most ``zone`` away; of equals by list order, ``in`` first."""
+    sides = F.array(F.struct(F.lit("in").alias("side"), F.col("start").alias("edge")), F.struct(F.lit("out").alias("side"), F.col("stop").alias("edge")))
+    edge = clips.select("seq_id", "ord", F.explode(sides).alias("e")).select("seq_id", "ord", "e.*")
+    near = within(points, edge, ["seq_id"], "n", "edge", zone).withColumn("far", F.abs(F.col("edge") - F.col("n")))
+    return near.groupBy("seq_id", "n").agg(F.min_by(F.struct("ord", "side", "edge"), F.struct("far", "ord", "side")).alias("b")).select("seq_id", "n", "b.*")
+
+
+def reader_keys(clips: DataFrame, far: int) -> DataFrame:
+    """(seq_id, a_ord, b_ord, apart, own_reader): clips that show together, how far apart in the source, and whether that is over ``far``."""
+    clips = clips.select("seq_id", "ord", "src_in", "start", "stop", "rate")
+    a, b = (clips.select("seq_id", *(F.col(c).alias(f"{k}_{c}") for c in clips.columns[1:])) for k in "ab")
+    pairs = overlapping(a, b, ["seq_id"], ("a_start", "a_stop"), ("b_start", "b_stop")).where("a_ord < b_ord").withColumn("n", F.greatest("a_start", "b_start"))
+    shows = lambda k: F.col(f"{k}_src_in") + F.when(F.col(f"{k}_rate") == 1.0, F.col("n") - F.col(f"{k}_start")).otherwise(N.floor_long((F.col("n") - F.col(f"{k}_start")) * F.col(f"{k}_rate")))
+    return pairs.withColumn("apart", F.abs(shows("a") - shows("b"))).select("seq_id", "a_ord", "b_ord", "apart", (F.col("apart") > far).alias("own_reader"))
 
 
 def lane_gaps(clips: DataFrame) -> DataFrame:
@@ -110,7 +179,7 @@ def can_place(clips: DataFrame, moves: DataFrame) -> DataFrame:
     """(seq_id, ord, ok) of moves (seq_id, ord, new_start): whether the clip has room there on its lane."""
     moved = moves.join(clips, ["seq_id", "ord"]).select("seq_id", "ord", "track", "new_start", (F.col("new_start") + F.col("len")).alias("new_stop"))
     other = clips.select("seq_id", "track", F.col("ord").alias("o_ord"), F.col("start").alias("o_start"), F.col("stop").alias("o_stop"))
-    hit = moved.join(other, ["seq_id", "track"]).where((F.col("ord") != F.col("o_ord")) & overlap(F.col("new_start"), F.col("new_stop"), F.col("o_start"), F.col("o_stop")))
+    hit = overlapping(moved, other, ["seq_id", "track"], ("new_start", "new_stop"), ("o_start", "o_stop")).where("ord <> o_ord")
     taken = hit.select("seq_id", "ord").distinct().withColumn("taken", F.lit(True))
     return moved.join(taken, ["seq_id", "ord"], "left").select("seq_id", "ord", "new_start", F.col("taken").isNull().alias("ok"))
 
@@ -120,7 +189,9 @@ def free_track(clips: DataFrame, wants: DataFrame) -> DataFrame:
     tops = clips.groupBy("seq_id").agg(F.max("track").alias("top"))
     tries = wants.join(tops, "seq_id").withColumn("want", F.greatest("want", F.lit(1))).withColumn("lane", F.explode(F.sequence(F.least("want", F.col("top") + 1), F.col("top") + 1)))
     other = clips.select("seq_id", F.col("track").alias("lane"), "start", "stop")
-    free = tries.join(other, (tries.seq_id == other.seq_id) & (tries.lane == other.lane) & (F.col("at") < F.col("stop")) & (F.col("start") < F.col("at") + F.col("length")), "left_anti")
+    spans = tries.select("seq_id", "lane", "at", "length", (F.col("at") + F.col("length")).alias("until")).distinct()
+    taken = overlapping(spans, other, ["seq_id", "lane"], ("at", "until"), ("start", "stop")).select("seq_id", "lane", "at", "length").distinct()
+    free = tries.join(taken, ["seq_id", "lane", "at", "length"], "left_anti")
     return free.groupBy("seq_id", "at", "length").agg(F.min("lane").alias("lane"))
 
 

@@ -58,9 +58,33 @@ def upsert_keys(spark, d):
 @query(f"WITH {CURVES} SELECT p.owner_id, p.frame, max(k.frame) FILTER (k.frame < p.frame) AS prev, min(k.frame) FILTER (k.frame > p.frame) AS nxt FROM (SELECT owner_id, max(frame) // 2 AS frame FROM curves GROUP BY owner_id) p JOIN curves k USING (owner_id) GROUP BY ALL")
 def next_key(spark, d):
     keys = S.curves(spark, d)
-    points = keys.groupBy("owner_id").agg(N.div(F.max("frame"), 2).alias("p"))
-    near = keys.join(points, "owner_id").groupBy("owner_id", "p").agg(F.max(F.when(F.col("frame") < F.col("p"), F.col("frame"))).alias("prev"), F.min(F.when(F.col("frame") > F.col("p"), F.col("frame"))).alias("nxt"))
-    return near.withColumnRenamed("p", "frame")
+    points = keys.groupBy("owner_id").agg(N.div(F.max("frame"), 2).alias("frame"))
+    return T.around(points, keys, ["owner_id"], "frame", "frame").select("owner_id", "frame", "prev", "nxt")
+
+
+@query(f"WITH {CURVES} SELECT owner_id, frame, value, ease FROM curves WHERE frame % 4 <> 0")
+def remove_keys(spark, d):
+    keys = S.curves(spark, d).select("owner_id", "frame", "value", "ease")
+    return K.remove_keys(keys, keys.where("frame % 4 = 0"))
+
+
+@query(f"WITH {CURVES}, r AS (SELECT owner_id, CASE WHEN frame % 5 = 0 THEN frame + 3 ELSE frame END AS frame, value, ease, frame % 5 = 0 AS moved FROM curves) SELECT owner_id, frame, value, ease FROM r QUALIFY row_number() OVER (PARTITION BY owner_id, frame ORDER BY moved DESC) = 1")
+def move_keys(spark, d):
+    keys = S.curves(spark, d).select("owner_id", "frame", "value", "ease")
+    return K.move_keys(keys, keys.where("frame % 5 = 0").withColumn("to", F.col("frame") + 3))
+
+
+@query(f"WITH {CURVES} SELECT owner_id, frame, value, CASE WHEN frame % 2 = 0 THEN 'hold' ELSE ease END AS ease FROM curves")
+def set_ease(spark, d):
+    keys = S.curves(spark, d).select("owner_id", "frame", "value", "ease")
+    return K.set_ease(keys, keys.where("frame % 2 = 0").select("owner_id", "frame", F.lit("hold").alias("new_ease")))
+
+
+@query(f"WITH {CURVES}, c AS (SELECT owner_id, min(frame) AS src_in, max(frame) AS src_out FROM curves GROUP BY owner_id HAVING max(frame) - min(frame) > 1), f AS (SELECT owner_id, src_in AS frame, 0.0 AS value FROM c UNION ALL SELECT owner_id, least(src_in + 15, src_out - 1), 1.0 FROM c) SELECT owner_id, frame, CAST(coalesce(f.value, k.value) AS DOUBLE) AS value, CASE WHEN f.value IS NULL THEN k.ease ELSE 'linear' END AS ease FROM curves k FULL JOIN f USING (owner_id, frame)")
+def fade_keys(spark, d):
+    keys = S.curves(spark, d)
+    spans = keys.groupBy("owner_id").agg(F.min("frame").alias("src_in"), F.max("frame").alias("src_out")).withColumn("rate", F.lit(0.5))
+    return K.fade_keys(keys, spans, 30)
 
 
 @query(f"WITH {CURVES}, c AS (SELECT owner_id, min(frame) AS src_in, count(*) AS n, arg_min(value, frame) AS v0, min(frame) FILTER (value > 98) AS hi FROM curves GROUP BY owner_id) SELECT owner_id, CAST(CASE WHEN n >= 2 AND v0 / 100 < 0.02 AND hi IS NOT NULL THEN floor((hi - src_in + 1) / 0.5) ELSE 0 END AS BIGINT) AS frames FROM c")
@@ -84,27 +108,27 @@ def packet_index(spark, d):
     return M.packet_index(S.packets(spark, d))
 
 
-@query(f"WITH {INDEX}, want AS (SELECT source_id, unnest(range(0, 400, 7)) AS frame FROM (SELECT DISTINCT source_id FROM idx)) SELECT w.source_id, w.frame, CAST(coalesce(i.t, w.frame / 30.0) AS DOUBLE) AS t FROM want w LEFT JOIN idx i USING (source_id, frame)")
+@query(f"WITH {INDEX}, want AS (SELECT source_id, unnest(range(0, max(frame) + 4)) AS frame FROM idx GROUP BY source_id) SELECT w.source_id, w.frame, CAST(coalesce(i.t, w.frame / 30.0) AS DOUBLE) AS t FROM want w LEFT JOIN idx i USING (source_id, frame)")
 def frame_time(spark, d):
     index = M.packet_index(S.packets(spark, d))
-    want = index.select("source_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long"), F.lit(7).cast("long"))))
+    want = index.groupBy("source_id").agg((F.max("frame") + 3).alias("last")).select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame"))
     return want.join(index, ["source_id", "frame"], "left").select("source_id", "frame", F.coalesce("t", F.col("frame") / 30.0).alias("t"))
 
 
-ASOF = f"{INDEX}, want AS (SELECT source_id, t + 1000.5 AS t FROM idx WHERE frame % 5 = 0)"
+ASOF = f"{INDEX}, want AS (SELECT source_id, t + 1000.5 AS t FROM idx)"
 
 
 @query(f"WITH {ASOF}, x AS (SELECT DISTINCT source_id, t FROM want) SELECT x.source_id, x.t, coalesce(i.frame, 0) AS frame FROM x ASOF LEFT JOIN (SELECT source_id, t, max(frame) AS frame FROM idx GROUP BY ALL) i ON x.source_id = i.source_id AND x.t + 0.000001 >= i.t")
 def asof_frame(spark, d):
     index = M.packet_index(S.packets(spark, d))
-    want = index.where("frame % 5 = 0").select("source_id", (F.col("t") + 1000.5).alias("t0")).distinct().withColumn("t", F.col("t0") + 1e-6)
+    want = index.select("source_id", (F.col("t") + 1000.5).alias("t0")).distinct().withColumn("t", F.col("t0") + 1e-6)
     return K.asof(want, index, ["source_id"], "t", ["frame"]).select("source_id", F.col("t0").alias("t"), F.coalesce("frame", F.lit(0)).cast("long").alias("frame"))
 
 
 @query(f"WITH {ASOF}, x AS (SELECT DISTINCT source_id, t FROM want) SELECT x.source_id, x.t, CAST(coalesce(i.t, 0.0) AS DOUBLE) AS key_t FROM x ASOF LEFT JOIN (SELECT DISTINCT source_id, t FROM idx WHERE is_key) i ON x.source_id = i.source_id AND x.t >= i.t")
 def asof_keyframe(spark, d):
     index = M.packet_index(S.packets(spark, d))
-    want = index.where("frame % 5 = 0").select("source_id", (F.col("t") + 1000.5).alias("t")).distinct()
+    want = index.select("source_id", (F.col("t") + 1000.5).alias("t")).distinct()
     keys = index.where("is_key").select("source_id", "t", F.col("t").alias("key_t"))
     return K.asof(want, keys, ["source_id"], "t", ["key_t"]).select("source_id", "t", F.coalesce("key_t", F.lit(0.0)).alias("key_t"))
 
@@ -114,20 +138,20 @@ def gop_index(spark, d):
     return M.gops(M.packet_index(S.packets(spark, d)))
 
 
-@query(f"WITH {GOPS}, want AS (SELECT source_id, unnest(range(-1, 300, 13)) AS frame FROM (SELECT DISTINCT source_id FROM idx)), m AS (SELECT source_id, min(gop) AS lo, max(gop) AS hi FROM gops GROUP BY ALL) SELECT w.source_id, w.frame, CASE WHEN w.frame < 0 THEN lo ELSE coalesce(g.gop, hi) END AS gop FROM want w JOIN m USING (source_id) LEFT JOIN gops g ON g.source_id = w.source_id AND g.firstframe <= w.frame AND w.frame < g.firstframe + g.nframes")
+@query(f"WITH {GOPS}, want AS (SELECT source_id, unnest(range(-1, max(frame) + 4)) AS frame FROM idx GROUP BY source_id), m AS (SELECT source_id, min(gop) AS lo, max(gop) AS hi FROM gops GROUP BY ALL) SELECT w.source_id, w.frame, CASE WHEN w.frame < 0 THEN lo ELSE coalesce(g.gop, hi) END AS gop FROM want w JOIN m USING (source_id) LEFT JOIN gops g ON g.source_id = w.source_id AND g.firstframe <= w.frame AND w.frame < g.firstframe + g.nframes")
 def gop_of(spark, d):
     runs = M.gops(M.packet_index(S.packets(spark, d))).withColumn("stop", F.col("firstframe") + F.col("nframes"))
-    ends = runs.groupBy("source_id").agg(F.min("gop").alias("lo"), F.max("gop").alias("hi"))
-    want = ends.withColumn("frame", F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(299).cast("long"), F.lit(13).cast("long"))))
+    ends = runs.groupBy("source_id").agg(F.min("gop").alias("lo"), F.max("gop").alias("hi"), (F.max("stop") + 2).alias("last"))
+    want = ends.withColumn("frame", F.explode(F.sequence(F.lit(-1).cast("long"), "last"))).drop("last")
     hit = T.interval_join(want, runs.select("source_id", "gop", "firstframe", "stop"), ["source_id"], "frame", "firstframe", "stop", "left")
     return hit.select("source_id", "frame", F.when(F.col("frame") < 0, F.col("lo")).otherwise(F.coalesce("gop", "hi")).alias("gop"))
 
 
-@query(f"WITH {INDEX} SELECT w.source_id, w.frame AS want, arg_min(r.frame, (abs(r.frame - w.frame), r.frame)) AS frame FROM idx w JOIN idx r ON w.source_id = r.source_id AND r.frame % 4 = 0 AND abs(r.frame - w.frame) <= 4 WHERE w.frame % 7 = 3 GROUP BY ALL")
+@query(f"WITH {INDEX} SELECT w.source_id, w.frame AS want, arg_min(r.frame, (abs(r.frame - w.frame), r.frame)) AS frame FROM idx w JOIN idx r ON w.source_id = r.source_id AND r.frame % 4 = 0 AND abs(r.frame - w.frame) <= 4 GROUP BY ALL")
 def nearest_resident(spark, d):
     index = M.packet_index(S.packets(spark, d))
     held = index.where("frame % 4 = 0").select("source_id", "frame")
-    want = index.where("frame % 7 = 3").select("source_id", F.col("frame").alias("want"), F.explode(F.sequence(F.col("frame") - 4, F.col("frame") + 4)).alias("frame"))
+    want = index.select("source_id", F.col("frame").alias("want"), F.explode(F.sequence(F.col("frame") - 4, F.col("frame") + 4)).alias("frame"))
     return want.join(held, ["source_id", "frame"]).groupBy("source_id", "want").agg(F.min_by("frame", F.struct(F.abs(F.col("frame") - F.col("want")), F.col("frame"))).alias("frame"))
 
 

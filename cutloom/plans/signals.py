@@ -82,19 +82,20 @@ def prune_links(spark, d):
     return _links(spark, d).where("not found").groupBy("src_clip").agg(F.count("*").alias("dropped"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 97 AS src, (c_custkey * 7 + c_nationkey) % 97 AS dst FROM customer WHERE c_custkey % 5 = 0), walk AS (SELECT src AS start, src AS node, 0 AS step FROM (SELECT DISTINCT src FROM e) UNION SELECT w.start, e.dst, w.step + 1 FROM walk w JOIN e ON w.node = e.src WHERE w.step < 4) SELECT DISTINCT start, node FROM walk WHERE start <> node")
-def link_chain(spark, d):
-    cust = S.table(spark, d, "customer").where("c_custkey % 5 = 0")
-    edges = cust.select((F.col("c_custkey") % 97).alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 97).alias("dst")).distinct()
-    return D.link_chain(edges, edges.select(F.col("src").alias("node")).distinct(), 4)
+CHAIN = "WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 97 AS src, (c_custkey * 7 + c_nationkey) % 97 AS dst FROM customer), walk AS (SELECT DISTINCT src AS start, src AS node FROM e UNION SELECT w.start, e.dst FROM walk w JOIN e ON w.node = e.src) SELECT start, node FROM walk WHERE start <> node"
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 97 AS src, (c_custkey * 7 + c_nationkey) % 97 AS dst FROM customer), walk AS (SELECT DISTINCT src AS start, src AS node FROM e UNION SELECT w.start, e.dst FROM walk w JOIN e ON w.node = e.src) SELECT start, node FROM walk WHERE start <> node")
-def link_chain_whole(spark, d):
+@query(CHAIN)
+def link_chain(spark, d):
     edges = S.table(spark, d, "customer").select((F.col("c_custkey") % 97).alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 97).alias("dst"))
     return D.link_chain(edges, edges.select(F.col("src").alias("node")))
 
 
+@query(CHAIN)
+def link_chain_whole(spark, d):
+    return link_chain(spark, d)
+
+
 @query("SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 0.5 ELSE p_retailprice END AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, CAST(1.0 AS DOUBLE) AS opacity FROM part")
 def overlay_state(spark, d):
     part = S.table(spark, d, "part").withColumn("overlay_id", F.col("p_partkey"))

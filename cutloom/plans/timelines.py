@@ -256,26 +256,19 @@ def move_clip(spark, d):
 @query(f"WITH {edl()}, e AS (SELECT DISTINCT seq_id, edge FROM (SELECT seq_id, start AS edge FROM clips UNION SELECT seq_id, stop FROM clips UNION SELECT seq_id, 0 FROM clips)) SELECT c.seq_id, c.start + 2 AS n, max(edge) FILTER (edge < c.start + 2) AS prev, min(edge) FILTER (edge > c.start + 2) AS nxt FROM (SELECT DISTINCT seq_id, start FROM clips) c JOIN e ON c.seq_id = e.seq_id GROUP BY ALL")
 def next_edit(spark, d):
     clips = S.clips(spark, d)
-    edge = T.edges(clips).union(clips.select("seq_id", F.lit(0).cast("long"))).distinct()
-    points = clips.select("seq_id", (F.col("start") + 2).alias("n")).distinct()
-    return points.join(edge, "seq_id").groupBy("seq_id", "n").agg(F.max(F.when(F.col("edge") < F.col("n"), F.col("edge"))).alias("prev"), F.min(F.when(F.col("edge") > F.col("n"), F.col("edge"))).alias("nxt"))
+    return T.next_edit(clips.select("seq_id", (F.col("start") + 2).alias("n")).distinct(), clips)
 
 
 @query(f"WITH {edl()}, {CUTS} SELECT p.seq_id, p.n, arg_min(at, (abs(at - p.n), at)) AS at FROM (SELECT seq_id, max(stop) // 3 AS n FROM clips GROUP BY seq_id) p JOIN (SELECT DISTINCT seq_id, start AS at FROM clips) c USING (seq_id) GROUP BY ALL")
 def nearest_cut(spark, d):
     clips = S.clips(spark, d)
-    points = clips.groupBy("seq_id").agg(N.div(F.max("stop"), 3).alias("n"))
-    rows = points.join(clips.select("seq_id", F.col("start").alias("at")).distinct(), "seq_id")
-    return rows.groupBy("seq_id", "n").agg(F.min_by("at", F.struct(F.abs(F.col("at") - F.col("n")), F.col("at"))).alias("at"))
+    return T.nearest_cut(clips.groupBy("seq_id").agg(N.div(F.max("stop"), 3).alias("n")), clips)
 
 
 @query(f"WITH {edl('tracks')}, pts AS (SELECT DISTINCT seq_id, start + 1 AS n FROM clips), e AS (SELECT seq_id, ord, 'in' AS side, start AS edge FROM clips UNION ALL SELECT seq_id, ord, 'out', stop FROM clips) SELECT p.seq_id, p.n, e.ord, e.side, e.edge FROM pts p JOIN e ON p.seq_id = e.seq_id AND abs(e.edge - p.n) <= 3 QUALIFY row_number() OVER (PARTITION BY p.seq_id, p.n ORDER BY abs(e.edge - p.n), e.ord, e.side) = 1")
 def edge_at(spark, d):
     clips = S.clips(spark, d, "tracks")
-    edge = clips.select("seq_id", "ord", F.explode(F.array(F.struct(F.lit("in").alias("side"), F.col("start").alias("edge")), F.struct(F.lit("out").alias("side"), F.col("stop").alias("edge")))).alias("e")).select("seq_id", "ord", "e.*")
-    points = clips.select("seq_id", (F.col("start") + 1).alias("n")).distinct()
-    near = points.join(edge, "seq_id").withColumn("far", F.abs(F.col("edge") - F.col("n"))).where("far <= 3")
-    return near.groupBy("seq_id", "n").agg(F.min_by(F.struct("ord", "side", "edge"), F.struct("far", "ord", "side")).alias("b")).select("seq_id", "n", "b.*")
+    return T.edge_at(clips.select("seq_id", (F.col("start") + 1).alias("n")).distinct(), clips, 3)
 
 
 @query(f"WITH {edl('tracks')} SELECT seq_id, ord, start - min(start) OVER (PARTITION BY seq_id) + 100 AS start FROM clips WHERE ord < 3")
@@ -293,8 +286,4 @@ def append_source(spark, d):
 
 @query(f"WITH {edl('tracks')}, p AS (SELECT a.seq_id, a.ord AS a_ord, b.ord AS b_ord, greatest(a.start, b.start) AS n, a.src_in AS ai, a.start AS s1, a.rate AS r1, b.src_in AS bi, b.start AS s2, b.rate AS r2 FROM clips a JOIN clips b ON a.seq_id = b.seq_id AND a.ord < b.ord AND a.start < b.stop AND b.start < a.stop), f AS (SELECT *, CASE WHEN r1 = 1 THEN ai + n - s1 ELSE ai + CAST(floor((n - s1) * r1) AS BIGINT) END AS fa, CASE WHEN r2 = 1 THEN bi + n - s2 ELSE bi + CAST(floor((n - s2) * r2) AS BIGINT) END AS fb FROM p) SELECT seq_id, a_ord, b_ord, abs(fa - fb) AS apart, abs(fa - fb) > 20 AS own_reader FROM f")
 def reader_key(spark, d):
-    clips = S.clips(spark, d, "tracks").select("seq_id", "ord", "src_in", "start", "stop", "rate")
-    a, b = (clips.select("seq_id", *(F.col(c).alias(f"{k}_{c}") for c in clips.columns[1:])) for k in "ab")
-    pairs = a.join(b, "seq_id").where("a_ord < b_ord").where(T.overlap(F.col("a_start"), F.col("a_stop"), F.col("b_start"), F.col("b_stop"))).withColumn("n", F.greatest("a_start", "b_start"))
-    shows = lambda k: F.col(f"{k}_src_in") + F.when(F.col(f"{k}_rate") == 1.0, F.col("n") - F.col(f"{k}_start")).otherwise(N.floor_long((F.col("n") - F.col(f"{k}_start")) * F.col(f"{k}_rate")))
-    return pairs.withColumn("apart", F.abs(shows("a") - shows("b"))).select("seq_id", "a_ord", "b_ord", "apart", (F.col("apart") > 20).alias("own_reader"))
+    return T.reader_keys(S.clips(spark, d, "tracks"), 20)

@@ -89,8 +89,8 @@ def write_frames(frames: DataFrame, path: str, *keys: str) -> None:
     frames.repartitionByRange(*keys, "frame").sortWithinPartitions(*keys, "frame").write.mode("overwrite").parquet(path)
 
 
-def decimated(frames: DataFrame, fps: float, to_fps: float) -> DataFrame:
-    """The frames that a lower rate shows, renumbered."""
+def decimated(frames: DataFrame, fps: float, to_fps: float, *keys: str) -> DataFrame:
+    """The frames that a lower rate shows, renumbered; ``keys`` tell sequences apart."""
     n = F.floor(F.col("frame") * to_fps / fps).cast("long")
-    first = frames.withColumn("_n", n).groupBy("_n").agg(F.min("frame").alias("frame"))
-    return frames.join(first, "frame").withColumn("frame", F.col("_n")).drop("_n")
+    first = frames.withColumn("_n", n).groupBy(*keys, "_n").agg(F.min("frame").alias("frame"))
+    return frames.join(first, [*keys, "frame"]).withColumn("frame", F.col("_n")).drop("_n")
