@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .lineage import cut
 
 
 def deoutlier(series: DataFrame, keys: list[str], at: str, value: str, half: int, threshold: float) -> DataFrame:
@@ -54,13 +55,46 @@ def low_pass_coefficients(cutoff: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array([w * w * n, 2 * w * w * n, w * w * n]), np.array([1.0, 2 * (w * w - 1) * n, (1 - np.sqrt(2) * w + w * w) * n])
 
 
-def _once(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    z1, z2 = (1 - b[0]) * x[0], (b[2] - a[2]) * x[0]  # the state a constant first value leaves
-    y = np.empty_like(x)
-    for i, v in enumerate(x):
-        y[i] = b[0] * v + z1
-        z1, z2 = b[1] * v - a[1] * y[i] + z2, b[2] * v - a[2] * y[i]
-    return y
+def _system(cutoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The low-pass as a state: y = b[0] x + z[0] and z' = step z + enter x; with its coefficients b and a."""
+    b, a = low_pass_coefficients(cutoff)
+    return b, a, np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+
+
+def _respond(x: np.ndarray, cutoff: float, state: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """What the low-pass answers from a state, and the state it ends in; blocks are matrix products, the state goes from block to block."""
+    b, _, step, enter = _system(cutoff)
+    block = max(1, min(block, len(x)))
+    reach = np.empty((block + 1, 2, 2))
+    reach[0] = np.eye(2)
+    for k in range(block):
+        reach[k + 1] = step @ reach[k]
+    impulse = np.concatenate(([b[0]], (reach[: block - 1] @ enter)[:, 0]))
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    rows = np.zeros((-(-len(x) // block), block))
+    rows.flat[: len(x)] = x
+    y = rows @ np.where(lag >= 0, impulse[np.abs(lag)], 0.0).T
+    gained = rows @ (reach[block - 1 :: -1] @ enter)
+    for k in range(len(rows)):
+        y[k] += reach[:block, 0] @ state
+        rest = len(x) - k * block
+        if rest < block:  # the last block is not full: only its own samples move the state
+            state = reach[rest] @ state + x[k * block :] @ (reach[rest - 1 :: -1] @ enter)
+        else:
+            state = reach[block] @ state + gained[k]
+    return y.ravel()[: len(x)], state
+
+
+def _settled(v: float, cutoff: float) -> np.ndarray:
+    """The state that a constant value leaves."""
+    b, a = low_pass_coefficients(cutoff)
+    return np.array([(1 - b[0]) * v, (b[2] - a[2]) * v])
+
+
+def _mirrored(head: np.ndarray, tail: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nine samples before the first and after the last, mirrored through them."""
+    pad = min(9, n - 1)
+    return 2 * head[0] - head[pad:0:-1], 2 * tail[-1] - tail[-2 : -pad - 2 : -1]
 
 
 def zero_phase(x: np.ndarray, cutoff: float) -> np.ndarray:
@@ -68,59 +102,119 @@ def zero_phase(x: np.ndarray, cutoff: float) -> np.ndarray:
     x = np.asarray(x, np.float64)
     if len(x) < 3:
         return x.copy()
-    b, a = low_pass_coefficients(cutoff)
-    pad = min(9, len(x) - 1)
-    wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
-    return _once(_once(wide, b, a)[::-1], b, a)[::-1][pad : pad + len(x)]
+    before, after = _mirrored(x, x, len(x))
+    wide = np.concatenate((before, x, after))
+    there = _respond(wide, cutoff, _settled(wide[0], cutoff))[0][::-1]
+    return _respond(there, cutoff, _settled(there[0], cutoff))[0][::-1][len(before) : len(before) + len(x)]
 
 
-def smoothed(series: DataFrame, key: str, at: str, columns: list[str], cutoff: float, fps: float) -> DataFrame:
-    """``<column>_low`` per group: each column through the zero-phase low-pass."""
+def smoothed(series: DataFrame, key: str, at: str, columns: list[str], cutoff: float, fps: float, width: int = 10_000) -> DataFrame:
+    """``<column>_low`` per group: each column through the zero-phase low-pass; groups of under three rows stay as they are.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(at)
-        out = rows[[key, at]].copy()
-        for c in columns:
-            out[f"{c}_low"] = zero_phase(rows[c].to_numpy(), 2 * cutoff / fps)
+    Rows are dealt by group and stretch of ``width`` in ``at`` (whole numbers), so a group with very many rows is spread over its
+    stretches.  The filter is linear: a stretch tells what it adds to the states that enter it from either side, one row a stretch;
+    those rows are chained per group, and each stretch is then filtered between the states it was given.
+    """
+    share = 2 * cutoff / fps
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema}
+    rows = series.select(key, at, *columns).withColumn("_s", N.floor_long(F.col(at) / width))
+    step = _system(share)[2]
+    nothing = np.zeros(2)
+
+    def told(stretch: pd.DataFrame) -> pd.DataFrame:
+        stretch = stretch.sort_values(at)
+        free = np.array([1.0, 0.0])  # what is left of each entering state, forward, as the backward filter sees it
+        one, two = (_respond(np.zeros(len(stretch)), share, z)[0] for z in (free, free[::-1]))
+        out = {key: stretch[key].iloc[:1], "_s": stretch["_s"].iloc[:1], "n": len(stretch), "echo": [np.concatenate([_respond(y[::-1], share, nothing)[1] for y in (one, two)])]}
+        x = [stretch[c].to_numpy(np.float64) for c in columns]
+        ahead = [_respond(v, share, nothing) for v in x]
+        out |= {"head": [np.concatenate([v[:10] for v in x])], "tail": [np.concatenate([v[-10:] for v in x])], "left": [np.concatenate([s for _, s in ahead])]}
+        return pd.DataFrame(out | {"right": [np.concatenate([_respond(y[::-1], share, nothing)[1] for y, _ in ahead])]})
+
+    def chained(stretches: pd.DataFrame) -> pd.DataFrame:
+        stretches = stretches.sort_values("_s")
+        n, total, many = stretches["n"].to_numpy(), int(stretches["n"].sum()), len(stretches)
+        enter = np.zeros((many, len(columns), 2, 2))  # stretch, column, from the left or the right, state
+        powers = {m: np.linalg.matrix_power(step, int(m)) for m in set(n.tolist())}
+        for c in range(len(columns) if total >= 3 else 0):
+            part = lambda name: [v.reshape(len(columns), -1)[c] for v in stretches[name]]  # noqa: B023, E731
+            before, after = _mirrored(np.concatenate(part("head")[:10]), np.concatenate(part("tail")[-10:]), total)
+            state = _respond(before, share, _settled(before[0], share))[1]
+            for k, added in enumerate(part("left")):
+                enter[k, c, 0] = state
+                state = powers[n[k]] @ state + added
+            back = _respond(after, share, state)[0][::-1]
+            state = _respond(back, share, _settled(back[0], share))[1]
+            added = part("right")
+            for k in range(many - 1, -1, -1):
+                enter[k, c, 1] = state
+                echo = stretches["echo"].iloc[k].reshape(2, 2).T @ enter[k, c, 0]
+                state = powers[n[k]] @ state + added[k] + echo
+        return pd.DataFrame({key: stretches[key], "_s": stretches["_s"], "total": total, "enter": list(enter.reshape(many, -1))})
+
+    def run(stretch: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        stretch = stretch.sort_values(at)
+        out = stretch[[key, at]].copy()
+        enter = states["enter"].iloc[0].reshape(len(columns), 2, 2)
+        for c, (left, right) in zip(columns, enter, strict=True):
+            x = stretch[c].to_numpy(np.float64)
+            out[f"{c}_low"] = x if states["total"].iloc[0] < 3 else _respond(_respond(x, share, left)[0][::-1], share, right)[0][::-1]
         return out
 
-    kinds = {f.name: f.dataType.simpleString() for f in series.schema}
+    doubles = ", ".join(f"{c} array<double>" for c in ("head", "tail", "left", "right", "echo"))
+    parts = rows.groupBy(key, "_s").applyInPandas(told, f"{key} {kinds[key]}, _s long, n long, {doubles}")
+    states = parts.groupBy(key).applyInPandas(chained, f"{key} {kinds[key]}, _s long, total long, enter array<double>")
     schema = ", ".join([f"{key} {kinds[key]}", f"{at} {kinds[at]}"] + [f"{c}_low double" for c in columns])
-    return series.select(key, at, *columns).groupBy(key).applyInPandas(run, schema)
+    return rows.groupBy(key, "_s").cogroup(states.groupBy(key, "_s")).applyInPandas(run, schema)
 
 
-def bundle_adjust(tracks: DataFrame, group: str, rounds: int = 10, huber: float = 1.0) -> DataFrame:
-    """Per group and frame the similarity (a, b, tx, ty) that takes tracked points (track, frame, x, y) to common places.
+def color_track(stats: DataFrame, key: str, at: str, mean: str, std: str, cutoff: float, fps: float, fewest: int = 24) -> DataFrame:
+    """(key, at, gain, offset): what takes a frame's mean and deviation to their zero-phase smoothed targets; groups of under ``fewest`` frames have none."""
+    enough = stats.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= fewest).select(key)
+    rows = stats.join(enough, key)
+    low = smoothed(rows, key, at, [mean, std], cutoff, fps)
+    gain, offset = gain_offset(mean, std, f"{mean}_low", f"{std}_low")
+    return rows.join(low, [key, at]).select(key, at, gain.alias("gain"), offset.alias("offset"))
 
-    Alternates weighted least squares per frame (large residuals count less) with weighted means per point; frame 0 of the group stays as it is.
-    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        frames, f = np.unique(rows.frame.to_numpy(), return_inverse=True)
-        _, p = np.unique(rows.track.to_numpy(), return_inverse=True)
-        x, y = rows.x.to_numpy(float), rows.y.to_numpy(float)
-        t = np.tile([1.0, 0, 0, 0], (len(frames), 1))
-        px = np.bincount(p, x) / np.bincount(p)
-        py = np.bincount(p, y) / np.bincount(p)
-        for _ in range(rounds):
-            ux, uy = t[f, 0] * x - t[f, 1] * y + t[f, 2], t[f, 1] * x + t[f, 0] * y + t[f, 3]
-            r = np.hypot(ux - px[p], uy - py[p])
-            w = np.where(r <= huber, 1.0, huber / np.maximum(r, 1e-12))
-            for k in range(1, len(frames)):
-                at = f == k
-                if at.sum() < 2:
-                    continue
-                n = at.sum()
-                m = np.zeros((2 * n, 4))
-                m[:n] = np.c_[x[at], -y[at], np.ones(n), np.zeros(n)]
-                m[n:] = np.c_[y[at], x[at], np.zeros(n), np.ones(n)]
-                s = np.sqrt(np.tile(w[at], 2))
-                t[k] = np.linalg.lstsq(m * s[:, None], np.concatenate((px[p[at]], py[p[at]])) * s, rcond=None)[0]
-            ux, uy = t[f, 0] * x - t[f, 1] * y + t[f, 2], t[f, 1] * x + t[f, 0] * y + t[f, 3]
-            px, py = np.bincount(p, w * ux) / np.bincount(p, w), np.bincount(p, w * uy) / np.bincount(p, w)
-        return pd.DataFrame({group: rows[group].iloc[0], "frame": frames, "a": t[:, 0], "b": t[:, 1], "tx": t[:, 2], "ty": t[:, 3]})
-
-    return tracks.groupBy(group).applyInPandas(run, f"{group} long, frame long, a double, b double, tx double, ty double")
+def bundle_adjust(tracks: DataFrame, group: str, rounds: int = 25, huber: float = 1.5) -> DataFrame:
+    """Per group and frame the similarity (a, b, tx, ty) that takes tracked points (track, frame, x, y) to their common places.
+
+    Alternates two least squares in which residuals over ``huber`` count less: each frame's similarity of the common places to its points,
+    from sums per frame, and each common place from sums per track.  The first frame of a group stays as it is, frames of under
+    three points stay at the identity.  What is returned are the inverses.  Sums combine before the shuffle, and the places are cut
+    from their lineage each round, so a group is spread over its frames and tracks.
+    """
+    col = F.col
+    first = tracks.groupBy(group).agg(F.min("frame").alias("_first"))
+    points = cut(tracks.select(group, "frame", "track", col("x").cast("double").alias("x"), col("y").cast("double").alias("y")).join(first, group))
+    places = points.groupBy(group, "track").agg(F.avg("x").alias("px"), F.avg("y").alias("py"))
+    here = points.select(group, "frame").distinct().select(group, "frame", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"))
+
+    def weighted(rows: DataFrame) -> DataFrame:
+        far = F.hypot(col("a") * col("px") - col("b") * col("py") + col("tx") - col("x"), col("b") * col("px") + col("a") * col("py") + col("ty") - col("y"))
+        return rows.withColumn("w", F.when(far <= huber, 1.0).otherwise(huber / far))
+
+    def solved(rows: DataFrame) -> DataFrame:
+        total = lambda e: F.sum(col("w") * e)
+        sums = {"w": F.lit(1.0), "x": col("px"), "y": col("py"), "u": col("x"), "v": col("y"), "xx": col("px") * col("px") + col("py") * col("py"), "p": col("px") * col("x") + col("py") * col("y"), "q": col("px") * col("y") - col("py") * col("x")}
+        s = rows.groupBy(group, "frame").agg(F.count("*").alias("n"), F.max(col("frame") == col("_first")).alias("fixed"), *(F.first(c).alias(f"_{c}") for c in ("a", "b", "tx", "ty")), *(total(e).alias(f"s{k}") for k, e in sums.items()))
+        spread = col("sxx") - (col("sx") * col("sx") + col("sy") * col("sy")) / col("sw")
+        s = s.withColumn("a", (col("sp") - (col("sx") * col("su") + col("sy") * col("sv")) / col("sw")) / spread).withColumn("b", (col("sq") - (col("sx") * col("sv") - col("sy") * col("su")) / col("sw")) / spread)
+        s = s.withColumn("tx", (col("su") - col("a") * col("sx") + col("b") * col("sy")) / col("sw")).withColumn("ty", (col("sv") - col("b") * col("sx") - col("a") * col("sy")) / col("sw"))
+        keep = col("fixed") | (col("n") < 3) | (spread <= 1e-12 * col("sxx"))
+        return s.select(group, "frame", *(F.when(keep, col(f"_{c}")).otherwise(col(c)).alias(c) for c in ("a", "b", "tx", "ty")))
+
+    for _ in range(rounds):
+        seen = points.join(places, [group, "track"])
+        here = cut(solved(weighted(seen.join(here, [group, "frame"]))))
+        g = col("a") * col("a") + col("b") * col("b")
+        u, v = col("x") - col("tx"), col("y") - col("ty")
+        sums = weighted(seen.join(here, [group, "frame"])).groupBy(group, "track").agg(F.sum(col("w") * g).alias("g"), F.sum(col("w") * (col("a") * u + col("b") * v)).alias("sx"), F.sum(col("w") * (col("a") * v - col("b") * u)).alias("sy"))
+        places = cut(sums.select(group, "track", (col("sx") / col("g")).alias("px"), (col("sy") / col("g")).alias("py")))
+    size = col("a") * col("a") + col("b") * col("b")
+    back = here.select(group, "frame", (col("a") / size).alias("a"), (-col("b") / size).alias("b"), "tx", "ty")
+    return back.select(group, "frame", "a", "b", (col("b") * col("ty") - col("a") * col("tx")).alias("tx"), (-col("b") * col("tx") - col("a") * col("ty")).alias("ty"))
 
 
 def clamp_similarity(a: Column, b: Column, tx: Column, ty: Column, degrees: float = 0.5, zoom: float = 0.005, shift: float = 25.0) -> list[Column]:
@@ -130,8 +224,3 @@ def clamp_similarity(a: Column, b: Column, tx: Column, ty: Column, degrees: floa
     length = F.hypot(tx, ty)
     keep = F.when(length > shift, shift / length).otherwise(1.0)
     return [(scale * F.cos(angle)).alias("a"), (scale * F.sin(angle)).alias("b"), (tx * keep).alias("tx"), (ty * keep).alias("ty")]
-
-
-def to_source(m: list[Column], s: float) -> list[Column]:
-    """A 3 x 3 transform (column-major) fitted at a reduced size, at the source's: shifts times s, perspective over s."""
-    return [m[0], m[1], m[2] / s, m[3], m[4], m[5] / s, m[6] * s, m[7] * s, m[8]]

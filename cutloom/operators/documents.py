@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .lineage import cut
 from .timeline import interval_join
 
 # By effect kind, the parameter and the bound at which it changes nothing.
@@ -50,15 +49,12 @@ def link_chain(edges: DataFrame, starts: DataFrame, depth: int | None = None) ->
 
     A step joins the frontier with the edges and drops what the start has reached already; frontiers are written to the checkpoint folder.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cutloom-"))
-    edges = edges.select("src", "dst").distinct().checkpoint()
-    seen = front = starts.select(F.col("node").alias("start"), "node").distinct().checkpoint()
+    edges = cut(edges.select("src", "dst").distinct())
+    seen = front = cut(starts.select(F.col("node").alias("start"), "node").distinct())
     step = 0
     while (depth is None or step < depth) and not front.isEmpty():
         reached = front.join(edges, front.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
-        front = reached.join(seen, ["start", "node"], "left_anti").checkpoint()
+        front = cut(reached.join(seen, ["start", "node"], "left_anti"))
         seen = seen.unionByName(front)
         step += 1
     return seen.where("start <> node")

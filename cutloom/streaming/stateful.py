@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,13 +75,26 @@ def _marks(times: list[int], last: int | None, gap: int) -> list[bool]:
 
 
 def coalesced(moves: DataFrame, gap_us: int = 1_500_000) -> DataFrame:
-    """The same for a whole table, a session at a time."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        times = sorted(rows["at"].tolist())
-        return pd.DataFrame({"session": rows["session"].iloc[0], "at": times, "snapshot": _marks(times, None, gap_us)})
-
-    return moves.groupBy("session").applyInPandas(run, MARKS)
+    """The same for a whole table: sessions in order of time go by in batches, and only the last snapshot's time is carried on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        session, last = None, None
+        for rows in batches:
+            marks = np.zeros(len(rows), bool)
+            names, times = rows["session"].to_numpy(), rows["at"].to_numpy()
+            ends = [*(np.flatnonzero(names[1:] != names[:-1]) + 1), len(rows)]
+            for start, stop in zip([0, *ends[:-1]], ends, strict=True):
+                if start == stop:
+                    continue
+                if names[start] != session:
+                    session, last = names[start], None
+                i = start if last is None else start + np.searchsorted(times[start:stop], last + gap_us, "right")
+                while i < stop:
+                    marks[i], last = True, times[i]
+                    i = start + np.searchsorted(times[start:stop], last + gap_us, "right")
+            yield rows.assign(snapshot=marks)
+
+    return moves.select("session", "at").repartition("session").sortWithinPartitions("session", "at").mapInPandas(run, MARKS)
 
 
 def autosaves(edits: DataFrame, every_us: int) -> DataFrame:
