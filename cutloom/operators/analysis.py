@@ -207,11 +207,14 @@ def bundle_adjust(tracks: DataFrame, group: str, rounds: int = 25, huber: float
 
     for _ in range(rounds):
         seen = points.join(places, [group, "track"])
-        here = cut(solved(weighted(seen.join(here, [group, "frame"]))))
+        here = solved(weighted(seen.join(here, [group, "frame"])))
         g = col("a") * col("a") + col("b") * col("b")
         u, v = col("x") - col("tx"), col("y") - col("ty")
         sums = weighted(seen.join(here, [group, "frame"])).groupBy(group, "track").agg(F.sum(col("w") * g).alias("g"), F.sum(col("w") * (col("a") * u + col("b") * v)).alias("sx"), F.sum(col("w") * (col("a") * v - col("b") * u)).alias("sy"))
-        places = cut(sums.select(group, "track", (col("sx") / col("g")).alias("px"), (col("sy") / col("g")).alias("py")))
+        places = sums.select(group, "track", (col("sx") / col("g")).alias("px"), (col("sy") / col("g")).alias("py"))
+        both = cut(here.unionByName(places, allowMissingColumns=True))  # one table a round
+        here = both.where("frame is not null").select(group, "frame", "a", "b", "tx", "ty")
+        places = both.where("track is not null").select(group, "track", "px", "py")
     size = col("a") * col("a") + col("b") * col("b")
     back = here.select(group, "frame", (col("a") / size).alias("a"), (-col("b") / size).alias("b"), "tx", "ty")
     return back.select(group, "frame", "a", "b", (col("b") * col("ty") - col("a") * col("tx")).alias("tx"), (-col("b") * col("tx") - col("a") * col("ty")).alias("ty"))

@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder; a folder of our own only where the session names none, as in tests."""
+    """The rows, written to the checkpoint folder and read again, so that their size is known; the files go when the session ends.
+
+    A folder of our own is taken only where the session names none, as in tests.
+    """
     spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cutloom-"))
-    return frame.checkpoint()
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cutloom-"))
+    name = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(name)
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(frame.schema).parquet(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,29 @@ def stencil(pixels: DataFrame, weights: dict[tuple[int, int], float], value: str
     return hit.groupBy("frame", "x", "y").agg(F.sum(F.col("w") * F.col("v")).alias(out))
 
 
+def gaussian(sigma: float) -> dict[tuple[int, int], float]:
+    """The weights of a Gaussian blur, out to three deviations, that sum to one."""
+    reach = max(1, math.ceil(3 * sigma))
+    side = {i: math.exp(-i * i / (2 * sigma * sigma)) for i in range(-reach, reach + 1)}
+    whole = sum(side.values()) ** 2
+    return {(i, j): a * b / whole for i, a in side.items() for j, b in side.items()}
+
+
+def blur(pixels: DataFrame, value: str, sigma: float, width: int, height: int) -> DataFrame:
+    """The Gaussian blur of (frame, x, y, value), along rows and then along columns; edges repeat."""
+    line = {i: w for (i, j), w in gaussian(sigma).items() if j == 0}
+    whole = sum(line.values())
+    along = stencil(pixels, {(i, 0): w / whole for i, w in line.items()}, value, value, width, height)
+    return stencil(along, {(0, i): w / whole for i, w in line.items()}, value, value, width, height)
+
+
+def unsharp(pixels: DataFrame, value: str, sigma: float, strength: float, width: int, height: int) -> DataFrame:
+    """A picture moved away from its blur by ``strength``, within 0 and 1."""
+    low = blur(pixels, value, sigma, width, height).withColumnRenamed(value, "_low")
+    sharp = F.col(value) + strength * (F.col(value) - F.col("_low"))
+    return pixels.join(low, ["frame", "x", "y"]).select("frame", "x", "y", N.clamp(sharp, 0.0, 1.0).alias(value))
+
+
 def area_downscale(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int, value: str) -> DataFrame:
     """The mean of the pixels that fall in each cell of the smaller grid."""
     cell = lambda c, n, m: N.floor_long(F.col(c) * m / n)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .lineage import cut
 
 
 def mean_square(a: str, b: str) -> Column:
@@ -70,6 +71,26 @@ def first_change(series: DataFrame, keys: list[str], at: str, diff: Column, thre
     return series.where(diff > threshold).groupBy(*keys).agg(F.min(at).alias(at))
 
 
+def bisected_change(series: DataFrame, key: str, value: str, threshold: float) -> DataFrame:
+    """(key, frame, diff): a frame that differs from the first by over the threshold while the one before does not, and how far the last differs.
+
+    Series have a row a frame, counted from 0.  Groups whose last frame is within the threshold are left out.  A round looks at one
+    frame a group, so a series of n frames is read at about log2(n) of them; where it goes back and forth this need not be the earliest.
+    """
+    frames = series.select(key, "frame", F.col(value).alias("_v"))
+    ends = frames.groupBy(key).agg(F.min_by("_v", "frame").alias("_first"), F.max_by("_v", "frame").alias("_last"), F.max("frame").alias("b"))
+    state = cut(ends.select(key, F.lit(0).cast("long").alias("a"), "b", "_first", F.abs(F.col("_last") - F.col("_first")).alias("diff")).where(F.col("diff") > threshold))
+    longest = state.agg(F.max("b")).first()[0] or 0
+    for k in range(int(longest).bit_length()):
+        asked = state.withColumn("frame", F.when(F.col("b") - F.col("a") > 1, N.div(F.col("a") + F.col("b"), 2)))
+        found = asked.join(frames, [key, "frame"], "left")
+        changed = F.abs(F.col("_v") - F.col("_first")) > threshold
+        state = found.select(key, F.when(~changed, F.col("frame")).otherwise(F.col("a")).alias("a"), F.when(changed, F.col("frame")).otherwise(F.col("b")).alias("b"), "_first", "diff")
+        if k % 6 == 5:
+            state = cut(state)
+    return state.select(key, F.col("b").alias("frame"), "diff")
+
+
 def match_score(query: str) -> Column:
     """How well a command (label, keywords, category) answers a query; 0 is not at all."""
     q, label = query.strip().lower(), F.lower("label")
@@ -96,8 +117,3 @@ def rank_commands(commands: DataFrame, query: str, limit: int = 12) -> DataFrame
     score = match_score(query)
     rows = commands.withColumn("match", score).where("match > 0").withColumn("score", F.col("match") - F.when(F.col("enabled"), 0.0).otherwise(0.25))
     return rows.orderBy(F.desc("score"), "label", "name").limit(limit).select("name", "label", "score")
-
-
-def half_up_byte(x: Column) -> Column:
-    """A share of 1 as a byte, halves up."""
-    return F.floor(N.clamp(x, 0.0, 1.0) * 255 + 0.5).cast("long")

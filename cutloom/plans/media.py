@@ -252,10 +252,16 @@ def knn_frames(spark, d):
     return H.nearest(H.distances(sigs, sigs.where("frame % 100 = 0")), 6, 30).select("ref", "rank", "frame", F.round("score", 9).alias("score"))
 
 
-@query()
+PICKS = """far AS (SELECT ref, frame, score, row_number() OVER (PARTITION BY ref ORDER BY score, frame) AS k FROM dist WHERE abs(frame - ref) >= 30),
+r AS (SELECT DISTINCT ref, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS frame, CAST(NULL AS DOUBLE) AS score FROM far UNION ALL
+  SELECT r.ref, f.k, CASE WHEN len(list_filter(taken, lambda t: abs(t - f.frame) < 30)) = 0 THEN list_append(taken, f.frame) ELSE taken END, CASE WHEN len(list_filter(taken, lambda t: abs(t - f.frame) < 30)) = 0 THEN f.frame END, f.score
+  FROM r JOIN far f ON f.ref = r.ref AND f.k = r.k + 1 WHERE len(taken) < 6)"""
+
+
+@query(f"WITH RECURSIVE {DIST}, {PICKS} SELECT ref, CAST(len(taken) AS BIGINT) AS rank, frame, CAST(round(score, 9) AS DOUBLE) AS score FROM r WHERE frame IS NOT NULL")
 def knn_nms(spark, d):
     sigs = S.signatures(spark, d)
-    return H.suppressed(H.distances(sigs, sigs.where("frame % 100 = 0")), 6, 30)
+    return H.suppressed(H.distances(sigs, sigs.where("frame % 100 = 0")), 6, 30).withColumn("score", F.round("score", 9))
 
 
 @query("WITH p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, b.vec_id - a.vec_id AS L, list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)) / 64 AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id - a.vec_id BETWEEN 20 AND 120 AND (b.vec_id - a.vec_id - 20) % 2 = 0 AND a.vec_id % 2 = 0) SELECT label, a, b, CAST(round(score, 9) AS DOUBLE) AS score FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(score - 0.01 * L / 30.0, 9), a, L) = 1")
@@ -270,6 +276,18 @@ def find_change(spark, d):
     return H.first_change(rows.join(first, "user_id"), ["user_id"], "event_id", F.abs(F.col("value") - F.col("v0")), 50)
 
 
+BISECT = """s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, value FROM events), e AS (SELECT user_id, max(frame) AS b, arg_min(value, frame) AS v0, arg_max(value, frame) AS vn FROM s GROUP BY user_id),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS a, b, v0, abs(vn - v0) AS diff FROM e WHERE abs(vn - v0) > 50 UNION ALL
+  SELECT r.user_id, CASE WHEN abs(s.value - v0) > 50 THEN a ELSE s.frame END, CASE WHEN abs(s.value - v0) > 50 THEN s.frame ELSE b END, v0, diff FROM r JOIN s ON s.user_id = r.user_id AND s.frame = (a + b) // 2 WHERE b - a > 1)"""
+
+
+@query(f"WITH RECURSIVE {BISECT} SELECT user_id, b AS frame, CAST(round(diff, 6) AS DOUBLE) AS diff FROM r WHERE b - a <= 1")
+def find_change_bisected(spark, d):
+    by = Window.partitionBy("user_id").orderBy("event_id")
+    rows = S.table(spark, d, "events").select("user_id", (F.row_number().over(by) - 1).cast("long").alias("frame"), "value")
+    return H.bisected_change(rows, "user_id", "value", 50).withColumn("diff", F.round("diff", 6))
+
+
 @query("WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT vec_id, e, list_sum(e) / len(e) AS mu FROM m), v AS (SELECT vec_id, e, mu, sqrt(list_sum(list_transform(e, lambda x: (x - mu) * (x - mu))) / len(e)) AS sd FROM s) SELECT vec_id AS frame, CAST(round((e[1] - mu) / (sd + 0.000001), 6) AS DOUBLE) AS first, CAST(round((e[64] - mu) / (sd + 0.000001), 6) AS DOUBLE) AS last FROM v")
 def znorm_sig(spark, d):
     z = S.signatures(spark, d).select("frame", H.znorm("sig").alias("z"))

@@ -27,7 +27,12 @@ def _moves(spark, d):
     return S.table(spark, d, "events").select(F.col("user_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
 
 
-@query()
+SNAPSHOTS = """m AS (SELECT user_id AS session, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS tie FROM events), u AS (SELECT DISTINCT session, t FROM m),
+n AS (SELECT session, t, min(t) OVER (PARTITION BY session ORDER BY t RANGE BETWEEN 3600000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM u),
+r AS (SELECT session, min(t) AS t FROM u GROUP BY session UNION ALL SELECT n.session, n.next FROM r JOIN n ON n.session = r.session AND n.t = r.t AND n.next IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {SNAPSHOTS} SELECT m.session, m.t AS at, r.t IS NOT NULL AND tie = 1 AS snapshot FROM m LEFT JOIN r ON r.session = m.session AND r.t = m.t")
 def undo_snapshots(spark, d):
     return Z.coalesced(_moves(spark, d), 3_600_000_000)
 

@@ -238,16 +238,28 @@ def border_crop(spark, d):
     return S.signatures(spark, d).groupBy("label").agg(F.round(F.max(F.greatest(F.lit(1.0), 1 + 2 * F.greatest(e(1), e(2)))), 6).alias("zoom"))
 
 
-@query()
+def _low_pass_sql(source: str, cutoff: float) -> str:
+    """(user_id, event_id, low): values of ``source`` (user_id, event_id, value) through the zero-phase low-pass, a recursion a direction."""
+    (b0, b1, b2), (_, a1, a2) = (map(repr, map(float, c)) for c in A.low_pass_coefficients(cutoff))
+    once = lambda name, of: f"""{name} AS (SELECT user_id, w, CAST(1 AS BIGINT) AS k, w[1] AS y, {b1}::DOUBLE * w[1] - {a1}::DOUBLE * w[1] + ({b2}::DOUBLE - {a2}::DOUBLE) * w[1] AS z1, ({b2}::DOUBLE - {a2}::DOUBLE) * w[1] AS z2 FROM {of} UNION ALL
+  SELECT user_id, w, k + 1, {b0}::DOUBLE * w[k + 1] + z1, {b1}::DOUBLE * w[k + 1] - {a1}::DOUBLE * ({b0}::DOUBLE * w[k + 1] + z1) + z2, {b2}::DOUBLE * w[k + 1] - {a2}::DOUBLE * ({b0}::DOUBLE * w[k + 1] + z1) FROM {name} WHERE k < len(w))"""
+    return f"""l AS (SELECT user_id, list(value ORDER BY event_id) AS x, least(9, count(*) - 1) AS pad FROM {source} GROUP BY user_id),
+wide AS (SELECT user_id, list_concat(list_transform(range(pad, 0, -1), lambda k: 2 * x[1] - x[k + 1]), x, list_transform(range(1, pad + 1), lambda k: 2 * x[len(x)] - x[len(x) - k])) AS w FROM l WHERE len(x) >= 3),
+{once("f", "wide")}, turned AS (SELECT user_id, list(y ORDER BY k DESC) AS w FROM f GROUP BY user_id), {once("g", "turned")},
+i AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM {source}),
+low AS (SELECT i.user_id, i.event_id, CASE WHEN len(x) < 3 THEN value ELSE g.y END AS low FROM i JOIN l USING (user_id) LEFT JOIN g ON g.user_id = i.user_id AND g.k = len(x) + pad + 1 - i.i)"""
+
+
+@query(f"WITH RECURSIVE {_low_pass_sql('events', 2 / 30)} SELECT user_id, event_id, CAST(round(low, 6) AS DOUBLE) AS value_low FROM low")
 def low_pass_track(spark, d):
-    return A.smoothed(_series(spark, d), "user_id", "event_id", ["value"], 1.0, 30.0)
+    return A.smoothed(_series(spark, d), "user_id", "event_id", ["value"], 1.0, 30.0).withColumn("value_low", F.round("value_low", 6))
 
 
 @query()
 def bundle_paths(spark, d):
-    rows = S.signatures(spark, d).select(F.col("label").cast("long").alias("grp"), (F.col("frame") % 25).alias("frame"), F.posexplode(F.slice("sig", 1, 12)).alias("track", "x"), F.col("sig"))
-    tracks = rows.select("grp", "frame", "track", F.col("x").cast("double"), F.element_at("sig", F.col("track") + 20).alias("y"))
-    return A.bundle_adjust(tracks, "grp")
+    """Frames of a label as one take: every component is a track, the component 20 on its second coordinate."""
+    rows = S.signatures(spark, d).select(F.col("label").cast("long").alias("grp"), "frame", "sig", F.posexplode("sig").alias("track", "x"))
+    return A.bundle_adjust(rows.select("grp", "frame", "track", "x", F.element_at("sig", (F.col("track") + 20) % F.size("sig") + 1).alias("y")), "grp")
 
 
 # --- sound
@@ -417,6 +429,19 @@ def lane_bucket(spark, d):
     return S.table(spark, d, "part").select("p_partkey", N.clamp(N.floor_long(F.col("p_retailprice") / 500), 0, 4).cast("long").alias("lane"))
 
 
+GAUSS = P.gaussian(0.8)
+
+
+@query(_stencil_sql(", ".join(f"({dx}, {dy}, {w!r})" for (dx, dy), w in GAUSS.items())))
+def px_gaussian(spark, d):
+    return P.blur(_pixels(spark, d), "v", 0.8, 8, 8).withColumn("v", F.round("v", 6))
+
+
+@query(_stencil_sql(", ".join(f"({dx}, {dy}, {(2.5 if (dx, dy) == (0, 0) else 0.0) - 1.5 * w!r})" for (dx, dy), w in GAUSS.items())).replace("round(sum(k.w::DOUBLE * q.v), 6)", "round(least(greatest(sum(k.w::DOUBLE * q.v), 0), 1), 6)"))
+def px_unsharp(spark, d):
+    return P.unsharp(_pixels(spark, d), "v", 0.8, 1.5, 8, 8).withColumn("v", F.round("v", 6))
+
+
 @query(f"WITH {PX}, r AS (SELECT *, CAST(least(greatest(round_even(abs(1 - v - 0.5) * 2, 0), 0), 2) AS INT) AS r FROM px), o AS (SELECT p.frame, p.x, p.y, q.v FROM r p JOIN range(-2, 3) a(i) ON abs(i) <= p.r JOIN range(-2, 3) b(j) ON abs(j) <= p.r JOIN px q ON q.frame = p.frame AND q.x = least(greatest(p.x + i, 0), 7) AND q.y = least(greatest(p.y + j, 0), 7)) SELECT frame, x, y, CAST(round(avg(v), 6) AS DOUBLE) AS v FROM o GROUP BY ALL")
 def px_depth_blur(spark, d):
     rows = _pixels(spark, d).withColumn("z", 1 - F.col("v"))
