@@ -110,3 +110,44 @@ def clock(n, total, fps: float) -> Column:
     seconds = N.col(n) / fps
     minutes = N.floor_long(seconds / 60)
     return F.format_string("%02d:%06.3f  %d/%d", minutes, seconds - 60 * minutes, N.col(n), F.greatest(N.col(total) - 1, F.lit(0)))
+
+
+def share(value, low, high) -> Column:
+    """A parameter's place in its range, 0 to 1."""
+    return N.clamp((N.col(value) - N.col(low)) / (N.col(high) - N.col(low)), 0.0, 1.0)
+
+
+def from_share(at, low, high) -> Column:
+    return N.col(low) + N.clamp(at, 0.0, 1.0) * (N.col(high) - N.col(low))
+
+
+def locked_height(w, aspect, width, height) -> Column:
+    """The height, as a share of the picture's, that gives a crop of this width the aspect."""
+    return N.col(w) / (N.col(aspect) * N.col(height) / N.col(width))
+
+
+def intersected(x, y, w, h, left, top, right, bottom) -> list[Column]:
+    """A crop held inside a rectangle, a hundredth wide and high at least; as it is where it lies inside."""
+    x, y, w, h, left, top, right, bottom = map(N.col, (x, y, w, h, left, top, right, bottom))
+    inside = (x >= left) & (y >= top) & (x + w <= right) & (y + h <= bottom)
+    nx, ny = F.greatest(x, left), F.greatest(y, top)
+    held = nx, ny, F.greatest(F.least(x + w, right) - nx, F.lit(0.01)), F.greatest(F.least(y + h, bottom) - ny, F.lit(0.01))
+    return [F.when(inside, a).otherwise(b) for a, b in zip((x, y, w, h), held, strict=True)]
+
+
+def pixel_span(at, size, pixels) -> list[Column]:
+    """First and last pixel, counted from 1, that a crop's side touches."""
+    at, n = N.col(at), N.col(pixels)
+    return [N.floor_long(at * n) + 1, F.ceil((at + N.col(size)) * n).cast("long")]
+
+
+def region_span(at, size, pixels) -> list[Column]:
+    """The same with both ends rounded and inside the picture, one pixel at least."""
+    at, n = N.col(at), N.col(pixels)
+    first = N.clamp(N.half_even(at * n) + 1, 1, n).cast("long")
+    return [first, F.least(F.greatest(N.half_even((at + N.col(size)) * n), first), n).cast("long")]
+
+
+def lane_at(y, height, last) -> Column:
+    """The lane band that a position falls in."""
+    return N.clamp(N.floor_long(N.col(y) / N.col(height)), 0, last).cast("long")

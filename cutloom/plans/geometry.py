@@ -43,12 +43,12 @@ def feature_border(spark, d):
     return S.signatures(spark, d).select("frame", G.trackable(e(1) + 160, e(2) + 90, F.lit(320), F.lit(180), 5, 10).alias("ok"))
 
 
-LAYER = "t AS (SELECT p_partkey, p_size / 100.0::DOUBLE AS x, 0.1::DOUBLE AS y, 0.5::DOUBLE AS w, 0.25 + p_size / 100.0::DOUBLE AS h, 320.0::DOUBLE AS lw, 180.0::DOUBLE AS lh, 1280.0::DOUBLE AS cw, 720.0::DOUBLE AS ch, 1 + p_size / 50.0::DOUBLE AS sc, 0.1::DOUBLE AS px, -0.2::DOUBLE AS py, radians(p_partkey % 360) AS r FROM part), s AS (SELECT *, least(cw / (w * lw), ch / (h * lh)) * sc AS z, cw / 2 + 0.5 + px * cw AS ax, ch / 2 + 0.5 + py * ch AS ay FROM t), m AS (SELECT *, cos(r) / z AS a, sin(r) / z AS b FROM s), f AS (SELECT *, (x + w / 2) * lw + 0.5 - a * ax - b * ay AS tx, (y + h / 2) * lh + 0.5 + b * ax - a * ay AS ty FROM m), c AS (SELECT f.p_partkey, (a * q.u + b * q.v + tx - 0.5) / lw AS u, (-b * q.u + a * q.v + ty - 0.5) / lh AS v FROM f, (VALUES (0.5::DOUBLE, 0.5::DOUBLE), (1280.5, 0.5), (0.5, 720.5), (1280.5, 720.5)) q(u, v))"
+LAYER = "t AS (SELECT p_partkey, p_size / 100.0::DOUBLE AS x, 0.1::DOUBLE AS y, 0.5::DOUBLE AS w, 0.25 + p_size / 100.0::DOUBLE AS h, 320.0::DOUBLE AS lw, 180.0::DOUBLE AS lh, 1280.0::DOUBLE AS cw, 720.0::DOUBLE AS ch, 1 + p_size / 50.0::DOUBLE AS sc, 0.1::DOUBLE AS px, -0.2::DOUBLE AS py, radians(p_partkey % 360 + 0.5::DOUBLE) AS r FROM part), s AS (SELECT *, least(cw / (w * lw), ch / (h * lh)) * sc AS z, cw / 2 + 0.5 + px * cw AS ax, ch / 2 + 0.5 + py * ch AS ay FROM t), m AS (SELECT *, cos(r) / z AS a, sin(r) / z AS b FROM s), f AS (SELECT *, (x + w / 2) * lw + 0.5 - a * ax - b * ay AS tx, (y + h / 2) * lh + 0.5 + b * ax - a * ay AS ty FROM m), c AS (SELECT f.p_partkey, (a * q.u + b * q.v + tx - 0.5) / lw AS u, (-b * q.u + a * q.v + ty - 0.5) / lh AS v FROM f, (VALUES (0.5::DOUBLE, 0.5::DOUBLE), (1280.5, 0.5), (0.5, 720.5), (1280.5, 720.5)) q(u, v))"
 
 
 def _matrix(spark, d):
     crop = F.col("s") / 100, F.lit(0.1), F.lit(0.5), 0.25 + F.col("s") / 100
-    return _part(spark, d), G.layer_matrix(crop, (320.0, 180.0), (1280.0, 720.0), (1 + F.col("s") / 50, F.lit(0.1), F.lit(-0.2), (F.col("k") % 360).cast("double")))
+    return _part(spark, d), G.layer_matrix(crop, (320.0, 180.0), (1280.0, 720.0), (1 + F.col("s") / 50, F.lit(0.1), F.lit(-0.2), F.col("k") % 360 + 0.5))
 
 
 @query(f"WITH {LAYER} SELECT p_partkey, CAST(round(a, 9) AS DOUBLE) AS a, CAST(round(b, 9) AS DOUBLE) AS b, CAST(round(tx, 6) AS DOUBLE) AS tx, CAST(round(ty, 6) AS DOUBLE) AS ty FROM f")

@@ -10,6 +10,7 @@ from ..operators import analysis as A
 from ..operators import audio as Au
 from ..operators import documents as D
 from ..operators import edits as E
+from ..operators import geometry as G
 from ..operators import pixels as P
 from ..sources import tables as S
 from .registry import CAPTIONS, edl, query
@@ -384,12 +385,12 @@ def tile_grid(spark, d):
 # --- scalar frame arithmetic
 @query("SELECT p_partkey, CAST(least(greatest((p_size - 5) / 40.0, 0), 1) AS DOUBLE) AS norm, CAST(5 + least(greatest(p_retailprice / 2000, 0), 1) * 40 AS DOUBLE) AS denorm FROM part")
 def param_norm(spark, d):
-    return S.table(spark, d, "part").select("p_partkey", N.clamp((F.col("p_size") - 5) / 40.0, 0.0, 1.0).alias("norm"), (5 + N.clamp(F.col("p_retailprice") / 2000, 0.0, 1.0) * 40).alias("denorm"))
+    return S.table(spark, d, "part").select("p_partkey", G.share("p_size", F.lit(5.0), F.lit(45.0)).alias("norm"), G.from_share(F.col("p_retailprice") / 2000, 5.0, 45.0).alias("denorm"))
 
 
 @query("SELECT p_partkey, CAST((p_size / 100.0) / (1.5 * 1080 / (p_size * 40)) AS DOUBLE) AS h FROM part")
 def lock_aspect(spark, d):
-    return S.table(spark, d, "part").select("p_partkey", ((F.col("p_size") / 100.0) / (F.lit(1.5) * 1080 / (F.col("p_size") * 40))).alias("h"))
+    return S.table(spark, d, "part").select("p_partkey", G.locked_height(F.col("p_size") / 100.0, 1.5, F.col("p_size") * 40, 1080).alias("h"))
 
 
 CROP = "c AS (SELECT p_partkey, p_size / 100.0 AS x, p_size / 120.0 AS y, CAST(0.5 AS DOUBLE) AS w, p_size / 60.0 AS h FROM part)"
@@ -397,24 +398,21 @@ CROP = "c AS (SELECT p_partkey, p_size / 100.0 AS x, p_size / 120.0 AS y, CAST(0
 
 @query(f"WITH {CROP}, b AS (SELECT *, greatest(x, 0.1) AS nx, greatest(y, 0.05) AS ny FROM c) SELECT p_partkey, CAST(CASE WHEN ok THEN x ELSE nx END AS DOUBLE) AS x, CAST(CASE WHEN ok THEN y ELSE ny END AS DOUBLE) AS y, CAST(round(CASE WHEN ok THEN w ELSE greatest(least(x + w, 0.9) - nx, 0.01) END, 9) AS DOUBLE) AS w, CAST(round(CASE WHEN ok THEN h ELSE greatest(least(y + h, 0.95) - ny, 0.01) END, 9) AS DOUBLE) AS h FROM (SELECT *, x >= 0.1 AND y >= 0.05 AND x + w <= 0.9 AND y + h <= 0.95 AS ok FROM b)")
 def crop_intersect(spark, d):
-    r = S.table(spark, d, "part").select("p_partkey", (F.col("p_size") / 100.0).alias("x"), (F.col("p_size") / 120.0).alias("y"), F.lit(0.5).alias("w"), (F.col("p_size") / 60.0).alias("h"))
-    inside = (F.col("x") >= 0.1) & (F.col("y") >= 0.05) & (F.col("x") + F.col("w") <= 0.9) & (F.col("y") + F.col("h") <= 0.95)
-    nx, ny = F.greatest("x", F.lit(0.1)), F.greatest("y", F.lit(0.05))
-    pick = lambda a, b: F.when(inside, a).otherwise(b)
-    return r.select("p_partkey", pick(F.col("x"), nx).alias("x"), pick(F.col("y"), ny).alias("y"), F.round(pick(F.col("w"), F.greatest(F.least(F.col("x") + F.col("w"), F.lit(0.9)) - nx, F.lit(0.01))), 9).alias("w"), F.round(pick(F.col("h"), F.greatest(F.least(F.col("y") + F.col("h"), F.lit(0.95)) - ny, F.lit(0.01))), 9).alias("h"))
+    crop = F.col("p_size") / 100.0, F.col("p_size") / 120.0, F.lit(0.5), F.col("p_size") / 60.0
+    x, y, w, h = G.intersected(*crop, 0.1, 0.05, 0.9, 0.95)
+    return S.table(spark, d, "part").select("p_partkey", x.alias("x"), y.alias("y"), F.round(w, 9).alias("w"), F.round(h, 9).alias("h"))
 
 
 @query(f"WITH {CROP} SELECT p_partkey, CAST(floor(x * 320) + 1 AS BIGINT) AS x0, CAST(ceil((x + w) * 320) AS BIGINT) AS x1, CAST(floor(y * 180) + 1 AS BIGINT) AS y0, CAST(ceil((y + h) * 180) AS BIGINT) AS y1 FROM c")
 def crop_pixels(spark, d):
-    x, y, w, h = F.col("p_size") / 100.0, F.col("p_size") / 120.0, F.lit(0.5), F.col("p_size") / 60.0
-    return S.table(spark, d, "part").select("p_partkey", (F.floor(x * 320) + 1).cast("long").alias("x0"), F.ceil((x + w) * 320).cast("long").alias("x1"), (F.floor(y * 180) + 1).cast("long").alias("y0"), F.ceil((y + h) * 180).cast("long").alias("y1"))
+    (x0, x1), (y0, y1) = G.pixel_span(F.col("p_size") / 100.0, 0.5, 320), G.pixel_span(F.col("p_size") / 120.0, F.col("p_size") / 60.0, 180)
+    return S.table(spark, d, "part").select("p_partkey", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
 
 
 @query(f"WITH {CROP}, a AS (SELECT p_partkey, x, w, CAST(least(greatest(round_even(x * 320, 0) + 1, 1), 320) AS BIGINT) AS i0 FROM c) SELECT p_partkey, i0, CAST(least(greatest(round_even((x + w) * 320, 0), i0), 320) AS BIGINT) AS i1 FROM a")
 def region_pixels(spark, d):
-    x, w = F.col("p_size") / 100.0, F.lit(0.5)
-    rows = S.table(spark, d, "part").withColumn("i0", N.clamp(N.half_even(x * 320) + 1, 1, 320).cast("long"))
-    return rows.select("p_partkey", "i0", N.clamp(N.half_even((x + w) * 320), "i0", 320).cast("long").alias("i1"))
+    first, last = G.region_span(F.col("p_size") / 100.0, 0.5, 320)
+    return S.table(spark, d, "part").select("p_partkey", first.alias("i0"), last.alias("i1"))
 
 
 @query(f"WITH {edl()} SELECT seq_id, CAST(greatest(2 * round_even((src_out - src_in) * 10 * 0.9 / 2, 0), 2) AS BIGINT) AS w, CAST(greatest(2 * round_even((src_out - src_in) * 6 / 2.0, 0), 2) AS BIGINT) AS h FROM clips WHERE ord = 0")
@@ -426,7 +424,7 @@ def canvas_size(spark, d):
 
 @query("SELECT p_partkey, CAST(least(greatest(floor(p_retailprice / 500), 0), 4) AS BIGINT) AS lane FROM part")
 def lane_bucket(spark, d):
-    return S.table(spark, d, "part").select("p_partkey", N.clamp(N.floor_long(F.col("p_retailprice") / 500), 0, 4).cast("long").alias("lane"))
+    return S.table(spark, d, "part").select("p_partkey", G.lane_at("p_retailprice", 500, 4).alias("lane"))
 
 
 GAUSS = P.gaussian(0.8)
