@@ -37,6 +37,12 @@ def live_effects(slots: DataFrame) -> DataFrame:
     return slots.where(F.col("enabled") & ~is_neutral())
 
 
+def effect_signature(slots: DataFrame) -> DataFrame:
+    """(clip_id, signature): changes with a clip's slots (ord, slot_id, kind, enabled), their order and nothing else."""
+    parts = F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(":", F.col("slot_id").cast("string"), F.col("kind"), F.col("enabled").cast("string")).alias("t"))))
+    return slots.groupBy("clip_id").agg(F.md5(F.array_join(F.transform(parts, lambda p: p["t"]), ";")).alias("signature"))
+
+
 def resolve_links(links: DataFrame, slots: DataFrame) -> DataFrame:
     """Links (src_clip, src_slot, dst_clip, dst_slot, role) with the clip they mean (0: their own) and whether the slot exists."""
     rows = links.withColumn("to_clip", F.when(F.col("dst_clip") == 0, F.col("src_clip")).otherwise(F.col("dst_clip")))

@@ -92,3 +92,25 @@ def timecode(n, fps: float) -> Column:
     s = N.div(total, frames)
     part = lambda c: F.lpad(c.cast("string"), 2, "0")
     return F.concat_ws(":", part(N.div(s, 3600)), part(N.div(s, 60) % 60), part(s % 60), part(total % frames))
+
+
+def exact_frames(points: DataFrame, index: DataFrame) -> DataFrame:
+    """(source_id, frame, t) of the frames asked for; one that is not in the index is an error, never another frame."""
+    rows = points.join(index.select("source_id", "frame", "t"), ["source_id", "frame"], "left")
+    missing = F.raise_error(F.concat(F.lit("no frame "), F.col("frame").cast("string"), F.lit(" in source "), F.col("source_id").cast("string"))).cast("double")
+    return rows.select("source_id", "frame", F.when(F.col("t").isNull(), missing).otherwise(F.col("t")).alias("t"))
+
+
+def wishes(wanted: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """What is wanted now and not held yet, each once; earlier wishes do not count."""
+    return wanted.select(*keys).distinct().join(held.select(*keys), keys, "left_anti")
+
+
+def first_codec(line) -> Column:
+    """The codec of a probe's line, whose further fields may be empty."""
+    return F.element_at(F.split(F.trim(N.col(line)), ","), 1)
+
+
+def recoverable(saved, project) -> Column:
+    """Whether an autosave is there and newer than its project, or the project is missing."""
+    return N.col(saved).isNotNull() & (N.col(project).isNull() | (N.col(saved) > N.col(project)))

@@ -57,6 +57,21 @@ def suppressed(scored: DataFrame, k: int, exclude: int) -> DataFrame:
     return scored.groupBy("ref").applyInPandas(pick, "ref long, rank long, frame long, score double")
 
 
+def apart(features: DataFrame, frame: str, order: str, x: str, y: str, distance: float) -> DataFrame:
+    """Features of a frame, taken in order, each at least ``distance`` from those kept before; a frame has as many as its detector gives at most."""
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        at = rows[x].to_numpy(float) + 1j * rows[y].to_numpy(float)
+        kept: list[int] = []
+        for i, z in enumerate(at):
+            if not (abs(at[kept] - z) < distance).any():
+                kept.append(i)
+        return rows.iloc[kept]
+
+    return features.groupBy(frame).applyInPandas(pick, features.schema)
+
+
 def best_loop(signatures: DataFrame, shortest: int, longest: int, step: int, bias: float, fps: float, groups: list[str]) -> DataFrame:
     """Per group the pair of frames (a, b = a + length) that match best, length bias included; of equals the first."""
     a = signatures.where(F.col("frame") % step == 0).select(*groups, F.col("frame").alias("a"), F.col("sig").alias("sig_a"))
@@ -66,6 +81,12 @@ def best_loop(signatures: DataFrame, shortest: int, longest: int, step: int, bia
     return scored.groupBy(*groups).agg(F.min_by(F.struct("a", "b", "score"), F.struct("rank", "a", "length")).alias("m")).select(*groups, "m.*")
 
 
+def loop_trimmed(clips: DataFrame, loops: DataFrame, key: str) -> DataFrame:
+    """Clips (key, src_in, ...) cut to their best loop (key, a, b), each alone at the start of its timeline."""
+    rows = clips.drop("src_out", "start").join(loops.select(key, "a", "b"), key)
+    return rows.withColumn("src_out", F.col("src_in") + F.col("b")).withColumn("src_in", F.col("src_in") + F.col("a")).withColumn("start", F.lit(0).cast("long")).drop("a", "b")
+
+
 def first_change(series: DataFrame, keys: list[str], at: str, diff: Column, threshold: float) -> DataFrame:
     """(keys, at): the first place where the difference passes the threshold; groups without one are left out."""
     return series.where(diff > threshold).groupBy(*keys).agg(F.min(at).alias(at))

@@ -133,6 +133,26 @@ def asof_keyframe(spark, d):
     return K.asof(want, keys, ["source_id"], "t", ["key_t"]).select("source_id", "t", F.coalesce("key_t", F.lit(0.0)).alias("key_t"))
 
 
+@query(f"WITH {INDEX} SELECT source_id, frame, t FROM idx WHERE frame % 2 = 1")
+def exact_frames(spark, d):
+    index = M.packet_index(S.packets(spark, d))
+    return M.exact_frames(index.where("frame % 2 = 1").select("source_id", "frame"), index)
+
+
+@query(f"WITH {INDEX} SELECT source_id, CAST(floor(t / 3600) AS BIGINT) AS second FROM idx EXCEPT SELECT source_id, CAST(floor(t / 3600) AS BIGINT) FROM idx WHERE is_key")
+def thumb_wishes(spark, d):
+    rows = S.packets(spark, d).withColumn("second", N.floor_long(F.col("t") / 3600))
+    return M.wishes(rows, rows.where("is_key"), ["source_id", "second"])
+
+
+@query("SELECT p_partkey, split_part(trim(lower(p_brand) || ',' || CASE WHEN p_size % 2 = 0 THEN ',' ELSE '' END), ',', 1) AS codec, CASE WHEN p_size % 5 = 0 THEN false ELSE p_partkey % 7 = 0 OR p_size > p_partkey % 50 END AS recoverable FROM part")
+def probe_fields(spark, d):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    line = F.concat(F.lower("p_brand"), F.lit(","), F.when(size % 2 == 0, ",").otherwise(""))
+    saved, project = F.when(size % 5 != 0, size), F.when(key % 7 != 0, key % 50)
+    return S.table(spark, d, "part").select("p_partkey", M.first_codec(line).alias("codec"), M.recoverable(saved, project).alias("recoverable"))
+
+
 @query(f"WITH {GOPS} SELECT * FROM gops")
 def gop_index(spark, d):
     return M.gops(M.packet_index(S.packets(spark, d)))
@@ -269,6 +289,25 @@ def find_loop(spark, d):
     return H.best_loop(S.signatures(spark, d), 20, 120, 2, 0.01, 30.0, ["label"]).withColumn("score", F.round("score", 9))
 
 
+@query("WITH p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, b.vec_id - a.vec_id AS L, list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)) / 64 AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id - a.vec_id BETWEEN 20 AND 120 AND (b.vec_id - a.vec_id - 20) % 2 = 0 AND a.vec_id % 2 = 0), m AS (SELECT label, a, b FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(score - 0.01 * L / 30.0, 9), a, L) = 1) SELECT label, 100 + label % 7 + a AS src_in, 100 + label % 7 + b AS src_out, CAST(0 AS BIGINT) AS start FROM m")
+def loop_trim(spark, d):
+    sigs = S.signatures(spark, d)
+    clips = sigs.select("label").distinct().select("label", (100 + F.col("label") % 7).cast("long").alias("src_in"), F.lit(10_000).cast("long").alias("src_out"), F.lit(5).cast("long").alias("start"))
+    return H.loop_trimmed(clips, H.best_loop(sigs, 20, 120, 2, 0.01, 30.0, ["label"]), "label").select("label", "src_in", "src_out", "start")
+
+
+APART = """f AS (SELECT vec_id // 50 AS frame, vec_id AS ord, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS k FROM embeddings),
+r AS (SELECT DISTINCT frame, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[][]) AS kept, CAST(NULL AS BIGINT) AS ord FROM f UNION ALL
+  SELECT frame, k, CASE WHEN near = 0 THEN list_append(kept, [x, y]) ELSE kept END, CASE WHEN near = 0 THEN ord END
+  FROM (SELECT f.*, kept, len(list_filter(kept, lambda p: sqrt((p[1] - f.x) ** 2 + (p[2] - f.y) ** 2) < 8)) AS near FROM r JOIN f ON f.frame = r.frame AND f.k = r.k + 1))"""
+
+
+@query(f"WITH RECURSIVE {APART} SELECT frame, ord FROM r WHERE ord IS NOT NULL")
+def features_apart(spark, d):
+    rows = S.signatures(spark, d).select(N.div("frame", 50).alias("frame"), F.col("frame").alias("ord"), (F.element_at("sig", 1) * 100).alias("x"), (F.element_at("sig", 2) * 100).alias("y"))
+    return H.apart(rows, "frame", "ord", "x", "y", 8.0).select("frame", "ord")
+
+
 @query("WITH s AS (SELECT user_id, event_id, abs(value - arg_min(value, event_id) OVER (PARTITION BY user_id)) AS diff FROM events) SELECT user_id, min(event_id) AS event_id FROM s WHERE diff > 50 GROUP BY user_id")
 def find_change(spark, d):
     rows = S.table(spark, d, "events").select("user_id", "event_id", "value")

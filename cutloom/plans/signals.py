@@ -440,6 +440,13 @@ def px_unsharp(spark, d):
     return P.unsharp(_pixels(spark, d), "v", 0.8, 1.5, 8, 8).withColumn("v", F.round("v", 6))
 
 
+@query("SELECT p_partkey % 20 AS clip_id, md5(string_agg(concat_ws(':', CAST(p_partkey AS VARCHAR), lower(p_brand), CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END), ';' ORDER BY p_size, p_partkey)) AS signature FROM part GROUP BY ALL")
+def effect_signature(spark, d):
+    order = F.col("p_size").cast("long") * 1_000_000_000 + F.col("p_partkey")
+    slots = S.table(spark, d, "part").select((F.col("p_partkey") % 20).alias("clip_id"), order.alias("ord"), F.col("p_partkey").alias("slot_id"), F.lower("p_brand").alias("kind"), (F.col("p_size") % 2 == 0).alias("enabled"))
+    return D.effect_signature(slots)
+
+
 @query(f"WITH {PX}, r AS (SELECT *, CAST(least(greatest(round_even(abs(1 - v - 0.5) * 2, 0), 0), 2) AS INT) AS r FROM px), o AS (SELECT p.frame, p.x, p.y, q.v FROM r p JOIN range(-2, 3) a(i) ON abs(i) <= p.r JOIN range(-2, 3) b(j) ON abs(j) <= p.r JOIN px q ON q.frame = p.frame AND q.x = least(greatest(p.x + i, 0), 7) AND q.y = least(greatest(p.y + j, 0), 7)) SELECT frame, x, y, CAST(round(avg(v), 6) AS DOUBLE) AS v FROM o GROUP BY ALL")
 def px_depth_blur(spark, d):
     rows = _pixels(spark, d).withColumn("z", 1 - F.col("v"))
