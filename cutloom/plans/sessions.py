@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..operators import catalog as C
+from ..operators import pixels as P
 from ..sources import project as J
 from ..sources import tables as S
 from ..streaming import stateful as Z
 from .registry import edl, query
+from .signals import PX
+from .signals import _pixels as pixels
 
 TAPS = "taps AS (SELECT user_id AS session, event_id AS at, CAST(CASE WHEN value >= 50 THEN 1 ELSE -1 END AS BIGINT) AS direction FROM events)"
 
@@ -72,16 +75,10 @@ def px_plugins(spark, d):
     return made[0].join(made[1], "event_id").join(made[2], "event_id")
 
 
-DISC = "d(x, y, cx, cy, r2) AS (SELECT i % 16, i // 16, 8, 8, 25 FROM range(256) r(i))"
-
-
-@query(f"WITH {DISC}, b AS (SELECT dx, dy, w1 * w2 / 256.0 AS w FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) a(dx, w1), (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) c(dy, w2)), m AS (SELECT x, y, CASE WHEN (x - cx) ** 2 + (y - cy) ** 2 <= r2 THEN 1.0 ELSE 0.0 END AS v FROM d) SELECT CAST(m.x AS BIGINT) AS x, CAST(m.y AS BIGINT) AS y, CAST(round(sum(w * n.v), 9) AS DOUBLE) AS v FROM m CROSS JOIN b JOIN m n ON n.x = least(greatest(m.x + dx, 0), 15) AND n.y = least(greatest(m.y + dy, 0), 15) GROUP BY ALL")
+@query(f"WITH {PX}, b AS (SELECT dx, dy, w1 * w2 / 256.0 AS w FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) a(dx, w1), (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) c(dy, w2)), m AS (SELECT frame, x, y, CASE WHEN v > 0.1 THEN 1.0 ELSE 0.0 END AS v FROM px) SELECT m.frame, m.x, m.y, CAST(round(sum(w * n.v), 9) AS DOUBLE) AS v FROM m CROSS JOIN b JOIN m n ON n.frame = m.frame AND n.x = least(greatest(m.x + dx, 0), 7) AND n.y = least(greatest(m.y + dy, 0), 7) GROUP BY ALL")
 def px_matte(spark, d):
-    """A disc matte feathered by the 5 x 5 binomial kernel."""
-    from ..operators import pixels as P
-
-    ones = {-2: 1, -1: 4, 0: 6, 1: 4, 2: 1}
-    kernel = {(a, b): ones[a] * ones[b] / 256 for a in ones for b in ones}
-    grid = spark.range(256).select(F.lit(0).alias("frame"), (F.col("id") % 16).alias("x"), N.div("id", 16).alias("y"))
-    disc = grid.withColumn("v", F.when((F.col("x") - 8) * (F.col("x") - 8) + (F.col("y") - 8) * (F.col("y") - 8) <= 25, 1.0).otherwise(0.0))
-    return P.stencil(disc, kernel, "v", "v", 16, 16).select("x", "y", F.round("v", 9).alias("v"))
+    """Every picture's bright pixels as a matte, feathered by the 5 x 5 binomial kernel: along rows, then along columns."""
+    ones = {-2: 1 / 16, -1: 4 / 16, 0: 6 / 16, 1: 4 / 16, 2: 1 / 16}
+    matte = pixels(spark, d).withColumn("v", F.when(F.col("v") > 0.1, 1.0).otherwise(0.0))
+    along = P.stencil(matte, {(i, 0): w for i, w in ones.items()}, "v", "v", 8, 8)
+    return P.stencil(along, {(0, i): w for i, w in ones.items()}, "v", "v", 8, 8).withColumn("v", F.round("v", 9))
