@@ -238,19 +238,19 @@ def blend_fit(spark, d):
 
 
 SNAP = "tries AS (SELECT m.seq_id, m.ord, m.new_start, m.len, t.pos, e.side, CASE WHEN e.side = 0 THEN t.target ELSE t.target - m.len END AS cand FROM moves m JOIN targets t USING (seq_id) CROSS JOIN (VALUES (0), (1)) e(side)), best AS (SELECT seq_id, ord, cand FROM tries WHERE abs(cand - new_start) <= 4 QUALIFY row_number() OVER (PARTITION BY seq_id, ord ORDER BY abs(cand - new_start), pos, side) = 1), snapped AS (SELECT m.seq_id, m.ord, greatest(coalesce(b.cand, m.new_start), 0) AS start, b.cand IS NOT NULL AS snapped FROM moves m LEFT JOIN best b USING (seq_id, ord))"
-MOVES = "targets AS (SELECT seq_id, ord AS pos, stop AS target FROM clips WHERE ord < 4), moves AS (SELECT seq_id, ord, len, start + 6 AS new_start FROM clips WHERE ord >= 1)"
+MOVES = "targets AS (SELECT seq_id, ord AS pos, stop AS target FROM clips), moves AS (SELECT seq_id, ord, len, start + 6 AS new_start FROM clips WHERE ord >= 1)"
 
 
 @query(f"WITH {edl('tracks')}, {MOVES}, {SNAP} SELECT * FROM snapped")
 def snap_start(spark, d):
     clips = S.clips(spark, d, "tracks")
-    return E.snap_start(clips.where("ord >= 1").select("seq_id", "ord", "len", (F.col("start") + 6).alias("new_start")), clips.where("ord < 4").select("seq_id", F.col("ord").alias("pos"), F.col("stop").alias("target")), 4)
+    return E.snap_start(clips.where("ord >= 1").select("seq_id", "ord", "len", (F.col("start") + 6).alias("new_start")), clips.select("seq_id", F.col("ord").alias("pos"), F.col("stop").alias("target")), 4)
 
 
 @query(f"WITH {edl('tracks')}, {MOVES}, {SNAP}, ok AS (SELECT s.seq_id, s.ord, s.start, c.start AS old, NOT EXISTS (SELECT 1 FROM clips o WHERE o.seq_id = s.seq_id AND o.track = c.track AND o.ord <> s.ord AND s.start < o.stop AND o.start < s.start + c.len) AS moved FROM snapped s JOIN clips c USING (seq_id, ord)) SELECT seq_id, ord, CASE WHEN moved THEN start ELSE old END AS start, moved FROM ok")
 def move_clip(spark, d):
     clips = S.clips(spark, d, "tracks")
-    return E.move(clips, clips.where("ord >= 1").select("seq_id", "ord", (F.col("start") + 6).alias("new_start")), clips.where("ord < 4").select("seq_id", F.col("ord").alias("pos"), F.col("stop").alias("target")), 4)
+    return E.move(clips, clips.where("ord >= 1").select("seq_id", "ord", (F.col("start") + 6).alias("new_start")), clips.select("seq_id", F.col("ord").alias("pos"), F.col("stop").alias("target")), 4)
 
 
 @query(f"WITH {edl()}, e AS (SELECT DISTINCT seq_id, edge FROM (SELECT seq_id, start AS edge FROM clips UNION SELECT seq_id, stop FROM clips UNION SELECT seq_id, 0 FROM clips)) SELECT c.seq_id, c.start + 2 AS n, max(edge) FILTER (edge < c.start + 2) AS prev, min(edge) FILTER (edge > c.start + 2) AS nxt FROM (SELECT DISTINCT seq_id, start FROM clips) c JOIN e ON c.seq_id = e.seq_id GROUP BY ALL")
@@ -271,9 +271,9 @@ def edge_at(spark, d):
     return T.edge_at(clips.select("seq_id", (F.col("start") + 1).alias("n")).distinct(), clips, 3)
 
 
-@query(f"WITH {edl('tracks')} SELECT seq_id, ord, start - min(start) OVER (PARTITION BY seq_id) + 100 AS start FROM clips WHERE ord < 3")
+@query(f"WITH {edl('tracks')} SELECT seq_id, ord, start - min(start) OVER (PARTITION BY seq_id) + 100 AS start FROM clips")
 def paste_offsets(spark, d):
-    clips = S.clips(spark, d, "tracks").where("ord < 3")
+    clips = S.clips(spark, d, "tracks")
     first = clips.groupBy("seq_id").agg(F.min("start").alias("first"))
     return clips.join(first, "seq_id").select("seq_id", "ord", (F.col("start") - F.col("first") + 100).alias("start"))
 
