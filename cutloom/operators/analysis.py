@@ -200,7 +200,7 @@ def bundle_adjust(tracks: DataFrame, group: str, rounds: int = 25, huber: float
         sums = {"w": F.lit(1.0), "x": col("px"), "y": col("py"), "u": col("x"), "v": col("y"), "xx": col("px") * col("px") + col("py") * col("py"), "p": col("px") * col("x") + col("py") * col("y"), "q": col("px") * col("y") - col("py") * col("x")}
         s = rows.groupBy(group, "frame").agg(F.count("*").alias("n"), F.max(col("frame") == col("_first")).alias("fixed"), *(F.first(c).alias(f"_{c}") for c in ("a", "b", "tx", "ty")), *(total(e).alias(f"s{k}") for k, e in sums.items()))
         spread = col("sxx") - (col("sx") * col("sx") + col("sy") * col("sy")) / col("sw")
-        s = s.withColumn("a", (col("sp") - (col("sx") * col("su") + col("sy") * col("sv")) / col("sw")) / spread).withColumn("b", (col("sq") - (col("sx") * col("sv") - col("sy") * col("su")) / col("sw")) / spread)
+        s = s.withColumn("a", F.try_divide(col("sp") - (col("sx") * col("su") + col("sy") * col("sv")) / col("sw"), spread)).withColumn("b", F.try_divide(col("sq") - (col("sx") * col("sv") - col("sy") * col("su")) / col("sw"), spread))
         s = s.withColumn("tx", (col("su") - col("a") * col("sx") + col("b") * col("sy")) / col("sw")).withColumn("ty", (col("sv") - col("b") * col("sx") - col("a") * col("sy")) / col("sw"))
         keep = col("fixed") | (col("n") < 3) | (spread <= 1e-12 * col("sxx"))
         return s.select(group, "frame", *(F.when(keep, col(f"_{c}")).otherwise(col(c)).alias(c) for c in ("a", "b", "tx", "ty")))
