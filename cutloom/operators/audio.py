@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .lineage import cut
+from .stretches import WIDTH, handed_over
+from .timeline import segments
 
 RATE = 48_000
+BLOCK = 4096
 
 
 def cut_list(clips: DataFrame, fps: float) -> DataFrame:
@@ -52,6 +57,72 @@ def mix(tracks: DataFrame, keys: list[str]) -> DataFrame:
     return tracks.groupBy(*keys).agg(F.sum("sample").alias("_s")).select(*keys, N.clamp("_s", -32768, 32767).cast("long").alias("sample"))
 
 
-def blocks(first, last, size: int = 4096) -> Column:
+def blocks(first, last, size: int = BLOCK) -> Column:
     """The numbers of the fixed blocks that a sample span touches."""
     return F.sequence(N.div(first, size), N.div(N.col(last) - 1, size))
+
+
+def block_pieces(clips: DataFrame, fps: float, source_fps: float, size: int = BLOCK) -> DataFrame:
+    """(seq_id, block, first, n, source_id, ord, at, ratio): the sounding stretches of every block of ``size`` timeline samples.
+
+    ``first`` counts within the block; ``at`` is the source sample, whole and share, that its first sample falls on, and ``ratio`` how far the source goes on a
+    sample.  Each piece knows its place in the source by itself, so blocks can be filled in any order and give what one fill gives.
+    The clip on top sounds; what is in no piece is silent.
+    """
+    sample = lambda n: F.ceil(N.col(n) / fps * RATE).cast("long")
+    rows = segments(clips).where("ord is not null").withColumn("_p", sample("a")).withColumn("_q", sample("b")).where("_q > _p")
+    rows = rows.withColumn("block", F.explode(blocks("_p", "_q", size)))
+    p, q = F.greatest(F.col("_p"), F.col("block") * size), F.least(F.col("_q"), (F.col("block") + 1) * size)
+    at = (F.col("src_in") + (p * fps / RATE - F.col("start")) * F.col("rate")) / source_fps * RATE
+    return rows.select("seq_id", "block", (p - F.col("block") * size).alias("first"), (q - p).alias("n"), "source_id", "ord", at.alias("at"), (F.col("rate") * fps / source_fps).alias("ratio"))
+
+
+def filled(pieces: DataFrame, sounds: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(seq_id, block, samples): each block's samples, from ``sounds`` (source_id, chunk, samples: ``size`` samples of the source from chunk * size on).
+
+    A timeline sample takes the source sample nearest to where it falls; before the source's first and after its last it is silent.  Pieces
+    meet the chunks that they reach, so sound travels as arrays and a block is put together from ``size`` samples at most.
+    """
+    last = F.col("at") + (F.col("n") - 1) * F.col("ratio")
+    chunk = lambda x: N.floor_long(F.floor(x + 0.5) / size)
+    reach = pieces.where(last > -1).withColumn("chunk", F.explode(F.sequence(F.greatest(chunk(F.col("at")), F.lit(0).cast("long")), F.greatest(chunk(last), F.lit(0).cast("long")))))
+    heard = reach.join(sounds.select("source_id", "chunk", F.col("samples").alias("_s")), ["source_id", "chunk"])
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    one = heard.select("seq_id", "block", "first", "at", "ratio", "chunk", "_s", k.alias("k"))
+    place = F.floor(F.col("at") + F.col("k") * F.col("ratio") + 0.5) - F.col("chunk") * size
+    one = one.withColumn("_i", place.cast("int")).where((F.col("_i") >= 0) & (F.col("_i") < F.size("_s")))
+    got = one.select("seq_id", "block", (F.col("first") + F.col("k")).alias("i"), F.get("_s", F.col("_i")).cast("int").alias("v"))
+    whole = got.groupBy("seq_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
+    return whole.select("seq_id", "block", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("samples"))
+
+
+class Feeder:
+    """What a sound card is fed: block after block, from where the playhead is if that is over a quarter second away."""
+
+    def __init__(self, fps: float, size: int = BLOCK, slack: int = RATE // 4):
+        self.fps, self.size, self.slack, self.cursor = fps, size, slack, None
+
+    def tick(self, playhead: float) -> tuple[int, bool]:
+        """(first sample of the block, whether the feed jumped)."""
+        expected = round(playhead / self.fps * RATE)
+        jumped = self.cursor is None or abs(self.cursor - expected) > self.slack
+        start = expected if jumped else self.cursor
+        self.cursor = start + self.size
+        return start, jumped
+
+
+def fed(ticks: DataFrame, key: str, at: str, fps: float, size: int = BLOCK, width: int = WIDTH) -> DataFrame:
+    """(key, at, first, jumped) of every tick (key, at, playhead) in order: a jump makes the feed forget, so sessions go over stretches at once."""
+    rows = cut(ticks.select(key, at, F.col("playhead").cast("double").alias("playhead")))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(part, state, first):
+        feeder = Feeder(fps, size)
+        if state is not None:
+            feeder.cursor = int(state[0])
+        out = [feeder.tick(p) for p in part["playhead"].tolist()]
+        told = part[[key, at]].copy()
+        told["first"], told["jumped"] = [x[0] for x in out], [x[1] for x in out]
+        return told, np.array([float(feeder.cursor)])
+
+    return handed_over(rows, key, at, run, f"`{key}` {kinds[key]}, `{at}` {kinds[at]}, first long, jumped boolean", width)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -148,3 +148,85 @@ def bilinear_resize(pixels: DataFrame, width: int, height: int, to_width: int, t
     grid = grid.select("frame", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), weight.alias("_w"), F.least(N.floor_long(F.col("_x")) + F.col("_c.i"), F.lit(width - 1)).alias("_sx"), F.least(N.floor_long(F.col("_y")) + F.col("_c.j"), F.lit(height - 1)).alias("_sy"))
     source = pixels.select("frame", F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col(value).alias("_v"))
     return grid.join(source, ["frame", "_sx", "_sy"]).groupBy("frame", "x", "y").agg(F.sum(F.col("_w") * F.col("_v")).alias(value))
+
+
+def warp(pixels: DataFrame, matrices: DataFrame, value: str, width: int, height: int, to_width: int, to_height: int, edge: str = "repeat") -> DataFrame:
+    """Each pixel of the new grid from where its frame's 3x3 matrix ``m`` (row by row; places from 0) takes it in the old one, bilinear between four.
+
+    Beyond the picture the edge pixel repeats, or with ``edge="empty"`` there is nothing (0).  Matrices that are affine or projective; a place on the horizon is empty.
+    Each target pixel asks for its four sources; one join, one grouped sum.
+    """
+    cells = matrices.select("frame", "m", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1))).alias("y")).select("frame", "m", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))).alias("x"), "y")
+    row = lambda i: F.element_at("m", 3 * i + 1) * F.col("x") + F.element_at("m", 3 * i + 2) * F.col("y") + F.element_at("m", 3 * i + 3)
+    places = cells.select("frame", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.try_divide(row(0), row(2)).alias("u"), F.try_divide(row(1), row(2)).alias("v"))
+    if edge == "repeat":
+        places = places.withColumn("u", N.clamp("u", 0.0, width - 1.0)).withColumn("v", N.clamp("v", 0.0, height - 1.0))
+    near = lambda c: F.array(*(F.struct((F.floor(c) + k).alias("at"), (1 - F.abs(N.col(c) - F.floor(c) - k)).alias("w")) for k in (0, 1)))
+    taps = places.select("frame", "x", "y", "v", F.explode(near("u")).alias("a")).select("frame", "x", "y", "a", F.explode(near("v")).alias("b"))
+    taps = taps.select("frame", "x", "y", F.col("a.at").alias("px"), F.col("b.at").alias("py"), (F.col("a.w") * F.col("b.w")).alias("w"))
+    source = pixels.select("frame", F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"), F.col(value).alias("_v"))
+    hit = taps.where("w > 0").join(source, ["frame", "px", "py"])
+    sums = hit.groupBy("frame", "x", "y").agg(F.sum(F.col("w") * F.col("_v")).alias(value))
+    if edge == "repeat":
+        return sums
+    return places.select("frame", "x", "y").join(sums, ["frame", "x", "y"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+
+
+def integral(pixels: DataFrame, value: str) -> DataFrame:
+    """(frame, x, y, s, q): sums of values and of their squares over all pixels up to (x, y): prefix sums along rows, then along columns."""
+    along, down = Window.partitionBy("frame", "y").orderBy("x"), Window.partitionBy("frame", "x").orderBy("y")
+    rows = pixels.select("frame", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(value).alias("_v"))
+    rows = rows.select("frame", "x", "y", F.sum("_v").over(along).alias("s"), F.sum(F.col("_v") * F.col("_v")).over(along).alias("q"))
+    return rows.select("frame", "x", "y", F.sum("s").over(down).alias("s"), F.sum("q").over(down).alias("q"))
+
+
+def window_stats(pixels: DataFrame, value: str, half: int, width: int, height: int) -> DataFrame:
+    """(frame, x, y, n, mean, deviation) of the square of 2 half + 1 pixels around each pixel, cut at the edges: four lookups each, whatever its size."""
+    left, right = F.greatest(F.col("x") - half, F.lit(0)) - 1, F.least(F.col("x") + half, F.lit(width - 1))
+    top, bottom = F.greatest(F.col("y") - half, F.lit(0)) - 1, F.least(F.col("y") + half, F.lit(height - 1))
+    corners = [(right, bottom, 1.0), (left, bottom, -1.0), (right, top, -1.0), (left, top, 1.0)]
+    area = ((right - left) * (bottom - top)).cast("long")
+    asked = pixels.select("frame", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    asked = asked.select("frame", "x", "y", area.alias("n"), F.explode(F.array(*(F.struct(a.cast("long").alias("px"), b.cast("long").alias("py"), F.lit(s).alias("sign")) for a, b, s in corners))).alias("c"))
+    asked = asked.select("frame", "x", "y", "n", "c.*").where("px >= 0 and py >= 0")
+    sums = integral(pixels, value).select("frame", F.col("x").alias("px"), F.col("y").alias("py"), "s", "q")
+    got = asked.join(sums, ["frame", "px", "py"]).groupBy("frame", "x", "y", "n").agg(F.sum(F.col("sign") * F.col("s")).alias("s"), F.sum(F.col("sign") * F.col("q")).alias("q"))
+    mean = F.col("s") / F.col("n")
+    return got.select("frame", "x", "y", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("deviation"))
+
+
+def correlate(pixels: DataFrame, pairs: DataFrame, value: str, half: int, radius: int, width: int, height: int) -> DataFrame:
+    """(frame, to_frame, point, dx, dy, score) for each ``pairs`` (frame, to_frame, point, x, y): how well the square around (x, y) in one frame matches those moved by up to ``radius`` in the other.
+
+    Normalised cross-correlation, -1 to 1; means and deviations come from ``window_stats``.  Squares that leave the picture are not tried; one without contrast (a deviation of a millionth at most) scores 0.
+    """
+    stats = window_stats(pixels, value, half, width, height).where(F.col("n") == (2 * half + 1) ** 2)
+    n = (2 * half + 1) ** 2
+    offsets = lambda k, c: F.explode(F.sequence(F.lit(-k).cast("long"), F.lit(k).cast("long"))).alias(c)
+    tried = pairs.select("frame", "to_frame", "point", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), offsets(radius, "dx")).select("*", offsets(radius, "dy"))
+    own = stats.select("frame", "x", "y", F.col("mean").alias("m1"), F.col("deviation").alias("d1"))
+    other = stats.select(F.col("frame").alias("to_frame"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("mean").alias("m2"), F.col("deviation").alias("d2"))
+    tried = tried.withColumn("u", F.col("x") + F.col("dx")).withColumn("v", F.col("y") + F.col("dy")).join(own, ["frame", "x", "y"]).join(other, ["to_frame", "u", "v"])
+    square = pairs.select("frame", "point", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct().select("*", offsets(half, "i")).select("*", offsets(half, "j"))
+    light = pixels.select("frame", F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"), F.col(value).alias("_v"))
+    first = square.select("frame", "point", "i", "j", (F.col("x") + F.col("i")).alias("px"), (F.col("y") + F.col("j")).alias("py")).join(light, ["frame", "px", "py"]).select("frame", "point", "i", "j", F.col("_v").alias("a"))
+    asked = tried.select("frame", "to_frame", "point", "dx", "dy", "u", "v", "m1", "d1", "m2", "d2").join(first, ["frame", "point"])
+    second = light.select(F.col("frame").alias("to_frame"), "px", "py", F.col("_v").alias("b"))
+    asked = asked.withColumn("px", F.col("u") + F.col("i")).withColumn("py", F.col("v") + F.col("j")).join(second, ["to_frame", "px", "py"])
+    sums = asked.groupBy("frame", "to_frame", "point", "dx", "dy", "m1", "d1", "m2", "d2").agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
+    spread = F.col("d1") * F.col("d2") * n
+    score = F.when((F.col("d1") > 1e-6) & (F.col("d2") > 1e-6), F.try_divide(F.col("ab") - n * F.col("m1") * F.col("m2"), spread)).otherwise(0.0)
+    return sums.select("frame", "to_frame", "point", "dx", "dy", score.alias("score"))
+
+
+def best_matches(scores: DataFrame, apart: int = 2) -> DataFrame:
+    """(frame, to_frame, point, dx, dy, score, margin): the best offset of each point, ties to the least (dy, dx), and how far it is over the best one ``apart`` or more pixels away.
+
+    Without another offset that far away the margin is the score itself.
+    """
+    keys = ["frame", "to_frame", "point"]
+    top = scores.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("dy")).alias("y"), (-F.col("dx")).alias("x"))).alias("t"))
+    top = top.select(*keys, (-F.col("t.x")).alias("bx"), (-F.col("t.y")).alias("by"), F.col("t.score").alias("best"))
+    far = F.greatest(F.abs(F.col("dx") - F.col("bx")), F.abs(F.col("dy") - F.col("by"))) >= apart
+    second = scores.join(top, keys).groupBy(*keys, "bx", "by", "best").agg(F.max(F.when(far, F.col("score"))).alias("next"))
+    return second.select(*keys, F.col("bx").alias("dx"), F.col("by").alias("dy"), F.col("best").alias("score"), (F.col("best") - F.coalesce("next", F.lit(0.0))).alias("margin"))
