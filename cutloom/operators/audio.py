@@ -13,6 +13,7 @@ from .timeline import segments
 
 RATE = 48_000
 BLOCK = 4096
+HALF = 0.5 + 1e-6  # a place in the middle of two samples goes up, however its last bits came out
 
 
 def cut_list(clips: DataFrame, fps: float) -> DataFrame:
@@ -84,12 +85,12 @@ def filled(pieces: DataFrame, sounds: DataFrame, size: int = BLOCK) -> DataFrame
     meet the chunks that they reach, so sound travels as arrays and a block is put together from ``size`` samples at most.
     """
     last = F.col("at") + (F.col("n") - 1) * F.col("ratio")
-    chunk = lambda x: N.floor_long(F.floor(x + 0.5) / size)
+    chunk = lambda x: N.floor_long(F.floor(x + HALF) / size)
     reach = pieces.where(last > -1).withColumn("chunk", F.explode(F.sequence(F.greatest(chunk(F.col("at")), F.lit(0).cast("long")), F.greatest(chunk(last), F.lit(0).cast("long")))))
     heard = reach.join(sounds.select("source_id", "chunk", F.col("samples").alias("_s")), ["source_id", "chunk"])
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
     one = heard.select("seq_id", "block", "first", "at", "ratio", "chunk", "_s", k.alias("k"))
-    place = F.floor(F.col("at") + F.col("k") * F.col("ratio") + 0.5) - F.col("chunk") * size
+    place = F.floor(F.col("at") + F.col("k") * F.col("ratio") + HALF) - F.col("chunk") * size
     one = one.withColumn("_i", place.cast("int")).where((F.col("_i") >= 0) & (F.col("_i") < F.size("_s")))
     got = one.select("seq_id", "block", (F.col("first") + F.col("k")).alias("i"), F.get("_s", F.col("_i")).cast("int").alias("v"))
     whole = got.groupBy("seq_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))

@@ -79,7 +79,7 @@ def one_shot(clips, sounds, fps, source_fps, total):
         here = [c for c in clips if c[4] <= n < c[5]]
         if here:
             _, _, source, src_in, start, _, rate, _ = max(here, key=lambda c: (c[7], -c[1]))
-            place = int(np.floor((src_in + (t * fps / Au.RATE - start) * rate) / source_fps * Au.RATE + 0.5))
+            place = int(np.floor((src_in + (t * fps / Au.RATE - start) * rate) / source_fps * Au.RATE + Au.HALF))
             if 0 <= place < len(sounds.get(source, [])):
                 out[t] = sounds[source][place]
     return out
