@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from .lineage import cut
+from .stretches import ranged
 
 
 def deoutlier(series: DataFrame, keys: list[str], at: str, value: str, half: int, threshold: float) -> DataFrame:
@@ -61,25 +65,32 @@ def _system(cutoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return b, a, np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
 
 
-def _respond(x: np.ndarray, cutoff: float, state: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """What the low-pass answers from a state, and the state it ends in; blocks are matrix products, the state goes from block to block."""
+@cache
+def _matrices(cutoff: float, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the step up to ``block``, what a block's own samples answer (transposed), and how they enter the state after it."""
     b, _, step, enter = _system(cutoff)
-    block = max(1, min(block, len(x)))
     reach = np.empty((block + 1, 2, 2))
     reach[0] = np.eye(2)
     for k in range(block):
         reach[k + 1] = step @ reach[k]
     impulse = np.concatenate(([b[0]], (reach[: block - 1] @ enter)[:, 0]))
     lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    return reach, np.where(lag >= 0, impulse[np.abs(lag)], 0.0).T, reach[block - 1 :: -1] @ enter
+
+
+def _respond(x: np.ndarray, cutoff: float, state: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """What the low-pass answers from a state, and the state it ends in; blocks are matrix products, the state goes from block to block."""
+    block = max(1, min(block, len(x)))
+    reach, answers, entering = _matrices(cutoff, block)
     rows = np.zeros((-(-len(x) // block), block))
     rows.flat[: len(x)] = x
-    y = rows @ np.where(lag >= 0, impulse[np.abs(lag)], 0.0).T
-    gained = rows @ (reach[block - 1 :: -1] @ enter)
+    y = rows @ answers
+    gained = rows @ entering
     for k in range(len(rows)):
         y[k] += reach[:block, 0] @ state
         rest = len(x) - k * block
         if rest < block:  # the last block is not full: only its own samples move the state
-            state = reach[rest] @ state + x[k * block :] @ (reach[rest - 1 :: -1] @ enter)
+            state = reach[rest] @ state + x[k * block :] @ entering[block - rest :]
         else:
             state = reach[block] @ state + gained[k]
     return y.ravel()[: len(x)], state
@@ -108,16 +119,48 @@ def zero_phase(x: np.ndarray, cutoff: float) -> np.ndarray:
     return _respond(there, cutoff, _settled(there[0], cutoff))[0][::-1][len(before) : len(before) + len(x)]
 
 
-def smoothed(series: DataFrame, key: str, at: str, columns: list[str], cutoff: float, fps: float, width: int = 10_000) -> DataFrame:
+def smoothed(series: DataFrame, key: str, at: str, columns: list[str], cutoff: float, fps: float, width: int = 200_000) -> DataFrame:
     """``<column>_low`` per group: each column through the zero-phase low-pass; groups of under three rows stay as they are.
 
-    Rows are dealt by group and stretch of ``width`` in ``at`` (whole numbers), so a group with very many rows is spread over its
-    stretches.  The filter is linear: a stretch tells what it adds to the states that enter it from either side, one row a stretch;
-    those rows are chained per group, and each stretch is then filtered between the states it was given.
+    Groups of ``width`` rows at most are filtered whole, many of them a batch.  Longer ones are cut into stretches of rows.  The filter is linear: a stretch tells what
+    it adds to the states that enter it from either side, one row a stretch; those rows are chained per group, and each stretch is then
+    filtered between the states it was given.
     """
     share = 2 * cutoff / fps
     kinds = {f.name: f.dataType.simpleString() for f in series.schema}
-    rows = series.select(key, at, *columns).withColumn("_s", N.floor_long(F.col(at) / width))
+    schema = ", ".join([f"{key} {kinds[key]}", f"{at} {kinds[at]}"] + [f"{c}_low double" for c in columns])
+    rows = cut(series.select(key, at, *columns))
+    long = cut(rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).where(F.col("_n") > width).select("_k", F.lit(True).alias("_long")))
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if len(batch):
+                part = batch if rest is None else pd.concat((rest, batch))
+                groups = pd.factorize(part[key], use_na_sentinel=False)[0]  # sorted: a group is one run
+                last = int(np.searchsorted(groups, groups[-1]))
+                rest = part.iloc[last:]
+                if last:
+                    yield filtered(part.iloc[:last], groups[:last])
+        if rest is not None:
+            yield filtered(rest, np.zeros(len(rest), np.int64))
+
+    def filtered(part: pd.DataFrame, groups: np.ndarray) -> pd.DataFrame:
+        cuts = np.flatnonzero(np.diff(groups)) + 1
+        out = {c: np.concatenate([zero_phase(x, share) for x in np.split(part[c].to_numpy(np.float64), cuts)]) for c in columns}
+        return part[[key, at]].assign(**{f"{c}_low": x for c, x in out.items()})
+
+    short = lambda rows: rows.select(key, at, *columns).repartition(key).sortWithinPartitions(key, at).mapInPandas(whole, schema)
+    if long.isEmpty():
+        return short(rows)
+    told_apart = rows.join(F.broadcast(long), F.col(key).eqNullSafe(F.col("_k")), "left")  # a row for each ``width`` rows at most
+    return short(told_apart.where("_long is null")).unionByName(_by_stretches(cut(told_apart.where("_long").select(key, at, *columns)), key, at, columns, share, width, schema))
+
+
+def _by_stretches(series: DataFrame, key: str, at: str, columns: list[str], share: float, width: int, schema: str) -> DataFrame:
+    """``smoothed`` for long groups."""
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema}
+    rows = cut(ranged(series, key, at, width).withColumnRenamed("stretch", "_s"))
     step = _system(share)[2]
     nothing = np.zeros(2)
 
@@ -162,9 +205,8 @@ def smoothed(series: DataFrame, key: str, at: str, columns: list[str], cutoff: f
         return out
 
     doubles = ", ".join(f"{c} array<double>" for c in ("head", "tail", "left", "right", "echo"))
-    parts = rows.groupBy(key, "_s").applyInPandas(told, f"{key} {kinds[key]}, _s long, n long, {doubles}")
-    states = parts.groupBy(key).applyInPandas(chained, f"{key} {kinds[key]}, _s long, total long, enter array<double>")
-    schema = ", ".join([f"{key} {kinds[key]}", f"{at} {kinds[at]}"] + [f"{c}_low double" for c in columns])
+    parts = rows.groupBy(key, "_s").applyInPandas(told, f"{key} {kinds[key]}, _s int, n long, {doubles}")
+    states = parts.groupBy(key).applyInPandas(chained, f"{key} {kinds[key]}, _s int, total long, enter array<double>")
     return rows.groupBy(key, "_s").cogroup(states.groupBy(key, "_s")).applyInPandas(run, schema)
 
 

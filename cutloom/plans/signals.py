@@ -256,6 +256,21 @@ def low_pass_track(spark, d):
     return A.smoothed(_series(spark, d), "user_id", "event_id", ["value"], 1.0, 30.0).withColumn("value_low", F.round("value_low", 6))
 
 
+COLOUR = f"""WITH RECURSIVE shown AS (SELECT user_id, event_id, value, 1 + event_id * 37 % 101 AS spread FROM events QUALIFY count(*) OVER (PARTITION BY user_id) >= 24),
+two AS (SELECT user_id * 2 AS user_id, event_id, value FROM shown UNION ALL SELECT user_id * 2 + 1, event_id, CAST(spread AS DOUBLE) FROM shown), {_low_pass_sql('two', 1 / 30)},
+laid AS (SELECT s.*, m.low AS mean_low, d.low AS std_low FROM shown s JOIN low m ON m.user_id = s.user_id * 2 AND m.event_id = s.event_id JOIN low d ON d.user_id = s.user_id * 2 + 1 AND d.event_id = s.event_id),
+gained AS (SELECT *, least(greatest(std_low / greatest(spread, 1e-4), 0.5), 2.0) AS gain FROM laid)
+SELECT user_id, event_id, CAST(round(gain, 6) AS DOUBLE) AS gain, CAST(round(mean_low - value * gain, 5) AS DOUBLE) AS offset FROM gained"""
+
+
+@query(COLOUR)
+def color_track(spark, d):
+    """Users with 24 and more events as takes: the gain and offset to targets smoothed without lag."""
+    stats = _series(spark, d).select("user_id", "event_id", "value", (1 + F.col("event_id") * 37 % 101).cast("double").alias("spread"))
+    out = A.color_track(stats, "user_id", "event_id", "value", "spread", 0.5, 30.0)
+    return out.select("user_id", "event_id", F.round("gain", 6).alias("gain"), F.round("offset", 5).alias("offset"))
+
+
 @query()
 def bundle_paths(spark, d):
     """Frames of a label as one take: every component is a track, the component 20 on its second coordinate."""

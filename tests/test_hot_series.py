@@ -43,6 +43,16 @@ def test_stretches_equal_the_whole(spark, width):
             assert np.allclose(got[got.k == k][f"{c}_low"], want, atol=1e-9)
 
 
+def test_one_long_sparse_series(spark):
+    """A third of a million rows of one key at places far apart, over many stretches of rows, beside many short ones."""
+    long = spark.range(333_333).selectExpr("0L AS k", "id * 9973 AS at", "cast(id % 97 AS double) AS v")
+    short = spark.range(20_000).selectExpr("1 + id % 4000 AS k", "id AS at", "cast(id % 89 AS double) AS v")
+    got = A.smoothed(long.unionByName(short).repartition(8), "k", "at", ["v"], 1.0, 30.0, 30_000)
+    hot = got.where("k = 0").toPandas().sort_values("at").v_low.to_numpy()
+    assert got.count() == 353_333 and len(hot) == 333_333
+    assert np.allclose(hot, A.zero_phase(np.arange(333_333) % 97, 2 / 30), atol=1e-6)
+
+
 def test_colour_needs_24_frames(spark):
     rng = np.random.default_rng(3)
     rows = pd.DataFrame([(k, i, *rng.uniform(1, 9, 2)) for k, n in ((0, 23), (1, 24)) for i in range(n)], columns=["k", "at", "mu", "sd"])
