@@ -95,3 +95,57 @@ def fade_in_length(curves: DataFrame, clips: DataFrame) -> DataFrame:
 def effective(clips: DataFrame, sampled: DataFrame) -> DataFrame:
     """A clip's static parameters, overridden by its curves' values at the frame."""
     return clips.join(sampled.withColumnRenamed("value", "curve"), "owner_id", "left").withColumn("value", F.coalesce("curve", "static"))
+
+
+def clear_fade(curves: DataFrame, clips: DataFrame) -> DataFrame:
+    """Curves without the keys in the fade zone of ``clips`` (owner_id, src_in, src_out, direction ``in`` or ``out``): the half of the clip at that end, one frame at least.
+
+    Keys elsewhere stay.  A clip may be given once for each direction.
+    """
+    half = F.greatest(N.div(F.col("src_out") - F.col("src_in"), 2), F.lit(1))
+    at_end = F.col("direction") == "out"
+    zones = clips.select("owner_id", F.when(at_end, F.col("src_out") - half).otherwise(F.col("src_in")).alias("_low"), F.when(at_end, F.col("src_out")).otherwise(F.col("src_in") + half).alias("_high"))
+    zones = zones.groupBy("owner_id").agg(F.collect_set(F.struct("_low", "_high")).alias("_zones"))  # two a clip
+    inside = F.exists("_zones", lambda z: F.col("frame").between(z["_low"], z["_high"]))
+    return curves.join(zones, "owner_id", "left").where(~F.coalesce(inside, F.lit(False))).select(*curves.columns)
+
+
+def fade(curves: DataFrame, clips: DataFrame) -> DataFrame:
+    """Curves with fades of ``clips`` (owner_id, src_in, src_out, rate, direction, frames) in place of those that were there.
+
+    ``frames`` are timeline frames; a fade takes their number at the clip's rate in source frames, one at least: in from 0 at the first to 1 at its last one,
+    out from 1 to 0 at the clip's last.  Of two values for one frame the one to 0 stays.
+    """
+    n = F.greatest(N.half_even(F.col("frames") * F.col("rate")), F.lit(1))
+    at_end = F.col("direction") == "out"
+    ends = F.array(
+        F.struct(F.when(at_end, F.col("src_out") - n).otherwise(F.col("src_in") + n - 1).alias("frame"), F.lit(1.0).alias("value")),
+        F.struct(F.when(at_end, F.col("src_out") - 1).otherwise(F.col("src_in")).alias("frame"), F.lit(0.0).alias("value")),
+    )
+    fresh = clips.select("owner_id", F.explode(ends).alias("k")).groupBy("owner_id", "k.frame").agg(F.min("k.value").alias("value"))
+    rest = clear_fade(curves.select("owner_id", "frame", "value", "ease"), clips).withColumnRenamed("value", "_old")
+    both = rest.join(fresh, ["owner_id", "frame"], "full")
+    return both.select("owner_id", "frame", F.coalesce("value", "_old").alias("value"), F.coalesce("ease", F.lit("linear")).alias("ease"))
+
+
+def materialise_ease(curves: DataFrame) -> DataFrame:
+    """Curves (with ``interp``, the ease of the whole) whose keys say it themselves: linear keys of a smooth curve become smooth, and the curve linear."""
+    return curves.withColumn("ease", key_ease("ease", "interp")).withColumn("interp", F.when(F.col("interp") == "smooth", "linear").otherwise(F.col("interp")))
+
+
+def toggle_keys(curves: DataFrame, points: DataFrame) -> DataFrame:
+    """Curves without the keys that ``points`` (owner_id, frame) name, and with new ones, of the value that the curve has there, where there was none.
+
+    A point of an owner without any key takes ``static`` of ``points``, if it has such a column, and nothing else.
+    """
+    want = points.select("owner_id", "frame", *(c for c in points.columns if c == "static")).dropDuplicates(["owner_id", "frame"])
+    keys = curves.select("owner_id", "frame", "value", "ease")
+    new = want.join(keys.select("owner_id", "frame"), ["owner_id", "frame"], "left_anti")
+    static = new.select("owner_id", "frame", F.col("static").alias("_static")) if "static" in new.columns else new.select("owner_id", "frame", F.lit(None).cast("double").alias("_static"))
+    made = value_at(new.select("owner_id", "frame"), keys).join(static, ["owner_id", "frame"]).select("owner_id", "frame", F.coalesce("value", "_static").alias("value"), F.lit("linear").alias("ease")).where("value is not null")
+    return remove_keys(keys, want).unionByName(made)
+
+
+def clear_curves(curves: DataFrame, owners: DataFrame) -> DataFrame:
+    """Curves without any key of ``owners`` (owner_id)."""
+    return curves.join(owners.select("owner_id").distinct(), "owner_id", "left_anti").select(*curves.columns)

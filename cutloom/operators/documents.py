@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from .lineage import cut
+from .lineage import cut, discard
 from .timeline import interval_join
 
 # By effect kind, the parameter and the bound at which it changes nothing.
@@ -66,6 +66,49 @@ def link_chain(edges: DataFrame, starts: DataFrame, depth: int | None = None) ->
     return seen.where("start <> node")
 
 
+def linked_params(links: DataFrame, slots: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(src_clip, src_slot, to_clip, dst_slot, kind, role, params): what a slot's card shows of the slots it links to: direct links only, with parameters to show.
+
+    ``slots`` are (clip_id, slot_id, kind), ``kinds`` (kind, params) what each kind of effect can show; kinds that are not registered show nothing, nor do links to nothing.
+    """
+    rows = resolve_links(links, slots).where("found")
+    target = slots.select(F.col("clip_id").alias("to_clip"), F.col("slot_id").alias("dst_slot"), "kind").distinct()
+    shown = rows.join(target, ["to_clip", "dst_slot"]).join(kinds.select("kind", "params"), "kind")
+    return shown.select("src_clip", "src_slot", "to_clip", "dst_slot", "kind", "role", "params")
+
+
+def link_roles(links: DataFrame, starts: DataFrame, every: int = 8) -> DataFrame:
+    """(start, node, role, steps): everything each start (node) reaches over links (src, dst, role), once, with the role it was reached by and in how many steps.
+
+    A node is reached in the fewest steps; of several links that do it, by the one from the lowest node, then with the least role.  Itself is not reached; circles end.
+    One row comes out for each start and node that it reaches, which is what a walk from every start is.  A round joins the frontier; what was reached is kept
+    in tables that are put into one every ``every`` rounds, and tables that nothing reads any more go.
+    """
+    edges = cut(links.select("src", "dst", "role").where("src <> dst").distinct())
+    begin = starts.select(F.col("node").alias("start"), "node").distinct().select("start", "node", F.lit(None).cast("string").alias("role"), F.lit(0).alias("steps"))
+    parts = [cut(begin)]
+    front = parts[0]
+    steps = 0
+    while not front.isEmpty():
+        steps += 1
+        reached = front.select("start", F.col("node").alias("src")).join(edges, "src").groupBy("start", F.col("dst").alias("node")).agg(F.min(F.struct("src", "role")).alias("by"))
+        for part in parts:  # a few: see below
+            reached = reached.join(part.select("start", "node"), ["start", "node"], "left_anti")
+        front = cut(reached.select("start", "node", "by.role", F.lit(steps).alias("steps")))
+        parts.append(front)
+        if len(parts) > every:
+            whole = parts[0]
+            for part in parts[1:-1]:
+                whole = whole.unionByName(part)
+            merged = cut(whole)
+            discard(*parts[:-1])
+            parts = [merged, front]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where("steps > 0").select("start", "node", "role", "steps")
+
+
 def overlay_state(overlays: DataFrame, sampled: DataFrame) -> DataFrame:
     """Settings, then static parameters, then curve values, then the frame itself; the later wins.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from .lineage import cut
+from .lineage import cut, discard
 
 
 def mean_square(a: str, b: str) -> Column:
@@ -22,10 +24,25 @@ def znorm(sig: str) -> Column:
     )
 
 
-def distances(signatures: DataFrame, refs: DataFrame) -> DataFrame:
-    """(ref, frame, score) of every frame to each reference: a stated query set against all rows, block by block."""
-    queries = refs.select(F.col("frame").alias("ref"), F.col("sig").alias("ref_sig"))
-    return signatures.crossJoin(queries).select("ref", "frame", mean_square("sig", "ref_sig").alias("score"))
+BROADCAST = 16 << 20
+
+
+def distances(signatures: DataFrame, refs: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """(ref, frame, score) of every frame to each reference: a stated query set against all rows, block by block.
+
+    References are counted first and sent out in blocks of ``most`` bytes of numbers; each block is one pass over the frames.
+    """
+    queries = cut(refs.select(F.col("frame").alias("ref"), F.col("sig").alias("ref_sig")))
+    size = queries.agg(F.sum(8 * F.size("ref_sig") + 16)).first()[0] or 0
+    blocks = max(1, -(-size // most))
+    if blocks > 1:
+        queries = cut(queries.withColumn("_b", F.pmod(F.xxhash64("ref"), F.lit(blocks))))
+    out = None
+    for k in range(blocks):
+        some = queries.where(F.col("_b") == k).drop("_b") if blocks > 1 else queries
+        one = signatures.crossJoin(F.broadcast(some)).select("ref", "frame", mean_square("sig", "ref_sig").alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def nearest(scored: DataFrame, k: int, exclude: int) -> DataFrame:
@@ -93,22 +110,31 @@ def first_change(series: DataFrame, keys: list[str], at: str, diff: Column, thre
 
 
 def bisected_change(series: DataFrame, key: str, value: str, threshold: float) -> DataFrame:
+    """``bisected`` over a series that is a table with a row a frame, counted from 0; it is stored once."""
+    frames = cut(series.select(key, "frame", F.col(value).alias("value")))
+    ends = frames.groupBy(key).agg(F.max("frame").alias("last"))
+    return bisected(ends, key, lambda asked: asked.join(frames, [key, "frame"]), threshold)
+
+
+def bisected(ends: DataFrame, key: str, look: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(key, frame, diff): a frame that differs from the first by over the threshold while the one before does not, and how far the last differs.
 
-    Series have a row a frame, counted from 0.  Groups whose last frame is within the threshold are left out.  A round looks at one
-    frame a group, so a series of n frames is read at about log2(n) of them; where it goes back and forth this need not be the earliest.
+    ``ends`` is (key, last), the last frame of each group; ``look`` gets the (key, frame) that are asked for and adds ``value``: it renders, decodes or looks up. It is
+    called with two frames a group and then one a round, so of n frames it sees 2 + log2(n); every call's answers are stored, so none is asked for twice.
+    Groups whose last frame is within the threshold are left out; where a series goes back and forth what is found need not be the earliest change.
     """
-    frames = series.select(key, "frame", F.col(value).alias("_v"))
-    ends = frames.groupBy(key).agg(F.min_by("_v", "frame").alias("_first"), F.max_by("_v", "frame").alias("_last"), F.max("frame").alias("b"))
-    state = cut(ends.select(key, F.lit(0).cast("long").alias("a"), "b", "_first", F.abs(F.col("_last") - F.col("_first")).alias("diff")).where(F.col("diff") > threshold))
+    both = cut(look(ends.select(key, F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.col("last").cast("long")))).alias("frame"))).select(key, "frame", "value"))
+    known = ends.join(both.groupBy(key).agg(F.min_by("value", "frame").alias("_first"), F.max_by("value", "frame").alias("_last")), key)
+    state = cut(known.select(key, F.lit(0).cast("long").alias("a"), F.col("last").cast("long").alias("b"), "_first", F.abs(F.col("_last") - F.col("_first")).alias("diff")).where(F.col("diff") > threshold))
     longest = state.agg(F.max("b")).first()[0] or 0
-    for k in range(int(longest).bit_length()):
-        asked = state.withColumn("frame", F.when(F.col("b") - F.col("a") > 1, N.div(F.col("a") + F.col("b"), 2)))
-        found = asked.join(frames, [key, "frame"], "left")
-        changed = F.abs(F.col("_v") - F.col("_first")) > threshold
-        state = found.select(key, F.when(~changed, F.col("frame")).otherwise(F.col("a")).alias("a"), F.when(changed, F.col("frame")).otherwise(F.col("b")).alias("b"), "_first", "diff")
-        if k % 6 == 5:
-            state = cut(state)
+    for _ in range(int(longest - 1).bit_length() if longest > 1 else 0):
+        asked = state.where("b - a > 1").select(key, N.div(F.col("a") + F.col("b"), 2).alias("frame"))
+        seen = look(asked).select(key, "frame", "value")
+        changed = F.abs(F.col("value") - F.col("_first")) > threshold
+        new = state.join(seen, key, "left").select(key, F.when(~changed, F.col("frame")).otherwise(F.col("a")).alias("a"), F.when(changed, F.col("frame")).otherwise(F.col("b")).alias("b"), "_first", "diff")
+        after = cut(new)
+        discard(state)
+        state = after
     return state.select(key, F.col("b").alias("frame"), "diff")
 
 

@@ -94,6 +94,44 @@ def fade_in_length(spark, d):
     return K.fade_in_length(keys, clips)
 
 
+ZONES = f"WITH {CURVES}, c AS (SELECT owner_id, min(frame) AS src_in, max(frame) + 1 AS src_out, CASE WHEN owner_id % 2 = 0 THEN 'out' ELSE 'in' END AS direction, greatest((max(frame) + 1 - min(frame)) // 2, 1) AS half, greatest(CAST(round_even((owner_id % 60 + 1) * 0.5::DOUBLE, 0) AS BIGINT), 1) AS n FROM curves GROUP BY owner_id), kept AS (SELECT k.* FROM curves k JOIN c USING (owner_id) WHERE NOT CASE direction WHEN 'out' THEN frame BETWEEN src_out - half AND src_out ELSE frame BETWEEN src_in AND src_in + half END)"
+
+
+def _fading(spark, d):
+    keys = S.curves(spark, d)
+    clips = keys.groupBy("owner_id").agg(F.min("frame").alias("src_in"), (F.max("frame") + 1).alias("src_out"))
+    return keys, clips.select("*", F.lit(0.5).alias("rate"), F.when(F.col("owner_id") % 2 == 0, "out").otherwise("in").alias("direction"), (F.col("owner_id") % 60 + 1).alias("frames"))
+
+
+@query(f"{ZONES} SELECT owner_id, frame, value, ease FROM kept")
+def clear_fade(spark, d):
+    keys, clips = _fading(spark, d)
+    return K.clear_fade(keys.select("owner_id", "frame", "value", "ease"), clips)
+
+
+@query(f"{ZONES}, made AS (SELECT owner_id, frame, min(v) AS v FROM (SELECT owner_id, CASE direction WHEN 'out' THEN src_out - n ELSE src_in + n - 1 END AS frame, 1.0::DOUBLE AS v FROM c UNION ALL SELECT owner_id, CASE direction WHEN 'out' THEN src_out - 1 ELSE src_in END, 0.0 FROM c) GROUP BY ALL) SELECT owner_id, frame, coalesce(v, value) AS value, coalesce(ease, 'linear') AS ease FROM kept FULL JOIN made USING (owner_id, frame)")
+def fades(spark, d):
+    """Fades in and out by turns, in place of what was there."""
+    return K.fade(*_fading(spark, d))
+
+
+@query(f"WITH {CURVES} SELECT owner_id, frame, CASE WHEN owner_id % 3 = 0 AND ease = 'linear' THEN 'smooth' ELSE ease END AS ease, CASE WHEN owner_id % 3 = 1 THEN 'hold' ELSE 'linear' END AS interp FROM curves")
+def materialise_ease(spark, d):
+    interp = F.when(F.col("owner_id") % 3 == 0, "smooth").when(F.col("owner_id") % 3 == 1, "hold").otherwise("linear")
+    return K.materialise_ease(S.curves(spark, d).withColumn("interp", interp)).select("owner_id", "frame", "ease", "interp")
+
+
+TOGGLED = "want AS (SELECT DISTINCT owner_id, CASE WHEN frame % 2 = 0 THEN frame ELSE frame + 1 END AS frame FROM curves), pts AS (SELECT * FROM want w WHERE NOT EXISTS (FROM curves c WHERE c.owner_id = w.owner_id AND c.frame = w.frame))"
+
+
+@query(f"WITH {CURVES}, {TOGGLED}, {EASED} SELECT owner_id, frame, CAST(round(value, 6) AS DOUBLE) AS value, ease FROM curves ANTI JOIN want USING (owner_id, frame) UNION ALL SELECT owner_id, frame, CAST(round(value, 6) AS DOUBLE), 'linear' FROM vals")
+def toggle_keys(spark, d):
+    """Keys at even frames go; where an odd one is, the next frame gets one unless it had one."""
+    keys = S.curves(spark, d)
+    points = keys.select("owner_id", F.when(F.col("frame") % 2 == 0, F.col("frame")).otherwise(F.col("frame") + 1).alias("frame"))
+    return K.toggle_keys(keys, points).withColumn("value", F.round("value", 6))
+
+
 RATES = "CASE " + " ".join(f"WHEN abs(e - {r!r}) / {r!r} < 0.002 THEN {r!r}" for r in M.STANDARD_RATES) + " ELSE e END"
 
 

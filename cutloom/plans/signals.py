@@ -83,6 +83,30 @@ def prune_links(spark, d):
     return _links(spark, d).where("not found").groupBy("src_clip").agg(F.count("*").alias("dropped"))
 
 
+KINDS = "kinds AS (SELECT 'kind' || k AS kind, k AS params FROM range(4) r(k)), made AS (SELECT p_partkey % 50 AS clip_id, p_partkey AS slot_id, 'kind' || (p_size % 6) AS kind FROM part)"
+
+
+@query(f"WITH {LINKS}, {KINDS} SELECT src_clip, src_slot, CAST(to_clip AS BIGINT) AS to_clip, dst_slot, kind, CASE WHEN src_slot % 2 = 0 THEN 'fadesinto' ELSE 'fadesfrom' END AS role, params FROM rl JOIN made m ON m.clip_id = to_clip AND m.slot_id = dst_slot JOIN kinds USING (kind)")
+def linked_params(spark, d):
+    """What every slot's card shows of its direct links; two of six kinds have nothing to show."""
+    slots = S.table(spark, d, "part").select((F.col("p_partkey") % 50).alias("clip_id"), F.col("p_partkey").alias("slot_id"), F.concat(F.lit("kind"), F.col("p_size") % 6).alias("kind"))
+    kinds = slots.select("kind").distinct().withColumn("params", F.substring("kind", 5, 1).cast("long")).where("params < 4")
+    role = F.when(F.col("src_slot") % 2 == 0, "fadesinto").otherwise("fadesfrom").alias("role")
+    return D.linked_params(_links(spark, d).select("src_clip", "src_slot", "dst_clip", "dst_slot", role), slots, kinds)
+
+
+ROLES = """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 97 AS src, (c_custkey * 7 + c_nationkey) % 97 AS dst, 'r' || (c_custkey % 3) AS role FROM customer), l AS (SELECT * FROM e WHERE src <> dst),
+walk(start, node, steps) AS (SELECT DISTINCT src, src, 0 FROM e UNION SELECT start, dst, steps + 1 FROM walk JOIN l ON l.src = node WHERE steps < 12),
+near AS (SELECT start, node, min(steps) AS steps FROM walk GROUP BY start, node)
+SELECT a.start, a.node, arg_min(l.role, (l.src, l.role)) AS role, a.steps FROM near a JOIN near b ON b.start = a.start AND b.steps = a.steps - 1 JOIN l ON l.src = b.node AND l.dst = a.node GROUP BY a.start, a.node, a.steps"""
+
+
+@query(ROLES)
+def link_roles(spark, d):
+    links = S.table(spark, d, "customer").select((F.col("c_custkey") % 97).alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 97).alias("dst"), F.concat(F.lit("r"), F.col("c_custkey") % 3).alias("role"))
+    return D.link_roles(links, links.select(F.col("src").alias("node")))
+
+
 CHAIN = "WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 97 AS src, (c_custkey * 7 + c_nationkey) % 97 AS dst FROM customer), walk AS (SELECT DISTINCT src AS start, src AS node FROM e UNION SELECT w.start, e.dst FROM walk w JOIN e ON w.node = e.src) SELECT start, node FROM walk WHERE start <> node"
 
 
