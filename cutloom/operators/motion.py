@@ -58,6 +58,12 @@ def border_crop(transforms: DataFrame, keys: list[str], matrix: str, width: int,
     return most.select(*keys, off.alias("x"), off.alias("y"), share.alias("w"), share.alias("h"))
 
 
+def scaled_to_source(matrix: str, scale: float) -> Column:
+    """A 3x3 matrix that was measured on pictures ``scale`` times smaller, for the full ones: shifts grow, what divides by depth shrinks."""
+    by = (1.0, 1.0, scale, 1.0, 1.0, scale, 1 / scale, 1 / scale, 1.0)
+    return F.array(*(F.element_at(matrix, i + 1) * f for i, f in enumerate(by)))
+
+
 # --- robust fits ------------------------------------------------------------------------------------------------------
 def returning(matches: DataFrame, most: float = 0.7) -> DataFrame:
     """Matches (x, y to u, v) that come back: followed backward (bx, by) they end within ``most`` of where they began."""

@@ -82,3 +82,50 @@ def px_matte(spark, d):
     matte = pixels(spark, d).withColumn("v", F.when(F.col("v") > 0.1, 1.0).otherwise(0.0))
     along = P.stencil(matte, {(i, 0): w for i, w in ones.items()}, "v", "v", 8, 8)
     return P.stencil(along, {(0, i): w for i, w in ones.items()}, "v", "v", 8, 8).withColumn("v", F.round("v", 9))
+
+
+FULL = f"""WITH {edl('tracks')},
+fx AS (SELECT seq_id, ord, 'effect' AS part, CAST(p AS BIGINT) AS pos, 'kind' || ((ord + p) % 4) || ':' || (ord * 10 + p) AS name, CAST(src_in + p AS DOUBLE) AS number, CASE WHEN (ord + p) % 3 <> 0 THEN 'on' ELSE 'off' END AS text FROM clips, range(2) r(p) WHERE ord % 2 = 0),
+an AS (SELECT seq_id, ord, 'key' AS part, src_in + k * 5 AS pos, CASE WHEN ord % 3 = 0 THEN 'opacity' ELSE 'blur' END AS name, CAST(k * 0.25 AS DOUBLE) AS number, CASE k % 2 WHEN 0 THEN 'smooth' ELSE 'hold' END AS text FROM clips, range(3) r(k) WHERE ord % 3 < 2),
+tr AS (SELECT seq_id, ord, 'transition' AS part, start AS pos, 'dissolve' AS name, CAST(len % 9 AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text FROM clips),
+ca AS (SELECT seq_id, ord, 'caption' AS part, CAST(0 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS name, start / 30.0::DOUBLE AS number, 'Line "' || ord || '"' || chr(10) || 'é' AS text FROM clips),
+ov AS (SELECT seq_id, ord, 'overlay' AS part, stop AS pos, 'bar' AS name, CAST(rate AS DOUBLE) AS number, 'font' || source_id AS text FROM clips)
+SELECT * FROM (FROM fx UNION ALL FROM an UNION ALL FROM tr UNION ALL FROM ca UNION ALL FROM ov)"""
+
+
+@query(FULL)
+def project_documents(spark, d):
+    """Whole projects, with effects, curves, transitions, captions and overlays, written as documents and read again."""
+    rows = S.clips(spark, d, "tracks")
+    col = F.col
+    whole = rows.select("seq_id", "ord", col("source_id").cast("string").alias("source"), "src_in", "src_out", "start", "track", "rate", F.lit("sample").alias("timeinterp"), (col("ord") + 1).alias("clip_id"), F.lit(0).alias("blendfrom"))
+    pos = F.explode(F.array(F.lit(0), F.lit(1))).alias("ord")
+    effects = rows.where("ord % 2 = 0").select("seq_id", col("ord").alias("clip_ord"), "src_in", pos)
+    effects = effects.select("seq_id", "clip_ord", "ord", F.concat(F.lit("kind"), (col("clip_ord") + col("ord")) % 4).alias("kind"), (col("clip_ord") * 10 + col("ord")).alias("slot_id"), ((col("clip_ord") + col("ord")) % 3 != 0).alias("enabled"), F.create_map(F.lit("amount"), (col("src_in") + col("ord")).cast("double")).alias("params"))
+    keys = rows.where("ord % 3 < 2").select("seq_id", col("ord").alias("clip_ord"), "src_in", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    keys = keys.select("seq_id", "clip_ord", F.when(col("clip_ord") % 3 == 0, "opacity").otherwise("blur").alias("param"), F.lit("linear").alias("interp"), (col("src_in") + col("k") * 5).alias("frame"), (col("k") * 0.25).cast("double").alias("value"), F.when(col("k") % 2 == 0, "smooth").otherwise("hold").alias("ease"))
+    cuts = rows.select("seq_id", "ord", F.lit("dissolve").alias("kind"), col("start").alias("at"), (col("len") % 9).alias("duration"))
+    words = rows.select("seq_id", "ord", (col("start") / 30.0).alias("start"), (col("stop") / 30.0).alias("stop"), F.concat(F.lit('Line "'), "ord", F.lit('"\né')).alias("text"))
+    over = rows.select("seq_id", "ord", F.lit("bar").alias("kind"), "start", "stop", F.create_map(F.lit("rate"), "rate").alias("params"), F.create_map(F.lit("font"), F.concat(F.lit("font"), "source_id")).alias("settings"))
+    docs = J.parse(J.documents(whole, "seq_id", effects=effects, animations=keys, transitions=cuts, captions=words, overlays=over))
+    flat = lambda rows, part, pos, name, number, text: rows.select("seq_id", col("ord").cast("long").alias("ord"), F.lit(part).alias("part"), pos.cast("long").alias("pos"), name.alias("name"), number.cast("double").alias("number"), text.alias("text"))
+    null = F.lit(None).cast("string")
+    slots = docs.select("seq_id", F.posexplode("clips").alias("ord", "c")).select("seq_id", "ord", F.posexplode("c.effects").alias("pos", "s"))
+    parts = [
+        flat(slots, "effect", col("pos"), F.concat("s.type", F.lit(":"), "s.id"), col("s.params")["amount"], F.when(col("s.enabled"), "on").otherwise("off")),
+        flat(J.animations(docs, "seq_id"), "key", col("frame"), col("param"), col("value"), col("ease")),
+        flat(J.listed(docs, "transitions", "seq_id"), "transition", col("at"), col("kind"), col("duration"), null),
+        flat(J.listed(docs, "captions", "seq_id"), "caption", F.lit(0), null, col("start"), col("text")),
+        flat(J.listed(docs, "overlays", "seq_id"), "overlay", col("stop"), col("kind"), col("params")["rate"], col("settings")["font"]),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(f"WITH {PX}, n AS (SELECT a.frame, a.x, a.y, p.v AS low, q.v AS high FROM px a JOIN px p ON p.frame = a.frame AND p.x = greatest(a.x - 1, 0) AND p.y = greatest(a.y - 1, 0) JOIN px q ON q.frame = a.frame AND q.x = least(a.x + 1, 7) AND q.y = least(a.y + 1, 7)) SELECT frame, x, y, CAST(round(0.5 + 3 * (high - low), 9) AS DOUBLE) AS value FROM n")
+def px_emboss(spark, d):
+    """A registered stencil: grey and the slope of the light along the diagonal."""
+    light = pixels(spark, d).withColumnRenamed("v", "value")
+    return C.builtin().apply_stencil(light, "emboss", 8, 8, strength=3.0).withColumn("value", F.round("value", 9))

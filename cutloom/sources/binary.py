@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +47,55 @@ def masks(blobs: DataFrame) -> DataFrame:
     return blobs.select("path", "content").mapInArrow(run, "path string, frame long, w int, h int, alpha binary")
 
 
+def pack_masks(masks: DataFrame) -> DataFrame:
+    """(path, content): masks (path, frame, w, h, alpha) as sidecars, records in order of frame; the inverse of ``masks``.
+
+    Masks without a size, or whose bytes are not w * h, are left out; of several for one frame the one with the most bytes, then the greatest, stays.  A sidecar is one file, so one row holds it.
+    """
+    good = masks.where((F.col("w") > 0) & (F.col("h") > 0) & (F.length("alpha") == F.col("w") * F.col("h")))
+    one = good.groupBy("path", "frame").agg(F.max(F.struct(F.length("alpha").alias("n"), F.hex("alpha").alias("x"), "w", "h")).alias("m"))
+    number = lambda c: F.concat(*(F.lpad(F.hex(F.pmod(F.floor(F.col(c).cast("long") / (1 << s)), F.lit(256))), 2, "0") for s in (0, 8, 16, 24)))
+    rows = one.select("path", "frame", F.concat(number("frame"), number("m.w"), number("m.h"), F.col("m.x")).alias("r"))
+    whole = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("frame", "r"))).alias("l"))
+    return whole.select("path", F.unhex(F.array_join(F.transform("l", lambda x: x["r"]), "")).alias("content"))
+
+
+def pack_planes(planes: DataFrame) -> DataFrame:
+    """(path, w, h, n, content): a matte cache from (path, frame, w, h, alpha): every frame's plane, one after another, from the first frame to the last; what is missing is empty.
+
+    All planes of a cache have the size of the largest; others count as missing.
+    """
+    size = planes.groupBy("path").agg(F.max(F.struct((F.col("w") * F.col("h")).alias("_n"), "w", "h")).alias("s"), F.min("frame").alias("_a"), F.max("frame").alias("_b"))
+    all_ = size.select("path", "s.w", "s.h", (F.col("_b") - F.col("_a") + 1).alias("n"), F.explode(F.sequence("_a", "_b")).alias("frame"))
+    good = planes.where(F.length("alpha") == F.col("w") * F.col("h")).groupBy("path", "frame", "w", "h").agg(F.max(F.hex("alpha")).alias("x"))
+    filled = all_.join(good, ["path", "frame", "w", "h"], "left").withColumn("x", F.coalesce("x", F.repeat(F.lit("00"), (F.col("w") * F.col("h")).cast("int"))))
+    whole = filled.groupBy("path", "w", "h", "n").agg(F.array_sort(F.collect_list(F.struct("frame", "x"))).alias("l"))
+    return whole.select("path", "w", "h", "n", F.unhex(F.array_join(F.transform("l", lambda v: v["x"]), "")).alias("content"))
+
+
+def write_files(blobs: DataFrame, folder: str) -> int:
+    """Each row (path, content) as a file under ``folder``, which all machines share; the number of files.
+
+    Tasks write to a name of their own and then move it, so a task that runs twice, or a lost one, leaves whole files only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        place, root = FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name = f"{root}/{path}"
+                place.create_dir(name.rpartition("/")[0], recursive=True)
+                part = f"{name}.{uuid.uuid4().hex}.part"
+                with place.open_output_stream(part) as out:
+                    out.write(content or b"")
+                place.move(part, name)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return blobs.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def plane(content, w: int, h: int, n: int):
     """A matte cache's bytes, or zeros where it is missing or of another size."""
     size = w * h * n

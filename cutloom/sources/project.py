@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLOT = "struct<type:string,id:string,enabled:boolean,params:map<string,double>>"
-CLIP = f"struct<source:string,src_in:bigint,src_out:bigint,start:bigint,track:bigint,crop:array<double>,rate:double,timeinterp:string,id:string,blendfrom:string,effects:array<{SLOT}>>"
-SCHEMA = f"framerate double, canvas array<bigint>, clips array<{CLIP}>, transitions array<struct<kind:string,at:bigint,duration:bigint>>, captions array<struct<start:double,stop:double,text:string>>"
+CURVE = "struct<interp:string,frames:array<bigint>,values:array<double>,eases:array<string>>"
+OVERLAY = "struct<kind:string,start:bigint,stop:bigint,params:map<string,double>,settings:map<string,string>>"
+CLIP = f"struct<source:string,src_in:bigint,src_out:bigint,start:bigint,track:bigint,crop:array<double>,rate:double,timeinterp:string,id:string,blendfrom:string,effects:array<{SLOT}>,animations:map<string,{CURVE}>>"
+SCHEMA = f"framerate double, canvas array<bigint>, clips array<{CLIP}>, transitions array<struct<kind:string,at:bigint,duration:bigint>>, captions array<struct<start:double,stop:double,text:string>>, overlays array<{OVERLAY}>"
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -48,6 +50,67 @@ def to_documents(clip_rows: DataFrame, *keys: str, framerate: float = 30.0) -> D
     return docs.select(*keys, F.to_json(F.struct(F.lit(framerate).alias("framerate"), F.transform("l", lambda x: x["c"]).alias("clips"))).alias("json"))
 
 
+def _sorted(rows: str | Column, by: str) -> Column:
+    """An array of structs in the order of one field; maps within them have none."""
+    return F.array_sort(rows, lambda a, b: F.when(a[by] < b[by], -1).when(a[by] > b[by], 1).otherwise(0))
+
+
+def _listed(rows: DataFrame | None, keys: list[str], name: str, kind: str, *fields: str) -> DataFrame | None:
+    """(keys, name): an array of the rows' fields in the order of ``ord``."""
+    if rows is None:
+        return None
+    whole = rows.groupBy(*keys).agg(_sorted(F.collect_list(F.struct("ord", F.struct(*fields).alias("v"))), "ord").alias("_l"))
+    return whole.select(*keys, F.transform("_l", lambda x: x["v"]).cast(kind).alias(name))
+
+
+def documents(
+    clip_rows: DataFrame, *keys: str, effects: DataFrame | None = None, animations: DataFrame | None = None, transitions: DataFrame | None = None, captions: DataFrame | None = None, overlays: DataFrame | None = None, framerate: float = 30.0
+) -> DataFrame:
+    """(keys, json): whole projects as documents, all lists in the order of ``ord``.
+
+    Clips (ord, source, src_in, src_out, start, track, rate, timeinterp, clip_id, blendfrom); effects (clip_ord, ord, kind, slot_id, enabled, params); animations (clip_ord, param, interp, frame, value,
+    ease: a row a key); transitions (ord, kind, at, duration); captions (ord, start, stop, text); overlays (ord, kind, start, stop, params, settings).  Nulls are left out of a document, and read again as
+    defaults; a list without rows is empty.  Effects and curves of clips that are not there are left out.  A project is one document, so one row holds it.
+    """
+    on = list(keys)
+    clips_ = clip_rows.select(*on, "ord", "source", "src_in", "src_out", "start", "track", "rate", "timeinterp", F.col("clip_id").cast("string").alias("id"), F.col("blendfrom").cast("string").alias("blendfrom"))
+    if effects is not None:
+        slots_ = effects.select(*on, "clip_ord", "ord", F.col("kind").alias("type"), F.col("slot_id").cast("string").alias("id"), "enabled", "params")
+        clips_ = clips_.join(_listed(slots_, [*on, "clip_ord"], "effects", f"array<{SLOT}>", "type", "id", "enabled", "params").withColumnRenamed("clip_ord", "ord"), [*on, "ord"], "left")
+    if animations is not None:
+        keys_ = animations.groupBy(*on, "clip_ord", "param").agg(F.first("interp").alias("interp"), F.array_sort(F.collect_list(F.struct("frame", "value", "ease"))).alias("_keys"))
+        part = lambda c: F.transform("_keys", lambda x: x[c])
+        curves = keys_.select(*on, "clip_ord", "param", F.struct("interp", part("frame").alias("frames"), part("value").alias("values"), part("ease").alias("eases")).cast(CURVE).alias("_c"))
+        curves = curves.groupBy(*on, "clip_ord").agg(F.map_from_entries(_sorted(F.collect_list(F.struct("param", "_c")), "param")).alias("animations"))
+        clips_ = clips_.join(curves.withColumnRenamed("clip_ord", "ord"), [*on, "ord"], "left")
+    fields = [c for c in clips_.columns if c not in (*on, "ord")]
+    docs = clips_.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("ord", F.to_json(F.struct(*fields)).alias("c")))).alias("_l"))
+    docs = docs.select(*on, F.concat(F.lit("["), F.array_join(F.transform("_l", lambda x: x["c"]), ","), F.lit("]")).alias("_clips"))
+    rest = {
+        "transitions": _listed(transitions, on, "transitions", "array<struct<kind:string,at:bigint,duration:bigint>>", "kind", "at", "duration"),
+        "captions": _listed(captions, on, "captions", "array<struct<start:double,stop:double,text:string>>", "start", "stop", "text"),
+        "overlays": _listed(overlays, on, "overlays", f"array<{OVERLAY}>", "kind", "start", "stop", "params", "settings"),
+    }
+    text = [F.lit(f'{{"framerate":{framerate},"clips":'), F.col("_clips")]
+    for name, rows in rest.items():
+        if rows is not None:
+            docs = docs.join(rows, on, "left")
+            text += [F.lit(f',"{name}":'), F.coalesce(F.to_json(name), F.lit("[]"))]
+    return docs.select(*on, F.concat(*text, F.lit("}")).alias("json"))
+
+
+def animations(projects: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ord, param, interp, frame, value, ease): a row a key of the clips' curves; linear where a document does not say."""
+    c = projects.select(*keys, F.posexplode("clips").alias("ord", "c")).select(*keys, F.col("ord").cast("long").alias("ord"), F.explode("c.animations").alias("param", "a"))
+    rows = c.select(*keys, "ord", "param", F.coalesce("a.interp", F.lit("linear")).alias("interp"), "a", F.posexplode("a.frames").alias("i", "frame"))
+    return rows.select(*keys, "ord", "param", "interp", "frame", F.get("a.values", "i").alias("value"), F.coalesce(F.get("a.eases", "i"), F.lit("linear")).alias("ease"))
+
+
+def listed(projects: DataFrame, name: str, *keys: str) -> DataFrame:
+    """(keys, ord, and its fields) of ``transitions``, ``captions`` or ``overlays``, a row each."""
+    return projects.select(*keys, F.posexplode(name).alias("ord", "v")).select(*keys, F.col("ord").cast("long").alias("ord"), "v.*")
+
+
 def newest(checkpoints: DataFrame, key: str, stamp: str, keep: int = 20) -> DataFrame:
     """The checkpoints that stay: the newest of each project."""
     return checkpoints.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(stamp)))).where(F.col("_r") <= keep).drop("_r")
