@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -54,12 +55,12 @@ class Element:
     """``hint`` is its own factor, ``factor`` that of its ancestors and itself; counts are of the subtree,
     with hints inside it applied; ``written`` is its characters without hints.  A density falls with the share of its text that is hinted."""
 
-    __slots__ = ("tag", "parent", "items", "hint", "factor", "chars", "link_chars", "tags", "link_tags", "written", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "hint", "factor", "chars", "link_chars", "tags", "link_tags", "written", "density", "sum", "depth")
 
     def __init__(self, tag: str, parent: Element | None, hint: float = 1.0):
         self.tag, self.parent, self.hint = tag, parent, hint
         self.items: list[Element | str] = []
-        self.factor = hint
+        self.factor, self.depth = hint, 0
         self.chars = self.link_chars = self.tags = self.link_tags = self.written = self.density = self.sum = 0.0
 
 
@@ -102,6 +103,7 @@ def hinted(tag: str, attributes: str, parent: Element) -> float | None:
 def tree(html: str) -> Element:
     """The page's elements; texts are strings among an element's items.  What shows nothing has no place among its parent's."""
     root = at = Element("html", None)
+    opened: dict[str, list[Element]] = defaultdict(list)  # open elements by tag, innermost last; the root is none of them
     where, end, last = 0, len(html), html.rfind(">")
     while where < end:
         start = html.find("<", where)
@@ -121,11 +123,9 @@ def tree(html: str) -> Element:
             continue
         tag = found[2].lower()
         if found[1]:
-            node: Element | None = at
-            while node is not None and node.tag != tag and not (tag in INLINE and node.tag in SCOPES):
-                node = node.parent
-            if node is not None and node.tag == tag and node.parent is not None:
-                at = node.parent
+            node = opened[tag][-1] if opened[tag] else None
+            if node is not None and not (tag in INLINE and _deepest(opened, SCOPES - {tag}) > node.depth):
+                at = _shut(opened, at, node)
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, where)
@@ -135,20 +135,34 @@ def tree(html: str) -> Element:
             if tag == "html":
                 continue
         if shut := CLOSES.get(tag):
-            node = at
-            while node.parent is not None and node.tag not in shut and node.tag not in SCOPES - shut:
-                node = node.parent
-            if node.tag in shut and node.parent is not None:
-                at = node.parent
+            depth = _deepest(opened, shut)
+            if depth > 0 and depth > _deepest(opened, SCOPES - shut):
+                at = _shut(opened, at, next(opened[t][-1] for t in shut if opened[t] and opened[t][-1].depth == depth))
         hint = hinted(tag, found[3], at)
         child = Element(tag, at, hint or 1.0)
         if hint is not None:
             at.items.append(child)
         if tag not in VOID and not found[3].endswith("/"):
             at = child
+            child.depth = child.parent.depth + 1
+            opened[tag].append(child)
     return root
 
 
+def _deepest(opened: dict[str, list[Element]], tags: frozenset[str] | set[str]) -> int:
+    """How deep the innermost open element with one of these tags lies; 0 without one."""
+    return max((opened[t][-1].depth for t in tags if opened[t]), default=0)
+
+
+def _shut(opened: dict[str, list[Element]], at: Element, node: Element) -> Element:
+    """Closes ``node`` and all that is open in it; an element is closed once, so all ends of a page take time in proportion to its tags."""
+    while at is not node:
+        opened[at.tag].pop()
+        at = at.parent
+    opened[node.tag].pop()
+    return node.parent
+
+
 def composite(chars: float, link_chars: float, tags: float, link_tags: float, share: float) -> float:
     """Characters per tag, higher the fewer of them are in links; ``share`` is the page's share of link text."""
     if chars <= 0:

@@ -5,11 +5,12 @@ of equal-length sequences ``ids: fixed_size_list<uint16 or uint32>[sequence]`` w
 (false: padding, at a file's end only), uncompressed, so that a mapped file gives any sequence without copying.  A second
 Arrow file beside it lists the documents (doc_id, start, n_tokens inside the file).  Each attempt of a task writes
 a pair of files under a name of its own, and the manifest, a row per file pair, names the pairs that count; nothing is
-renamed.  Pairs that the manifest does not name, of attempts that were lost or not needed, are removed once it is stored.  The manifest
+renamed.  Names of one ``write`` begin alike and unlike all others, so writers can share a folder: once the manifest is stored, those pairs of
+this write that it does not name, of attempts that were lost or not needed, are removed, and nothing else.  The manifest
 orders the files; offsets are prefix sums over it.
 
 A null text is empty: its end id alone.  Empty input makes no file and no rows.  Repeated doc_ids are neighbours, ordered by
-their text's hash.  Null doc_ids come first.
+their text's hash, and spread over files by it.  Null doc_ids come first.  A task holds a batch, whatever the number of its documents.
 """
 
 from __future__ import annotations
@@ -69,11 +70,14 @@ class SequenceWriter:
         self.file.close()
 
 
-def _write(tokenizer: str, end_id: int, length: int, folder: str):
+DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+
+
+def _write(tokenizer: str, end_id: int, length: int, folder: str, prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, docs, total, writer, memo = TaskContext.get().partitionId(), [], 0, None, None
+        part, count, first, total, writer, memo = TaskContext.get().partitionId(), 0, None, 0, None, None
         fs, root = filesystem(folder)
-        name = f"part-{part:06d}-{uuid.uuid4().hex}"
+        name = f"{prefix}-part-{part:06d}-{uuid.uuid4().hex}"
         mine = f"{root}/{name}"
         for batch in batches:
             if writer is None and batch.num_rows:
@@ -81,40 +85,43 @@ def _write(tokenizer: str, end_id: int, length: int, folder: str):
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(f"{mine}.ids.arrow")
                 writer = SequenceWriter(sink, memo.kind, length)
-            if writer is not None:
+                listing = fs.open_output_stream(f"{mine}.docs.arrow")
+                docs = pa.ipc.new_file(listing, DOCS)
+                first = batch.column("doc_id")[0].as_py()
+            if writer is not None and batch.num_rows:
                 ids, n = memo.ended(batch.column("text"), end_id)
                 writer.add(ids.tobytes())
                 starts = total + np.cumsum(n) - n
-                docs += zip(batch.column("doc_id").to_pylist(), starts.tolist(), n.tolist(), strict=True)
+                docs.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(starts, pa.int64()), pa.array(n, pa.int64())], schema=DOCS))
+                count += batch.num_rows
                 total += int(n.sum())
         rows: list[tuple] = []
         if writer:
-            writer.close()
-            sink.close()
-            table = pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "start", "n_tokens"), zip(*docs, strict=True), strict=True)})
-            with fs.open_output_stream(f"{mine}.docs.arrow") as out, pa.ipc.new_file(out, table.schema) as file:
-                file.write_table(table, 65536)
-            rows = [(part, docs[0][0], len(docs), total, f"{folder}/{name}")]
+            for one in (writer, sink, docs, listing):
+                one.close()
+            rows = [(part, first, count, total, f"{folder}/{name}")]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], [x.split()[0] for x in MANIFEST.split(", ")])
 
     return run
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, length: int = 2048) -> DataFrame:
-    """Writes ``folder`` and returns its manifest, one row per file, with each file's ``base`` (ids in the files before)."""
+    """Writes into ``folder`` and returns the manifest, one row per file, with each file's ``base`` (ids in the files before)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = keyed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    manifest = common.stored(ordered.mapInArrow(_write(tokenizer, end_id, length, folder), MANIFEST), "manifest")
-    _tidy(folder, {r.path.rsplit("/", 1)[1] for r in manifest.select("path").toLocalIterator()})  # a name for each task
+    order = F.col("doc_id"), F.xxhash64("text")  # many rows with one id, or none, are dealt by their texts
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    prefix = uuid.uuid4().hex[:16]
+    manifest = common.stored(ordered.mapInArrow(_write(tokenizer, end_id, length, folder, prefix), MANIFEST), "manifest")
+    _tidy(folder, prefix, {r.path.rsplit("/", 1)[1] for r in manifest.select("path").toLocalIterator()})  # a name for each task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def _tidy(folder: str, named: set[str]) -> None:
-    """Removes the files of attempts that are not in the manifest."""
+def _tidy(folder: str, prefix: str, named: set[str]) -> None:
+    """Removes the files of this write's attempts that are not in its manifest."""
     fs, root = filesystem(folder)
     for found in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
-        if found.base_name.endswith(".arrow") and found.base_name.split(".")[0] not in named:
+        if found.base_name.startswith(f"{prefix}-") and found.base_name.endswith(".arrow") and found.base_name.split(".")[0] not in named:
             fs.delete_file(found.path)
 
 
@@ -124,13 +131,23 @@ class SequenceReader:
     def __init__(self, uri: str):
         fs, path = filesystem(f"{uri}.ids.arrow")
         self.file = pa.ipc.open_file(pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path))
-        docs_fs, docs_path = filesystem(f"{uri}.docs.arrow")
-        with docs_fs.open_input_file(docs_path) as source:
-            self.docs = pa.ipc.open_file(source).read_all()
+        self.uri = uri
         self.length = self.file.schema.field("ids").type.list_size
         self.per_batch = self.file.get_batch(0).num_rows * self.length if self.file.num_record_batches else 0
         self.at, self.values = -1, None
 
+    def listing(self) -> Iterator[pa.RecordBatch]:
+        """The file's documents, batch by batch."""
+        fs, path = filesystem(f"{self.uri}.docs.arrow")
+        with fs.open_input_file(path) as source:
+            file = pa.ipc.open_file(source)
+            for k in range(file.num_record_batches):
+                yield file.get_batch(k)
+
+    @property
+    def docs(self) -> pa.Table:
+        return pa.Table.from_batches(self.listing(), DOCS)
+
     def batch(self, k: int) -> np.ndarray:
         if k != self.at:
             self.at, self.values = k, self.file.get_batch(k).column("ids").flatten().to_numpy(zero_copy_only=True)
@@ -155,7 +172,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
             reader = SequenceReader(path)
-            for docs in reader.docs.to_batches(max_chunksize=65536):
+            for docs in reader.listing():
                 start, n = docs.column("start").to_pylist(), docs.column("n_tokens").to_pylist()
                 crc = [common.crc_u4(reader.ids(s, k)) for s, k in zip(start, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array([base + s for s in start], pa.int64()), docs.column("n_tokens"), pa.array(crc, pa.int64())], [x.split()[0] for x in ROWS.split(", ")])
