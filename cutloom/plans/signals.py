@@ -96,7 +96,7 @@ def linked_params(spark, d):
 
 
 ROLES = """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 97 AS src, (c_custkey * 7 + c_nationkey) % 97 AS dst, 'r' || (c_custkey % 3) AS role FROM customer), l AS (SELECT * FROM e WHERE src <> dst),
-walk(start, node, steps) AS (SELECT DISTINCT src, src, 0 FROM e UNION SELECT start, dst, steps + 1 FROM walk JOIN l ON l.src = node WHERE steps < 12),
+walk(start, node, steps) AS (SELECT DISTINCT src, src, 0 FROM e UNION SELECT start, dst, steps + 1 FROM walk JOIN l ON l.src = node WHERE steps < 97),
 near AS (SELECT start, node, min(steps) AS steps FROM walk GROUP BY start, node)
 SELECT a.start, a.node, arg_min(l.role, (l.src, l.role)) AS role, a.steps FROM near a JOIN near b ON b.start = a.start AND b.steps = a.steps - 1 JOIN l ON l.src = b.node AND l.dst = a.node GROUP BY a.start, a.node, a.steps"""
 
