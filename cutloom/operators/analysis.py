@@ -43,7 +43,12 @@ def flicker_reduction(series: DataFrame, keys: list[str], at: str, before: str,
     """Per group 1 - (mean step after) / (mean step before), between 0 and 1; 0 where nothing moves."""
     by = Window.partitionBy(*keys).orderBy(at)
     steps = series.withColumn("_b", F.abs(F.col(before) - F.lag(before).over(by))).withColumn("_a", F.abs(F.col(after) - F.lag(after).over(by)))
-    sums = steps.groupBy(*keys).agg(F.avg("_b").alias("b"), F.avg("_a").alias("a"))
+    return reduction(steps, keys, "_b", "_a")
+
+
+def reduction(steps: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """The same from the steps themselves."""
+    sums = steps.groupBy(*keys).agg(F.avg(before).alias("b"), F.avg(after).alias("a"))
     return sums.select(*keys, F.when(F.col("b") > 0, N.clamp(1 - F.col("a") / F.col("b"), 0.0, 1.0)).otherwise(F.lit(0.0)).alias("reduction"))
 
 

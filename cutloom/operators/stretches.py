@@ -48,6 +48,45 @@ def blocks(rows: DataFrame, key: str, at: str, half: int, width: int = WIDTH) ->
     return out.withColumn("_own", F.col("_block") == home).drop("_rank")
 
 
+def _long(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """(_k, _long): keys of more than ``width`` rows, a row for each ``width`` rows at most."""
+    counts = rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    return cut(counts.where(F.col("_n") > width).select("_k", F.lit(True).alias("_long")))
+
+
+def _apart(rows: DataFrame, key: str, long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of other keys, and those of long ones (stored)."""
+    told = rows.join(F.broadcast(long), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    return told.where("_long is null").drop("_long"), cut(told.where("_long").drop("_long"))
+
+
+def in_windows(rows: DataFrame, key: str, at: str, half: int, apply: Callable[[DataFrame, list[str]], DataFrame], width: int = WIDTH) -> DataFrame:
+    """``apply(rows, keys)``, which adds columns from windows of up to ``half`` rows either side by ``keys`` and ``at``, with long keys spread.
+
+    Keys of ``width`` rows at most are windows as they are; longer ones go through ``blocks``.  Rows are counted by key first.
+    """
+    long = _long(rows, key, width)
+    if long.isEmpty():
+        return apply(rows, [key])
+    short, hot = _apart(rows, key, long)
+    spread = apply(blocks(hot, key, at, half, width), [key, "_block"]).where("_own").drop("_block", "_own")
+    return apply(short, [key]).unionByName(spread)
+
+
+def running_sum(rows: DataFrame, key: str, at: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
+    """``rows`` with ``out``: the sum of ``value`` over the key's rows up to each, in order; long keys are summed by stretches, and what came before is added."""
+    total = lambda frame, keys: frame.withColumn(out, F.sum(value).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)))
+    long = _long(rows, key, width)
+    if long.isEmpty():
+        return total(rows, [key])
+    short, hot = _apart(rows, key, long)
+    local = cut(total(ranged(hot, key, at, width), [key, "stretch"]))
+    sums = local.groupBy(key, "stretch").agg(F.sum(value).alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
+    spread = local.join(F.broadcast(before), [key, "stretch"])  # a row a stretch and key, two a partition about
+    return total(short, [key]).unionByName(spread.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("stretch", "_before"))
+
+
 def _multiplied(a: Column, b: Column) -> Column:
     e = lambda m, i, j: F.element_at(m, 3 * i + j + 1)
     return F.array(*(e(a, i, 0) * e(b, 0, j) + e(a, i, 1) * e(b, 1, j) + e(a, i, 2) * e(b, 2, j) for i in range(3) for j in range(3)))

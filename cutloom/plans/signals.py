@@ -12,6 +12,7 @@ from ..operators import documents as D
 from ..operators import edits as E
 from ..operators import geometry as G
 from ..operators import pixels as P
+from ..operators import stretches as T
 from ..sources import tables as S
 from .registry import CAPTIONS, edl, query
 
@@ -167,33 +168,37 @@ MED5 = "m AS (SELECT user_id, event_id, value, median(value) OVER (PARTITION BY
 
 @query(f"WITH {MED5} SELECT user_id, event_id, CAST(round(CASE WHEN abs(value - med) > 20 THEN med ELSE value END, 6) AS DOUBLE) AS fixed FROM m")
 def deoutlier(spark, d):
-    return A.deoutlier(_series(spark, d), ["user_id"], "event_id", "value", 2, 20).select("user_id", "event_id", F.round("fixed", 6).alias("fixed"))
+    fixed = T.in_windows(_series(spark, d), "user_id", "event_id", 2, lambda rows, keys: A.deoutlier(rows, keys, "event_id", "value", 2, 20))
+    return fixed.select("user_id", "event_id", F.round("fixed", 6).alias("fixed"))
 
 
 @query("WITH m AS (SELECT user_id, event_id, value v, lag(value) OVER w a, lead(value) OVER w c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, CASE WHEN a IS NULL OR c IS NULL THEN v ELSE greatest(least(a, v), least(greatest(a, v), c)) END AS mid FROM m")
 def median3(spark, d):
-    by = Window.partitionBy("user_id").orderBy("event_id")
-    return _series(spark, d).select("user_id", "event_id", A.median3("value", by).alias("mid"))
+    mid = lambda rows, keys: rows.withColumn("mid", A.median3("value", Window.partitionBy(*keys).orderBy("event_id")))
+    return T.in_windows(_series(spark, d), "user_id", "event_id", 1, mid).select("user_id", "event_id", "mid")
 
 
 @query("SELECT user_id, event_id, CAST(round(sum(value - 50) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS DOUBLE) AS x FROM events")
 def path_cumsum(spark, d):
-    by = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _series(spark, d).select("user_id", "event_id", F.round(F.sum(F.col("value") - 50).over(by), 4).alias("x"))
+    steps = _series(spark, d).withColumn("step", F.col("value") - 50)
+    return T.running_sum(steps, "user_id", "event_id", "step", "x").select("user_id", "event_id", F.round("x", 4).alias("x"))
 
 
 @query("SELECT user_id, event_id, CAST(round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING), 6) AS DOUBLE) AS smooth FROM events")
 def smooth_path(spark, d):
-    return _series(spark, d).select("user_id", "event_id", F.round(A.moving("value", ["user_id"], "event_id", 7), 6).alias("smooth"))
+    smooth = lambda rows, keys: rows.withColumn("smooth", A.moving("value", keys, "event_id", 7))
+    return T.in_windows(_series(spark, d), "user_id", "event_id", 7, smooth).select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
 
 
 GAIN = "s AS (SELECT user_id, event_id, avg(value) OVER w mu, stddev_pop(value) OVER w sd, avg(value) OVER v tm, stddev_pop(value) OVER v ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), v AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)), g AS (SELECT *, least(greatest(ts / greatest(sd, 0.0001), 0.5), 2.0) AS gain FROM s)"
 
 
 def _gains(spark, d):
-    rows = _series(spark, d)
-    at = lambda half, how: A.moving("value", ["user_id"], "event_id", half, how)
-    rows = rows.withColumn("mu", at(2, F.avg)).withColumn("sd", at(2, F.stddev_pop)).withColumn("tm", at(12, F.avg)).withColumn("ts", at(12, F.stddev_pop))
+    def moving(rows, keys):
+        at = lambda half, how: A.moving("value", keys, "event_id", half, how)
+        return rows.withColumn("mu", at(2, F.avg)).withColumn("sd", at(2, F.stddev_pop)).withColumn("tm", at(12, F.avg)).withColumn("ts", at(12, F.stddev_pop))
+
+    rows = T.in_windows(_series(spark, d), "user_id", "event_id", 12, moving)
     gain, _ = A.gain_offset("mu", "sd", "tm", "ts")
     return rows.withColumn("gain", gain).withColumn("offset", F.col("tm") - F.col("mu") * F.col("gain"))
 
@@ -205,8 +210,13 @@ def color_gain(spark, d):
 
 @query("WITH a AS (SELECT user_id, event_id, value, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS low FROM events), s AS (SELECT user_id, abs(value - lag(value) OVER w) AS b, abs(low - lag(low) OVER w) AS a FROM a WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, CAST(round(CASE WHEN avg(b) > 0 THEN least(greatest(1 - avg(a) / avg(b), 0), 1) ELSE 0 END, 6) AS DOUBLE) AS reduction FROM s GROUP BY user_id")
 def flicker_reduction(spark, d):
-    rows = _series(spark, d).withColumn("low", A.moving("value", ["user_id"], "event_id", 3))
-    return A.flicker_reduction(rows, ["user_id"], "event_id", "value", "low").withColumn("reduction", F.round("reduction", 6))
+    def steps(rows, keys):
+        by = Window.partitionBy(*keys).orderBy("event_id")
+        rows = rows.withColumn("low", A.moving("value", keys, "event_id", 3))
+        return rows.withColumn("_b", F.abs(F.col("value") - F.lag("value").over(by))).withColumn("_a", F.abs(F.col("low") - F.lag("low").over(by)))
+
+    rows = T.in_windows(_series(spark, d), "user_id", "event_id", 4, steps)
+    return A.reduction(rows, ["user_id"], "_b", "_a").withColumn("reduction", F.round("reduction", 6))
 
 
 @query("SELECT vec_id AS frame, CAST(round(sqrt(embedding[1]::DOUBLE ** 2 + embedding[2]::DOUBLE ** 2), 6) AS DOUBLE) AS scale, CAST(round(degrees(atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE)), 4) AS DOUBLE) AS angle FROM embeddings")

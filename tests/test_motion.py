@@ -113,6 +113,18 @@ def test_windows_in_blocks(spark, half, width):
         assert np.allclose(out[out.k == k]["median"], [np.median(v[max(0, i - half) : i + half + 1]) for i in range(len(v))])
 
 
+def test_hot_keys_in_windows_and_sums(spark):
+    """A third of all rows in one key: the same as for whole keys, and no task has them all."""
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 7, id % 997) AS k", "id AS at", "cast(id * 31 % 101 AS double) AS v").repartition(6)
+    mean = lambda rows, keys: rows.withColumn("m", M.A.moving("v", keys, "at", 5))
+    plain, spread = (T.in_windows(rows, "k", "at", 5, mean, w).orderBy("at").toPandas() for w in (10**9, 700))
+    assert np.allclose(plain.m, spread.m) and plain.k.tolist() == spread.k.tolist() and len(plain) == 30_000
+    one, many = (T.running_sum(rows, "k", "at", "v", "s", w).orderBy("at").toPandas() for w in (10**9, 700))
+    assert np.allclose(one.s, many.s) and list(one.columns) == list(many.columns)
+    null = spark.createDataFrame([(None, i, 1.0) for i in range(50)], "k long, at long, v double")
+    assert T.running_sum(null, "k", "at", "v", "s", 10**9).agg(M.F.max("s")).first()[0] == 50
+
+
 def test_path_equals_a_loop(spark):
     rng = np.random.default_rng(5)
     takes, frames, matches, anchors, want = {0: 70, 1: 2, 2: 1}, [], [], [], {}
