@@ -188,6 +188,12 @@ def builtin() -> Registry:
     one("invert", "Invert", lambda value, amount: value + (1 - 2 * value) * amount, Param("amount", "Amount", 0, 1, 1))
     one("levels", "Levels", lambda value, low, high: ((value - low) / (high - low)), Param("low", "Black", 0, 1, 0), Param("high", "White", 0, 1, 1))
     one("quantise", "Quantise", lambda value: P.quantise(value))
+    return r
+
+
+def with_stencils() -> Registry:
+    """``builtin`` and the kinds that look at neighbours."""
+    r = builtin()
     corners = tuple((dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1))
     r.stencil("emboss", ((1, 1), (-1, -1)), lambda at, strength: 0.5 + strength * (at(1, 1) - at(-1, -1)), "Emboss", (Param("strength", "Strength", 1, 6, 2),))
     across = lambda at: at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)

@@ -128,4 +128,4 @@ def project_documents(spark, d):
 def px_emboss(spark, d):
     """A registered stencil: grey and the slope of the light along the diagonal."""
     light = pixels(spark, d).withColumnRenamed("v", "value")
-    return C.builtin().apply_stencil(light, "emboss", 8, 8, strength=3.0).withColumn("value", F.round("value", 9))
+    return C.with_stencils().apply_stencil(light, "emboss", 8, 8, strength=3.0).withColumn("value", F.round("value", 9))

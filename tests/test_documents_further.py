@@ -48,7 +48,7 @@ def test_caches_fill_what_is_missing(spark):
 
 
 def test_stencils_register(spark):
-    kinds = C.builtin()
+    kinds = C.with_stencils()
     kinds.stencil("slope", ((1, 0), (-1, 0)), lambda at, gain: gain * (at(1, 0) - at(-1, 0)), params=(C.Param("gain", "Gain", 0, 9, 2),))
     light = spark.createDataFrame([(0, x, y, float(x * x + 10 * y)) for x in range(4) for y in range(3)], "frame long, x long, y long, value double")
     got = {(r.x, r.y): r.value for r in kinds.apply_stencil(light, "slope", 4, 3).collect()}
