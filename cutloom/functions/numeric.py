@@ -63,11 +63,6 @@ def conform_rate(source_fps, sequence_fps) -> Column:
     return F.when(F.abs(a - b) <= 0.01, F.lit(1.0)).otherwise(a / b)
 
 
-def frames_or_none(n) -> Column:
-    """0 .. n-1 as an array; empty where n is not positive (a plain sequence would count down)."""
-    return F.when(col(n) > 0, F.sequence(F.lit(0).cast("long"), col(n) - 1)).otherwise(F.array().cast("array<long>"))
-
-
 def hermite(t: Column, m0: Column, m1: Column) -> Column:
     """Cubic ease from 0 to 1 with slopes m0 and m1 at the ends."""
     return (t * t * t - 2 * t * t + t) * m0 + (-2 * t * t * t + 3 * t * t) + (t * t * t - t * t) * m1
