@@ -83,21 +83,24 @@ def _residual(m: Column) -> Column:
     return F.hypot(m["a"] * col("x") - m["b"] * col("y") + m["tx"] - col("u"), m["b"] * col("x") + m["a"] * col("y") + m["ty"] - col("v"))
 
 
-def robust_fit(matches: DataFrame, keys: list[str], threshold: float = 2.0, fewest: int = 4, sample: int = 12, seed: int = 0, turn: bool = True) -> DataFrame:
+def robust_fit(matches: DataFrame, keys: list[str], threshold: float = 2.0, fewest: int = 4, sample: int | None = 12, seed: int = 0, turn: bool = True) -> DataFrame:
     """(keys, n, a, b, tx, ty) of each group of ``matches`` (id, x, y, u, v): the least-squares similarity (a shift, without ``turn``) of the n matches that agree.
 
-    A seeded sample of ``sample`` matches of each group is drawn by hashes of their ids; each pair of it (each one, for shifts) is a hypothesis.  The one that most
-    of all the group's matches follow within ``threshold`` wins, the first of equals, and is fitted again to those.  Groups under ``fewest`` matches have no row.
+    A seeded sample of ``sample`` matches of each group is drawn by hashes of their ids (None: all of them, for groups of some dozens); each pair of it (each one, for
+    shifts) is a hypothesis.  The one that most of all the group's matches follow within ``threshold`` wins, of equals the first by ids, and is fitted again to
+    those.  Groups under ``fewest`` matches have no row.
 
     Samples are limited before their shuffle; votes and sums combine before theirs; a group's matches are joined, never gathered, so one
     group may hold very many.  ``matches`` is read three times and should be stored.  Nulls in places agree with nothing.
     """
     rows = matches.select(*keys, "id", *(col(c).cast("double").alias(c) for c in ("x", "y", "u", "v"))).where("x is not null and y is not null and u is not null and v is not null")
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    drawn = rows.withColumn("_r", F.row_number().over(order)).where(col("_r") <= sample)
-    drawn = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "x", "y", "u", "v"))).alias("s"))
+    drawn = rows
+    if sample is not None:
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "id"), "id")
+        drawn = rows.withColumn("_r", F.row_number().over(order)).where(col("_r") <= sample)
+    drawn = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "x", "y", "u", "v"))).alias("s"))
     if turn:
-        pairs = F.flatten(F.transform("s", lambda p: F.transform(F.filter("s", lambda q: q["_r"] > p["_r"]), lambda q: _similarity(p, q))))
+        pairs = F.flatten(F.transform("s", lambda p: F.transform(F.filter("s", lambda q: q["id"] > p["id"]), lambda q: _similarity(p, q))))
     else:
         pairs = F.transform("s", lambda p: F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), (p["u"] - p["x"]).alias("tx"), (p["v"] - p["y"]).alias("ty")))
     ways = cut(drawn.select(*keys, pairs.alias("ways")))
@@ -119,23 +122,23 @@ def robust_fit(matches: DataFrame, keys: list[str], threshold: float = 2.0, fewe
 
 
 # --- the camera's path ------------------------------------------------------------------------------------------------
-def camera_path(frames: DataFrame, matches: DataFrame, anchors: DataFrame, key: str, at: str, threshold: float = 2.0, window: int = 3, outliers: tuple = (0.1, 5.0, 20.0), width: int = WIDTH) -> DataFrame:
+def camera_path(frames: DataFrame, matches: DataFrame, anchors: DataFrame, key: str, at: str, threshold: float = 2.0, window: int = 3, outliers: tuple = (0.1, 5.0, 20.0), width: int = WIDTH, sample: int | None = 12) -> DataFrame:
     """(key, at, a, b, tx, ty): for every frame the similarity from the first frame of its take.
 
     ``matches`` (id, x, y, u, v, bx, by) go from the frame before to a frame; steps are fitted robustly, multiplied up along the take, and held where fewer than
     four matches return.  ``anchors`` (id, dx, dy, score, margin) are what is left between the first frame's patches and where the path so far puts
     them; where six or more are good, their robust shift corrects the frame, so nothing drifts.  At last, scale, angle in degrees and shifts that are far from the
-    median of ``window`` frames either side (``outliers``) become that median.
+    median of ``window`` frames either side (``outliers``) become that median.  ``sample`` is that of ``robust_fit``.
     """
     keys = [key, at]
     good = cut(returning(matches).select(*keys, "id", "x", "y", "u", "v"))
-    steps = frames.select(*keys).join(robust_fit(good, keys, threshold), keys, "left")
+    steps = frames.select(*keys).join(robust_fit(good, keys, threshold, sample=sample), keys, "left")
     one, none = F.lit(1.0), F.lit(0.0)
     a, b, tx, ty = (F.coalesce(col(c), d) for c, d in (("a", one), ("b", none), ("tx", none), ("ty", none)))
     path = running_product(cut(steps.select(*keys, F.array(a, -b, tx, b, a, ty, none, none, one).alias("m"))), key, at, "m", width)
     path = path.select(*keys, *(F.element_at("product", i).alias(c) for c, i in (("a", 1), ("b", 4), ("tx", 3), ("ty", 6))))
     near = anchors.where("score >= 0.5 and margin >= 0.05").select(*keys, "id", none.alias("x"), none.alias("y"), col("dx").alias("u"), col("dy").alias("v"))
-    shift = robust_fit(cut(near), keys, threshold, fewest=6, turn=False).select(*keys, col("tx").alias("dx"), col("ty").alias("dy"))
+    shift = robust_fit(cut(near), keys, threshold, fewest=6, sample=sample, turn=False).select(*keys, col("tx").alias("dx"), col("ty").alias("dy"))
     path = path.join(shift, keys, "left").withColumn("dx", F.coalesce("dx", none)).withColumn("dy", F.coalesce("dy", none))
     scale, angle = A.decompose(col("a"), col("b"), -col("b"), col("a"))
     rows = path.select(*keys, scale.alias("scale"), angle.alias("angle"), (col("tx") + col("a") * col("dx") - col("b") * col("dy")).alias("tx"), (col("ty") + col("b") * col("dx") + col("a") * col("dy")).alias("ty"))
