@@ -20,26 +20,25 @@ def asof(points: DataFrame, marks: DataFrame, keys: list[str], at: str, columns:
 
     Points and marks are sorted together by key and stretch of ``width``, so no pairs are made and a key with very many rows
     is spread over its stretches.  What a stretch itself lacks comes from the nearest one before (or after) that has a mark:
-    one row a stretch.
+    one row a stretch, which is sorted in as a mark beyond that end.
     """
     stretch = N.floor_long(F.col(at) / width).alias("_s")
     kind = marks.select(F.struct(*columns)).schema[0].dataType
     left = points.select("*", stretch, F.lit(None).cast(kind).alias("_mark"), F.lit(1).alias("_is"))
     right = marks.select(*keys, at, stretch, F.struct(*columns).alias("_mark"), F.lit(0).alias("_is"))
+    edge, pick = (F.min_by("_mark", at), F.first) if forward else (F.max_by("_mark", at), F.last)
+    beyond = Window.partitionBy(*keys).orderBy("_s")
+    beyond = beyond.rowsBetween(1, Window.unboundedFollowing) if forward else beyond.rowsBetween(Window.unboundedPreceding, -1)
+    stretches = points.select(*keys, stretch, F.lit(None).cast(kind).alias("_edge")).distinct().unionByName(right.groupBy(*keys, "_s").agg(edge.alias("_edge")))
+    stretches = stretches.groupBy(*keys, "_s").agg(F.first("_edge", ignorenulls=True).alias("_edge"))
+    carried = stretches.withColumn("_mark", pick("_edge", ignorenulls=True).over(beyond)).where("_s is not null and _mark is not null").select(*keys, "_s", "_mark", F.lit(0).alias("_is"), F.lit(1).alias("_far"))
+    near = left.unionByName(right, allowMissingColumns=True).withColumn("_far", F.lit(0)).unionByName(carried, allowMissingColumns=True)
     own = Window.partitionBy(*keys, "_s")
     if forward:
-        found = F.first("_mark", ignorenulls=True).over(own.orderBy(F.col(at), F.col("_is").desc()).rowsBetween(1, Window.unboundedFollowing))
-        edge, beyond = F.min_by("_mark", at), Window.partitionBy(*keys).orderBy("_s").rowsBetween(1, Window.unboundedFollowing)
+        found = F.first("_mark", ignorenulls=True).over(own.orderBy("_far", F.col(at), F.col("_is").desc()).rowsBetween(1, Window.unboundedFollowing))
     else:
-        found = F.last("_mark", ignorenulls=True).over(own.orderBy(F.col(at), F.col("_is")).rowsBetween(Window.unboundedPreceding, 0))
-        edge, beyond = F.max_by("_mark", at), Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    near = left.unionByName(right, allowMissingColumns=True).withColumn("_found", found).where("_is = 1")
-    stretches = points.select(*keys, stretch, F.lit(None).cast(kind).alias("_edge")).distinct().unionByName(right.groupBy(*keys, "_s").agg(edge.alias("_edge")))
-    stretches = stretches.groupBy(*keys, "_s").agg(F.first("_edge", ignorenulls=True).alias("_edge"))
-    pick = F.first if forward else F.last
-    carried = stretches.withColumn("_carry", pick("_edge", ignorenulls=True).over(beyond)).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_s").alias("_k_s"), "_carry")
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_s") == F.col("_k_s")]
-    out = near.join(carried, on, "left").withColumn("_found", F.coalesce("_found", "_carry"))
+        found = F.last("_mark", ignorenulls=True).over(own.orderBy(F.col("_far").desc(), F.col(at), F.col("_is")).rowsBetween(Window.unboundedPreceding, 0))
+    out = near.withColumn("_found", found).where("_is = 1")
     return out.select(*points.columns, *(F.col(f"_found.{c}").alias(prefix + c) for c in columns))
 
 

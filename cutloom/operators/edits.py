@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from . import timeline as T
+from .lineage import shares
 
 SHAPE = ["seq_id", "ord", "part", "source_id", "src_in", "src_out", "rate", "start", "track"]
 
@@ -29,9 +30,16 @@ def split_at(clips: DataFrame, points: DataFrame) -> DataFrame:
     return out.select("seq_id", "ord", "h.part", "source_id", F.col("h.a").alias("src_in"), F.col("h.b").alias("src_out"), "rate", F.col("h.s").alias("start"), "track")
 
 
+def _trimmed(trims: DataFrame, clips: DataFrame, parts: int) -> DataFrame:
+    """Trims with their clips, in a number of partitions that grows with the clips."""
+    keys = ["seq_id", "ord"]
+    return trims.repartition(parts, *keys).join(clips.repartition(parts, *keys), keys)
+
+
 def trim_right(clips: DataFrame, media: DataFrame, trims: DataFrame) -> DataFrame:
     """(seq_id, ord, src_out, stop) of trims (seq_id, ord, n): the clip ends at n, within its media and before the next on its lane."""
-    rows = trims.join(clips, ["seq_id", "ord"]).join(media, "source_id").join(T.neighbours(clips).select("seq_id", "ord", "next_start"), ["seq_id", "ord"])
+    near = T.neighbours(clips, "source_id", "src_in", "rate", "start").join(media.hint("shuffle_hash"), "source_id")
+    rows = _trimmed(trims, near, shares(clips))
     most = F.least(F.col("start") + N.timeline_frames(F.col("nframes") - F.col("src_in")), F.coalesce("next_start", F.lit(2**62)))
     end = N.clamp("n", F.col("start") + 1, F.greatest(most, F.col("start") + 1))
     return rows.withColumn("stop", end).select("seq_id", "ord", N.source_frame("stop").alias("src_out"), "stop")
@@ -39,7 +47,7 @@ def trim_right(clips: DataFrame, media: DataFrame, trims: DataFrame) -> DataFram
 
 def trim_left(clips: DataFrame, trims: DataFrame) -> DataFrame:
     """(seq_id, ord, src_in, start): the clip starts at n, after the previous on its lane and within its media; its end stays."""
-    rows = trims.join(clips, ["seq_id", "ord"]).join(T.neighbours(clips).select("seq_id", "ord", "prev_end"), ["seq_id", "ord"])
+    rows = _trimmed(trims, T.neighbours(clips, "src_in", "rate", "start", "stop"), shares(clips))
     least = F.greatest(F.coalesce("prev_end", F.lit(0)), F.col("start") - N.timeline_frames("src_in"))
     at = N.clamp("n", F.least(least, F.col("stop") - 1), F.col("stop") - 1)
     rows = rows.withColumn("delta", at - F.col("start"))

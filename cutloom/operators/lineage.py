@@ -48,3 +48,11 @@ def discard(*frames: DataFrame) -> None:
         if name := _WRITTEN.pop(id(frame), None):
             path, files = _path(frame.sparkSession, name)
             files.delete(path, True)
+
+
+SHARE = 100_000
+
+
+def shares(rows: DataFrame, most: int = SHARE) -> int:
+    """How many partitions of ``most`` rows about these rows need: the number grows with them, so what a task holds does not."""
+    return max(1, -(-rows.count() // most))

@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from .curves import asof
+from .lineage import shares
 
 BUCKET = 256
 
 
-def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], point: str, low: str, high: str, how: str = "inner", width: float = BUCKET, closed: bool = False) -> DataFrame:
+def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], point: str, low: str, high: str, how: str = "inner", width: float = BUCKET, closed: bool = False, parts: int | None = None) -> DataFrame:
     """Points with the spans that cover them (low <= point < high, or <= high if ``closed``), equal on ``keys``.
 
     Both sides are dealt by key and bucket of ``width``, so a key with very many rows is spread over its buckets and each
-    point meets the spans of its bucket only.
+    point meets the spans of its bucket only.  ``parts`` is the number of partitions, if it is to grow with the rows.
     """
     start, stop = F.col(low), F.col(high)
     wide = spans.where(stop >= start if closed else stop > start).withColumn("_to", F.explode(F.sequence(N.floor_long(start / width), N.floor_long((stop if closed else stop - 1) / width))))
     wide = wide.withColumnsRenamed({k: f"_to_{k}" for k in keys})
     near = points.withColumn("_bucket", N.floor_long(F.col(point) / width))
+    if parts:
+        near, wide = near.repartition(parts, *keys, "_bucket"), wide.repartition(parts, *(f"_to_{k}" for k in keys), "_to")
     on = [F.col(k) == F.col(f"_to_{k}") for k in keys] + [F.col("_bucket") == F.col("_to"), start <= F.col(point), F.col(point) <= stop if closed else F.col(point) < stop]
     return near.join(wide, on, how).drop("_bucket", "_to", *(f"_to_{k}" for k in keys))
 
@@ -81,8 +84,9 @@ def segments(clips: DataFrame, width: int = BUCKET) -> DataFrame:
     rows = marks.unionByName(cuts).distinct().withColumn("_s", N.floor_long(F.col("a") / width))
     after = F.coalesce(F.lead("a").over(Window.partitionBy("seq_id", "_s").orderBy("a")), (F.col("_s") + 1) * width)
     spans = rows.withColumn("b", after).join(ends, "seq_id").where("a < total").select("seq_id", "a", F.least("b", "total").alias("b"))
-    top = topmost(interval_join(spans, clips, ["seq_id"], "a", "start", "stop"), ["seq_id", "a"], "ord", "source_id", "src_in", "rate", "start")
-    return spans.join(top, ["seq_id", "a"], "left")
+    hits = interval_join(spans, clips, ["seq_id"], "a", "start", "stop", "left", width, parts=shares(clips))
+    best = F.max_by(F.struct("ord", "source_id", "src_in", "rate", "start"), F.struct(F.col("track"), -F.col("ord"))).alias("_best")
+    return hits.withColumn("_in", F.floor(F.col("a") / width)).groupBy("seq_id", "_in", "a", "b").agg(best).select("seq_id", "a", "b", "_best.*")
 
 
 def locate(points: DataFrame, clips: DataFrame) -> DataFrame:
@@ -97,20 +101,20 @@ def locate_frames(clips: DataFrame) -> DataFrame:
     return rows.select("seq_id", "n", "ord", "source_id", N.source_frame("n").alias("source_frame"))
 
 
-def neighbours(clips: DataFrame) -> DataFrame:
-    """For each clip the start of the next and the end of the previous clip on its own lane, null at the ends.
+def neighbours(clips: DataFrame, *columns: str) -> DataFrame:
+    """For each clip the start of the next and the end of the previous clip on its own lane, null at the ends, and ``columns`` of its own.
 
     Clips of a lane may overlap, so these are as-of lookups, not lead and lag.  A clip without length would find its own edges;
     where no other clip has one there, the lookup is from a frame further.
     """
     lane = ["seq_id", "track"]
     alone = lambda edge: (F.col("stop") == F.col("start")) & (F.count("*").over(Window.partitionBy(*lane, edge)) == 1)
-    rows = clips.select(*lane, "ord", "start", "stop")
-    rows = rows.withColumn("_after", F.col("stop") + alone("start").cast("long")).withColumn("_before", F.col("start") - alone("stop").cast("long")).drop("start", "stop")
+    rows = clips.select(*lane, "ord", "start", "stop", *(c for c in columns if c not in ("start", "stop")))
+    rows = rows.withColumn("_after", F.col("stop") + alone("start").cast("long")).withColumn("_before", F.col("start") - alone("stop").cast("long"))
     starts = clips.select(*lane, F.col("start").alias("_after"), F.col("start").alias("next_start"))
     stops = clips.select(*lane, F.col("stop").alias("_before"), F.col("stop").alias("prev_end"))
     found = asof(asof(rows, starts, lane, "_after", ["next_start"], forward=True), stops, lane, "_before", ["prev_end"])
-    return found.select("seq_id", "ord", "track", "next_start", "prev_end")
+    return found.select("seq_id", "ord", "track", "next_start", "prev_end", *columns)
 
 
 def around(points: DataFrame, marks: DataFrame, keys: list[str], point: str, mark: str) -> DataFrame:
@@ -195,11 +199,17 @@ def free_track(clips: DataFrame, wants: DataFrame) -> DataFrame:
     return free.groupBy("seq_id", "at", "length").agg(F.min("lane").alias("lane"))
 
 
+def _cuts(clips: DataFrame) -> DataFrame:
+    """(seq_id, at, left, right): cuts with the (ord, len) of both clips, in one pass."""
+    side = F.struct("ord", "len")
+    ends = F.array(F.struct(F.col("stop").alias("at"), side.alias("left"), F.lit(None).cast("struct<ord:bigint,len:bigint>").alias("right")), F.struct(F.col("start").alias("at"), F.lit(None).cast("struct<ord:bigint,len:bigint>").alias("left"), side.alias("right")))
+    both = clips.select("seq_id", F.explode(ends).alias("e")).select("seq_id", "e.*")
+    return both.groupBy("seq_id", "at").agg(F.min("left").alias("left"), F.min("right").alias("right")).where("left is not null and right is not null")
+
+
 def cuts(clips: DataFrame) -> DataFrame:
     """(seq_id, at, left_ord, right_ord): frames where a clip ends and one starts, the first of each in the list, whatever the lane."""
-    left = clips.groupBy("seq_id", F.col("stop").alias("at")).agg(F.min("ord").alias("left_ord"))
-    right = clips.groupBy("seq_id", F.col("start").alias("at")).agg(F.min("ord").alias("right_ord"))
-    return left.join(right, ["seq_id", "at"])
+    return _cuts(clips).select("seq_id", "at", F.col("left.ord").alias("left_ord"), F.col("right.ord").alias("right_ord"))
 
 
 def dissolve_length(left_len, right_len, fps: float) -> Column:
@@ -214,8 +224,7 @@ def clamp_transition(duration, left_len, right_len) -> Column:
 
 def transitions(clips: DataFrame, duration: int) -> DataFrame:
     """A transition of at most ``duration`` at every cut that has room for two frames: at, length, span and the two clips."""
-    side = clips.select("seq_id", "ord", "len")
-    rows = cuts(clips).join(side.select("seq_id", F.col("ord").alias("left_ord"), F.col("len").alias("left_len")), ["seq_id", "left_ord"]).join(side.select("seq_id", F.col("ord").alias("right_ord"), F.col("len").alias("right_len")), ["seq_id", "right_ord"])
+    rows = _cuts(clips).select("seq_id", "at", *(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("left", "right") for c in ("ord", "len")))
     sized = rows.withColumn("duration", clamp_transition(F.lit(duration), "left_len", "right_len").cast("long")).where("duration >= 2")
     spans = sized.withColumn("span_start", F.col("at") - N.div("duration", 2)).withColumn("span_stop", F.col("span_start") + F.col("duration"))
     return spans.select("seq_id", "at", "left_ord", "right_ord", "duration", "span_start", "span_stop")

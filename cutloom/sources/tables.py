@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..operators.lineage import shares
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -17,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def clips(spark: SparkSession, sf_dir: str, layout: str = "gappy") -> DataFrame:
     """Orders as sequences, their lines as clips.
 
-    Layouts: ``gapless`` (one after another on lane 1), ``gappy`` (three empty frames between) and ``tracks`` (three lanes that overlap).
+    Layouts: ``gapless`` (one after another on lane 1), ``gappy`` (three empty frames between) and ``tracks`` (three lanes that overlap).  Dealt by sequence
+    once, into partitions whose number grows with the table, so what goes by sequence later needs no other shuffle and a task's memory stays.
     """
-    by = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    by = Window.partitionBy("seq_id").orderBy(*LINE_ORDER)
     rate = F.when(F.col("l_returnflag") == "A", 0.5).when(F.col("l_returnflag") == "R", 2.0).otherwise(1.0)
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("seq_id"),
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(F.col("l_orderkey").alias("seq_id"), *LINE_ORDER).repartition(shares(lines), "seq_id").select(
+        "seq_id",
         (F.row_number().over(by) - 1).cast("long").alias("ord"),
         F.col("l_partkey").alias("source_id"),
         (F.col("l_suppkey") % 10).alias("src_in"),
