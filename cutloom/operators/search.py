@@ -18,10 +18,11 @@ def mean_square(a: str, b: str) -> Column:
 
 
 def znorm(sig: str) -> Column:
-    """Zero mean, unit deviation (of the population, plus a millionth)."""
-    return F.expr(
-        f"transform({sig}, x -> (x - aggregate({sig}, 0D, (s, v) -> s + v) / size({sig})) / (sqrt(aggregate({sig}, 0D, (s, v) -> s + (v - aggregate({sig}, 0D, (t, w) -> t + w) / size({sig})) * (v - aggregate({sig}, 0D, (t, w) -> t + w) / size({sig}))) / size({sig})) + 1e-6))"
-    )
+    """Zero mean, unit deviation (of the population, plus a millionth): mean and deviation are taken once an array, not once a number."""
+    mean = f"aggregate({sig}, 0D, (s, v) -> s + v) / size({sig})"
+    deviation = f"sqrt(aggregate({sig}, 0D, (s, v) -> s + (v - m) * (v - m)) / size({sig}))"
+    named = f"transform(array({mean}), m -> transform(array({deviation}), d -> transform({sig}, x -> (x - m) / (d + 1e-6))))"
+    return F.expr(f"{named}[0][0]")
 
 
 BROADCAST = 16 << 20
