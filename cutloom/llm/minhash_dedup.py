@@ -10,11 +10,14 @@ whole sequence is one shingle; without words the set is empty and links with not
 3. In each band bucket every class is paired with the smallest one (all pairs only of buckets up to three).  Pairs whose
    collision-corrected estimate, from bit counts of the packed signatures, is too low to be a link (4.3 standard
    deviations below 0.75) go; the others are verified on full sets.  Components of those links follow.
-4. Buckets that still hold several components are cut into blocks, so that a task sees two blocks of at most ``BLOCK`` classes.
-   A block pair first gets packed signatures only and names the classes whose estimate against one of another component is
+4. The members of a bucket are dealt into hands of about ``HAND`` by a hash of class and bucket, and within a hand all that are in
+   different components meet, as in 3.  A class has a hand in each of its buckets, so near copies of one text, few of which may be
+   links of the smallest one, become one component here, with work in proportion to the members.
+5. Buckets that still hold several components are cut into blocks, so that a task sees two blocks of at most ``BLOCK`` classes.
+   A block pair first gets sketches only and names the classes whose estimate against one of another component is
    high enough; the full sets of just these follow it, and links that join components come out, each pair in its first common
    band.  Links inside a component change nothing.
-5. Class components become documents' at the end, by the smallest doc_id in each.
+6. Class components become documents' at the end, by the smallest doc_id in each.
 
 So work on a group of copies grows with its size times the number of members that stay apart, and no pair list of a group is emitted.
 Rows that share a doc_id are one document: all their classes are in one component, n_shingles is each row's own; a row without
@@ -40,6 +43,7 @@ WORDS, PER_CENT = 5, 75
 BANDS, PER_BAND, BITS = 32, 4, 4
 HASHES = BANDS * PER_BAND
 BLOCK = 256
+HAND = 8
 _RNG = np.random.default_rng(20240501)
 _MULTIPLY = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -153,31 +157,38 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & 0x1111111111111111).sum(axis=2)
 
 
+def _candidates(rows: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a block pair that may be links between components and whose first common band is this one, likeliest first."""
+    sig, band, comp, size = np.array(rows.sig.tolist()), np.array(rows.bands.tolist()), rows.comp.to_numpy(), rows.size_.to_numpy()
+    differ = _differing(sig[left], sig[right])
+    least, most = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
+    p, q = np.nonzero((differ <= most_mismatches()) & (comp[left][:, None] != comp[right][None, :]) & (100 * least >= PER_CENT * most))
+    order = np.argsort(differ[p, q], kind="stable")
+    p, q = left[p[order]], right[q[order]]
+    where, own = rows.band.iloc[0], np.zeros(len(p), bool)
+    for at in range(0, len(p), 4096):
+        own[at : at + 4096] = (band[p[at : at + 4096]] == band[q[at : at + 4096]]).argmax(axis=1) == where
+    return p[own], q[own]
+
+
 def _likely(rows: pd.DataFrame) -> pd.DataFrame:
     """The members of a block pair that may be linked with one of another component."""
-    sig, comp, side = np.array(rows.sig.tolist()), rows.comp.to_numpy(), rows.side.to_numpy()
+    side = rows.side.to_numpy()
     left, right = np.flatnonzero(side == rows.i.iloc[0]), np.flatnonzero(side == rows.j.iloc[0])
     some = np.zeros(len(rows), bool)
     if len(left) and len(right):
-        hit = (_differing(sig[left], sig[right]) <= most_mismatches()) & (comp[left][:, None] != comp[right][None, :])
-        some[left] |= hit.any(axis=1)
-        some[right] |= hit.any(axis=0)
+        some[np.concatenate(_candidates(rows, left, right))] = True
     return rows.loc[some, ["key", "band", "cls", "comp", "side", "i", "j"]]
 
 
 def _joined(rows: pd.DataFrame) -> pd.DataFrame:
     """Links between components among one block pair's members: only those that join what is apart so far."""
     rows = rows.sort_values("cls", ignore_index=True)
-    sig, band, where = np.array(rows.sig.tolist()), np.array(rows.bands.tolist()), rows.band.iloc[0]
-    comp, side, cls = rows.comp.to_numpy(), rows.side.to_numpy(), rows.cls.to_numpy()
+    comp, side = rows.comp.to_numpy(), rows.side.to_numpy()
     left, right = (np.flatnonzero(side == rows.i.iloc[0]), np.flatnonzero(side == rows.j.iloc[0]))
     if not len(left) or not len(right):
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    differ = _differing(sig[left], sig[right])
-    p, q = np.nonzero((differ <= most_mismatches()) & (comp[left][:, None] != comp[right][None, :]))
-    order = np.argsort(differ[p, q], kind="stable")
-    p, q = left[p[order]], right[q[order]]
-    own = (band[p] == band[q]).argmax(axis=1) == where if len(p) else np.zeros(0, bool)
+    p, q = _candidates(rows, left, right)
     root = {c: c for c in comp}
 
     def find(c):
@@ -186,7 +197,7 @@ def _joined(rows: pd.DataFrame) -> pd.DataFrame:
         return c
 
     sets, edges = {}, []
-    for i, j in zip(p[own], q[own], strict=True):
+    for i, j in zip(p, q, strict=True):
         a, b = find(comp[i]), find(comp[j])
         if a == b:
             continue
@@ -200,14 +211,14 @@ def _joined(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows (doc_id, n_shingles, cls, rep), cls null without words; classes (cls, rep, f1, f2, bands, sig).
+    """(rows, classes): rows (doc_id, n_shingles, cls, rep), cls null without words; classes (cls, rep, size_, f1, f2, bands, sig).
 
     cls numbers the distinct sets, rep is the smallest doc_id that has one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_ = common.stored(texts.mapInArrow(_sketched, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig array<long>"), "sketches")
     some = all_.where("f1 is not null")
-    merged = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))  # equal sets, equal sketches
+    merged = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size_"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))  # equal sets, equal sketches
     found = common.stored(merged.withColumn("cls", F.monotonically_increasing_id()), "classes")
     # stored first: then both sides of the join come straight from a shuffle, and a very large class can be split
     with_class = some.select("doc_id", "n_shingles", "f1", "f2").join(found.select("f1", "f2", "cls", "rep"), ["f1", "f2"]).select("doc_id", "n_shingles", "cls", "rep")
@@ -224,6 +235,19 @@ def full_sets(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame
     return common.stored(texts.join(common.small(wanted), "rep").mapInArrow(_sets, "cls long, set binary").dropDuplicates(["cls"]), "sets")
 
 
+def _links(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` of classes that are links: first by packed signatures, then on full sets."""
+    sig = lambda x: found.select(F.col("cls").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("size_").alias(f"size_{x}"))
+    close = F.expr(f"100 * least(size_a, size_b) >= {PER_CENT} * greatest(size_a, size_b)")
+    likely = pairs.distinct().join(sig("a"), "a").join(sig("b"), "b").where(close & (mismatches("sig_a", "sig_b") <= most_mismatches())).select("a", "b")
+    likely = common.stored(likely, "likely")
+    sets = full_sets(docs, found, common.stored(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "wanted"))
+    full = likely.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
+    good = common.stored(full.mapInArrow(_verified, "a long, b long"), "links")
+    common.discard(likely, sets)
+    return good
+
+
 def class_components(docs: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
     """(cls, component): of the classes that links connect with others, a number for each component."""
     spread = found.select("cls", F.posexplode("bands").alias("band", "key"))
@@ -231,22 +255,22 @@ def class_components(docs: DataFrame, rows: DataFrame, found: DataFrame) -> Data
     members = common.stored(spread.join(common.small(buckets), "key"), "members")
     star = members.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b"))
     third = members.where("n = 3 and cls <> low and cls <> high").select(F.col("cls").alias("a"), F.col("high").alias("b"))
-    sigs = found.select("cls", "sig")
-    likely = (
-        star.unionByName(third).distinct()
-        .join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .where(mismatches("sig_a", "sig_b") <= most_mismatches()).select("a", "b")
-    )
-    likely = common.stored(likely, "likely")
-    sets = full_sets(docs, found, common.stored(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "wanted"))
-    pairs = likely.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
+    sketches = found.select("cls", "size_", "bands", "sig")
     shared = rows.where("cls is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("high")).where("a < high").select("doc_id", "a")  # doc_ids with several texts
     twins = rows.join(common.small(common.stored(shared, "shared-ids")), "doc_id").where("cls <> a").select("a", F.col("cls").alias("b"))
-    comps = common.stored(common.components(pairs.mapInArrow(_verified, "a long, b long").unionByName(twins)).withColumnRenamed("node", "cls"), "components")
-    common.discard(likely, sets)
+    comps = common.stored(common.components(_links(docs, found, star.unionByName(third)).unionByName(twins)).withColumnRenamed("node", "cls"), "components")
+
+    def placed_in(comps: DataFrame) -> DataFrame:
+        return members.where("n > 3").join(comps, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("key", "band", "cls", "comp", "n")
+
+    hands = placed_in(comps).withColumn("hand", F.expr(f"int(pmod(xxhash64(cls, key), int(ceil(n / {HAND}))))"))
+    one, two = (hands.select("key", "hand", F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    more = _links(docs, found, one.join(two, ["key", "hand"]).where("a < b and comp_a <> comp_b").select("a", "b"))
+    if not more.isEmpty():
+        edges = more.unionByName(comps.select(F.col("cls").alias("a"), F.col("component").alias("b")))
+        comps = common.stored(common.components(edges).withColumnRenamed("node", "cls"), "components")
 
-    placed = members.where("n > 3").join(comps, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("key", "band", "cls", "comp")
+    placed = placed_in(comps)
     sizes = placed.groupBy("key", "comp").count()
     open_ = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.max("count").alias("n_major"), F.sum("count").alias("n"), F.count("*").alias("comps")).where("comps > 1")
     open_ = open_.select("key", "major", F.expr(f"int(ceil(n_major / {BLOCK}))").alias("wide"), F.expr(f"int(ceil((n - n_major) / {BLOCK}))").alias("tall"))
@@ -255,14 +279,15 @@ def class_components(docs: DataFrame, rows: DataFrame, found: DataFrame) -> Data
         "if(comp = major, transform(sequence(0, tall - 1), t -> struct(t as i, tall + block as j)),"
         " concat(transform(sequence(0, tall - 1), t -> struct(least(t, block) as i, greatest(t, block) as j)), transform(sequence(0, wide - 1), w -> struct(block as i, tall + w as j))))"
     )
-    dealt = at.withColumn("side", F.expr("if(comp = major, tall + block, block)")).join(sigs, "cls").withColumn("to", F.explode(F.array_distinct(to))).select("key", "band", "cls", "comp", "side", "to.i", "to.j", "sig")
+    dealt = at.withColumn("side", F.expr("if(comp = major, tall + block, block)")).join(sketches, "cls").withColumn("to", F.explode(F.array_distinct(to))).select("key", "band", "cls", "comp", "side", "to.i", "to.j", "size_", "bands", "sig")
     named = common.stored(dealt.groupBy("key", "i", "j").applyInPandas(_likely, "key long, band int, cls long, comp long, side int, i int, j int"), "late-likely")
     if named.isEmpty():
         return comps
     sets = full_sets(docs, found, common.stored(named.select("cls").distinct(), "wanted"))
-    full = named.join(found.select("cls", "bands", "sig"), "cls").join(sets, "cls")
+    whole = common.stored(sketches.join(sets, "cls"), "whole")  # a row a class, so that the members are joined once
+    full = named.join(whole, "cls")
     late = common.stored(full.groupBy("key", "i", "j").applyInPandas(_joined, "a long, b long"), "late-links")  # of components
-    common.discard(named, sets, members)
+    common.discard(named, sets, whole, members)
     if late.isEmpty():
         return comps
     merged = common.components(late).select(F.col("node").alias("component"), F.col("component").alias("joined"))
