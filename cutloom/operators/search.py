@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,59 @@ def distances(signatures: DataFrame, refs: DataFrame, most: int = BROADCAST) ->
     return out
 
 
+def _matrices(sigs: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) for each length of arrays; those that are null or empty are in none."""
+    whole = [None if x is None else np.asarray(x, np.float64) for x in sigs]
+    size = np.array([0 if x is None else len(x) for x in whole])
+    return [(at, np.stack([whole[i] for i in at])) for n in np.unique(size[size > 0]) for at in [np.flatnonzero(size == n)]]
+
+
+def _scores(frames: list[tuple[np.ndarray, np.ndarray]], ref: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(known, score) of n frames to one reference: squares are summed in order, as ``mean_square`` does."""
+    known, score = np.zeros(n, bool), np.full(n, -np.inf)
+    for at, rows in frames:
+        if rows.shape[1] == len(ref):
+            total = np.zeros(len(at))
+            for k in range(len(ref)):
+                apart = rows[:, k] - ref[k]
+                total += apart * apart
+            known[at], score[at] = True, total / len(ref)
+    return known, score
+
+
+def closest(signatures: DataFrame, refs: DataFrame, k: int, exclude: int = 0, block: int = 8192) -> DataFrame:
+    """(ref, frame, score): the k best frames of each reference in each block of about ``block`` frames, among those at least ``exclude`` from it; of equals the lower frames.
+
+    The k best of all are among them, so only k rows a block are ranked in the end, not a row for each pair.  Blocks of frames and of references are dealt
+    out by hashes and meet in tasks of bounded memory; scores are those of ``distances``.
+    """
+    whole = F.when(~F.exists("sig", lambda v: v.isNull()), F.col("sig"))  # pandas would read a null within as not a number
+    frames, queries = cut(signatures.select("frame", whole.alias("sig"))), cut(refs.select(F.col("frame").alias("ref"), whole.alias("ref_sig")))
+    many, few = max(1, -(-frames.count() // block)), max(1, -(-queries.count() // (block // 4)))
+    dealt = lambda rows, key, n, name: rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    out_to = lambda rows, n, name: rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left, right = out_to(dealt(frames, "frame", many, "_i"), few, "_j"), out_to(dealt(queries, "ref", few, "_j"), many, "_i")
+
+    def best(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        at, out = rows.frame.to_numpy(np.int64), []
+        # frames by columns: one coordinate of all lies together
+        sigs = [(p, np.asfortranarray(m)) for p, m in _matrices(rows.sig)]
+        for ref, sig in zip(asked.ref.tolist(), asked.ref_sig, strict=True):
+            plain = sig is not None and len(sig) > 0
+            known, score = _scores(sigs if plain else [], np.asarray(sig, np.float64) if plain else np.zeros(0), len(at))
+            some = np.flatnonzero(np.abs(at - ref) >= exclude)
+            if len(some) > k:
+                some = some[~(score[some] > np.partition(score[some], k - 1)[k - 1])]
+            some = some[np.lexsort((at[some], score[some]))][:k]
+            out.append((np.full(len(some), ref), at[some], score[some], known[some]))
+        if not out:
+            return pd.DataFrame({"ref": [], "frame": [], "score": []})
+        ref, frame, score, known = map(np.concatenate, zip(*out, strict=True))
+        return pd.DataFrame({"ref": ref, "frame": frame, "score": pd.Series(score).astype(object).where(known, None)})
+
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(best, "ref long, frame long, score double")
+
+
 def nearest(scored: DataFrame, k: int, exclude: int) -> DataFrame:
     """The k nearest frames of each reference that lie at least ``exclude`` from it."""
     far = scored.where(F.abs(F.col("frame") - F.col("ref")) >= exclude)
@@ -53,13 +107,18 @@ def nearest(scored: DataFrame, k: int, exclude: int) -> DataFrame:
     return far.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def most_ranked(k: int, exclude: int) -> int:
+    """How many of the best frames ``suppressed`` may have to look at."""
+    return (k + 1) * (2 * exclude - 1) + k
+
+
 def suppressed(scored: DataFrame, k: int, exclude: int) -> DataFrame:
     """Greedy picks: best first, each at least ``exclude`` frames from the reference and from every earlier pick.
 
     A pick, like the reference, rules out 2 * exclude - 1 frames at most, so the k picks lie among the (k + 1) times as many best
     frames; only those go to one place.
     """
-    most = (k + 1) * (2 * exclude - 1) + k
+    most = most_ranked(k, exclude)
     scored = scored.withColumn("_r", F.row_number().over(Window.partitionBy("ref").orderBy("score", "frame"))).where(F.col("_r") <= most).drop("_r")
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:

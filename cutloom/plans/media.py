@@ -307,7 +307,7 @@ DIST = "dist AS (SELECT r.vec_id AS ref, e.vec_id AS frame, list_sum(list_transf
 @query(f"WITH {DIST} SELECT ref, CAST(row_number() OVER (PARTITION BY ref ORDER BY score, frame) AS INT) AS rank, frame, CAST(round(score, 9) AS DOUBLE) AS score FROM dist WHERE abs(frame - ref) >= 30 QUALIFY rank <= 6")
 def knn_frames(spark, d):
     sigs = S.signatures(spark, d)
-    return H.nearest(H.distances(sigs, sigs.where("frame % 100 = 0")), 6, 30).select("ref", "rank", "frame", F.round("score", 9).alias("score"))
+    return H.nearest(H.closest(sigs, sigs.where("frame % 100 = 0"), 6, 30), 6, 30).select("ref", "rank", "frame", F.round("score", 9).alias("score"))
 
 
 PICKS = """far AS (SELECT ref, frame, score, row_number() OVER (PARTITION BY ref ORDER BY score, frame) AS k FROM dist WHERE abs(frame - ref) >= 30),
@@ -319,7 +319,7 @@ r AS (SELECT DISTINCT ref, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken
 @query(f"WITH RECURSIVE {DIST}, {PICKS} SELECT ref, CAST(len(taken) AS BIGINT) AS rank, frame, CAST(round(score, 9) AS DOUBLE) AS score FROM r WHERE frame IS NOT NULL")
 def knn_nms(spark, d):
     sigs = S.signatures(spark, d)
-    return H.suppressed(H.distances(sigs, sigs.where("frame % 100 = 0")), 6, 30).withColumn("score", F.round("score", 9))
+    return H.suppressed(H.closest(sigs, sigs.where("frame % 100 = 0"), H.most_ranked(6, 30)), 6, 30).withColumn("score", F.round("score", 9))
 
 
 @query("WITH p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, b.vec_id - a.vec_id AS L, list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)) / 64 AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id - a.vec_id BETWEEN 20 AND 120 AND (b.vec_id - a.vec_id - 20) % 2 = 0 AND a.vec_id % 2 = 0) SELECT label, a, b, CAST(round(score, 9) AS DOUBLE) AS score FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(score - 0.01 * L / 30.0, 9), a, L) = 1")
