@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import catalog as C
 from ..operators import pixels as P
+from ..operators.lineage import cut
 from ..sources import project as J
 from ..sources import tables as S
 from ..streaming import stateful as Z
@@ -107,7 +108,7 @@ def project_documents(spark, d):
     cuts = rows.select("seq_id", "ord", F.lit("dissolve").alias("kind"), col("start").alias("at"), (col("len") % 9).alias("duration"))
     words = rows.select("seq_id", "ord", (col("start") / 30.0).alias("start"), (col("stop") / 30.0).alias("stop"), F.concat(F.lit('Line "'), "ord", F.lit('"\né')).alias("text"))
     over = rows.select("seq_id", "ord", F.lit("bar").alias("kind"), "start", "stop", F.create_map(F.lit("rate"), "rate").alias("params"), F.create_map(F.lit("font"), F.concat(F.lit("font"), "source_id")).alias("settings"))
-    docs = J.parse(J.documents(whole, "seq_id", effects=effects, animations=keys, transitions=cuts, captions=words, overlays=over))
+    docs = cut(J.parse(J.documents(whole, "seq_id", effects=effects, animations=keys, transitions=cuts, captions=words, overlays=over)))  # five tables are read from it
     flat = lambda rows, part, pos, name, number, text: rows.select("seq_id", col("ord").cast("long").alias("ord"), F.lit(part).alias("part"), pos.cast("long").alias("pos"), name.alias("name"), number.cast("double").alias("number"), text.alias("text"))
     null = F.lit(None).cast("string")
     slots = docs.select("seq_id", F.posexplode("clips").alias("ord", "c")).select("seq_id", "ord", F.posexplode("c.effects").alias("pos", "s"))
