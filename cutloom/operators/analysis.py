@@ -7,11 +7,13 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from .lineage import cut
+from .lineage import SHARE, cut, discard, shares
 from .stretches import ranged
 
 
@@ -224,44 +226,115 @@ def color_track(stats: DataFrame, key: str, at: str, mean: str, std: str, cutoff
     return rows.join(low, [key, at]).select(key, at, gain.alias("gain"), offset.alias("offset"))
 
 
-def bundle_adjust(tracks: DataFrame, group: str, rounds: int = 25, huber: float = 1.5) -> DataFrame:
+def _row(values) -> pa.Array:
+    """One list for the one row of a block."""
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _sums(track: pa.Array, g, h, s) -> pa.Array:
+    return _row(pa.StructArray.from_arrays([track, pa.array(np.arange(len(track), dtype=np.int32)), *map(pa.array, (g, h, s.real, s.imag))], ["track", "k", "g", "h", "sx", "sy"]))
+
+
+def _only(table: pa.Table, column: str) -> pa.Array:
+    return table.column(column).combine_chunks().flatten()
+
+
+def _points(table: pa.Table, read=_only) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which points have an x, which a y, and the points, 0 where either lacks."""
+    x, y = (read(table, c) for c in "xy")
+    has = [c.is_valid().to_numpy(zero_copy_only=False) for c in (x, y)]
+    return *has, x.fill_null(0.0).to_numpy() + 1j * y.fill_null(0.0).to_numpy()
+
+
+def _total(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(of, values.real, n) + 1j * np.bincount(of, values.imag, n) if np.iscomplexobj(values) else np.bincount(of, values, n)
+
+
+def bundle_adjust(tracks: DataFrame, group: str, rounds: int = 25, huber: float = 1.5, most: int = SHARE) -> DataFrame:
     """Per group and frame the similarity (a, b, tx, ty) that takes tracked points (track, frame, x, y) to their common places.
 
     Alternates two least squares in which residuals over ``huber`` count less: each frame's similarity of the common places to its points,
     from sums per frame, and each common place from sums per track.  The first frame of a group stays as it is, frames of under
-    three points stay at the identity.  What is returned are the inverses.  Sums combine before the shuffle, and the places are cut
-    from their lineage each round, so a group is spread over its frames and tracks.
+    three points stay at the identity.  What is returned are the inverses.
+
+    Points are dealt once, into blocks of whole frames of about ``most`` points, and stay where they are.  A round sends a block the places of its tracks and
+    gets one sum a track back; its frames' similarities and these sums are cut from their lineage.  Nothing is broadcast, so nothing but task ends comes to the driver.
     """
-    col = F.col
-    first = tracks.groupBy(group).agg(F.min("frame").alias("_first"))
-    points = cut(tracks.select(group, "frame", "track", col("x").cast("double").alias("x"), col("y").cast("double").alias("y")).join(first, group))
-    places = points.groupBy(group, "track").agg(F.avg("x").alias("px"), F.avg("y").alias("py"))
-    here = points.select(group, "frame").distinct().select(group, "frame", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"))
-
-    def weighted(rows: DataFrame) -> DataFrame:
-        far = F.hypot(col("a") * col("px") - col("b") * col("py") + col("tx") - col("x"), col("b") * col("px") + col("a") * col("py") + col("ty") - col("y"))
-        return rows.withColumn("w", F.when(far <= huber, 1.0).otherwise(huber / far))
-
-    def solved(rows: DataFrame) -> DataFrame:
-        total = lambda e: F.sum(col("w") * e)
-        sums = {"w": F.lit(1.0), "x": col("px"), "y": col("py"), "u": col("x"), "v": col("y"), "xx": col("px") * col("px") + col("py") * col("py"), "p": col("px") * col("x") + col("py") * col("y"), "q": col("px") * col("y") - col("py") * col("x")}
-        s = rows.groupBy(group, "frame").agg(F.count("*").alias("n"), F.max(col("frame") == col("_first")).alias("fixed"), *(F.first(c).alias(f"_{c}") for c in ("a", "b", "tx", "ty")), *(total(e).alias(f"s{k}") for k, e in sums.items()))
-        spread = col("sxx") - (col("sx") * col("sx") + col("sy") * col("sy")) / col("sw")
-        s = s.withColumn("a", F.try_divide(col("sp") - (col("sx") * col("su") + col("sy") * col("sv")) / col("sw"), spread)).withColumn("b", F.try_divide(col("sq") - (col("sx") * col("sv") - col("sy") * col("su")) / col("sw"), spread))
-        s = s.withColumn("tx", (col("su") - col("a") * col("sx") + col("b") * col("sy")) / col("sw")).withColumn("ty", (col("sv") - col("b") * col("sx") - col("a") * col("sy")) / col("sw"))
-        keep = col("fixed") | (col("n") < 3) | (spread <= 1e-12 * col("sxx"))
-        return s.select(group, "frame", *(F.when(keep, col(f"_{c}")).otherwise(col(c)).alias(c) for c in ("a", "b", "tx", "ty")))
-
-    for _ in range(rounds):
-        seen = points.join(places, [group, "track"])
-        here = solved(weighted(seen.join(here, [group, "frame"])))
-        g = col("a") * col("a") + col("b") * col("b")
-        u, v = col("x") - col("tx"), col("y") - col("ty")
-        sums = weighted(seen.join(here, [group, "frame"])).groupBy(group, "track").agg(F.sum(col("w") * g).alias("g"), F.sum(col("w") * (col("a") * u + col("b") * v)).alias("sx"), F.sum(col("w") * (col("a") * v - col("b") * u)).alias("sy"))
-        places = sums.select(group, "track", (col("sx") / col("g")).alias("px"), (col("sy") / col("g")).alias("py"))
-        both = cut(here.unionByName(places, allowMissingColumns=True))  # one table a round
-        here = both.where("frame is not null").select(group, "frame", "a", "b", "tx", "ty")
-        places = both.where("track is not null").select(group, "track", "px", "py")
+    col, kinds = F.col, dict(tracks.dtypes)
+    sums_kind = f"array<struct<track:{kinds['track']},k:int,g:double,h:double,sx:double,sy:double>>"
+    key = f"`{group}` {kinds[group]}, _block int"
+    packed_kind = f"{key}, head {kinds['frame']}, frames array<{kinds['frame']}>, f array<int>, t array<int>, x array<double>, y array<double>, sums {sums_kind}"
+    state_kind = f"{key}, first {kinds['frame']}, frames array<{kinds['frame']}>, a array<double>, b array<double>, tx array<double>, ty array<double>, sums {sums_kind}"
+
+    def packed(rows: pa.Table) -> pa.Table:
+        frame, track = (rows.column(c).combine_chunks().dictionary_encode() for c in ("frame", "track"))
+        has_x, has_y, z = _points(rows, lambda table, c: table.column(c).combine_chunks())
+        f, t, n = frame.indices, track.indices, len(track.dictionary)
+        at = t.to_numpy()
+        first = _sums(track.dictionary, _total(at, has_x * 1.0, n), _total(at, has_y * 1.0, n), _total(at, z, n))
+        head = pc.min(frame.dictionary)
+        own = [pa.array([v.as_py()], v.type) for v in (rows.column(group)[0], rows.column("_block")[0], head)]
+        names = [group, "_block", "head", "frames", "f", "t", "x", "y", "sums"]
+        return pa.Table.from_arrays([*own, *map(_row, (frame.dictionary, f, t)), *(_row(rows.column(c).combine_chunks()) for c in "xy"), first], names)
+
+    def fitted(block: pa.Table, state: pa.Table) -> pa.Table:
+        f, t = (_only(block, c).to_numpy() for c in "ft")
+        has_x, has_y, z = _points(block)
+        frames, (track, k, px, py) = _only(state, "frames"), _only(state, "places").flatten()
+        order = np.argsort(k.to_numpy())
+        there = (px.is_valid().to_numpy(zero_copy_only=False) & py.is_valid().to_numpy(zero_copy_only=False))[order]
+        place = (px.fill_null(0.0).to_numpy() + 1j * py.fill_null(0.0).to_numpy())[order]
+        p, known, many = place[t], has_x & has_y & there[t], len(frames)
+        z = np.where(known, z, 0.0)
+        a, b, tx, ty = (_only(state, c).fill_null(0.0).to_numpy() for c in ("a", "b", "tx", "ty"))
+        turn, move = a + 1j * b, tx + 1j * ty
+
+        def weights() -> np.ndarray:
+            far = np.abs(turn[f] * p + move[f] - z)
+            return np.where(known, np.where(far <= huber, 1.0, huber / far), 0.0)
+
+        with np.errstate(all="ignore"):
+            w = weights()
+            sw, sp, sz, spp, spz = (_total(f, e, many) for e in (w, w * p, w * z, w * np.abs(p) ** 2, w * p.conj() * z))
+            spread = spp - np.abs(sp) ** 2 / sw
+            fixed = pc.equal(frames, state.column("first")[0]).to_numpy(zero_copy_only=False)
+            keep = fixed | (np.bincount(f, minlength=many) < 3) | (spread <= 1e-12 * spp)
+            new = (spz - sp.conj() * sz / sw) / spread
+            turn, move = np.where(keep, turn, new), np.where(keep, move, (sz - new * sp) / sw)
+            lost = ~keep & (np.bincount(f, known, many) == 0)  # no point has a value
+            turn, move = np.where(lost, 0.0, turn), np.where(lost, 0.0, move)
+            w = weights()
+            g, s = (_total(t, e, len(place)) for e in (w * np.abs(turn[f]) ** 2, w * turn[f].conj() * (z - move[f])))
+        now = [_row(pa.array(v, mask=lost)) for v in (turn.real, turn.imag, move.real, move.imag)]
+        own = [state.column(c) for c in (group, "_block", "first")]
+        return pa.Table.from_arrays([*own, _row(frames), *now, _sums(track.take(pa.array(order)), g, g, s)], [group, "_block", "first", "frames", "a", "b", "tx", "ty", "sums"])
+
+    points = cut(tracks.select(group, "frame", "track", col("x").cast("double").alias("x"), col("y").cast("double").alias("y")).dropna(subset=[group, "frame", "track"]))
+    many = shares(points, most)
+    dealt = points.repartitionByRange(many, group, "frame").withColumn("_block", F.spark_partition_id())
+    stored = cut(dealt.groupBy(group, "_block").applyInArrow(packed, packed_kind))
+    discard(points)
+    blocks = stored.select(col(group).alias("_g"), col("_block").alias("_b"), "f", "t", "x", "y").repartition(many, "_g", "_b").persist()
+    blocks.count()  # once they lie somewhere, plans know how they are dealt
+    still = lambda v: F.transform("frames", lambda _: F.lit(v))
+    first = stored.groupBy(group).agg(F.min("head").alias("first"))
+    state = stored.join(first, group).select(group, "_block", "first", "frames", still(1.0).alias("a"), *(still(0.0).alias(c) for c in ("b", "tx", "ty")), "sums")
+    try:
+        for _ in range(rounds):
+            everywhere = Window.partitionBy(group, "track")
+            place = [F.try_divide(F.sum(s).over(everywhere), F.sum(n).over(everywhere)).alias(c) for c, s, n in (("px", "sx", "g"), ("py", "sy", "h"))]
+            places = state.select(group, "_block", F.inline("sums")).select(group, "_block", "track", "k", *place)
+            sent = places.groupBy(group, "_block").agg(F.collect_list(F.struct("track", "k", "px", "py")).alias("places"))
+            given = state.drop("sums").join(sent.hint("merge"), [group, "_block"]).repartition(many, group, "_block")  # to where the blocks are
+            after = cut(blocks.groupBy("_g", "_b").cogroup(given.groupBy(group, "_block")).applyInArrow(fitted, state_kind))
+            discard(state)
+            state = after
+    finally:
+        blocks.unpersist()
+    if rounds:
+        discard(stored)
+    here = state.select(group, F.inline(F.arrays_zip(*(col(c) for c in ("frames", "a", "b", "tx", "ty"))))).withColumnRenamed("frames", "frame")
     size = col("a") * col("a") + col("b") * col("b")
     back = here.select(group, "frame", (col("a") / size).alias("a"), (-col("b") / size).alias("b"), "tx", "ty")
     return back.select(group, "frame", "a", "b", (col("b") * col("ty") - col("a") * col("tx")).alias("tx"), (-col("b") * col("tx") - col("a") * col("ty")).alias("ty"))

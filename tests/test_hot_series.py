@@ -100,3 +100,35 @@ def test_bundle_equals_a_plain_loop(spark):
             place[t] = sum(w * np.conj(move[f][0]) * (seen[f, t] - move[f][1]) for f, w in here) / sum(w * abs(move[f][0]) ** 2 for f, w in here)
     want = np.array([(1 / r, -s / r) for r, s in (move[f] for f in range(6))])
     assert np.allclose(got.a + 1j * got.b, want[:, 0], atol=1e-8) and np.allclose(got.tx + 1j * got.ty, want[:, 1], atol=1e-7)
+
+
+def _tracked(rng, frames):
+    """Two takes; points of a frame that stays, some far off, some without a value, and one frame of two points."""
+    base = rng.uniform(0, 100, (12, 2))
+    rows = []
+    for grp in (1, 2):
+        for f in range(frames):
+            for t in range(12 if f != 5 else 2):
+                far = 30.0 if (f + t) % 9 == 0 else 0.0
+                x, y = base[t] + [0.5 * f * grp + far, rng.normal() / 10]
+                rows.append((grp, f, t, None if (f, t) == (7, 3) else float(x), float(y)))
+    return rows
+
+
+def test_bundle_in_many_blocks_equals_one(spark):
+    rows = spark.createDataFrame(_tracked(np.random.default_rng(6), 40), "grp long, frame long, track long, x double, y double")
+    one, many = (A.bundle_adjust(rows, "grp", rounds=3, **most).orderBy("grp", "frame").toPandas() for most in ({}, {"most": 50}))
+    assert len(one) == 80 and not one.isna().any().any() and np.allclose(one, many, atol=1e-9)
+    assert (one[one.frame.isin([0, 5])][["a", "b", "tx", "ty"]].to_numpy() == [1, 0, 0, 0]).all()
+
+
+def test_bundle_sends_no_frames_to_the_driver(spark, monkeypatch):
+    """In a round, what grows with the frames is neither broadcast nor are the points dealt again."""
+    plans, cut = [], A.cut
+    monkeypatch.setattr(A, "cut", lambda rows: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), cut(rows))[1])
+    rows = spark.createDataFrame(_tracked(np.random.default_rng(7), 10), "grp long, frame long, track long, x double, y double")
+    A.bundle_adjust(rows, "grp", rounds=3)
+    last = plans[-1]
+    assert "Broadcast" not in last and "InMemoryTableScan" in last
+    points = last[last.index("FlatMapCoGroupsInArrow") : last.index("InMemoryTableScan")]
+    assert "Exchange" not in points
