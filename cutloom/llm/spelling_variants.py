@@ -10,6 +10,8 @@ taken in order of position.  Its places in the two words differ by the lengths'
 An edit leaves one half of a word as it is, so that half is part of the joined key: words that share a rare bigram but no half never
 meet, and no group's pairs are all emitted.  What meets is verified by edit distance.
 
+Spark sizes keys by the stored words, of which a word makes up to 24, so all joins here are told to shuffle: nothing is broadcast.
+
 Null or empty texts have no words.  With a null ``doc_id`` nothing is misspelled.  Repeated rows count each time.  Other columns,
 whatever their names, are not read.  Without words the result is empty.  Very long texts and runs are taken whole.  Ties of
 frequency go to the first word in code-point order.
@@ -118,7 +120,7 @@ def near_words(words: DataFrame) -> DataFrame:
     x, y = (some.mapInArrow(partial(_keyed, make=make, ranks=ranks), "key string, word string, n long") for make in (shorter_keys, longer_keys))
     a, b = x.select("key", F.col("word").alias("a"), F.col("n").alias("a_n")), y.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
     size_a, size_b = F.char_length("a"), F.char_length("b")
-    met = a.join(b, "key").where((size_b == size_a + 1) | (size_a == size_b) & (F.col("a") < F.col("b")))
+    met = a.join(b.hint("merge"), "key").where((size_b == size_a + 1) | (size_a == size_b) & (F.col("a") < F.col("b")))
     pairs = met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct()
     return pairs.select(F.explode(F.array(F.struct("a", "a_n", "b", "b_n"), F.struct(F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("a").alias("b"), F.col("a_n").alias("b_n")))).alias("p")).select("p.*")
 
@@ -128,7 +130,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = common.stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         after = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = common.stored(now.join(after, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        new = common.stored(now.join(after.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         moved = not new.where("moved").isEmpty()
         common.discard(now)
         now = new
@@ -144,8 +146,8 @@ def variants(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST, fact
     words = common.stored(word_counts(docs, shortest, least, misspell), "words")
     best = near_words(words).groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("n"), "b")).alias("best"))
     best = common.stored(best.select("word", "n_near", F.col("best.b").alias("form"), (-F.col("best.n")).alias("form_n")), "near-words")
-    all_ = words.join(best, "word", "left").withColumn("far", F.col("form_n") >= F.col("n") * factor)
+    all_ = words.join(best.hint("merge"), "word", "left").withColumn("far", F.col("form_n") >= F.col("n") * factor)
     all_ = all_.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("far"), F.col("form")).alias("form"), F.when(F.col("far"), F.col("form_n")).alias("form_n"))
     all_ = common.stored(all_, "forms")
-    found = all_.join(roots(all_.where("form is not null")), "word", "left")
+    found = all_.join(roots(all_.where("form is not null")).hint("merge"), "word", "left")
     return found.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

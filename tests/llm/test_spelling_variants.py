@@ -108,3 +108,12 @@ def test_awkward_rows(spark):
         docs = docs.withColumn(c, sv.F.lit("x"))
     assert rows_of(sv.variants(docs, misspell=3)) == expected(rows, 3)
     assert sv.variants(docs.limit(0)).collect() == []
+
+
+def test_nothing_is_broadcast(spark):
+    """Spark takes the keys for as small as the words they come from; no side's size is known before it is made."""
+    docs = spark.createDataFrame([(1, "wanderer " * 60 + "wandere " * 10 + "lonely " * 5)], SCHEMA)
+    for frame in (sv.near_words(sv.common.stored(sv.word_counts(docs), "words")), sv.variants(docs)):
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
