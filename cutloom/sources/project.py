@@ -55,14 +55,20 @@ def _sorted(rows: str | Column, by: str) -> Column:
     return F.array_sort(rows, lambda a, b: F.when(a[by] < b[by], -1).when(a[by] > b[by], 1).otherwise(0))
 
 
-def _listed(rows: DataFrame | None, keys: list[str], name: str, kind: str, *fields: str) -> DataFrame | None:
+def _listed(rows: DataFrame, keys: list[str], name: str, kind: str, *fields: str) -> DataFrame:
     """(keys, name): an array of the rows' fields in the order of ``ord``."""
-    if rows is None:
-        return None
     whole = rows.groupBy(*keys).agg(_sorted(F.collect_list(F.struct("ord", F.struct(*fields).alias("v"))), "ord").alias("_l"))
     return whole.select(*keys, F.transform("_l", lambda x: x["v"]).cast(kind).alias(name))
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    """Rows of several tables one below the other; columns that a table lacks are null there.  Where all are dealt alike, so are these: grouping them moves no row."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def documents(
     clip_rows: DataFrame, *keys: str, effects: DataFrame | None = None, animations: DataFrame | None = None, transitions: DataFrame | None = None, captions: DataFrame | None = None, overlays: DataFrame | None = None, framerate: float = 30.0
 ) -> DataFrame:
@@ -71,32 +77,38 @@ def documents(
     Clips (ord, source, src_in, src_out, start, track, rate, timeinterp, clip_id, blendfrom); effects (clip_ord, ord, kind, slot_id, enabled, params); animations (clip_ord, param, interp, frame, value,
     ease: a row a key); transitions (ord, kind, at, duration); captions (ord, start, stop, text); overlays (ord, kind, start, stop, params, settings).  Nulls are left out of a document, and read again as
     defaults; a list without rows is empty.  Effects and curves of clips that are not there are left out.  A project is one document, so one row holds it.
+
+    Nothing is joined: what belongs to a clip, then to a project, is grouped from one table of all, so rows that are dealt by project already stay where they are.
     """
     on = list(keys)
-    clips_ = clip_rows.select(*on, "ord", "source", "src_in", "src_out", "start", "track", "rate", "timeinterp", F.col("clip_id").cast("string").alias("id"), F.col("blendfrom").cast("string").alias("blendfrom"))
+    fields = ["source", "src_in", "src_out", "start", "track", "rate", "timeinterp"]
+    clip = F.struct(*fields, F.col("clip_id").cast("string").alias("id"), F.col("blendfrom").cast("string").alias("blendfrom"))
+    of_clips = [clip_rows.select(*on, "ord", clip.alias("_clip"))]
     if effects is not None:
         slots_ = effects.select(*on, "clip_ord", "ord", F.col("kind").alias("type"), F.col("slot_id").cast("string").alias("id"), "enabled", "params")
-        clips_ = clips_.join(_listed(slots_, [*on, "clip_ord"], "effects", f"array<{SLOT}>", "type", "id", "enabled", "params").withColumnRenamed("clip_ord", "ord"), [*on, "ord"], "left")
+        of_clips.append(_listed(slots_, [*on, "clip_ord"], "effects", f"array<{SLOT}>", "type", "id", "enabled", "params").withColumnRenamed("clip_ord", "ord"))
     if animations is not None:
         keys_ = animations.groupBy(*on, "clip_ord", "param").agg(F.first("interp").alias("interp"), F.array_sort(F.collect_list(F.struct("frame", "value", "ease"))).alias("_keys"))
         part = lambda c: F.transform("_keys", lambda x: x[c])
         curves = keys_.select(*on, "clip_ord", "param", F.struct("interp", part("frame").alias("frames"), part("value").alias("values"), part("ease").alias("eases")).cast(CURVE).alias("_c"))
         curves = curves.groupBy(*on, "clip_ord").agg(F.map_from_entries(_sorted(F.collect_list(F.struct("param", "_c")), "param")).alias("animations"))
-        clips_ = clips_.join(curves.withColumnRenamed("clip_ord", "ord"), [*on, "ord"], "left")
-    fields = [c for c in clips_.columns if c not in (*on, "ord")]
-    docs = clips_.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("ord", F.to_json(F.struct(*fields)).alias("c")))).alias("_l"))
-    docs = docs.select(*on, F.concat(F.lit("["), F.array_join(F.transform("_l", lambda x: x["c"]), ","), F.lit("]")).alias("_clips"))
-    rest = {
-        "transitions": _listed(transitions, on, "transitions", "array<struct<kind:string,at:bigint,duration:bigint>>", "kind", "at", "duration"),
-        "captions": _listed(captions, on, "captions", "array<struct<start:double,stop:double,text:string>>", "start", "stop", "text"),
-        "overlays": _listed(overlays, on, "overlays", f"array<{OVERLAY}>", "kind", "start", "stop", "params", "settings"),
+        of_clips.append(curves.withColumnRenamed("clip_ord", "ord"))
+    own = [part.columns[-1] for part in of_clips[1:]]
+    whole = _together(of_clips).groupBy(*on, "ord").agg(F.collect_list("_clip").alias("_clips"), *(F.first(c, ignorenulls=True).alias(c) for c in own))
+    as_json = lambda c: F.to_json(F.struct(*(c[f].alias(f) for f in (*fields, "id", "blendfrom")), *own))
+    lists = {
+        "transitions": (transitions, "array<struct<kind:string,at:bigint,duration:bigint>>", ("kind", "at", "duration")),
+        "captions": (captions, "array<struct<start:double,stop:double,text:string>>", ("start", "stop", "text")),
+        "overlays": (overlays, f"array<{OVERLAY}>", ("kind", "start", "stop", "params", "settings")),
     }
-    text = [F.lit(f'{{"framerate":{framerate},"clips":'), F.col("_clips")]
-    for name, rows in rest.items():
-        if rows is not None:
-            docs = docs.join(rows, on, "left")
-            text += [F.lit(f',"{name}":'), F.coalesce(F.to_json(name), F.lit("[]"))]
-    return docs.select(*on, F.concat(*text, F.lit("}")).alias("json"))
+    lists = {name: x for name, x in lists.items() if x[0] is not None}
+    parts = [whole.where(F.size("_clips") > 0).select(*on, F.struct("ord", F.array_sort(F.transform("_clips", as_json)).alias("c")).alias("_clips"))]
+    parts += [rows.select(*on, F.struct("ord", F.struct(*names).alias("v")).alias(name)) for name, (rows, _, names) in lists.items()]
+    docs = _together(parts).groupBy(*on).agg(F.array_sort(F.collect_list("_clips")).alias("_clips"), *(_sorted(F.collect_list(name), "ord").alias(name) for name in lists))
+    text = [F.lit(f'{{"framerate":{framerate},"clips":['), F.array_join(F.flatten(F.transform("_clips", lambda x: x["c"])), ","), F.lit("]")]
+    for name, (_, kind, _) in lists.items():
+        text += [F.lit(f',"{name}":'), F.to_json(F.transform(name, lambda x: x["v"]).cast(kind))]
+    return docs.where(F.size("_clips") > 0).select(*on, F.concat(*text, F.lit("}")).alias("json"))
 
 
 def animations(projects: DataFrame, *keys: str) -> DataFrame:
