@@ -13,6 +13,7 @@ from .timeline import segments
 
 RATE = 48_000
 BLOCK = 4096
+STRETCH = 100  # blocks that are dealt together
 HALF = 0.5 + 1e-6  # a place in the middle of two samples goes up, however its last bits came out
 
 
@@ -64,18 +65,19 @@ def blocks(first, last, size: int = BLOCK) -> Column:
 
 
 def block_pieces(clips: DataFrame, fps: float, source_fps: float, size: int = BLOCK) -> DataFrame:
-    """(seq_id, block, first, n, source_id, ord, at, ratio): the sounding stretches of every block of ``size`` timeline samples.
+    """(seq_id, stretch, block, first, n, source_id, ord, at, ratio): the sounding stretches of every block of ``size`` timeline samples.
 
     ``first`` counts within the block; ``at`` is the source sample, whole and share, that its first sample falls on, and ``ratio`` how far the source goes on a
     sample.  Each piece knows its place in the source by itself, so blocks can be filled in any order and give what one fill gives.
-    The clip on top sounds; what is in no piece is silent.
+    The clip on top sounds; what is in no piece is silent.  A block lies in one ``stretch`` of STRETCH blocks, by which pieces are dealt: grouped with it, they stay where they are.
     """
     sample = lambda n: F.ceil(N.col(n) / fps * RATE).cast("long")
-    rows = segments(clips).where("ord is not null").withColumn("_p", sample("a")).withColumn("_q", sample("b")).where("_q > _p")
-    rows = rows.withColumn("block", F.explode(blocks("_p", "_q", size)))
-    p, q = F.greatest(F.col("_p"), F.col("block") * size), F.least(F.col("_q"), (F.col("block") + 1) * size)
-    at = (F.col("src_in") + (p * fps / RATE - F.col("start")) * F.col("rate")) / source_fps * RATE
-    return rows.select("seq_id", "block", (p - F.col("block") * size).alias("first"), (q - p).alias("n"), "source_id", "ord", at.alias("at"), (F.col("rate") * fps / source_fps).alias("ratio"))
+    laid = clips.select("seq_id", "ord", "track", "source_id", "src_in", "rate", F.col("start").alias("_from"), sample("start").alias("start"), sample("stop").alias("stop"))
+    rows = segments(laid, size * STRETCH, ("ord", "source_id", "src_in", "rate", "_from")).where("ord is not null")
+    rows = rows.withColumn("block", F.explode(blocks("a", "b", size)))
+    p, q = F.greatest(F.col("a"), F.col("block") * size), F.least(F.col("b"), (F.col("block") + 1) * size)
+    at = (F.col("src_in") + (p * fps / RATE - F.col("_from")) * F.col("rate")) / source_fps * RATE
+    return rows.select("seq_id", "stretch", "block", (p - F.col("block") * size).alias("first"), (q - p).alias("n"), "source_id", "ord", at.alias("at"), (F.col("rate") * fps / source_fps).alias("ratio"))
 
 
 def filled(pieces: DataFrame, sounds: DataFrame, size: int = BLOCK) -> DataFrame:

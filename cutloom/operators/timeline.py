@@ -72,26 +72,32 @@ def topmost(hits: DataFrame, keys: list[str], *columns: str) -> DataFrame:
     return hits.groupBy(*keys).agg(best).select(*keys, "_best.*")
 
 
-def segments(clips: DataFrame, width: int = BUCKET) -> DataFrame:
-    """(seq_id, a, b, and the topmost clip's ord, source_id, src_in, rate, start): sequences cut wherever a clip starts or ends.
+def segments(clips: DataFrame, width: int = BUCKET, columns: tuple[str, ...] = ("ord", "source_id", "src_in", "rate", "start")) -> DataFrame:
+    """(seq_id, stretch, a, b, and the topmost clip's ``columns``): sequences cut wherever a clip starts or ends.
 
-    Inside a segment nothing changes, so the stack is resolved once a segment and not once a frame; gaps have nulls.  Cuts at
-    every ``width`` frames let the work on a very long sequence be shared.
+    Inside a segment nothing changes, so the stack is resolved once a segment and not once a frame; gaps have nulls.  Clips and
+    the span of their whole sequence are dealt by stretch of ``width`` frames once, so the work on a very long sequence is shared: a stretch knows
+    all that reaches into it, and what is grouped by stretch later moves no row.
     """
-    ends = clips.groupBy("seq_id").agg(F.max("stop").alias("total")).where("total > 0")
-    marks = ends.select("seq_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(width).cast("long"))).alias("a"))
-    cuts = clips.where("stop > start").select("seq_id", F.explode(F.array("start", "stop")).alias("a"))
-    rows = marks.unionByName(cuts).distinct().withColumn("_s", N.floor_long(F.col("a") / width))
-    after = F.coalesce(F.lead("a").over(Window.partitionBy("seq_id", "_s").orderBy("a")), (F.col("_s") + 1) * width)
-    spans = rows.withColumn("b", after).join(ends, "seq_id").where("a < total").select("seq_id", "a", F.least("b", "total").alias("b"))
-    hits = interval_join(spans, clips, ["seq_id"], "a", "start", "stop", "left", width, parts=shares(clips))
-    best = F.max_by(F.struct("ord", "source_id", "src_in", "rate", "start"), F.struct(F.col("track"), -F.col("ord"))).alias("_best")
-    return hits.withColumn("_in", F.floor(F.col("a") / width)).groupBy("seq_id", "_in", "a", "b").agg(best).select("seq_id", "a", "b", "_best.*")
+    start, stop, edge = F.col("start"), F.col("stop"), F.col("stretch") * width
+    named = [F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]
+    shown = clips.where("stop > start").select("seq_id", "start", "stop", "track", F.col("ord").alias("_ord"), *named, F.lit(True).alias("_is"))
+    ends = clips.groupBy("seq_id").agg(F.lit(0).cast("long").alias("start"), F.max("stop").alias("stop")).where("stop > 0")
+    spans = shown.unionByName(ends, allowMissingColumns=True)
+    spans = spans.withColumn("stretch", F.explode(F.sequence(N.floor_long(start / width), N.floor_long((stop - 1) / width)))).repartition(shares(clips), "seq_id", "stretch")
+    spans = spans.withColumn("_a", F.greatest(start, edge)).withColumn("_b", F.least(stop, edge + width)).drop("start", "stop")
+    here = Window.partitionBy("seq_id", "stretch")
+    spans = spans.withColumn("_cuts", F.array_sort(F.array_union(F.collect_set("_a").over(here), F.collect_set("_b").over(here))))  # width + 1 at most
+    place = lambda c: F.array_position("_cuts", F.col(c)).cast("int")
+    parts = F.transform(F.sequence(place("_a"), place("_b") - 1), lambda i: F.struct(F.get("_cuts", i - 1).alias("a"), F.get("_cuts", i).alias("b")))
+    hits = spans.withColumn("_part", F.explode(parts)).select("seq_id", "stretch", "_part.*", "track", "_ord", "_is", *(f"_c{i}" for i in range(len(columns))))
+    best = F.max_by(F.struct(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(columns))), F.when(F.col("_is"), F.struct(F.col("track"), -F.col("_ord")))).alias("_best")
+    return hits.groupBy("seq_id", "stretch", "a", "b").agg(best).select("seq_id", "stretch", "a", "b", "_best.*")
 
 
 def locate(points: DataFrame, clips: DataFrame) -> DataFrame:
     """Each point's topmost clip and the source frame it shows; nulls in a gap."""
-    hits = interval_join(points, segments(clips), ["seq_id"], "n", "a", "b", "left")
+    hits = interval_join(points, segments(clips).drop("stretch"), ["seq_id"], "n", "a", "b", "left")
     return hits.select(*points.columns, "ord", "source_id", N.source_frame("n").alias("source_frame"))
 
 

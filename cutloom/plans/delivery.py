@@ -57,7 +57,7 @@ def sound_blocks(spark, d):
     """For every block of 4,096 samples how many sound, and the sum of the source samples that they fall on."""
     pieces = Au.block_pieces(S.clips(spark, d, "tracks"), 30.0, 15.0)
     n = F.col("n")
-    return pieces.groupBy("seq_id", "block").agg(F.sum("n").alias("sounding"), F.round(F.sum(n * F.col("at") + F.col("ratio") * n * (n - 1) / 2), 2).alias("places"))
+    return pieces.groupBy("seq_id", "stretch", "block").agg(F.sum("n").alias("sounding"), F.round(F.sum(n * F.col("at") + F.col("ratio") * n * (n - 1) / 2), 2).alias("places")).drop("stretch")
 
 
 FED = """WITH RECURSIVE t AS (SELECT user_id AS session, event_id AS at, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_type, value FROM events),
