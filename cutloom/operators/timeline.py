@@ -81,6 +81,7 @@ def segments(clips: DataFrame, width: int = BUCKET, columns: tuple[str, ...] = (
     """
     start, stop, edge = F.col("start"), F.col("stop"), F.col("stretch") * width
     named = [F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]
+    clips = clips.where("seq_id is not null")
     shown = clips.where("stop > start").select("seq_id", "start", "stop", "track", F.col("ord").alias("_ord"), *named, F.lit(True).alias("_is"))
     ends = clips.groupBy("seq_id").agg(F.lit(0).cast("long").alias("start"), F.max("stop").alias("stop")).where("stop > 0")
     spans = shown.unionByName(ends, allowMissingColumns=True)
@@ -205,10 +206,11 @@ def free_track(clips: DataFrame, wants: DataFrame) -> DataFrame:
     return free.groupBy("seq_id", "at", "length").agg(F.min("lane").alias("lane"))
 
 
-def _cuts(clips: DataFrame) -> DataFrame:
-    """(seq_id, at, left, right): cuts with the (ord, len) of both clips, in one pass."""
-    side = F.struct("ord", "len")
-    ends = F.array(F.struct(F.col("stop").alias("at"), side.alias("left"), F.lit(None).cast("struct<ord:bigint,len:bigint>").alias("right")), F.struct(F.col("start").alias("at"), F.lit(None).cast("struct<ord:bigint,len:bigint>").alias("left"), side.alias("right")))
+def _cuts(clips: DataFrame, *columns: str) -> DataFrame:
+    """(seq_id, at, left, right): cuts with the (ord, len, and ``columns``) of both clips, in one pass."""
+    side = F.struct("ord", "len", *columns)
+    none = F.lit(None).cast(clips.select(side).schema[0].dataType)
+    ends = F.array(F.struct(F.col("stop").alias("at"), side.alias("left"), none.alias("right")), F.struct(F.col("start").alias("at"), none.alias("left"), side.alias("right")))
     both = clips.select("seq_id", F.explode(ends).alias("e")).select("seq_id", "e.*")
     return both.groupBy("seq_id", "at").agg(F.min("left").alias("left"), F.min("right").alias("right")).where("left is not null and right is not null")
 
@@ -228,18 +230,24 @@ def clamp_transition(duration, left_len, right_len) -> Column:
     return 2 * F.greatest(F.least(N.div(duration, 2), N.col(left_len), N.col(right_len)), F.lit(0))
 
 
-def transitions(clips: DataFrame, duration: int) -> DataFrame:
-    """A transition of at most ``duration`` at every cut that has room for two frames: at, length, span and the two clips."""
-    rows = _cuts(clips).select("seq_id", "at", *(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("left", "right") for c in ("ord", "len")))
+def transitions(clips: DataFrame, duration: int, *columns: str) -> DataFrame:
+    """A transition of at most ``duration`` at every cut that has room for two frames: at, length, span and the two clips; of these also ``columns``, as left_ and right_."""
+    rows = _cuts(clips, *columns).select("seq_id", "at", *(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("left", "right") for c in ("ord", "len", *columns)))
     sized = rows.withColumn("duration", clamp_transition(F.lit(duration), "left_len", "right_len").cast("long")).where("duration >= 2")
     spans = sized.withColumn("span_start", F.col("at") - N.div("duration", 2)).withColumn("span_stop", F.col("span_start") + F.col("duration"))
-    return spans.select("seq_id", "at", "left_ord", "right_ord", "duration", "span_start", "span_stop")
+    return spans.select("seq_id", "at", "left_ord", "right_ord", "duration", "span_start", "span_stop", *(f"{k}_{c}" for k in ("left", "right") for c in columns))
 
 
-def transition_at(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """The first transition (by its cut) whose span covers a point."""
-    hits = interval_join(points, spans, ["seq_id"], "n", "span_start", "span_stop")
-    return hits.groupBy("seq_id", "n").agg(F.min_by(F.struct("at", "left_ord", "right_ord", "duration", "span_start"), F.col("at")).alias("t")).select("seq_id", "n", "t.*")
+def transition_at(points: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
+    """The first transition (by its cut) whose span covers a point, and ``columns`` of it.
+
+    Transitions are short, so each gives a row for a frame, and these and the points are grouped by frame: nothing is joined, and sequences that are dealt already stay where they are.
+    """
+    covered = F.explode(F.sequence("span_start", F.col("span_stop") - 1)).alias("n")
+    shown = spans.where("span_stop > span_start").select("seq_id", covered, F.struct("at", "left_ord", "right_ord", "duration", "span_start", *columns).alias("t"))
+    asked = points.select("seq_id", "n", F.lit(True).alias("_asked"))
+    hits = asked.unionByName(shown, allowMissingColumns=True).groupBy("seq_id", "n").agg(F.max("_asked").alias("_asked"), F.min("t").alias("t"))
+    return hits.where("_asked and t is not null and seq_id is not null").select("seq_id", "n", "t.*")
 
 
 def mix(n, span_start, duration) -> Column:

@@ -33,6 +33,7 @@ def test_segments_show_what_frames_show(spark):
         seq, start = 7 if k % 3 else k % 9, rng.choice((rng.randrange(1500), 16 * rng.randrange(90), rng.randrange(4000, 4100)))
         rows.append((seq, k, k, rng.randrange(9), start, start + rng.choice((0, 1, 5, 16, 40, 300)), 1.0, rng.randrange(3)))
     rows += [(8, 900, 1, 0, -70, -5, 1.0, 1), (8, 901, 1, 0, -40, 3, 1.0, 2), (20, 902, 1, 0, 50, 50, 1.0, 1)]
+    rows += [(None, 903, 1, 0, 0, 9, 1.0, 1)]  # as in joins, no key is no sequence
     for width in (16, 256):
         got = {}
         for r in T.segments(spark.createDataFrame(rows, SCHEMA).repartition(3), width).collect():
@@ -40,7 +41,7 @@ def test_segments_show_what_frames_show(spark):
             for n in range(r.a, r.b):
                 assert (r.seq_id, n) not in got
                 got[r.seq_id, n] = r.ord
-        for seq in {r[0] for r in rows}:
+        for seq in {r[0] for r in rows} - {None}:
             own = [r for r in rows if r[0] == seq]
             total = max(r[5] for r in own)
             for n in range(min(0, *(r[4] for r in own), 0), total):
